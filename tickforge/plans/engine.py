@@ -69,7 +69,8 @@ def pit_visible(spark: SparkSession, d: str) -> DataFrame:
 def corporate_actions_adjusted(spark: SparkSession, d: str) -> DataFrame:
     prices = ["open_px", "high_px", "low_px", "close_px"]
     rows = read(spark, d, "feed").select("row_id", "symbol", "ts", *prices)
-    return rounded(pit.back_adjusted(rows, read(spark, d, "corporate_actions"), prices, "row_id").drop("ts"), 8)
+    out = pit.back_adjusted(rows, read(spark, d, "corporate_actions"), prices, "row_id").drop("ts")
+    return rounded(out.withColumns({p: F.col(p) + 1e-10 for p in prices}), 8)  # prices of four places, halved often, would end on a 5
 
 
 def universe_asof(spark: SparkSession, d: str) -> DataFrame:

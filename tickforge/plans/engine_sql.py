@@ -155,7 +155,7 @@ f AS (SELECT f.row_id, list({'s': a.s, 'd': a.d, 'x': 0e0} ORDER BY a.effective_
 
 def _adjusted(c: str) -> str:
     fold = f"list_reduce(list_prepend({{'s': 1e0, 'd': 0e0, 'x': {c}}}, l), lambda p, q: {{'s': q.s, 'd': q.d, 'x': p.x / q.s - q.d}}).x"
-    return f"round(CASE WHEN l IS NULL THEN {c} ELSE {fold} END, 8) + 0e0 AS {c}"
+    return f"round(CASE WHEN l IS NULL THEN {c} ELSE {fold} END + 1e-10, 8) + 0e0 AS {c}"
 
 
 _CLEAR = ["close - lag(close, 5) OVER w", "close - lag(close, 20) OVER w", "CASE WHEN i >= 29 THEN avg(close) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) - avg(close) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) END"]

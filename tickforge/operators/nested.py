@@ -141,16 +141,16 @@ def rows_of(text: str | None, rules: Rules = STRATEGY) -> list[tuple]:
         return []
     rows: dict[tuple, list] = {}
     alias: dict[tuple, tuple] = {}  # path as parsed: path as named
+    lengths: set[int] = set()
     root, sides, node = rules.chain
     start = 1 if found and found[0][0] == () and found[0][2] == "object" else len(found)
     for raw, ordinal, kind, value in found[start:]:
-        near = raw[:-1]
-        base = alias.get(near)
-        while base is None and near:
-            near = near[:-1]
-            base = alias.get(near)
-        path = (base or ()) + raw[len(near) :]
-        if raw in alias or raw in rows:  # a repeated key: what stood there before is gone
+        path = raw
+        for n in sorted(lengths, reverse=True):  # of the renamed ancestors the nearest
+            if n < len(raw) and raw[:n] in alias:
+                path = alias[raw[:n]] + raw[n:]
+                break
+        if raw in alias or path in rows:  # a repeated key: what stood there before is gone
             for p in [p for p in rows if p[: len(path)] == path]:
                 del rows[p]
         row = None
@@ -159,6 +159,7 @@ def rows_of(text: str | None, rules: Rules = STRATEGY) -> list[tuple]:
             lone = next((k for p, a, k in rules.arrays if path[-1] == a and _fits(parent, p)), None)
             if lone:
                 alias[raw] = path = (*path, 0)
+                lengths.add(len(raw))
                 row, ordinal, up = lone, 0, parent
             elif isinstance(path[-1], int) and (k := next((k for p, a, k in rules.arrays if path[-2:-1] == (a,) and _fits(path[:-2], p)), None)):
                 row, up = k, path[:-2]

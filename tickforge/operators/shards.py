@@ -63,11 +63,10 @@ def with_halo(df: DataFrame, keys: list[str], order: list[str], before: int, aft
     )
     over = Window.partitionBy(*keys).orderBy("_shard")
     tails, heads = F.flatten(F.collect_list("_tails").over(over.rowsBetween(-max(before, 1), -1))), F.flatten(F.collect_list("_heads").over(over.rowsBetween(1, max(after, 1))))
-    near = edges.select(
-        *keys, "_shard",
-        F.explode(F.concat(F.slice(tails, F.greatest(F.size(tails) - before + 1, F.lit(1)), F.lit(max(before, 1))) if before else F.array().cast(edges.schema["_tails"].dataType),
-                           F.slice(heads, 1, after) if after else F.array().cast(edges.schema["_heads"].dataType))).alias("_row"),
-    )
+    none = F.array().cast(edges.schema["_heads"].dataType)
+    near = edges.withColumns({"_before": tails if before else none, "_after": heads if after else none})
+    near = near.withColumn("_row", F.concat(F.slice("_before", F.greatest(F.size("_before") - before + 1, F.lit(1)), F.lit(max(before, 1))), F.slice("_after", 1, max(after, 1))))
+    near = near.select(*keys, "_shard", F.explode("_row").alias("_row"))
     return own.unionByName(near.select(*keys, "_shard", "_row.*", F.lit(True).alias("_halo")))
 
 

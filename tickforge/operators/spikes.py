@@ -115,8 +115,9 @@ def _checker(prices: list[str], volume: str, low: str, high: str, factor: float,
             for reason, at in why.items():
                 at = at & ~halo
                 if at.any():
-                    out.append(pd.DataFrame({"_id": ids[at], "field_name": f, "reason": reason}))
-        return pd.concat(out) if out else pd.DataFrame({"_id": [], "field_name": [], "reason": []})
+                    out.append((ids[at], f, reason))
+        named = lambda k: pd.Series([x[k] for x in out for _ in range(len(x[0]))], dtype=object)
+        return pd.DataFrame({"_id": np.concatenate([x[0] for x in out]) if out else ids[:0], "field_name": named(1), "reason": named(2)})
 
     return check
 
@@ -169,7 +170,8 @@ def flag_implausible(df: DataFrame, key: str = "symbol", ts: str = "ts", row_id:
     stats = sketch.groupBy("_k", "_shard").agg(F.collect_list(fences).alias("_hours"), *[F.kll_merge_agg_double(f"_m_{f}").alias(f"_m_{f}") for f in fields])
     stats = stats.select("_k", "_shard", "_hours", *[at(f"_m_{f}", 0.5).alias(f"_mid_{f}") for f in fields])
     if split:
-        stats = rows.select("_k", "_shard").distinct().join(stats.drop("_shard"), "_k").select(stats.columns)
+        stats = rows.select("_k", "_shard").distinct().join(stats.drop("_shard"), "_k")
+        stats = stats.select(*[F.col(c).alias(c) for c in stats.columns])  # columns of their own, as both sides of the cogroup come from rows
     check = _checker(list(prices), volume, low, high, factor, stuck, most, fence)
     kind = rows.schema["_id"].dataType.simpleString()
     found = rows.groupBy("_k", "_shard").cogroup(stats.groupBy("_k", "_shard")).applyInPandas(check, f"_id {kind}, field_name string, reason string")

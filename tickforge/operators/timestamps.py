@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from tickforge.session import broadcast_if_small
+
 #: Texts longer than this are no timestamps.
 LONGEST = 64
 SECOND, HOUR = 1_000_000, 3_600_000_000
@@ -260,10 +262,8 @@ def date_orders(df: DataFrame, source: str, text: str) -> DataFrame:
 def normalise(df: DataFrame, clocks: DataFrame, text: str, out: str, source: str = "source", zone: str = "tz_name") -> DataFrame:
     """df with ``out``, the instant of each text (see to_instant), by the clock of its source in ``clocks`` and the date order
     its texts show. Sources that clocks lacks have no clock; df keeps all its rows and columns."""
-    from tickforge.session import broadcast_if_small
-
-    known = clocks.select(F.col(source).alias("_source"), F.col(zone).alias("_zone")).filter("_source is not null").dropDuplicates(["_source"])
-    orders = date_orders(df, source, text).withColumnRenamed(source, "_source")
-    about = known.join(orders, "_source", "full")
-    joined = df.join(broadcast_if_small(about, 10_000), df[source] == about["_source"], "left")
-    return joined.withColumn(out, to_instant(F.col(text), F.col("_zone"), F.col("date_order"))).select(*df.columns, out)
+    known = clocks.select(F.col(source).alias("_tf_source"), F.col(zone).alias("_tf_zone")).filter("_tf_source is not null").dropDuplicates(["_tf_source"])
+    orders = date_orders(df, source, text).select(F.col(source).alias("_tf_source"), F.col("date_order").alias("_tf_order"))
+    about = known.join(orders, "_tf_source", "full")
+    joined = df.join(broadcast_if_small(about, 10_000), df[source] == about["_tf_source"], "left")
+    return joined.withColumn(out, to_instant(df[text], F.col("_tf_zone"), F.col("_tf_order"))).select(*[c for c in df.columns if c != out], out)

@@ -11,7 +11,7 @@ from tickforge.functions.compiler import evaluate
 from tickforge.functions.expr import REGISTERED, Binary, Constant, Primitive, Series, check, example, from_dict, kind_of, pretty, registry, shifted, strategy_id, to_dict
 from tickforge.operators import backtest as bt
 from tickforge.operators import pareto, portfolio
-from tickforge.sources.bars import chronological_split, manifest, read_bars, synthetic_bars
+from tickforge.sources.bars import chronological_split, manifest, numbered, read_bars, synthetic_bars
 
 CLOSE = [101, 103, 102, 105, 106, 104, 108, 109, 107, 111]
 
@@ -68,6 +68,15 @@ def test_shards_change_nothing(spark):
         assert all((r[n] is None) == (cut[k][n] is None) and (r[n] is None or math.isclose(r[n], cut[k][n], rel_tol=1e-9, abs_tol=1e-12)) for n in named)
 
 
+def test_sharded_backtest(spark):
+    bars = synthetic_bars(spark, 2000)
+    g = Primitive("SMA", 3) - Primitive("SMA", 9)
+    whole, cut = (bt.metrics(bt.backtest(bars, g, bt.Execution(delay_bars=2), target_rows=n), ["symbol"]).first().asDict() for n in (10**6, 300))
+    assert all(whole[k] == cut[k] if isinstance(whole[k], str) else math.isclose(whole[k], cut[k], rel_tol=1e-9) for k in whole)
+    base = bars.withColumn("bucket", F.col("bar_idx") * 3).drop("bar_idx")
+    assert [r["bar_idx"] * 3 for r in numbered(base, target_rows=300).orderBy("bucket").collect()] == [3 * i for i in range(2000)]
+
+
 def test_expressions():
     g = example()
     assert from_dict(json.loads(json.dumps(to_dict(g)))) == g and strategy_id(g) == strategy_id(from_dict(to_dict(g))) and g.complexity() == 5 and g.warmup() == 63
@@ -128,3 +137,23 @@ def test_bar_files(spark, tmp_path):
     order = sorted(range(100), key=lambda i: (i * 7919 % 50, i))
     assert parts == {i: "train" if k < 80 else "test" for k, i in enumerate(order)}
     assert manifest(df, "s", ["id", "ts"]).first() == manifest(df.repartition(7), "s", ["id", "ts"]).first()
+
+
+def test_orders_and_books(spark):
+    from tickforge.operators import books
+
+    orders = spark.createDataFrame(
+        [(1, "buy", "market", 5.0, None, None, 10.1, 3.0), (2, "buy", "limit", 5.0, 10.0, None, 10.1, 9.0), (3, "sell", "limit", 5.0, None, None, 10.1, 9.0), (4, "sell", "stop", 0.0, None, None, 0.0, 9.0), (5, "sell", "limit", 5.0, 10.04, None, 10.1, 9.0), (6, "buy", "market", None, None, None, None, None)],
+        "order_id int, side string, order_type string, quantity double, limit_price double, stop_price double, market_price double, liquidity double",
+    )
+    got = {r["order_id"]: r for r in books.executed(orders, min_size=1.0, tick=0.1).collect()}
+    assert [got[i]["status"] for i in range(1, 7)] == ["partial", "pending", "rejected", "rejected", "filled", "rejected"]
+    assert got[4]["reasons"] == "invalid_quantity,below_minimum_order_size,stop_price_required,invalid_market_price" and got[5]["fill_price"] == 10.0 and got[1]["filled_quantity"] == 3.0
+    book = spark.createDataFrame([("m", "buy", 4.0, None, 0.0), ("big", "buy", 9.0, None, 0.0), ("l", "buy", 5.0, 101.0, 0.0), ("q", "sell", 2.0, 90.0, 4.0), ("no", "buy", 1.0, 100.0, 0.0)], "order_id string, side string, quantity double, limit_price double, queue_ahead double")
+    side = lambda rows: F.array(*[F.struct(F.lit(p).alias("price"), F.lit(q).alias("quantity")) for p, q in rows])
+    book = book.withColumns({"bids": side([(99.0, 5.0)]), "asks": side([(101.0, 2.0), (102.0, 3.0)])})
+    market = {r["order_id"]: r for r in books.market_fills(book, temporary_bps=100.0).collect()}
+    assert market["m"]["filled"] == 4 and market["m"]["average_price"] == 101.5 and market["big"]["status"] == "partial" and market["big"]["average_price"] > 101.6
+    limit = {r["order_id"]: r for r in books.limit_fills(book, participation=1.0).collect()}
+    assert (limit["l"]["filled"], limit["l"]["status"], limit["q"]["filled"], limit["no"]["status"]) == (2.0, "partial", 1.0, "unfilled")
+    assert books.limit_fills(book.limit(0)).count() == 0

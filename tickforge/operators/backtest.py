@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass, replace
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tickforge.functions.compiler import evaluate
 from tickforge.functions.expr import Node, shifted
+from tickforge.operators.shards import TARGET_ROWS, assign_shards, carry, with_halo
+from tickforge.session import broadcast_if_small
 
 METRICS = ("sharpe", "sortino", "total_return", "max_drawdown", "turnover", "trades", "costs_paid")
 
@@ -44,27 +47,48 @@ def discretized(signal: Column, threshold: float = 0.0) -> Column:
     return F.when(signal.isNull() | F.isnan(signal), 0).when(signal > threshold, 1).when(F.abs(signal - threshold) < 1e-12, 0).otherwise(-1)
 
 
-def curve(signals: DataFrame, keys: list[str], execution: Execution | DataFrame | None = None, threshold: float = 0.0, order: str = "bar_idx") -> DataFrame:
+def with_equity(df: DataFrame, keys: list[str], order: str = "bar_idx") -> DataFrame:
+    """df with equity, the running product of 1 + ret; over shards (a column _shard) with the product of those ahead carried in."""
+    shards = ["_shard"] if "_shard" in df.columns else []
+    df = df.withColumn("equity", F.product(1 + F.col("ret")).over(Window.partitionBy(*keys, *shards).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    if shards:
+        ahead = carry(df, keys, {"_ahead": F.product(1 + F.col("ret"))}, F.product)
+        df = df.join(broadcast_if_small(ahead, 10_000), [*keys, "_shard"], "left").withColumn("equity", F.col("equity") * F.coalesce("_ahead", F.lit(1.0))).drop("_ahead")
+    return df
+
+
+def curve(signals: DataFrame, keys: list[str], execution: Execution | None = None, threshold: float = 0.0, order: str = "bar_idx", target_rows: int = TARGET_ROWS) -> DataFrame:
     """signals (keys, order, close, signal) with raw, position, turn, ret, cost and equity per bar.
 
     The position follows the signal by the delay and earns from the bar after; costs fall on its change, carry on its size.
+    Series longer than target_rows are cut into time shards, which then stay in the column _shard.
     """
     ex = execution or Execution()
-    w = Window.partitionBy(*keys).orderBy(order)
-    up_to = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = signals.withColumn("raw", discretized(F.col("signal"), threshold))
-    df = df.withColumns({"position": F.coalesce(F.lag("raw", max(1, ex.delay_bars)).over(w), F.lit(0)), "_move": F.coalesce(F.try_divide(F.col("close"), F.lag("close").over(w)) - 1, F.lit(0.0))})
+    delay = max(1, ex.delay_bars)
+    df, split = assign_shards(signals, keys, order, target_rows)
+    df = with_halo(df, keys, [order], delay + 1, 0) if split else df.drop("_shard")
+    w = Window.partitionBy(*keys, *["_shard"] * split).orderBy(order)
+    df = df.withColumn("raw", discretized(F.col("signal"), threshold))
+    df = df.withColumns({"position": F.coalesce(F.lag("raw", delay).over(w), F.lit(0)), "_move": F.coalesce(F.try_divide(F.col("close"), F.lag("close").over(w)) - 1, F.lit(0.0))})
     df = df.withColumns({"_held": F.coalesce(F.lag("position").over(w), F.lit(0)), "_first": F.lag("close").over(w).isNull()})
     df = df.withColumn("turn", F.when(F.col("_first"), 0).otherwise(F.abs(F.col("position") - F.col("_held"))))
     df = df.withColumn("cost", F.when(F.col("_first"), 0.0).otherwise(ex.cost(F.col("turn")) + ex.carry(F.col("position"))))
     df = df.withColumn("ret", F.when(F.col("_first"), 0.0).otherwise(F.col("_held") * F.col("_move") - F.col("cost")))
-    return df.withColumn("equity", F.product(1 + F.col("ret")).over(up_to)).drop("_move", "_held", "_first")
+    df = df.filter("not _halo").drop("_halo") if split else df
+    return with_equity(df.drop("_move", "_held", "_first"), keys, order)
 
 
 def metrics(curves: DataFrame, keys: list[str], order: str = "bar_idx") -> DataFrame:
     """One row per key: sharpe, sortino (infinite without a losing bar), total_return, max_drawdown, turnover, trades, costs_paid."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    df = curves.withColumns({"_peak": F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_r": F.when(F.lag("equity").over(w).isNotNull(), F.col("ret"))})
+    shards = ["_shard"] if "_shard" in curves.columns else []
+    w = Window.partitionBy(*keys, *shards).orderBy(order)
+    df = curves.withColumn("_peak", F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    later = F.lag("equity").over(w).isNotNull()
+    if shards:
+        ahead = carry(curves, keys, {"_top": F.max("equity")}, F.max)
+        df = df.join(broadcast_if_small(ahead, 10_000), [*keys, "_shard"], "left").withColumn("_peak", F.greatest("_peak", "_top"))
+        later = later | F.col("_top").isNotNull()
+    df = df.withColumn("_r", F.when(later, F.col("ret")))
     down = F.when(F.col("_r") < 0, F.col("_r"))
     out = df.groupBy(*keys).agg(
         F.count("_r").alias("_n"), F.avg("_r").alias("_mean"), F.stddev_samp("_r").alias("_std"), F.sum(down * down).alias("_dd"), F.count(down).alias("_nd"),
@@ -81,9 +105,10 @@ def metrics(curves: DataFrame, keys: list[str], order: str = "bar_idx") -> DataF
     )
 
 
-def backtest(bars: DataFrame, genome: Node, execution: Execution | None = None, threshold: float = 0.0, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def backtest(bars: DataFrame, genome: Node, execution: Execution | None = None, threshold: float = 0.0, keys: tuple[str, ...] = ("symbol",), target_rows: int = TARGET_ROWS) -> DataFrame:
     """The curve of one expression over each series of bars; the expression sees close, high, low and volume."""
-    return curve(evaluate(bars, {"signal": genome}, keys, price_only=True).select(*keys, "bar_idx", "close", "signal"), list(keys), execution, threshold)
+    signals = evaluate(bars, {"signal": genome}, keys, price_only=True, target_rows=target_rows).select(*keys, "bar_idx", "close", "signal")
+    return curve(signals, list(keys), execution, threshold, target_rows=target_rows)
 
 
 def cross_sectional(bars: DataFrame, genome: Node, execution: Execution | None = None, max_gross: float = 1.0, max_position: float = 0.2) -> DataFrame:
@@ -142,8 +167,7 @@ def cost_sensitivity(bars: DataFrame, genome: Node, execution: Execution | None
     per = curve(grid, ["symbol", "multiplier"], replace(ex, commission_bps=0, spread_bps=0, slippage_bps=0, impact_bps=0))
     per = per.withColumn("_extra", F.col("multiplier") * (ex.fixed() + ex.impact_bps / 1e4) * F.col("turn"))
     per = per.withColumns({"cost": F.col("cost") + F.col("_extra"), "ret": F.col("ret") - F.col("_extra")})
-    w = Window.partitionBy("symbol", "multiplier").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return metrics(per.withColumn("equity", F.product(1 + F.col("ret")).over(w)), ["symbol", "multiplier"])
+    return metrics(with_equity(per, ["symbol", "multiplier"]), ["symbol", "multiplier"])
 
 
 def parameter_sensitivity(bars: DataFrame, genome: Node, execution: Execution | None = None, deltas: tuple[int, ...] = (-3, -2, -1, 0, 1, 2, 3)) -> DataFrame:
@@ -172,3 +196,24 @@ def _folds(bars: DataFrame, kind: str, folds: int, test: float, initial: float)
 def fold_metrics(bars: DataFrame, genome: Node, kind: str = "walk_forward", folds: int = 3, execution: Execution | None = None, test: float = 0.2, initial: float = 0.5) -> DataFrame:
     """Metrics per symbol and fold of walk-forward windows ('walk_forward') or contiguous folds ('purged'); indicators restart in each."""
     return metrics(backtest(_folds(bars, kind, folds, test, initial), genome, execution, keys=("symbol", "fold")), ["symbol", "fold"])
+
+
+def combinatorial_metrics(bars: DataFrame, genome: Node, groups: int = 4, held: int = 2, execution: Execution | None = None) -> DataFrame:
+    """Metrics per symbol and split of combinatorial cross-validation: the test groups of a split are concatenated and backtested as one series."""
+    splits = list(itertools.combinations(range(groups), held))
+    size = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(Window.partitionBy("symbol")) / groups))
+    df = bars.withColumn("_g", F.least(F.floor(F.col("bar_idx") / size), F.lit(groups - 1)).cast("int"))
+    member = F.element_at(F.array(*[F.array(*[F.lit(i) for i, s in enumerate(splits) if g in s]) for g in range(groups)]), F.col("_g") + 1)
+    df = df.withColumn("split", F.explode(member)).drop("_g")
+    df = df.withColumn("bar_idx", F.row_number().over(Window.partitionBy("symbol", "split").orderBy("bar_idx")).cast("long") - 1)
+    return metrics(backtest(df, genome, execution, keys=("symbol", "split")), ["symbol", "split"])
+
+
+def gauntlet(bars: DataFrame, genome: Node, execution: Execution | None = None, train: float = 0.7, in_sample: float = 1.0, out_of_sample: float = 0.5) -> DataFrame:
+    """(symbol, in_sharpe, out_sharpe, out_drawdown, passed): the gates on both parts of a chronological split, indicators restarting in each."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
+    df = bars.withColumn("_cut", F.greatest(F.lit(1), F.floor(n * train))).withColumn("later", F.col("bar_idx") >= F.col("_cut"))
+    df = df.withColumn("bar_idx", F.when(F.col("later"), F.col("bar_idx") - F.col("_cut")).otherwise(F.col("bar_idx"))).drop("_cut")
+    m = metrics(backtest(df, genome, execution, keys=("symbol", "later")), ["symbol", "later"])
+    per = m.groupBy("symbol").agg(F.max(F.when(~F.col("later"), F.col("sharpe"))).alias("in_sharpe"), F.max(F.when(F.col("later"), F.col("sharpe"))).alias("out_sharpe"), F.max(F.when(F.col("later"), F.col("max_drawdown"))).alias("out_drawdown"))
+    return per.withColumn("passed", F.coalesce((F.col("in_sharpe") >= in_sample) & (F.col("out_sharpe") >= out_of_sample), F.lit(False)))

@@ -109,12 +109,44 @@ def replay(orders: DataFrame, prints: DataFrame, venue: Venue | None = None) ->
     return out.select("order_id", F.when(done, F.col("_fill")).otherwise(0.0).alias("quantity"), "price", F.when(done, fee).otherwise(0.0).alias("fee"), "status")
 
 
-def order_faults(orders: DataFrame, min_quantity: float = 0.0, max_quantity: float = 1e12, max_notional: float = 1e12) -> DataFrame:
-    """(order_id, reasons): the orders that break a rule, with the codes of all rules they break."""
-    q, p = F.col("quantity"), F.col("price")
-    codes = F.array(F.when(q.isNull() | (q <= 0), "quantity"), F.when(p.isNull() | (p <= 0), "price"), F.when(q < min_quantity, "min_quantity"), F.when(q > max_quantity, "max_quantity"), F.when(F.abs(q * p) > max_notional, "max_notional"))
-    out = orders.select("order_id", F.filter(codes, lambda x: x.isNotNull()).alias("reasons"))
-    return out.filter(F.size("reasons") > 0)
+def order_faults(min_size: float = 0.0) -> Column:
+    """The codes of the rules that an order (quantity, order_type, limit_price, stop_price, market_price) breaks."""
+    q, kind = F.col("quantity"), F.col("order_type")
+    codes = F.array(
+        F.when(F.coalesce(q, F.lit(0.0)) <= 0, "invalid_quantity"), F.when(F.coalesce(q, F.lit(0.0)) < min_size, "below_minimum_order_size"),
+        F.when((kind == "limit") & F.col("limit_price").isNull(), "limit_price_required"), F.when((kind == "stop") & F.col("stop_price").isNull(), "stop_price_required"),
+        F.when(F.coalesce("market_price", F.lit(0.0)) <= 0, "invalid_market_price"),
+    )
+    return F.filter(codes, lambda x: x.isNotNull())
+
+
+def executed(orders: DataFrame, min_size: float = 0.0, tick: float = 0.01) -> DataFrame:
+    """(order_id, status, filled_quantity, fill_price, reasons) of orders with side, order_type, quantity, limit_price, stop_price, market_price, liquidity.
+
+    Rejected with the codes of the broken rules; pending while a limit is not reached; else filled up to the liquidity at the
+    limit or market price on the tick.
+    """
+    df = orders.withColumn("reasons", order_faults(min_size))
+    limited = (F.col("order_type") == "limit") & F.col("limit_price").isNotNull()
+    buy = F.lower("side") == "buy"
+    waits = limited & F.when(buy, F.col("market_price") > F.col("limit_price") + 1e-9).otherwise(F.col("market_price") < F.col("limit_price") - 1e-9)
+    fill = F.least(F.abs("quantity"), F.greatest(F.lit(0.0), F.coalesce("liquidity", F.lit(0.0))))
+    price = F.when(limited & (F.col("limit_price") != 0), F.col("limit_price")).otherwise(F.col("market_price"))
+    status = F.when(F.size("reasons") > 0, "rejected").when(waits, "pending").when(fill == F.abs("quantity"), "filled").otherwise("partial")
+    df = df.withColumn("status", status)
+    done = F.col("status").isin("filled", "partial")
+    at = F.round(F.rint(price / tick) * tick, 10) if tick else price
+    return df.select("order_id", "status", F.when(done, fill).otherwise(0.0).alias("filled_quantity"), F.when(done, at).alias("fill_price"), F.array_join("reasons", ",").alias("reasons"))
+
+
+def optimized_weights(scores: DataFrame, keys: list[str], ident: str, score: str, volatility: str | None = None, max_gross: float = 1.0, max_position: float = 0.1) -> DataFrame:
+    """(keys, ident, weight): scores over volatility as long and short halves of max_gross, each capped and not spread again."""
+    v = F.greatest(F.coalesce(volatility, F.lit(1.0)), F.lit(1e-12)) if volatility else F.lit(1.0)
+    df = scores.filter(F.col(score).isNotNull()).select(*keys, ident, (F.col(score) / v).alias("_v"))
+    part = Window.partitionBy(*keys)
+    long, short = F.sum(F.when(F.col("_v") > 0, F.col("_v"))).over(part), F.sum(F.when(F.col("_v") < 0, -F.col("_v"))).over(part)
+    w = F.when(F.col("_v") > 0, F.least(F.lit(max_position), F.try_divide(F.col("_v"), long) * (max_gross / 2)))
+    return df.select(*keys, ident, w.when(F.col("_v") < 0, F.greatest(F.lit(-max_position), F.try_divide(F.col("_v"), short) * (max_gross / 2))).otherwise(0.0).alias("weight"))
 
 
 def risk_clamped(quantity: Column, equity: Column, price: Column, fraction: float = 1.0, leverage: float = 1.0, most: float = 1e9) -> Column:

@@ -33,10 +33,11 @@ def regular_grid(readings: DataFrame, specs: DataFrame, key: str = "symbol", ts:
     max_fill empty periods); ``marked`` (more of them: value null); ``closed`` (an empty period that starts on a Saturday or
     Sunday with session 'weekday'); ``long_gap`` (one row for all empty periods between readings more than max_gap_s apart,
     their number in run_periods, else 1). A long gap ends a segment, and no slope reaches across it.
-    Keys that specs lacks, or whose step is null or not positive, have no period length and so no grid. Null keys, times and
+    Keys that specs lacks, or whose step is null or not positive, have no period length and so no grid; of several steps the least counts. Null keys, times and
     values are no readings; empty tables give no rows; further columns are ignored.
     """  # noqa: E501
-    steps = specs.select(F.col(key).alias("_k"), F.col(step).cast("long").alias("_step"), F.col(session).alias("_session")).filter("_k is not null and _step > 0").dropDuplicates(["_k"])
+    steps = specs.select(F.col(key).alias("_k"), F.col(step).cast("long").alias("_step"), F.col(session).alias("_session")).filter("_k is not null and _step > 0")
+    steps = steps.groupBy("_k").agg(F.min("_step").alias("_step"), F.min("_session").alias("_session"))
     base = readings.select(F.col(key).alias("_k"), micros(ts).alias("_us"), F.col(tie).alias("_tie"), F.col(value).cast("double").alias("_y"))
     base = base.filter("_k is not null and _us is not null and _y is not null and not isnan(_y) and abs(_y) < double('Infinity')").join(broadcast_if_small(steps), "_k")
     base = base.withColumn("_p", F.expr("(_us - pmod(_us, _step * 1000000)) div (_step * 1000000)"))

@@ -262,7 +262,8 @@ def date_orders(df: DataFrame, source: str, text: str) -> DataFrame:
 def normalise(df: DataFrame, clocks: DataFrame, text: str, out: str, source: str = "source", zone: str = "tz_name") -> DataFrame:
     """df with ``out``, the instant of each text (see to_instant), by the clock of its source in ``clocks`` and the date order
     its texts show. Sources that clocks lacks have no clock; df keeps all its rows and columns."""
-    known = clocks.select(F.col(source).alias("_tf_source"), F.col(zone).alias("_tf_zone")).filter("_tf_source is not null").dropDuplicates(["_tf_source"])
+    known = clocks.select(F.col(source).alias("_tf_source"), F.col(zone).alias("_tf_zone")).filter("_tf_source is not null")
+    known = known.groupBy("_tf_source").agg(F.min("_tf_zone").alias("_tf_zone"))
     orders = date_orders(df, source, text).select(F.col(source).alias("_tf_source"), F.col("date_order").alias("_tf_order"))
     about = known.join(orders, "_tf_source", "full")
     joined = df.join(broadcast_if_small(about, 10_000), df[source] == about["_tf_source"], "left")

@@ -87,7 +87,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
         "member": ending(versions(read(spark, d, "memberships"), "symbol", "membership_id", "included_at", "available_at", "excluded_at")),
         "bar": versions(read(spark, d, "feed"), "symbol", "row_id", "ts", "available_at"),
     })
-    roots = instruments.filter("symbol is not null and root_code is not null").select("symbol", "root_code").dropDuplicates(["symbol"])
+    roots = instruments.filter("symbol is not null and root_code is not null").groupBy("symbol").agg(F.min("root_code").alias("root_code"))
     rooted = fills.select("fill_id", "symbol", "ts").join(broadcast_if_small(roots), "symbol")
     by_root = as_of(rooted, "fill_id", F.col("root_code"), "ts", {"roll": versions(read(spark, d, "futures_rolls"), "root_code", "roll_id", "effective_at", "available_at")})
     return by_symbol.unionByName(by_root)
@@ -113,7 +113,47 @@ def _known(kind: str, ident: str, t: str, source: str, key: str = "symbol", fill
     return "(WITH " + _KNOWN.format(kind=kind, id=ident, t=t, table=source, key=key, fills=fills, extra=extra).strip() + ")"
 
 
+_PRICES = ("open_px", "high_px", "low_px")
+
+
+def _jump_sql(f: str) -> str:
+    """CTEs that end in j_<f>: (symbol, ts) of the bars in a run of one to three that is off both the bar before and the bar behind it."""
+    at = lambda k: f"v{k}" if k >= 0 else "vb"
+    runs = []
+    for n in (1, 2, 3):
+        up = " AND ".join(f"{at(k)} / vb - 1 > 40 * m AND {at(k)} / {at(n)} - 1 > 40 * m" for k in range(n))
+        down = " AND ".join(f"{at(k)} / vb - 1 < -40 * m AND {at(k)} / {at(n)} - 1 < -40 * m" for k in range(n))
+        runs.append(f"(({up}) OR ({down})) AND abs(vb / {at(n)} - 1) <= 40 * m AS r{n}")
+    hit = " OR ".join(f"coalesce(lag(r{n}, {k}) OVER w, false)" if k else f"coalesce(r{n}, false)" for n in (1, 2, 3) for k in range(n))
+    return f"""v_{f} AS (SELECT symbol, ts, {f} AS v FROM bars WHERE {f} IS NOT NULL AND isfinite({f}) AND {f} > 0),
+c_{f} AS (SELECT *, lag(v) OVER w AS vb, v AS v0, lead(v, 1) OVER w AS v1, lead(v, 2) OVER w AS v2, lead(v, 3) OVER w AS v3 FROM v_{f} WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+m_{f} AS (SELECT symbol, median(abs(v / vb - 1)) AS m FROM c_{f} GROUP BY 1), r_{f} AS (SELECT symbol, ts, {", ".join(runs)} FROM c_{f} JOIN m_{f} USING (symbol)),
+j_{f} AS (SELECT symbol, ts FROM (SELECT symbol, ts, {hit} AS hit FROM r_{f} WINDOW w AS (PARTITION BY symbol ORDER BY ts)) WHERE hit)"""
+
+
+def _stuck_sql(f: str) -> str:
+    return f"""s1_{f} AS (SELECT symbol, ts, {f} AS v, CASE WHEN {f} = lag({f}) OVER w THEN 0 ELSE 1 END AS new FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+s2_{f} AS (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY ts) AS run FROM s1_{f}),
+s_{f} AS (SELECT symbol, ts FROM (SELECT *, count(*) OVER (PARTITION BY symbol, run) AS n FROM s2_{f}) WHERE n >= 8 AND v IS NOT NULL AND NOT isnan(v))"""
+
+
+_FIELDS = (*_PRICES, "volume")
+_SPIKES = f"""
+WITH f AS (SELECT row_id, symbol, ts, {", ".join(_FIELDS)} FROM feed WHERE symbol IS NOT NULL AND ts IS NOT NULL),
+bars AS (SELECT symbol, ts, {", ".join(f"arg_min({c}, row_id) AS {c}" for c in _FIELDS)} FROM f GROUP BY symbol, ts),
+{", ".join(_jump_sql(c) for c in _PRICES)}, {", ".join(_stuck_sql(c) for c in _FIELDS)},
+mv AS (SELECT symbol, median(volume) AS m FROM bars WHERE isfinite(volume) AND volume >= 0 GROUP BY 1)
+""" + " UNION ".join([
+    *[f"SELECT row_id, '{c}' AS field_name FROM f WHERE {c} IS NOT NULL AND (NOT isfinite({c}) OR {c} <= 0)" for c in _PRICES],
+    "SELECT row_id, 'volume' FROM f WHERE volume IS NOT NULL AND (NOT isfinite(volume) OR volume < 0)",
+    *[f"SELECT row_id, '{c}' FROM f WHERE high_px < low_px AND NOT isnan(high_px) AND NOT isnan(low_px)" for c in ("high_px", "low_px")],
+    *[f"SELECT row_id, '{c}' FROM f JOIN s_{c} USING (symbol, ts) WHERE {c} IS NOT NULL" for c in _FIELDS],
+    *[f"SELECT row_id, '{c}' FROM f JOIN j_{c} USING (symbol, ts) WHERE {c} IS NOT NULL AND isfinite({c}) AND {c} > 0" for c in _PRICES],
+    "SELECT row_id, 'volume' FROM f JOIN mv USING (symbol) WHERE isfinite(volume) AND volume > 40 * m",
+])
+
 ORACLE = {
+    "p4_found": _SPIKES,
     "p3_found": """
 WITH r AS (SELECT f.symbol, i.bar_seconds AS b, i.session_kind AS sk, epoch_us(f.ts) AS us, epoch_us(f.ts) // (CAST(i.bar_seconds AS BIGINT) * 1000000) AS k
            FROM feed f JOIN instruments i ON i.symbol = f.symbol WHERE f.ts IS NOT NULL AND isfinite(f.close_px)),

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from tickforge.functions.compiler import evaluate
 from tickforge.functions.expr import Primitive as P
 from tickforge.operators import backtest as bt
-from tickforge.operators import books, factor, pareto, portfolio, research
+from tickforge.operators import books, factor, pareto, pit, portfolio, research
 from tickforge.operators.nested import flatten_records
 from tickforge.plans.engine import FLAGSHIP, rounded
-from tickforge.plans.engine_sql import BARS, FIXED, ROOT, curve_cte, signal_cte
+from tickforge.plans.engine_sql import BARS, FIXED, ORACLE as ENGINE, ROOT, curve_cte, metrics_sql, signal_cte
 from tickforge.session import read
 from tickforge.sources.bars import event_bars
 
@@ -200,7 +200,56 @@ def stress_test(spark: SparkSession, d: str) -> DataFrame:
     return rounded(books.stress(bt.backtest(b, FLAGSHIP), b))
 
 
+def combinatorial_validation(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(bt.combinatorial_metrics(event_bars(spark, d), FLAGSHIP))
+
+
+def walk_forward_mean(spark: SparkSession, d: str) -> DataFrame:
+    folds = bt.fold_metrics(event_bars(spark, d), FLAGSHIP, "walk_forward")
+    return rounded(folds.groupBy("symbol").agg(*[F.avg(c).alias(c) for c in ("sharpe", "total_return", "max_drawdown", "turnover", "costs_paid")]), 5)
+
+
+def gauntlet(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(bt.gauntlet(event_bars(spark, d), FLAGSHIP))
+
+
+def factor_horizons(spark: SparkSession, d: str) -> DataFrame:
+    base, out = evaluate(event_bars(spark, d), {"signal": P("ROC", 5)}), None
+    for h in (1, 5, 10):
+        one = factor.rank_ic(factor.forward_returns(base, h), "signal", "fwd").select("symbol", F.lit(h).alias("horizon"), "mean_ic", "positive_rate")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+def optimized_weights(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(books.optimized_weights(_finite(spark, d), ["run_id", "generation"], "ingest_id", "test_sharpe", "max_drawdown"), 8)
+
+
+def order_execution(spark: SparkSession, d: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    price = F.floor(F.col("o_totalprice")) / 128
+    orders = read(spark, d, "orders").select(
+        k.alias("order_id"), F.when(c % 2 == 0, "buy").otherwise("sell").alias("side"), F.when(c % 3 == 0, "market").when(c % 3 == 1, "limit").otherwise("stop").alias("order_type"), ((k % 7) - 1).cast("double").alias("quantity"),
+        F.when(k % 5 != 0, price * (1 + (k % 3 - 1) / 64)).alias("limit_price"), F.when(k % 4 != 0, price).alias("stop_price"), price.alias("market_price"), (c % 5).cast("double").alias("liquidity"),
+    )
+    return rounded(books.executed(orders, min_size=2.0, tick=0.25))
+
+
+def mark_to_market(spark: SparkSession, d: str) -> DataFrame:
+    fills = read(spark, d, "fills").filter("symbol is not null").select("symbol", F.when(F.col("side") == "sell", -F.col("quantity")).otherwise(F.col("quantity")).alias("quantity"))
+    feed = read(spark, d, "feed").filter("symbol is not null and ts is not null and close_px is not null and not isnan(close_px)")
+    last = feed.groupBy("symbol").agg(F.max_by("close_px", F.struct("ts", "row_id")).alias("price"))
+    return rounded(pit.marked(fills.groupBy("symbol").agg(F.sum("quantity").alias("quantity")), last, 1_000_000.0), 3)
+
+
+def risk_limits(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("equity"))
+    rows = rows.withColumns({"price": 1.0 + F.col("c_custkey") % 90, "wanted": (F.col("c_custkey") % 401 - 200).cast("double"), "margin": 500.0 + F.col("c_custkey") % 7000})
+    return rounded(rows.select("c_custkey", books.risk_clamped(F.col("wanted"), F.col("equity"), F.col("price"), 0.5, 2.0).alias("units"), books.liquidated(F.col("equity"), F.col("margin")).alias("liquidated")))
+
+
 QUERIES = {f.__name__: f for f in (
+    combinatorial_validation, walk_forward_mean, gauntlet, factor_horizons, optimized_weights, order_execution, mark_to_market, risk_limits,
     forward_returns, rank_ic, quantile_spread, rank_autocorrelation, neutralized, orthogonalized, correlation_matrix, novelty, monte_carlo, bootstrap_interval, reality_check, deflated_sharpe,
     overfit_proxy, adjusted_p, regime_labels, best_per_strategy, top_strategies, population, robustness_scores, pareto_front, pareto_layers, crowding_distance, survivors, ancestors,
     ensemble_weights, inverse_variance_weights, cpcv, synthetic_book, market_fills, limit_fills, venue_replay, stress_test,
@@ -253,7 +302,35 @@ bk AS (SELECT symbol, i, level, volume, close - (level + 1) * CASE WHEN close -
  volume * exp(-5e-1 * level) / (SELECT t FROM wt) AS q, i % 2 = 0 AS buy, volume * (1e-1 + 3e-1 * (i % 4)) AS want, CASE WHEN i % 2 = 0 THEN close + 7e-1 * (high - close) ELSE close - 7e-1 * (close - low) END AS lim FROM b, lv),
 o AS (SELECT *, CASE WHEN buy THEN ask ELSE bid END AS px, coalesce(sum(q) OVER (PARTITION BY symbol, i ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS before FROM bk)"""
 
+def _part_sql(cte: str, part: str, keys: str) -> str:
+    return f"WITH {BARS}, {cte}, {signal_cte(part=part, source='fo')}, {curve_cte('sig', part)}, {metrics_sql('cur', part, keys)}"
+
+
+_SPLITS = """g AS (SELECT unnest(range(4)) AS g), sp AS (SELECT a.g AS x, b.g AS y, row_number() OVER (ORDER BY a.g, b.g) - 1 AS split FROM g a, g b WHERE a.g < b.g), n AS (SELECT symbol, greatest(1, count(*) // 4) AS t FROM b GROUP BY 1),
+fo AS (SELECT b.* EXCLUDE (i), split, row_number() OVER (PARTITION BY b.symbol, split ORDER BY b.i) - 1 AS i FROM b JOIN n USING (symbol) JOIN sp ON least(b.i // n.t, 3) IN (sp.x, sp.y))"""
+_LATER = """n AS (SELECT symbol, greatest(1, CAST(floor(count(*) * 7e-1) AS BIGINT)) AS t FROM b GROUP BY 1),
+fo AS (SELECT b.* EXCLUDE (i), b.i >= n.t AS half, CASE WHEN b.i >= n.t THEN b.i - n.t ELSE b.i END AS i FROM b JOIN n USING (symbol))"""
+_HORIZON = """(WITH {bars}, {sig}, p AS (SELECT symbol, i, signal, lead(close, {h}) OVER {o} / close - 1 AS fwd FROM s), c AS (SELECT *, row_number() OVER {o} - 1 AS j, count(*) OVER (PARTITION BY symbol) AS n FROM p WHERE signal IS NOT NULL AND fwd IS NOT NULL),
+u AS (SELECT *, unnest(CASE WHEN n < 20 THEN [0] ELSE list_filter(range(0, CAST((n - 20) // 10 + 1 AS BIGINT)), lambda q: q * 10 <= j AND j < q * 10 + 20) END) AS ch FROM c)
+SELECT symbol, {h} AS horizon, round(avg(ic), 6) + 0e0 AS mean_ic, round(avg(CASE WHEN ic > 0 THEN 1e0 ELSE 0e0 END), 6) + 0e0 AS positive_rate FROM {ic} GROUP BY symbol)"""
+
 ORACLE = {
+    "combinatorial_validation": _part_sql(_SPLITS, "symbol, split", "symbol, CAST(split AS INTEGER) AS split"),
+    "walk_forward_mean": "WITH f AS (" + ENGINE["walk_forward"] + ") SELECT symbol, " + ", ".join(f"round(avg({c}), 5) + 0e0 AS {c}" for c in ("sharpe", "total_return", "max_drawdown", "turnover", "costs_paid")) + " FROM f GROUP BY symbol",
+    "gauntlet": "WITH f AS (" + _part_sql(_LATER, "symbol, half", "symbol, half") + "), p AS (SELECT symbol, max(sharpe) FILTER (NOT half) AS in_sharpe, max(sharpe) FILTER (half) AS out_sharpe, max(max_drawdown) FILTER (half) AS out_drawdown FROM f GROUP BY 1) SELECT *, in_sharpe >= 1 AND out_sharpe >= 5e-1 AS passed FROM p",
+    "factor_horizons": " UNION ALL ".join(_HORIZON.format(bars=BARS.strip(), sig=_SIG, h=h, o=_O, ic=_ic("u", "symbol, ch", "signal", "fwd")) for h in (1, 5, 10)),
+    "optimized_weights": f"""WITH {_FIN}, v AS (SELECT run_id, generation, ingest_id, test_sharpe / greatest(coalesce(max_drawdown, 1), 1e-12) AS v FROM f)
+SELECT run_id, generation, ingest_id, round(CASE WHEN v > 0 THEN least(1e-1, v / (sum(v) FILTER (v > 0) OVER p) * 5e-1) WHEN v < 0 THEN greatest(-1e-1, v / (sum(-v) FILTER (v < 0) OVER p) * 5e-1) ELSE 0 END, 8) + 0e0 AS weight FROM v WINDOW p AS (PARTITION BY run_id, generation)""",
+    "order_execution": """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, floor(o_totalprice) / 128 AS m FROM orders),
+x AS (SELECT k, c % 2 = 0 AS buy, c % 3 AS kind, CAST(k % 7 - 1 AS DOUBLE) AS q, CASE WHEN k % 5 <> 0 THEN m * (1 + (k % 3 - 1) / 64e0) END AS lim, CASE WHEN k % 4 <> 0 THEN m END AS stop, m, CAST(c % 5 AS DOUBLE) AS liq FROM o),
+y AS (SELECT *, concat_ws(',', CASE WHEN q <= 0 THEN 'invalid_quantity' END, CASE WHEN q < 2 THEN 'below_minimum_order_size' END, CASE WHEN kind = 1 AND lim IS NULL THEN 'limit_price_required' END, CASE WHEN kind = 2 AND stop IS NULL THEN 'stop_price_required' END, CASE WHEN m <= 0 THEN 'invalid_market_price' END) AS reasons, least(abs(q), liq) AS fill FROM x),
+z AS (SELECT *, CASE WHEN reasons <> '' THEN 'rejected' WHEN kind = 1 AND CASE WHEN buy THEN m > lim + 1e-9 ELSE m < lim - 1e-9 END THEN 'pending' WHEN fill = abs(q) THEN 'filled' ELSE 'partial' END AS status FROM y)
+SELECT k AS order_id, status, CASE WHEN status IN ('filled', 'partial') THEN fill ELSE 0 END AS filled_quantity, CASE WHEN status IN ('filled', 'partial') THEN round_even(CASE WHEN kind = 1 THEN lim ELSE m END * 4, 0) / 4 END AS fill_price, reasons FROM z""",
+    "mark_to_market": """WITH p AS (SELECT symbol, sum(CASE WHEN side = 'sell' THEN -quantity ELSE quantity END) AS q FROM fills WHERE symbol IS NOT NULL GROUP BY 1),
+l AS (SELECT symbol, close_px AS px FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, row_id DESC) AS r FROM feed WHERE symbol IS NOT NULL AND ts IS NOT NULL AND close_px IS NOT NULL AND NOT isnan(close_px)) WHERE r = 1)
+SELECT round(1e6 + sum(q * px), 3) + 0e0 AS equity FROM p JOIN l USING (symbol)""",
+    "risk_limits": """WITH r AS (SELECT c_custkey, c_acctbal AS e, CAST(1 + c_custkey % 90 AS DOUBLE) AS p, CAST(c_custkey % 401 - 200 AS DOUBLE) AS w, CAST(500 + c_custkey % 7000 AS DOUBLE) AS m FROM customer)
+SELECT c_custkey, round(CASE WHEN e <= 0 THEN 0 ELSE greatest(-least(e / p, 1e9), least(least(e / p, 1e9), w)) END, 6) + 0e0 AS units, e <= 0 OR e / m < 5e-1 AS liquidated FROM r""",
     "forward_returns": f"WITH {BARS}, {_SIG} SELECT symbol, i AS bar_idx, round(signal, 6) + 0e0 AS signal, round(lead(close, 5) OVER {_O} / close - 1, 6) + 0e0 AS fwd FROM s",
     "rank_ic": f"""WITH {_PAIRS}, u AS (SELECT *, unnest(CASE WHEN n < 20 THEN [0] ELSE list_filter(range(0, CAST((n - 20) // 10 + 1 AS BIGINT)), lambda q: q * 10 <= j AND j < q * 10 + 20) END) AS ch FROM c),
 g AS (SELECT symbol, count(*) AS chunks, avg(ic) AS m, coalesce(stddev_samp(ic), 0e0) AS sd, avg(CASE WHEN ic > 0 THEN 1e0 ELSE 0e0 END) AS pos FROM {_ic('u', 'symbol, ch', 'signal', 'fwd')} GROUP BY symbol)

@@ -6,16 +6,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickforge.session import micros, read
+from tickforge.operators.shards import TARGET_ROWS, assign_shards, carry
+from tickforge.session import broadcast_if_small, materialize, micros, read
 
 REQUIRED = ("timestamp", "symbol", "open", "high", "low", "close", "volume")
 ALTERNATIVE = ("funding_rate", "imbalance", "sentiment", "options_skew")
 RAW = T.StructType([T.StructField(c, T.StringType()) for c in (*REQUIRED, *ALTERNATIVE)])
 
 
-def numbered(bars: DataFrame, order: str = "bucket") -> DataFrame:
-    """bars with bar_idx, the 0-based number of the bar of its symbol in time."""
-    return bars.withColumn("bar_idx", F.row_number().over(Window.partitionBy("symbol").orderBy(order)).cast("long") - 1)
+def numbered(bars: DataFrame, order: str = "bucket", target_rows: int = TARGET_ROWS) -> DataFrame:
+    """bars with bar_idx, the 0-based number of the bar of its symbol in time; long series are numbered in shards if order is a BIGINT."""
+    split = False
+    if bars.schema[order].dataType.simpleString() == "bigint":
+        bars, split = assign_shards(bars, ["symbol"], order, target_rows)
+    number = F.row_number().over(Window.partitionBy("symbol", *["_shard"] * split).orderBy(order)).cast("long") - 1
+    if split:
+        ahead = carry(bars, ["symbol"], {"_ahead": F.count(F.lit(1))}, F.sum)
+        bars, number = bars.join(broadcast_if_small(ahead, 10_000), ["symbol", "_shard"], "left"), number + F.coalesce("_ahead", F.lit(0))
+    return bars.withColumn("bar_idx", number).drop("_shard", "_ahead")
 
 
 def event_bars(spark: SparkSession, d: str) -> DataFrame:
@@ -98,8 +106,6 @@ def chronological_split(rows: DataFrame, ts: str, arrival: str, fraction: float
     cut = max(1, int(n * (1 - fraction)))
     by = [F.col(ts).asc_nulls_first(), F.col(arrival).asc()]
     ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by)
-    from tickforge.session import materialize
-
     kept = materialize(ranged.select(arrival, ts, F.spark_partition_id().alias("_pid")), "split")
     sizes = {r["_pid"]: r["n"] for r in kept.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
     before = 0

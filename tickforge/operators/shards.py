@@ -1,7 +1,7 @@
 """Splitting hot keys by an order column, without changing what a per-key scan computes.
 
 A key with more than ``target_rows`` rows is cut into shards along its order column (a histogram of
-``BUCKETS`` equal steps per hot key gives the cuts). A scan then runs per (key, shard); what it needs from
+equal steps per hot key gives the cuts). A scan then runs per (key, shard); what it needs from
 the neighbouring shards comes as halo rows (``with_halo``) or as a carried aggregate (``carry``).
 Cold keys have the single shard 0 and pay nothing but one counting pass.
 """
@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from tickforge.session import broadcast_if_small
 
-TARGET_ROWS = 500_000
-BUCKETS = 4096
-#: Hot keys up to which their list is kept on the driver and broadcast; beyond it the joins are shuffled.
-HOT_KEYS = 64
+TARGET_ROWS = 200_000
+#: Steps of the histogram of a hot key: per shard that its rows make up, but at least and at most so many.
+STEPS, LEAST_STEPS, MOST_STEPS = 64, 1024, 65_536
+#: Hot keys, and steps of all of them, up to which their tables are broadcast; beyond it the joins are shuffled.
+HOT_KEYS, BROADCAST_STEPS = 64, 200_000
 
 
 def assign_shards(df: DataFrame, keys: list[str], order: str, target_rows: int = TARGET_ROWS) -> tuple[DataFrame, bool]:
@@ -28,9 +29,10 @@ def assign_shards(df: DataFrame, keys: list[str], order: str, target_rows: int =
     listed = counted.limit(HOT_KEYS + 1).collect()
     if not listed:
         return df.withColumn("_shard", F.lit(0)), False
-    few = len(listed) <= HOT_KEYS
+    steps = [min(MOST_STEPS, max(LEAST_STEPS, STEPS * r["_sh_n"] // target_rows)) for r in listed]
+    few = len(listed) <= HOT_KEYS and sum(steps) <= BROADCAST_STEPS
     hot = df.sparkSession.createDataFrame(listed, counted.schema) if few else counted
-    hot = hot.select(*keys, "_sh_lo", F.expr(f"(_sh_hi - _sh_lo) div {BUCKETS} + 1").alias("_sh_step"))
+    hot = hot.select(*keys, "_sh_lo", F.expr(f"(_sh_hi - _sh_lo) div least({MOST_STEPS}, greatest({LEAST_STEPS}, {STEPS} * _sh_n div {target_rows})) + 1").alias("_sh_step"))
     hint = F.broadcast if few else (lambda x: x)
     bucket = F.expr(f"({order} - _sh_lo) div _sh_step")
     hist = df.select(*keys, order).join(hint(hot), keys).groupBy(*keys, bucket.alias("_sh_bucket")).agg(F.count(F.lit(1)).alias("_sh_n"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.operators.shards import TARGET_ROWS, assign_shards, carry
-from tickforge.session import broadcast_if_small, micros
+from tickforge.session import broadcast_if_small, materialize, micros
 
 
 def versions(df: DataFrame, key: str, ident: str, time: str, known: str, until: str | None = None) -> DataFrame:
@@ -106,7 +106,8 @@ def as_of(events: DataFrame, event_id: str, key: Column, ts: str, kinds: dict[st
     rows = marks.withColumns(empty | {"_kind": F.lit(len(kinds))})
     for i, v in enumerate(kinds.values()):
         if any(f.name == "_until" for f in v.schema) and v.schema["_until"].metadata.get("ends"):
-            v = _segments(v, target_rows).select("_k", "_at", F.col("_at").alias("_t"), F.lit(0).cast("long").alias("_known"), "_id")
+            v = materialize(_segments(v, target_rows), "segments")  # small, and read by each pass below
+            v = v.select("_k", "_at", F.col("_at").alias("_t"), F.lit(0).cast("long").alias("_known"), "_id")
         v = v.select("_k", "_at", "_t", "_known", F.col("_id").cast("long").alias("_id"))
         rows = rows.unionByName(v.withColumns({"_event": F.lit(None).cast(marks.schema["_event"].dataType), "_kind": F.lit(i)}))
     rows, split = assign_shards(rows, ["_k"], "_at", target_rows)

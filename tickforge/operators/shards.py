@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tickforge.session import broadcast_if_small
 
-TARGET_ROWS = 200_000
+TARGET_ROWS = 1_000_000
 #: Steps of the histogram of a hot key: per shard that its rows make up, but at least and at most so many.
 STEPS, LEAST_STEPS, MOST_STEPS = 64, 1024, 65_536
 #: Hot keys, and steps of all of them, up to which their tables are broadcast; beyond it the joins are shuffled.

@@ -7,11 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.operators.shards import TARGET_ROWS, assign_shards, with_halo
+from tickforge.operators.shards import assign_shards, with_halo
 from tickforge.session import micros
 
 #: Rows on either side of a shard that its checks may need: a stuck run reaches MIN_STUCK - 1 bars, repeated bars included.
 HALO_ROWS = 64
+#: Rows of a key that one Python group may hold.
+GROUP_ROWS = 200_000
 #: Values on either side that give the level around a value.
 NEAR = 5
 #: Size parameter of the quantile sketches: about 0.7 % of error in rank.
@@ -124,7 +126,7 @@ def _checker(prices: list[str], volume: str, low: str, high: str, factor: float,
 
 def flag_implausible(df: DataFrame, key: str = "symbol", ts: str = "ts", row_id: str = "row_id", prices: tuple[str, ...] = ("open_px", "high_px", "low_px"),
                      volume: str = "volume", low: str = "low_px", high: str = "high_px", factor: float = 40.0, stuck: int = 8, most: int = 3,
-                     fence: float = 12.0, target_rows: int = TARGET_ROWS) -> DataFrame:
+                     fence: float = 12.0, target_rows: int = GROUP_ROWS) -> DataFrame:
     """(row_id, field_name, reason): one row per reading and reason.
 
     Reasons: ``impossible`` (NaN, infinite, a price not above 0, a negative volume), ``crossed`` (high below low; both fields),

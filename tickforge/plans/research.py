@@ -135,7 +135,7 @@ def crowding_distance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def survivors(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(pareto.survivors(_candidates(spark, d).filter("test_sharpe > 0"), ["run_id"], "ingest_id", ["test_sharpe"], ["max_drawdown", "complexity"], 10))
+    return rounded(pareto.survivors(_candidates(spark, d), ["run_id"], "ingest_id", ["test_sharpe"], ["max_drawdown", "complexity"], 10))
 
 
 def ancestors(spark: SparkSession, d: str) -> DataFrame:

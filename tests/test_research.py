@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from tickforge.operators import pareto
 from tickforge.plans import research
 
 
@@ -56,3 +57,16 @@ def test_survivors_are_chosen_from_all_candidates(spark, strategies):
         assert mine == set(chosen([r for r in rows if r[0] == run], 10))
     sharpe = {r[1]: r[2] for r in rows}
     assert any(sharpe[r["ingest_id"]] <= 0 for r in got)
+
+
+def test_fronts_go_on_until_nothing_remains(spark, strategies):
+    d, rows = strategies
+    got = {r["ingest_id"]: (r["run_id"], r["front"]) for r in research.pareto_fronts(spark, d).collect()}
+    assert got == {i: (run, k) for run in ("a", "b") for i, k in layers([r for r in rows if r[0] == run]).items()}
+    assert max(k for _, k in got.values()) > 3
+    chain = spark.createDataFrame([("g", i, float(i), 1.0) for i in range(120)] + [("g", 500, 119.0, 1.0)], "k string, id long, a double, b double")
+    deep = {r["id"]: r["front"] for r in pareto.fronts(chain, ["k"], "id", ["a"], ["b"]).collect()}
+    assert deep == {i: 120 - i for i in range(120)} | {500: 1}
+    assert pareto.survivors(chain, ["k"], "id", ["a"], ["b"], 70).count() == 70
+    wide = spark.createDataFrame([(i, float(i // 2), float(i % 2), 0.0, 0.0) for i in range(8)], "id long, a double, b double, c double, d double")
+    assert {r["id"]: r["front"] for r in pareto.fronts(wide, [], "id", ["a"], ["b", "c", "d"]).collect()} == {6: 1, 7: 2, 4: 2, 5: 3, 2: 3, 3: 4, 0: 4, 1: 5}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.session import materialize
 
 def skyline(df: DataFrame, keys: list[str], ident: str, maximise: list[str], minimise: list[str]) -> DataFrame:
     """(keys, ident): the members no other dominates (at least as good everywhere, better somewhere), without comparing all pairs.
@@ -44,25 +45,72 @@ def _undominated(points: DataFrame, keys: list[str], names: list[str]) -> DataFr
     return points.groupBy(*keys).applyInPandas(run, schema) if keys else points.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, schema + ", _all int").drop("_all")
 
 
-def fronts(df: DataFrame, keys: list[str], ident: str, maximise: list[str], minimise: list[str], most: int = 50, enough: int | None = None) -> DataFrame:
-    """(keys, ident, front) for the first ``most`` fronts: front 1 is the skyline, front k that of what is left.
+def fronts(df: DataFrame, keys: list[str], ident: str, maximise: list[str], minimise: list[str], most: int | None = None, enough: int | None = None) -> DataFrame:
+    """(keys, ident, front): front 1 is the skyline, front k that of what is left, until nothing remains.
+
+    Equal members are folded first; then each group is sorted in one pass of one task, in memory that follows its distinct members.
+    most: only the first so many fronts; enough: only the fronts that begin before a group has so many members.
+    Members with a missing objective take no part.
+    """
+    goals = [*[F.col(c) for c in maximise], *[-F.col(c) for c in minimise]]
+    names = [f"_g{i}" for i in range(len(goals))]
+    df = df.select(*keys, ident, *[g.cast("double").alias(n) for g, n in zip(goals, names, strict=True)]).dropna(subset=names)
+    points = df.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
+    layered = _layered(points, keys, names, most, enough)
+    return df.join(layered, [*keys, *names]).select(*keys, ident, "front")
+
+
+def _layered(points: DataFrame, keys: list[str], names: list[str], most: int | None, enough: int | None) -> DataFrame:
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[names].to_numpy(float)
+        order = np.lexsort(tuple(-x[:, i] for i in range(x.shape[1] - 1, -1, -1)))
+        front = np.zeros(len(x), dtype=np.int32)
+        front[order] = front_numbers(x[order])
+        pdf = pdf.assign(front=front)
+        if enough is not None:
+            members = np.bincount(front, weights=pdf["_n"].to_numpy())
+            pdf = pdf[(np.cumsum(members) - members)[front] < enough]
+        return (pdf if most is None else pdf[pdf["front"] <= most]).drop(columns="_n")
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.drop("_n").schema.fields) + ", front int"
+    return points.groupBy(*keys).applyInPandas(run, schema) if keys else points.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: run(pdf.drop(columns="_all")), schema)
+
+
+def front_numbers(x) -> list[int]:
+    """The front of each row of x (more is better), whose rows differ and fall lexicographically.
 
-    enough: a group is done once its fronts have so many members.
+    Only earlier rows dominate a row, and a row that front k dominates is dominated by all fronts ahead of k, so its front is found by bisection.
     """
-    rest, found = materialize(df.select(*keys, ident, *maximise, *minimise).dropna(subset=[*maximise, *minimise]), "front-rest"), None
-    for k in range(1, most + 1):
-        layer = materialize(skyline(rest, keys, ident, maximise, minimise).withColumn("front", F.lit(k)), "front")
-        found = layer if found is None else found.unionByName(layer)
-        if k == most:
-            break
-        rest = rest.join(layer.select(*keys, ident), [*keys, ident], "left_anti")
-        if enough:
-            done = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= enough).select(*keys)
-            rest = rest.join(done, keys, "left_anti")
-        rest = materialize(rest, "front-rest")
-        if rest.isEmpty():
-            break
-    return found
+    wide, out = x.shape[1] > 3, []
+    steps: list[tuple[list, list]] = []  # per front the rows that no other covers beyond the first goal: falling second, rising third goal
+    for row in x.tolist():
+        second, third = (*row[1:3], 0.0, 0.0)[:2]
+
+        def covered(k: int, row=row, second=second, third=third) -> bool:
+            if wide:
+                return any(all(a >= b for a, b in zip(held, row, strict=True)) for held in steps[k][0])
+            i = bisect_right(steps[k][0], -second)
+            return i > 0 and steps[k][1][i - 1] >= third
+
+        low, high = 0, len(steps)
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (mid + 1, high) if covered(mid) else (low, mid)
+        if low == len(steps):
+            steps.append(([], []))
+        seconds, thirds = steps[low]
+        if wide:
+            seconds.append(row)
+        else:
+            start = end = bisect_left(seconds, -second)
+            while end < len(thirds) and thirds[end] <= third:
+                end += 1
+            seconds[start:end], thirds[start:end] = [-second], [third]
+        out.append(low + 1)
+    return out
 
 
 def crowding(df: DataFrame, keys: list[str], ident: str, objectives: list[str]) -> DataFrame:

@@ -129,6 +129,10 @@ def pareto_layers(spark: SparkSession, d: str) -> DataFrame:
     return pareto.fronts(_candidates(spark, d), ["run_id"], "ingest_id", ["test_sharpe"], ["max_drawdown", "complexity"], most=3)
 
 
+def pareto_fronts(spark: SparkSession, d: str) -> DataFrame:
+    return pareto.fronts(_candidates(spark, d), ["run_id"], "ingest_id", ["test_sharpe"], ["max_drawdown", "complexity"])
+
+
 def crowding_distance(spark: SparkSession, d: str) -> DataFrame:
     front = pareto_front(spark, d).join(_candidates(spark, d), ["run_id", "ingest_id"])
     return rounded(pareto.crowding(front, ["run_id"], "ingest_id", ["test_sharpe", "max_drawdown", "complexity"]).select("run_id", "ingest_id", "crowding"))
@@ -251,7 +255,7 @@ def risk_limits(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     combinatorial_validation, walk_forward_mean, gauntlet, factor_horizons, optimized_weights, order_execution, mark_to_market, risk_limits,
     forward_returns, rank_ic, quantile_spread, rank_autocorrelation, neutralized, orthogonalized, correlation_matrix, novelty, monte_carlo, bootstrap_interval, reality_check, deflated_sharpe,
-    overfit_proxy, adjusted_p, regime_labels, best_per_strategy, top_strategies, population, robustness_scores, pareto_front, pareto_layers, crowding_distance, survivors, ancestors,
+    overfit_proxy, adjusted_p, regime_labels, best_per_strategy, top_strategies, population, robustness_scores, pareto_front, pareto_layers, pareto_fronts, crowding_distance, survivors, ancestors,
     ensemble_weights, inverse_variance_weights, cpcv, synthetic_book, market_fills, limit_fills, venue_replay, stress_test,
 )}
 

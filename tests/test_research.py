@@ -1,10 +1,13 @@
 """Queries of the research plans against brute force on small fixtures."""
 
+import hashlib
 import math
 
 import numpy as np
 import pytest
 
+from tickforge.functions.expr import Primitive, Series
+from tickforge.operators import backtest as bt
 from tickforge.operators import pareto
 from tickforge.plans import research
 
@@ -70,3 +73,41 @@ def test_fronts_go_on_until_nothing_remains(spark, strategies):
     assert pareto.survivors(chain, ["k"], "id", ["a"], ["b"], 70).count() == 70
     wide = spark.createDataFrame([(i, float(i // 2), float(i % 2), 0.0, 0.0) for i in range(8)], "id long, a double, b double, c double, d double")
     assert {r["id"]: r["front"] for r in pareto.fronts(wide, [], "id", ["a"], ["b", "c", "d"]).collect()} == {6: 1, 7: 2, 4: 2, 5: 3, 2: 3, 3: 4, 0: 4, 1: 5}
+
+
+def test_all_gates_of_the_gauntlet(spark):
+    rng, rows = np.random.default_rng(5), []
+    for symbol, drifts in (("decays", [0.02] * 7 + [0.03, 0.03, -0.012]), ("falls", [-0.01] * 10)):
+        close = 100.0
+        for i in range(100):
+            close *= 1 + drifts[i // 10] + float(rng.normal()) * 0.004
+            rows.append((symbol, i, close, close * 1.01, close * 0.99, 1000.0))
+    bars = spark.createDataFrame(rows, "symbol string, bar_idx long, close double, high double, low double, volume double")
+    genome, md5 = Series("close") - Primitive("SMA", 2) + Series("close"), lambda *x: hashlib.md5("|".join(map(str, x)).encode()).hexdigest()
+    got = {r["symbol"]: r for r in bt.full_gauntlet(bars, genome, shuffles=3, sims=20).collect()}
+    two = {r["symbol"]: r["passed"] for r in bt.gauntlet(bars, genome).collect()}
+    assert two == {"decays": True, "falls": False} and not got["decays"]["passed"] and not got["falls"]["passed"]
+    for symbol, r in got.items():
+        mine = [x for x in rows if x[0] == symbol]
+        frame = lambda part: spark.createDataFrame([(x[0], i, *x[2:]) for i, x in enumerate(part)], bars.schema)
+        run = lambda part: [x["ret"] for x in bt.backtest(frame(part), genome).orderBy("bar_idx").collect()]
+        falls = []
+        for sim in range(20):
+            equity = peak = 1.0
+            low = 0.0
+            for _, ret in sorted((md5(42, sim, i), x) for i, x in enumerate(run(mine[:70])) if i):
+                equity *= 1 + ret
+                peak = max(peak, equity)
+                low = min(low, equity / peak - 1)
+            falls.append(-low)
+        assert math.isclose(r["mc_drawdown"], sorted(falls)[int(19 * 0.05)], rel_tol=1e-9, abs_tol=1e-12)
+        shams = [bt.metrics(bt.backtest(frame(sorted(mine[:70], key=lambda x, k=k: md5("placebo", 42, k, x[1]))), genome), ["symbol"]).first()["sharpe"] for k in range(3)]
+        assert math.isclose(r["placebo_sharpe"], sum(shams) / 3, rel_tol=1e-9, abs_tol=1e-12)
+        later = run(mine[70:])
+        for name, part in (("first_sharpe", later[:15]), ("second_sharpe", later[15:])):
+            assert math.isclose(r[name], np.mean(part) / np.std(part) * math.sqrt(252), rel_tol=1e-9)
+    # each of the last gates alone decides
+    free = {"in_sample": -1e9, "out_of_sample": -1e9, "drawdown": 9.0, "placebo": 1e9, "persistence": -1e9}
+    passed = lambda **x: {r["symbol"]: r["passed"] for r in bt.full_gauntlet(bars, genome, shuffles=3, sims=20, **free | x).collect()}["decays"]
+    assert got["decays"]["second_sharpe"] < 0.3 * got["decays"]["first_sharpe"] and passed()
+    assert not passed(persistence=0.3) and not passed(drawdown=-1.0) and not passed(placebo=-1e9)

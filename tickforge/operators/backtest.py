@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tickforge.functions.compiler import evaluate
 from tickforge.functions.expr import Node, shifted
+from tickforge.operators.research import monte_carlo
 from tickforge.operators.shards import TARGET_ROWS, assign_shards, carry, with_halo
-from tickforge.session import broadcast_if_small
+from tickforge.session import broadcast_if_small, materialize
 
 METRICS = ("sharpe", "sortino", "total_return", "max_drawdown", "turnover", "trades", "costs_paid")
 
@@ -209,11 +210,49 @@ def combinatorial_metrics(bars: DataFrame, genome: Node, groups: int = 4, held:
     return metrics(backtest(df, genome, execution, keys=("symbol", "split")), ["symbol", "split"])
 
 
-def gauntlet(bars: DataFrame, genome: Node, execution: Execution | None = None, train: float = 0.7, in_sample: float = 1.0, out_of_sample: float = 0.5) -> DataFrame:
-    """(symbol, in_sharpe, out_sharpe, out_drawdown, passed): the gates on both parts of a chronological split, indicators restarting in each."""
+def _parts(bars: DataFrame, train: float) -> DataFrame:
+    """bars with later, false for the first share train of each symbol and true after; bar_idx restarts in each."""
     n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
     df = bars.withColumn("_cut", F.greatest(F.lit(1), F.floor(n * train))).withColumn("later", F.col("bar_idx") >= F.col("_cut"))
-    df = df.withColumn("bar_idx", F.when(F.col("later"), F.col("bar_idx") - F.col("_cut")).otherwise(F.col("bar_idx"))).drop("_cut")
-    m = metrics(backtest(df, genome, execution, keys=("symbol", "later")), ["symbol", "later"])
-    per = m.groupBy("symbol").agg(F.max(F.when(~F.col("later"), F.col("sharpe"))).alias("in_sharpe"), F.max(F.when(F.col("later"), F.col("sharpe"))).alias("out_sharpe"), F.max(F.when(F.col("later"), F.col("max_drawdown"))).alias("out_drawdown"))
+    return df.withColumn("bar_idx", F.when(F.col("later"), F.col("bar_idx") - F.col("_cut")).otherwise(F.col("bar_idx"))).drop("_cut")
+
+
+def _sides(m: DataFrame) -> DataFrame:
+    return m.groupBy("symbol").agg(F.max(F.when(~F.col("later"), F.col("sharpe"))).alias("in_sharpe"), F.max(F.when(F.col("later"), F.col("sharpe"))).alias("out_sharpe"), F.max(F.when(F.col("later"), F.col("max_drawdown"))).alias("out_drawdown"))
+
+
+def gauntlet(bars: DataFrame, genome: Node, execution: Execution | None = None, train: float = 0.7, in_sample: float = 1.0, out_of_sample: float = 0.5) -> DataFrame:
+    """(symbol, in_sharpe, out_sharpe, out_drawdown, passed): the two Sharpe gates on both parts of a chronological split, indicators restarting in each."""
+    per = _sides(metrics(backtest(_parts(bars, train), genome, execution, keys=("symbol", "later")), ["symbol", "later"]))
     return per.withColumn("passed", F.coalesce((F.col("in_sharpe") >= in_sample) & (F.col("out_sharpe") >= out_of_sample), F.lit(False)))
+
+
+def full_gauntlet(
+    bars: DataFrame, genome: Node, execution: Execution | None = None, train: float = 0.7, in_sample: float = 1.0, out_of_sample: float = 0.5,
+    drawdown: float = 0.3, placebo: float = 0.5, persistence: float = 0.3, sims: int = 100, shuffles: int = 50, seed: int = 42,
+) -> DataFrame:
+    """gauntlet with all five gates: also mc_drawdown, placebo_sharpe, first_sharpe and second_sharpe; passed says that all hold.
+
+    mc_drawdown is the 5th percentile of the drawdown over reshuffled in-sample returns, placebo_sharpe the mean over backtests of reshuffled
+    in-sample bars, and the last two are of the halves of the out-of-sample returns. A gate without a value fails. Draws are hashes.
+    """
+    parts = _parts(bars, train)
+    curves = materialize(backtest(parts, genome, execution, keys=("symbol", "later")), "gauntlet")
+    per = _sides(metrics(curves, ["symbol", "later"]))
+    worst = monte_carlo(curves.filter("not later and bar_idx > 0"), ["symbol"], sims, seed).filter("metric = 'max_drawdown'").select("symbol", F.col("p05").alias("mc_drawdown"))
+    draws = parts.filter("not later").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))))
+    place = F.row_number().over(Window.partitionBy("symbol", "draw").orderBy(F.md5(F.concat_ws("|", F.lit("placebo"), F.lit(seed), "draw", F.col("bar_idx").cast("string"))), "bar_idx"))
+    draws = draws.withColumn("bar_idx", place.cast("long") - 1)
+    sham = metrics(backtest(draws, genome, execution, keys=("symbol", "draw")), ["symbol", "draw"]).groupBy("symbol").agg(F.avg("sharpe").alias("placebo_sharpe"))
+    half = F.floor(F.count(F.lit(1)).over(Window.partitionBy("symbol")) / 2)
+    outside = curves.filter("later").withColumn("_second", F.col("bar_idx") >= half)
+
+    def sharpe(side: Column) -> Column:
+        r = F.when(side, F.col("ret"))
+        spread = F.when(F.count(r) > 1, F.var_pop(r)).otherwise(1e-12)
+        return F.coalesce(math.sqrt(252) * F.try_divide(F.avg(r), F.sqrt(spread)), F.lit(0.0))
+
+    halves = outside.groupBy("symbol").agg(sharpe(~F.col("_second")).alias("first_sharpe"), sharpe(F.col("_second")).alias("second_sharpe"))
+    out = per.join(worst, "symbol", "left").join(sham, "symbol", "left").join(halves, "symbol", "left")
+    gates = (F.col("in_sharpe") >= in_sample) & (F.col("out_sharpe") >= out_of_sample) & (F.col("mc_drawdown") <= drawdown) & (F.col("placebo_sharpe") <= placebo)
+    return out.withColumn("passed", F.coalesce(gates & (F.col("second_sharpe") >= F.col("first_sharpe") * persistence), F.lit(False)))

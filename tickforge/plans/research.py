@@ -217,6 +217,10 @@ def gauntlet(spark: SparkSession, d: str) -> DataFrame:
     return rounded(bt.gauntlet(event_bars(spark, d), FLAGSHIP))
 
 
+def full_gauntlet(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(bt.full_gauntlet(event_bars(spark, d), FLAGSHIP))
+
+
 def factor_horizons(spark: SparkSession, d: str) -> DataFrame:
     base, out = evaluate(event_bars(spark, d), {"signal": P("ROC", 5)}), None
     for h in (1, 5, 10):
@@ -253,7 +257,7 @@ def risk_limits(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    combinatorial_validation, walk_forward_mean, gauntlet, factor_horizons, optimized_weights, order_execution, mark_to_market, risk_limits,
+    combinatorial_validation, walk_forward_mean, gauntlet, full_gauntlet, factor_horizons, optimized_weights, order_execution, mark_to_market, risk_limits,
     forward_returns, rank_ic, quantile_spread, rank_autocorrelation, neutralized, orthogonalized, correlation_matrix, novelty, monte_carlo, bootstrap_interval, reality_check, deflated_sharpe,
     overfit_proxy, adjusted_p, regime_labels, best_per_strategy, top_strategies, population, robustness_scores, pareto_front, pareto_layers, pareto_fronts, crowding_distance, survivors, ancestors,
     ensemble_weights, inverse_variance_weights, cpcv, synthetic_book, market_fills, limit_fills, venue_replay, stress_test,

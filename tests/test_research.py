@@ -111,3 +111,16 @@ def test_all_gates_of_the_gauntlet(spark):
     passed = lambda **x: {r["symbol"]: r["passed"] for r in bt.full_gauntlet(bars, genome, shuffles=3, sims=20, **free | x).collect()}["decays"]
     assert got["decays"]["second_sharpe"] < 0.3 * got["decays"]["first_sharpe"] and passed()
     assert not passed(persistence=0.3) and not passed(drawdown=-1.0) and not passed(placebo=-1e9)
+
+
+def test_cpcv_over_bars(spark):
+    sizes = {"a": 40, "b": 43, "c": 9, "d": 3}
+    bars = spark.createDataFrame([(s, i) for s, n in sizes.items() for i in range(n)], "symbol string, bar_idx long")
+    for shape in ((4, 2, 2, 1), (5, 3, 4, 3), (4, 1, 0, 0)):
+        got = [tuple(r) for r in bt.cpcv_roles(bars, *shape).select("symbol", "split", "bar_idx", "role").collect()]
+        assert sorted(got) == sorted((s, *x) for s, n in sizes.items() for x in research.cpcv_splits(*shape[:2], n, *shape[2:]))
+    # the known vector of 40 rows
+    known = {(r["split"], r["row"], r["role"]) for r in research.cpcv(spark, "").collect()}
+    assert known == {(r["split"], r["bar_idx"], r["role"]) for r in bt.cpcv_roles(bars.filter("symbol = 'a'"), 4, 2, 2, 1).collect()}
+    first = [(i, role) for split, i, role in sorted(known) if split == 0]
+    assert first == [(i, "test") for i in range(20)] + [(i, "train") for i in range(21, 40)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import math
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -210,6 +212,27 @@ def combinatorial_metrics(bars: DataFrame, genome: Node, groups: int = 4, held:
     return metrics(backtest(df, genome, execution, keys=("symbol", "split")), ["symbol", "split"])
 
 
+def cpcv_roles(bars: DataFrame, groups: int = 6, held: int = 2, purge: int = 5, embargo: int = 3) -> DataFrame:
+    """(symbol, bar_idx, split, role) of combinatorial purged cross-validation over each series of bars, numbered from 0.
+
+    A split holds out some of the contiguous groups as test; bars just before one of them are purged, those just after embargoed, and neither is a row.
+    """
+    n, i = F.col("_n"), F.col("bar_idx")
+    size = F.floor(n / groups)
+    bounds = [(size * g, size * (g + 1) if g < groups - 1 else n) for g in range(groups)]
+
+    def role(chosen: tuple[int, ...]) -> Column:
+        inside = [(i >= bounds[g][0]) & (i < bounds[g][1]) for g in chosen]
+        near = [((i >= bounds[g][0] - purge) & (i < bounds[g][0])) | ((i >= bounds[g][1]) & (i < bounds[g][1] + embargo)) for g in chosen]
+        return F.when(reduce(or_, inside), "test").when(~reduce(or_, near), "train")
+
+    splits = itertools.combinations(range(groups), held)
+    per = F.explode(F.array(*[F.struct(F.lit(s).alias("split"), role(chosen).alias("role")) for s, chosen in enumerate(splits)])).alias("_s")
+    # the count is an aggregate joined back, so a long series is not gathered in one task
+    counted = bars.select("symbol", "bar_idx").join(broadcast_if_small(bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))), "symbol")
+    return counted.select("symbol", "bar_idx", per).select("symbol", "bar_idx", "_s.*").filter("role is not null")
+
+
 def _parts(bars: DataFrame, train: float) -> DataFrame:
     """bars with later, false for the first share train of each symbol and true after; bar_idx restarts in each."""
     n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))

@@ -173,6 +173,10 @@ def cpcv(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(cpcv_splits(4, 2, 40, 2, 1), "split int, row int, role string")
 
 
+def cpcv_bars(spark: SparkSession, d: str) -> DataFrame:
+    return bt.cpcv_roles(event_bars(spark, d), 4, 2, 2, 1)
+
+
 def synthetic_book(spark: SparkSession, d: str) -> DataFrame:
     b = books.synthetic_books(event_bars(spark, d))
     rows = b.select("symbol", "bar_idx", F.posexplode(F.arrays_zip("bids", "asks")).alias("level", "_l"))
@@ -260,7 +264,7 @@ QUERIES = {f.__name__: f for f in (
     combinatorial_validation, walk_forward_mean, gauntlet, full_gauntlet, factor_horizons, optimized_weights, order_execution, mark_to_market, risk_limits,
     forward_returns, rank_ic, quantile_spread, rank_autocorrelation, neutralized, orthogonalized, correlation_matrix, novelty, monte_carlo, bootstrap_interval, reality_check, deflated_sharpe,
     overfit_proxy, adjusted_p, regime_labels, best_per_strategy, top_strategies, population, robustness_scores, pareto_front, pareto_layers, pareto_fronts, crowding_distance, survivors, ancestors,
-    ensemble_weights, inverse_variance_weights, cpcv, synthetic_book, market_fills, limit_fills, venue_replay, stress_test,
+    ensemble_weights, inverse_variance_weights, cpcv, cpcv_bars, synthetic_book, market_fills, limit_fills, venue_replay, stress_test,
 )}
 
 _O = "(PARTITION BY symbol ORDER BY i)"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.operators.asof import as_of, ending, versions
+from tickforge.operators.backtest import METRICS
 from tickforge.operators.grid import regular_grid
 from tickforge.operators.intervals import interval_gaps, merge_intervals
 from tickforge.operators.nested import flatten_records, table
@@ -14,6 +15,10 @@ from tickforge.operators.timestamps import normalise
 from tickforge.session import broadcast_if_small, micros, read
 
 
+#: The metrics of a fold or scenario in a strategy record.
+_METRICS = {f"metrics__{m}": "int" if m == "trades" else "double" for m in METRICS}
+
+
 def _vendor_texts(spark: SparkSession, d: str) -> DataFrame:
     feed = read(spark, d, "feed_raw").select("raw_id", "source", F.explode(F.create_map(F.lit("ts"), "ts", F.lit("available_at"), "available_at")).alias("field_name", "text"))
     acts = read(spark, d, "actions_raw").select("raw_id", "source", F.lit("effective_at").alias("field_name"), F.col("effective_at").alias("text"))
@@ -58,17 +63,23 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_records(spark, d).select("record_id", "node_path", "parent_path")
 
 
+def p6_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every field of every row as text, also those that no table names or whose text is not of the table's type."""
+    return p6_records(spark, d).select("record_id", "kind", "node_path", F.explode("fields").alias("field", "value"))
+
+
 def p6_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return table(p6_records(spark, d), "node", type="string", op="string", name="string", period="int", value="double")
+    return table(p6_records(spark, d), "node", type="string", op="string", name="string", period="int", value="double", meta__origin__type="string", meta__origin__round="int")
 
 
 def p6_folds(spark: SparkSession, d: str) -> DataFrame:
-    return table(p6_records(spark, d), "fold", fold="int", train_start="int", train_end="int", test_start="int", test_end="int", metrics__sharpe="double", metrics__trades="int")
+    return table(p6_records(spark, d), "fold", fold="int", train_start="int", train_end="int", test_start="int", test_end="int", **_METRICS)
 
 
 def p6_scenarios(spark: SparkSession, d: str) -> DataFrame:
     flat = p6_records(spark, d).filter(F.col("kind").endswith("_scenario"))
-    return flat.select("record_id", "node_path", "parent_path", "ordinal", *[F.try_element_at("fields", F.lit(k.replace("__", "/"))).try_cast("double").alias(k) for k in ("cost_multiplier", "delta", "metrics__sharpe", "metrics__max_drawdown")])
+    fields = {"cost_multiplier": "double", "delta": "double", **_METRICS}
+    return flat.select("record_id", "node_path", "parent_path", "ordinal", *[F.try_element_at("fields", F.lit(k.replace("__", "/"))).try_cast(to).alias(k) for k, to in fields.items()])
 
 
 def p6_quantiles(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +106,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p3_found": p3_found, "p3_grid": p3_grid, "p4_found": p4_found, "p4_flags": p4_flags, "p5_found": p5_found, "p5_periods": p5_periods,
-    "p6_found": p6_found, "p6_nodes": p6_nodes, "p6_folds": p6_folds, "p6_scenarios": p6_scenarios, "p6_quantiles": p6_quantiles, "p6_execution": p6_execution, "p7_found": p7_found,
+    "p6_found": p6_found, "p6_fields": p6_fields, "p6_nodes": p6_nodes, "p6_folds": p6_folds, "p6_scenarios": p6_scenarios, "p6_quantiles": p6_quantiles, "p6_execution": p6_execution, "p7_found": p7_found,
 }
 
 _ISLANDS = """

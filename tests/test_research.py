@@ -9,6 +9,7 @@ import pytest
 from tickforge.functions.expr import Primitive, Series
 from tickforge.operators import backtest as bt
 from tickforge.operators import pareto
+from tickforge.operators import research as statistics
 from tickforge.plans import research
 
 
@@ -124,3 +125,16 @@ def test_cpcv_over_bars(spark):
     assert known == {(r["split"], r["bar_idx"], r["role"]) for r in bt.cpcv_roles(bars.filter("symbol = 'a'"), 4, 2, 2, 1).collect()}
     first = [(i, role) for split, i, role in sorted(known) if split == 0]
     assert first == [(i, "test") for i in range(20)] + [(i, "train") for i in range(21, 40)]
+
+
+def test_simulations_of_the_reference_by_default(spark):
+    rng = np.random.default_rng(8)
+    x = {s: rng.normal(0.001, 0.01, 12) for s in ("a", "b")}
+    df = spark.createDataFrame([(s, i, float(r)) for s, v in x.items() for i, r in enumerate(v)], "strategy string, bar_idx long, ret double")
+    draw = lambda seed, sim, j, n: int(hashlib.md5(f"{seed}|{sim}|{j}".encode()).hexdigest()[:15], 16) % n
+    means = lambda s, seed, sims: [np.mean([x[s][draw(seed, k, j, 12)] for j in range(12)]) for k in range(sims)]
+    for r in statistics.bootstrap_interval(df, ["strategy"]).collect():
+        line = sorted(means(r["strategy"], 7, 1000))
+        assert math.isclose(r["lower"], line[25], rel_tol=1e-9) and math.isclose(r["upper"], line[974], rel_tol=1e-9)
+    best, top = max(v.mean() for v in x.values()), np.max([means(s, 11, 500) for s in x], axis=0)
+    assert math.isclose(statistics.reality_check(df).first()["p_value"], (top >= best).mean(), rel_tol=1e-12)

@@ -43,14 +43,14 @@ def _resampled(returns: DataFrame, keys: list[str], sims: int, seed: int, order:
     return per.join(base, [*keys, "_i"]).groupBy(*keys, "sim").agg((F.sum(F.col("_r") * F.col("_t")) / F.sum("_t")).alias("mean"))
 
 
-def bootstrap_interval(returns: DataFrame, keys: list[str], sims: int = 200, seed: int = 7, order: str = "bar_idx", ret: str = "ret") -> DataFrame:
+def bootstrap_interval(returns: DataFrame, keys: list[str], sims: int = 1000, seed: int = 7, order: str = "bar_idx", ret: str = "ret") -> DataFrame:
     """(keys, mean, lower, upper): the mean return and the 95 % interval of its resampled means. order must number the rows from 0."""
     means = _resampled(returns, keys, sims, seed, order, ret).groupBy(*keys).agg(F.sort_array(F.collect_list("mean")).alias("_m"))
     base = returns.groupBy(*keys).agg(F.avg(ret).alias("mean"))
     return base.join(means, keys).select(*keys, "mean", F.get("_m", F.lit(int(0.025 * sims))).alias("lower"), F.get("_m", F.lit(int(0.975 * sims) - 1)).alias("upper"))
 
 
-def reality_check(returns: DataFrame, series: str = "strategy", sims: int = 200, seed: int = 11, order: str = "bar_idx", ret: str = "ret") -> DataFrame:
+def reality_check(returns: DataFrame, series: str = "strategy", sims: int = 500, seed: int = 11, order: str = "bar_idx", ret: str = "ret") -> DataFrame:
     """(best_mean, p_value): the best mean of any series against the best of uncentred resamples."""
     null = _resampled(returns, [series], sims, seed, order, ret).groupBy("sim").agg(F.max("mean").alias("top"))
     best = returns.groupBy(series).agg(F.avg(ret).alias("m")).agg(F.max("m").alias("best_mean")).first()[0]

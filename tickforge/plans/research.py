@@ -79,6 +79,18 @@ def reality_check(spark: SparkSession, d: str) -> DataFrame:
     return rounded(research.reality_check(_strategy_returns(spark, d), sims=100), 9)
 
 
+def full_monte_carlo(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(research.monte_carlo(_strategy_returns(spark, d), ["strategy"]))
+
+
+def full_bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(research.bootstrap_interval(_strategy_returns(spark, d), ["strategy"]), 9)
+
+
+def full_reality_check(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(research.reality_check(_strategy_returns(spark, d)), 9)
+
+
 def _finite(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "strategies").filter("test_sharpe is not null and not isnan(test_sharpe) and abs(test_sharpe) < double('Infinity')")
 
@@ -262,7 +274,7 @@ def risk_limits(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     combinatorial_validation, walk_forward_mean, gauntlet, full_gauntlet, factor_horizons, optimized_weights, order_execution, mark_to_market, risk_limits,
-    forward_returns, rank_ic, quantile_spread, rank_autocorrelation, neutralized, orthogonalized, correlation_matrix, novelty, monte_carlo, bootstrap_interval, reality_check, deflated_sharpe,
+    forward_returns, rank_ic, quantile_spread, rank_autocorrelation, neutralized, orthogonalized, correlation_matrix, novelty, monte_carlo, bootstrap_interval, reality_check, full_monte_carlo, full_bootstrap_interval, full_reality_check, deflated_sharpe,
     overfit_proxy, adjusted_p, regime_labels, best_per_strategy, top_strategies, population, robustness_scores, pareto_front, pareto_layers, pareto_fronts, crowding_distance, survivors, ancestors,
     ensemble_weights, inverse_variance_weights, cpcv, cpcv_bars, synthetic_book, market_fills, limit_fills, venue_replay, stress_test,
 )}

@@ -41,11 +41,20 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(_sizes(spark, d, ["doc_id", "source"]), read(spark, d, "mix_targets"))[1]
 
 
-def p9_shares_at_corpus_size(spark: SparkSession, d: str) -> DataFrame:
-    """The shares when as many tokens are wanted as the listed sources have: some sources are then held back by max_repeats."""
+def _mix_at_corpus_size(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sizes, targets = _sizes(spark, d, ["doc_id", "source"]), read(spark, d, "mix_targets")
     total = sizes.join(F.broadcast(targets.select("source")), "source", "left_semi").agg(F.sum("n_tokens")).first()[0]
-    return mix(sizes, targets, total=float(total or 0))[1]
+    return mix(sizes, targets, total=float(total or 0))
+
+
+def p9_mix_at_corpus_size(spark: SparkSession, d: str) -> DataFrame:
+    """The selection when as many tokens are wanted as the listed sources have."""
+    return _mix_at_corpus_size(spark, d)[0]
+
+
+def p9_shares_at_corpus_size(spark: SparkSession, d: str) -> DataFrame:
+    """The shares when as many tokens are wanted as the listed sources have: some sources are then held back by max_repeats."""
+    return _mix_at_corpus_size(spark, d)[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +66,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shares_at_corpus_size": p9_shares_at_corpus_size,
+    "p1_found": p1_found, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_mix_at_corpus_size": p9_mix_at_corpus_size, "p9_shares": p9_shares, "p9_shares_at_corpus_size": p9_shares_at_corpus_size,
     "p10_found": p10_found, "p10_composition": p10_composition,
 }
 

@@ -46,6 +46,23 @@ def test_shards_and_halo(spark):
     assert ahead[first] is None and all(ahead[s] == min(i for _, i, h in own["hot", s] if not h) - 1 for s in ahead if s != first)
 
 
+def test_shards_stay_small(spark):
+    sizes = lambda df: [r["count"] for r in df.groupBy("k", "_shard").count().collect()]
+    even = spark.range(60_000).selectExpr("'a' as k", "id as o", "id as t")
+    outlier = even.unionByName(spark.createDataFrame([("a", 10**15, 0)], "k string, o long, t long"))
+    for df in (even, outlier):
+        assert max(sizes(assign_shards(df, ["k"], "o", 4000)[0])) < 8000
+    burst = even.withColumn("o", F.when(F.col("t") < 40_000, 5).otherwise(F.col("o")).cast("long"))
+    tied = assign_shards(burst, ["k"], "o", 4000, "t")[0]
+    assert max(sizes(tied)) < 8000 and max(sizes(assign_shards(burst, ["k"], "o", 4000)[0])) >= 40_000  # one value stays together without a tie
+    bounds = tied.groupBy("_shard").agg(F.min(F.struct("o", "t")).alias("a"), F.max(F.struct("o", "t")).alias("b")).orderBy("_shard").collect()
+    assert all(p["b"] < q["a"] for p, q in zip(bounds, bounds[1:]))
+    many = assign_shards(even, ["k"], "o", 60)[0]  # beyond one round of sketches
+    assert max(sizes(many)) < 120 and many.count() == 60_000
+    bounds = many.groupBy("_shard").agg(F.min("o").alias("a"), F.max("o").alias("b")).orderBy("_shard").collect()
+    assert all(p["b"] < q["a"] for p, q in zip(bounds, bounds[1:]))
+
+
 def random_intervals(rng, n):
     return [(rng.choice(["a", "b", "hot", "hot", "hot", None]), rng.choice([None, *range(0, 4000, 7)]), rng.choice([None, *range(0, 4000, 7)])) for _ in range(n)]
 
@@ -203,3 +220,25 @@ def test_spikes(spark, target):
     assert (50, "open_px", "jump") in reasons and (50, "open_px", "fence") in reasons and (700, "open_px", "fence") in reasons
     assert (400, "volume", "stuck") in reasons and (303, "volume", "volume") in reasons and len(reasons) == len(got)
     assert flag_implausible(df.limit(0)).count() == 0
+
+
+def test_spikes_beside_missing_values(spark):
+    """Runs of missing values and of bars delivered again, longer than shards, change nothing."""
+    schema = "row_id long, symbol string, ts timestamp_ntz, open_px double, high_px double, low_px double, close_px double, volume double"
+    rng = random.Random(2)
+    rows = []
+    for i in range(2600):
+        px = 100 * (1 + rng.gauss(0, 0.0005))
+        rows.append([i, "hot", at(60 * i), px, px * 1.001, px * 0.999, px, 1000 * math.exp(rng.gauss(0, 0.5))])
+    for i in (*range(100, 1100), *range(1101, 2100)):  # the spike at 1100 has 1000 missing bars on either side
+        rows[i][3] = None if i % 2 else float("nan")
+    rows[1100][3] *= 2
+    rows[2300][4] *= 3
+    rows += [[10_000 + k, "hot", at(60 * 2299), *rows[2299][3:]] for k in range(1000)]  # delivered again, beside the second spike
+    for i in range(2500, 2508):
+        rows[i][7] = 777.0
+    rows += [[20_000 + k, "hot", at(60 * 2503), *rows[2503][3:]] for k in range(300)]
+    df = spark.createDataFrame(rows, schema)
+    cut, whole = (sorted(map(tuple, flag_implausible(df, target_rows=n).filter("reason <> 'fence'").collect())) for n in (100, 100_000))
+    assert cut == whole
+    assert (1100, "open_px", "jump") in whole and (2300, "high_px", "jump") in whole and sum(r[2] == "stuck" and r[0] >= 2500 for r in whole) == 308

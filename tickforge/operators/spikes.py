@@ -1,4 +1,4 @@
-"""Implausible readings: impossible, crossed, stuck and spiking values, relative to what is normal for their source."""
+"""Implausible readings: impossible, crossed, stuck and spiking values, relative to what is normal for their source and hour."""
 
 from __future__ import annotations
 
@@ -7,17 +7,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.operators.shards import assign_shards, with_halo
-from tickforge.session import micros
+from tickforge.operators.shards import SALTS, TARGET_ROWS, assign_shards
+from tickforge.session import BROADCAST_ROWS, materialize, micros
 
-#: Rows on either side of a shard that its checks may need: a stuck run reaches MIN_STUCK - 1 bars, repeated bars included.
-HALO_ROWS = 64
-#: Rows of a key that one Python group may hold.
-GROUP_ROWS = 200_000
-#: Values on either side that give the level around a value.
-NEAR = 5
+#: Usable values on either side that give the level around a value, and how far the nearest unsuspected value may be.
+NEAR, REACH = 5, 8
 #: Size parameter of the quantile sketches: about 0.7 % of error in rank.
 SKETCH_K = 400
+#: Values that an hour of a key needs for fences of its own; with fewer those over all hours stand.
+LEAST = 20
 
 
 def _level(v: np.ndarray, after: bool) -> np.ndarray:
@@ -32,30 +30,30 @@ def _level(v: np.ndarray, after: bool) -> np.ndarray:
     return near[np.arange(n), np.maximum((have - 1) // 2, 0)]
 
 
-def _off(v: np.ndarray, p: np.ndarray, q: np.ndarray, limit: float) -> np.ndarray:
-    """Where v is off both p and q on the same side by more than limit, relatively."""
+def _off(v: np.ndarray, p: np.ndarray, q: np.ndarray, up, down) -> np.ndarray:
+    """Where v is off both p and q on the same side, by more than up above them or down below them, relatively."""
     with np.errstate(invalid="ignore", divide="ignore"):
         a, b = v / p - 1, v / q - 1
-        return ((a > limit) & (b > limit)) | ((a < -limit) & (b < -limit))
+        return ((a > up) & (b > up)) | ((a < -down) & (b < -down))
 
 
-def _jumps(v: np.ndarray, limit: float, most: int) -> np.ndarray:
-    """Positions of the positive values v that leave the level around them for at most ``most`` successive values.
-
-    First against the medians of the values around; then against the nearest values which that left unflagged,
-    so that two faults near each other, or a fault beside a lasting change of level, are each judged by true neighbours.
+def _jumps(v: np.ndarray, up: np.ndarray, down: np.ndarray, limit: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suspects, jumps) among the positive values v: suspects lie outside the fences up and down around the medians of the values before and
+    after; of these and the others, jumps are off the nearest unsuspected values on both sides by more than limit, for at most ``most``
+    successive values. So two faults near each other, or one beside a lasting change of level, are each judged by true neighbours.
     """
-    if not len(v) or not np.isfinite(limit):
-        return np.zeros(len(v), bool)
-    first = _off(v, _level(v, False), _level(v, True), limit)
-    clean = np.where(first, np.nan, v)
-    at = np.where(first, -1, np.arange(len(v)))
-    back = np.concatenate([[-1], np.maximum.accumulate(at)[:-1]])
-    far = np.where(first, len(v), np.arange(len(v)))
-    ahead = np.concatenate([np.minimum.accumulate(far[::-1])[::-1][1:], [len(v)]])
-    ends = np.append(clean, np.nan)
-    found = _off(v, np.where(back >= 0, ends[back], np.nan), ends[ahead], limit)
-    return found & (_run_lengths(found) <= most)
+    n = len(v)
+    if not n or not np.isfinite(limit):
+        return np.zeros(n, bool), np.zeros(n, bool)
+    first = _off(v, _level(v, False), _level(v, True), up, down)
+    at = np.arange(n)
+    back = np.concatenate([[-1], np.maximum.accumulate(np.where(first, -1, at))[:-1]])
+    ahead = np.concatenate([np.minimum.accumulate(np.where(first, n, at)[::-1])[::-1][1:], [n]])
+    ends = np.append(v, np.nan)
+    p = np.where((back >= 0) & (at - back <= REACH), ends[back], np.nan)
+    q = np.where(ahead - at <= REACH, ends[ahead], np.nan)
+    found = _off(v, p, q, limit, limit)
+    return first, found & (_run_lengths(found) <= most)
 
 
 def _run_lengths(x: np.ndarray) -> np.ndarray:
@@ -67,114 +65,191 @@ def _run_lengths(x: np.ndarray) -> np.ndarray:
     return np.bincount(run)[run]
 
 
-def _checker(prices: list[str], volume: str, low: str, high: str, factor: float, stuck: int, most: int, fence: float):
+def _fences(stats: pd.DataFrame, field: str, hour: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high) for each hour given: the quartiles of its hour, widened; of all hours where its own are few."""
+    q1, q3 = np.full(24, np.nan), np.full(24, np.nan)
+    if len(stats):
+        row = stats.iloc[0]
+        q1[:], q3[:] = row[f"_q1_{field}"], row[f"_q3_{field}"]
+        for h in row["_hours"]:
+            h = h if isinstance(h, dict) else h.asDict()
+            if h[f"_n_{field}"] >= LEAST:
+                q1[h["_hour"]], q3[h["_hour"]] = h[f"_q1_{field}"], h[f"_q3_{field}"]
+    return (q1 - width * (q3 - q1))[hour], (q3 + width * (q3 - q1))[hour]
+
+
+def _checker(prices: list[str], volume: str, factor: float, stuck: int, most: int, width: float):
     fields = [*prices, volume]
-    fences = [f"_q{i}_{f}" for f in fields for i in (1, 3)]
-
-    def check(rows: pd.DataFrame, stats: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_us", "_id"], kind="stable")
-        us, ids, halo = rows["_us"].to_numpy(), rows["_id"].to_numpy(), rows["_halo"].to_numpy(bool)
-        bar = np.cumsum(np.concatenate([[True], us[1:] != us[:-1]])) - 1 if len(us) else us
-        hours = pd.DataFrame([dict(h) if isinstance(h, dict) else h.asDict() for h in (stats["_hours"].iloc[0] if len(stats) else [])], columns=["_hour", *fences])
-        hours = hours.set_index("_hour")
+
+    def check(bars: pd.DataFrame, stats: pd.DataFrame) -> pd.DataFrame:
+        bars = bars.sort_values("_us", kind="stable")
+        us, own = bars["_us"].to_numpy(), ~bars["_halo"].to_numpy(bool)
         hour = (us // 3_600_000_000) % 24
         out = []
-        crossed = (rows[high] < rows[low]).to_numpy()
         for f in fields:
-            v = rows[f].to_numpy(float)
-            null = rows[f"_null_{f}"].to_numpy(bool)
-            why = {}
-            with np.errstate(invalid="ignore"):
-                bad = ~null & (~np.isfinite(v) | ((v < 0) if f == volume else (v <= 0)))
-            why["impossible"] = bad
-            if f in (low, high):
-                why["crossed"] = crossed
-            # one value a bar: the first of its rows that is not null
-            have = np.flatnonzero(~null)
-            bars, where = np.unique(bar[have], return_index=True)
-            series = np.full(bar[-1] + 1 if len(bar) else 0, np.nan)
-            series[bars] = v[have[where]]
-            still = (_run_lengths(series) >= stuck)[bar] if len(bar) else np.zeros(0, bool)
-            why["stuck"] = ~null & still & (v == series[bar])
+            v, null = bars[f].to_numpy(float), bars[f"_null_{f}"].to_numpy(bool)
+            still = ~null & (_run_lengths(v) >= stuck)
             mid = float(stats[f"_mid_{f}"].iloc[0]) if len(stats) and stats[f"_mid_{f}"].iloc[0] is not None else np.nan
+            limit = factor * mid
+            low, high = _fences(stats, f, hour, width)
+            # fences may be tighter than the limit, but no looser, and where readings hardly vary no tighter than half of it
+            upper = np.fmin(np.fmax(high, limit / 2), limit)
             if f == volume:
+                top = bars["_top"].to_numpy(float)
                 with np.errstate(invalid="ignore"):
-                    why["volume"] = ~null & np.isfinite(v) & (v > factor * mid)
-            else:
-                ok = np.flatnonzero(np.isfinite(series) & (series > 0))
-                jump = np.zeros(len(series), bool)
-                jump[ok[_jumps(series[ok], factor * mid, most)]] = True
-                why["jump"] = ~null & ~bad & jump[bar] & (v == series[bar]) if len(bar) else np.zeros(0, bool)
-            # context: the change from the bar before, or the volume, against the expanded fences of its hour
-            q1, q3 = (hours[f"_q{k}_{f}"].reindex(hour).to_numpy(float) for k in (1, 3))
-            if f == volume:
-                x = v
+                    beyond = (top > upper) | (v < low)
+                found = {"stuck": (still, v), "volume": (beyond, np.full(len(v), limit))}
             else:
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    x = np.append(np.nan, series[1:] / series[:-1] - 1)[bar] if len(series) else v
-            with np.errstate(invalid="ignore"):
-                why["fence"] = ~null & ((x > q3 + fence * (q3 - q1)) | (x < q1 - fence * (q3 - q1)))
-            for reason, at in why.items():
-                at = at & ~halo
+                ok = np.flatnonzero(~null & np.isfinite(v) & (v > 0))
+                lower = np.fmin(np.fmax(-low, limit / 2), limit)
+                suspect, jump = np.zeros(len(v), bool), np.zeros(len(v), bool)
+                suspect[ok], jump[ok] = _jumps(v[ok], upper[ok], lower[ok], limit, most)
+                x = np.full(len(v), np.nan)
+                x[ok[1:]] = v[ok[1:]] / v[ok[:-1]] - 1
+                with np.errstate(invalid="ignore"):
+                    beyond = suspect | (x > upper) | (x < -lower)
+                found = {"stuck": (still, v), "jump": (jump & beyond, v), "fence": (beyond, v)}
+            for reason, (at, value) in found.items():
+                at = at & own
                 if at.any():
-                    out.append((ids[at], f, reason))
-        named = lambda k: pd.Series([x[k] for x in out for _ in range(len(x[0]))], dtype=object)
-        return pd.DataFrame({"_id": np.concatenate([x[0] for x in out]) if out else ids[:0], "field_name": named(1), "reason": named(2)})
+                    out.append(pd.DataFrame({"_us": us[at], "field_name": f, "reason": reason, "_value": value[at]}))
+        if not out:
+            return pd.DataFrame({"_k": [], "_us": [], "field_name": [], "reason": [], "_value": []}, dtype=object).astype({"_us": "int64", "_value": float})
+        return pd.concat(out).assign(_k=bars["_k"].iloc[0]).astype({"_k": object, "field_name": object, "reason": object})
 
     return check
 
 
+def _edges(fields: list[str], volume: str, reach: int, bars: int):
+    """The bars of a shard that its neighbours may need: of each field the first and last ``reach`` usable ones, and the first and last ``bars`` of all."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_us", kind="stable")
+        keep = np.zeros(len(pdf), bool)
+        for f in (*fields, None):
+            v = pdf[f].to_numpy(float) if f else None
+            with np.errstate(invalid="ignore"):
+                ok = np.flatnonzero(np.isfinite(v) & ((v > 0) | (f == volume))) if f else np.arange(len(pdf))
+            n = reach if f else bars
+            keep[ok[:n]] = keep[ok[max(0, len(ok) - n) :]] = True
+        return pdf[keep]
+
+    return run
+
+
+def _spread(fields: list[str], volume: str, reach: int, bars: int):
+    """From the edges of all shards of a key, the halo bars of each of its shards."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_us", kind="stable").reset_index(drop=True)
+        shard, n = pdf["_shard"].to_numpy(), len(pdf)
+        shards, start = np.unique(shard, return_index=True)
+        end = np.append(start[1:], n)
+        usable = []
+        for f in (*fields, None):
+            v = pdf[f].to_numpy(float) if f else None
+            with np.errstate(invalid="ignore"):
+                usable.append((np.flatnonzero(np.isfinite(v) & ((v > 0) | (f == volume))) if f else np.arange(n), reach if f else bars))
+        parts = []
+        for s, a, b in zip(shards, start, end, strict=True):
+            near = set()
+            for ok, m in usable:
+                i, j = np.searchsorted(ok, [a, b])
+                near.update(ok[max(0, i - m) : i], ok[j : j + m])
+            parts.append(pdf.iloc[sorted(near)].assign(_shard=s))
+        return pd.concat(parts).assign(_halo=True).astype({"_k": object})
+
+    return run
+
+
+def _with_halo(bars: DataFrame, fields: list[str], volume: str, reach: int, near: int) -> DataFrame:
+    """bars of split keys once more as the halo of other shards: whatever lies between (missing values, bars delivered again), a shard sees
+    ``reach`` usable values of every field and ``near`` bars beyond either end."""
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields)
+    edges = bars.filter("_shard > 0").drop("_halo").groupBy("_k", "_shard").applyInPandas(_edges(fields, volume, reach, near), ddl.replace(", `_halo` boolean", ""))
+    return bars.unionByName(edges.groupBy("_k").applyInPandas(_spread(fields, volume, reach, near), ddl))
+
+
+def _stats(bars: DataFrame, prices: list[str], volume: str) -> DataFrame:
+    """(_k, _hours, quartiles and usual sizes) from sketches per key, shard and hour, merged over partitions, shards and hours.
+
+    For prices of the change from the last usable value, for the volume of its values."""
+    fields = [*prices, volume]
+    w = Window.partitionBy("_k", "_shard").orderBy("_us").rowsBetween(Window.unboundedPreceding, -1)
+    fine = lambda f, low: F.when(low & (F.col(f) < float("inf")) & ~F.isnan(f), F.col(f))
+    before = {f"_b_{f}": F.last(fine(f, F.col(f) > 0), ignorenulls=True).over(w) for f in prices}
+    change = {f"_x_{f}": F.try_divide(fine(f, F.col(f) > 0), F.col(f"_b_{f}")) - 1 for f in prices} | {f"_x_{volume}": fine(volume, F.col(volume) >= 0)}
+    steps = bars.withColumns(before).withColumns(change).filter("not _halo").withColumn("_hour", F.expr("cast(pmod(_us - pmod(_us, 3600000000), 86400000000) div 3600000000 as int)"))
+    k = F.lit(SKETCH_K)
+    sketch = steps.groupBy("_k", "_shard", "_hour").agg(
+        *[F.kll_sketch_agg_double(F.col(f"_x_{f}"), k).alias(f"_c_{f}") for f in fields], *[F.kll_sketch_agg_double(F.abs(f"_x_{f}"), k).alias(f"_m_{f}") for f in prices], F.max("_top").alias("_top")
+    )
+    both = [*[f"_c_{f}" for f in fields], *[f"_m_{f}" for f in prices]]
+    sketch = sketch.groupBy("_k", "_hour").agg(*[F.kll_merge_agg_double(c).alias(c) for c in both])
+
+    def at(name: str, q: float):
+        return F.when(F.kll_sketch_get_n_double(name) > 0, F.kll_sketch_get_quantile_double(name, F.lit(q)))
+
+    quartiles = lambda: [at(f"_c_{f}", q).alias(f"_q{i}_{f}") for f in fields for i, q in ((1, 0.25), (3, 0.75))]
+    hours = F.struct("_hour", *[F.kll_sketch_get_n_double(f"_c_{f}").alias(f"_n_{f}") for f in fields], *quartiles())
+    whole = sketch.groupBy("_k").agg(F.collect_list(hours).alias("_hours"), *[F.kll_merge_agg_double(c).alias(c) for c in both])
+    return whole.select("_k", "_hours", *quartiles(), *[at(f"_m_{f}" if f in prices else f"_c_{f}", 0.5).alias(f"_mid_{f}") for f in fields])
+
+
 def flag_implausible(df: DataFrame, key: str = "symbol", ts: str = "ts", row_id: str = "row_id", prices: tuple[str, ...] = ("open_px", "high_px", "low_px"),
                      volume: str = "volume", low: str = "low_px", high: str = "high_px", factor: float = 40.0, stuck: int = 8, most: int = 3,
-                     fence: float = 12.0, target_rows: int = GROUP_ROWS) -> DataFrame:
+                     fence: float = 12.0, target_rows: int = TARGET_ROWS) -> DataFrame:
     """(row_id, field_name, reason): one row per reading and reason.
 
     Reasons: ``impossible`` (NaN, infinite, a price not above 0, a negative volume), ``crossed`` (high below low; both fields),
-    ``stuck`` (the same value for ``stuck`` or more successive bars: no variance), ``jump`` (a price off the level of the bars before and
-    after, on the same side, by more than factor times the usual change, for at most ``most`` bars), ``volume`` (above factor times the
-    usual volume) and ``fence`` (the change from the bar before, or the volume, outside the quartile fences of its key and hour of day,
-    widened by ``fence`` interquartile ranges: advice, since it also marks lasting changes of level).
-
-    What is usual comes from quantile sketches per key and hour, merged over partitions and then over hours. Rows with equal key and ts
-    are one bar. Null readings are never flagged and end a stuck run; rows without key or ts are left out; keys with too few
-    bars for a usual change have no ``jump``; an empty table gives no rows. A key with more than target_rows rows is checked in
-    time shards with halo rows.
+    ``stuck`` (the same value for ``stuck`` or more successive bars: no variance), ``jump`` (outside the fences, and off the level of the
+    bars before and after, on the same side, by more than factor times the usual change, for at most ``most`` bars), ``volume`` (outside the
+    fences and above factor times the usual volume) and ``fence`` (outside the fences but neither: advice, since it also marks lasting changes).
+
+    The fences of a key and hour of day are the quartiles of the changes from the last usable value, or of the volumes, widened by
+    ``fence`` interquartile ranges, from sketches per key, shard and hour that are merged over partitions; fences never pass the limit
+    of the reason they serve, nor half of it where readings hardly vary. Rows with equal key and ts are one bar, whose value is that
+    of its least row_id that is not null; they are combined before the shuffle. Null readings are never flagged and end a stuck run; rows without
+    key or ts are left out; keys with too few bars for a usual change have no ``jump``; an empty table gives no rows. A key
+    with more than target_rows rows is checked in time shards, each with as many usable values of its neighbours as its checks reach.
     """
     fields = [*prices, volume]
     rows = df.select(
         F.col(key).alias("_k"), micros(ts).alias("_us"), F.col(row_id).alias("_id"), *[F.col(f).cast("double").alias(f) for f in fields]
     ).filter("_k is not null and _us is not null")
-    rows, split = assign_shards(rows, ["_k"], "_us", target_rows)
-    rows = with_halo(rows, ["_k"], ["_us", "_id"], HALO_ROWS, HALO_ROWS, split).withColumns({f"_null_{f}": F.isnull(f) for f in fields})
-    w = Window.partitionBy("_k", "_shard").orderBy("_us", "_id")
-
-    def change(f: str):
-        a, b = F.lag(f).over(w), F.col(f)
-        fine = (a > 0) & (b > 0) & ~F.isnan(a) & ~F.isnan(b) & (a < float("inf")) & (b < float("inf")) & (F.lag("_us").over(w) != F.col("_us"))
-        return F.when(fine, F.try_divide(b, a) - 1)
-
-    steps = rows.withColumns({f"_x_{f}": change(f) for f in prices}).filter("not _halo").withColumn("_hour", F.expr("cast(pmod(_us - pmod(_us, 3600000000), 86400000000) div 3600000000 as int)"))
-    fine = F.when((F.col(volume) >= 0) & (F.col(volume) < float("inf")), F.col(volume))
-    k = F.lit(SKETCH_K)
-    sketch = steps.groupBy("_k", "_shard", "_hour").agg(
-        *[F.kll_sketch_agg_double(F.col(f"_x_{f}"), k).alias(f"_c_{f}") for f in prices],
-        *[F.kll_sketch_agg_double(F.abs(f"_x_{f}"), k).alias(f"_m_{f}") for f in prices],
-        F.kll_sketch_agg_double(fine, k).alias(f"_m_{volume}"),
-    )
-    sketches = [*[f"_c_{f}" for f in prices], *[f"_m_{f}" for f in fields]]
+    cut, split = assign_shards(rows, ["_k"], "_us", target_rows)
+    finite = (F.col(volume) < float("inf")) & ~F.isnan(volume)
+    first = [F.min_by(f, F.when(F.col(f).isNotNull(), F.col("_id"))).alias(f) for f in fields]
+    bars = cut.groupBy("_k", "_us", "_shard").agg(*first, F.max(F.when(finite, F.col(volume))).alias("_top")).withColumn("_halo", F.lit(False))
     if split:
-        sketch = sketch.groupBy("_k", "_hour").agg(*[F.kll_merge_agg_double(c).alias(c) for c in sketches]).withColumn("_shard", F.lit(0))
-
-    def at(sketch: str, q: float):
-        return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(q)))
-
-    fences = F.struct("_hour", *[at(f"_c_{f}" if f != volume else f"_m_{f}", q).alias(f"_q{i}_{f}") for f in fields for i, q in ((1, 0.25), (3, 0.75))])
-    stats = sketch.groupBy("_k", "_shard").agg(F.collect_list(fences).alias("_hours"), *[F.kll_merge_agg_double(f"_m_{f}").alias(f"_m_{f}") for f in fields])
-    stats = stats.select("_k", "_shard", "_hours", *[at(f"_m_{f}", 0.5).alias(f"_mid_{f}") for f in fields])
+        bars = _with_halo(bars, fields, volume, NEAR + REACH + most, stuck - 1)
+    bars = bars.repartition("_k", "_shard")  # one exchange that the sketches and the check share
+    stats = _stats(bars, list(prices), volume)
+    seen = bars.withColumns({f"_null_{f}": F.isnull(f) for f in fields})
     if split:
-        stats = rows.select("_k", "_shard").distinct().join(stats.drop("_shard"), "_k")
-        stats = stats.select(*[F.col(c).alias(c) for c in stats.columns])  # columns of their own, as both sides of the cogroup come from rows
-    check = _checker(list(prices), volume, low, high, factor, stuck, most, fence)
-    kind = rows.schema["_id"].dataType.simpleString()
-    found = rows.groupBy("_k", "_shard").cogroup(stats.groupBy("_k", "_shard")).applyInPandas(check, f"_id {kind}, field_name string, reason string")
-    return found.withColumnRenamed("_id", row_id)
+        stats = materialize(stats, "usual")
+        stats = seen.select("_k", "_shard").distinct().join(stats, "_k")
+    else:
+        stats = stats.withColumn("_shard", F.lit(0))
+    stats = stats.select(*[F.col(c).alias(c) for c in stats.columns])  # columns of their own, as both sides of the cogroup come from rows
+    check = _checker(list(prices), volume, factor, stuck, most, fence)
+    key_type = rows.schema["_k"].dataType.simpleString()
+    found = seen.groupBy("_k", "_shard").cogroup(stats.groupBy("_k", "_shard")).applyInPandas(check, f"_k {key_type}, _us bigint, field_name string, reason string, _value double")
+    found = materialize(found, "flagged")
+    # back to the rows of the flagged bars
+    value = F.coalesce(*[F.when(F.col("field_name") == f, F.col(f)) for f in fields])
+    if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        hit = rows.join(F.broadcast(found), ["_k", "_us"])
+    else:
+        parts = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))) if split else found.withColumn("_salt", F.lit(0))
+        hit = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS if split else 1)).cast("int")).join(parts, ["_k", "_us", "_salt"])
+    over = (F.col("reason") == "volume") & finite & (value > F.col("_value"))
+    same = (F.col("reason") != "volume") & (value == F.col("_value"))
+    hit = hit.filter(value.isNotNull() & ((F.col("reason") == "volume") & finite | same))
+    hit = hit.select("_id", "field_name", F.when(over | same, F.col("reason")).otherwise("fence").alias("reason"))
+    wrong = lambda f: F.isnan(f) | (F.col(f) == float("inf")) | ((F.col(f) < 0) if f == volume else (F.col(f) <= 0))
+    crossed = (F.col(high) < F.col(low)) & ~F.isnan(high) & ~F.isnan(low)
+    told = [*[F.when(F.col(f).isNotNull() & wrong(f), F.struct(F.lit(f).alias("field_name"), F.lit("impossible").alias("reason"))) for f in fields],
+            *[F.when(crossed, F.struct(F.lit(f).alias("field_name"), F.lit("crossed").alias("reason"))) for f in (low, high)]]
+    alone = rows.select("_id", F.explode(F.filter(F.array(*told), lambda x: x.isNotNull())).alias("_t")).select("_id", "_t.*")
+    return hit.unionByName(alone).select(F.col("_id").alias(row_id), "field_name", "reason")

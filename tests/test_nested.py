@@ -1,6 +1,8 @@
 import json
 
-from tickforge.operators.nested import events, flatten_records, rows_of, table, triples
+import random
+
+from tickforge.operators.nested import flatten_records, is_json, rows_of, table
 
 
 def deep(n):
@@ -44,7 +46,7 @@ def test_damaged_and_odd_texts():
     for bad in (None, "", " ", "null", "[]", "3", good[:-1], good + "}", good + " x", "{'a': 1}", '{"a": 1,}', '{"a": [1,]}', '{"a" 1}', '{"a": 01}', '{"a": +1}', "{,}", '{"genome": {"type": "x"}} {}'):
         assert rows_of(bad) == []
     assert rows_of('{"genome": {"type": "a"}, "genome": null}') == []
-    assert [r[4] for r in rows_of('{"genome": {"type": "a"}, "genome": {"type": "b"}}')] == [[("type", "b")]]
+    assert [r[4] for r in rows_of('{"genome": {"type": "a"}, "genome": {"type": "b"}}')] == [{"type": "b"}]
     assert rows_of('{"genome": "{broken"}') == []
 
 
@@ -53,12 +55,97 @@ def test_depth_is_no_limit():
     assert len(got) == 3001 and got[-1][1] == "/genome" + "/left" * 3000
 
 
-def test_triples_and_events_agree_with_json():
-    text = ' {"a": [1, {"b": [true, null, "x\\u00e9\\n"]}, []], "c": {}, "d": -1.5e3, "e": NaN} '
-    flat = {(path, kind): value for path, _, kind, value in triples(text)}
-    assert flat[("a", 1, "b", 2), "str"] == "xé\n" and flat[("d",), "raw"] == "-1.5e3" and flat[("a", 2), "array"] is None
-    assert [o for p, o, _, _ in triples(text) if p[:1] == ("a",) and len(p) == 2] == [0, 1, 2]
-    assert next(events("3")) == ("raw", "3")
+def test_is_json_agrees_with_a_recursive_parser():
+    def parses(text):
+        try:
+            json.loads(text)
+        except ValueError:
+            return False
+        return True
+
+    rng, base = random.Random(1), ' {"a": [1, {"b": [true, null, "x\\u00e9\\n\\"", -0.5e+3]}, []], "c": {}, "d": "", "e": NaN, "f": -Infinity} '
+    assert is_json(base)
+    for _ in range(4000):
+        text = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            i = rng.randrange(len(text))
+            text[i : i + rng.randrange(2)] = rng.choice(['"', ",", "{", "}", "[", "]", ":", "0", "-", "\\", " ", "\t", "x", "1.5", "null", ""])
+        text = "".join(text)
+        assert is_json(text) == parses(text), text
+
+
+def brute(value, path="", up="", place="", out=None):
+    """(path, parent) of the rows of a parsed record, by recursion over the statement of the problem."""
+    out = [] if out is None else out
+    opened = lambda x: opened(json.loads(x)) if isinstance(x, str) and x.lstrip()[:1] in ("{", "[", '"') and is_json(x) else x
+    value = opened(value)
+    get = lambda d, k: opened(d.get(k)) if isinstance(d, dict) else None
+    listed = lambda x: list(enumerate(x)) if isinstance(x, list) else [(0, x)]
+
+    def node(x, path, up):
+        x = opened(x)
+        if isinstance(x, dict):
+            out.append((path, up))
+            node(x.get("left"), path + "/left", path)
+            node(x.get("right"), path + "/right", path)
+
+    node(get(value, "genome"), "/genome", "")
+    if isinstance(get(value, "execution"), dict):
+        out.append(("/execution", ""))
+    kinds = get(value, "validation")
+    for kind, x in kinds.items() if isinstance(kinds, dict) else ():
+        out += [(f"/validation/{kind}/fold_details/{i}", f"/validation/{kind}") for i, e in listed(get(opened(x), "fold_details")) if isinstance(opened(e), dict)]
+    tests = get(value, "robustness")
+    for kind in ("cost_sensitivity", "parameter_sensitivity"):
+        for i, e in listed(get(get(tests, kind), "scenarios")):
+            e = opened(e)
+            if isinstance(e, dict):
+                out.append((at := f"/robustness/{kind}/scenarios/{i}", f"/robustness/{kind}"))
+                if isinstance(get(e, "execution"), dict):
+                    out.append((at + "/execution", at))
+    sizes = get(get(tests, "monte_carlo"), "quantiles")
+    out += [(f"/robustness/monte_carlo/quantiles/{k}", "/robustness/monte_carlo") for k, e in (sizes.items() if isinstance(sizes, dict) else ()) if isinstance(opened(e), dict)]
+    return out
+
+
+def test_test_records_agree_with_recursion():
+    import pandas as pd
+
+    texts = pd.read_parquet("/root/testdata/sf0.01/strategy_records.parquet")["payload"]
+    rows = 0
+    for text in texts:
+        try:
+            want = brute(json.loads(text)) if text is not None else []
+        except ValueError:
+            want = []
+        got = [(p, u) for _, p, u, _, _ in rows_of(text)]
+        assert sorted(got) == sorted(want)
+        rows += len(got)
+    assert rows > 1000
+
+
+def test_repeated_keys_and_encoded_texts():
+    got = rows_of('{"robustness": {"cost_sensitivity": {"scenarios": [{"a": 1}, {"a": 2}]}}, "robustness": {"cost_sensitivity": {"scenarios": [{"a": 3}]}}}')
+    assert [(r[1], r[4]) for r in got] == [("/robustness/cost_sensitivity/scenarios/0", {"a": "3"})]
+    assert [r[4] for r in rows_of('{"execution": {"x": {"y": 1, "z": [1, {"u": 2}]}, "v": 5, "x": 7, "v": {"w": null}}}')] == [{"x": "7", "v/w": None}]
+    text, node = '{"type": "constant"}', '{"genome": %s}'
+    for _ in range(12):
+        text = json.dumps(text)
+    assert [r[4] for r in rows_of(node % text)] == [{"type": "constant"}] and rows_of(json.dumps(node % text)) == rows_of(node % text)
+    assert [r[4] for r in rows_of('{"execution": {"a": "\\ud83d", "b": "\\ud83d\\ude00"}}')] == [{"a": "\ufffd", "b": "\U0001f600"}]
+    assert [r[4] for r in rows_of('{"execution": {"a": [[[4]]], "b": "[1, {}, \\"x\\"]"}}')] == [{"a/0/0/0": "4", "b/0": "1", "b/2": "x"}]
+
+
+def test_length_and_depth_are_linear():
+    import time
+
+    def took(n):
+        t = time.process_time()
+        assert len(rows_of('{"execution": {"a": ' + '[{"b": ' * n + "1" + "}]" * n + "}}")) == 1
+        return time.process_time() - t
+
+    took(1000)
+    assert took(100_000) < 40 * max(took(10_000), 0.02)
 
 
 def test_frames(spark):

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_WS = r"[ \t\n\r]*"
-_TEXT = r'"([^"\\\x00-\x1f]*(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*)*)"'
-_WORD = r"(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity)"
+_WS = r"[ \t\n\r]*+"
+_TEXT = r'"([^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+)"'
+_WORD = r"(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+|true|false|null|NaN|-?Infinity)"
 #: One step of the stream: a comma, then a key, then a word, a text or an opening bracket; or a closing bracket.
-_TOKEN = re.compile(rf"{_WS}(,?){_WS}(?:(?:{_TEXT}{_WS}:{_WS})?(?:{_WORD}|{_TEXT}|([\[{{]))|([\]}}]))")
+_TOKEN = re.compile(rf"{_WS}(,?+){_WS}(?:(?:{_TEXT}{_WS}:{_WS})?(?:{_WORD}|{_TEXT}|([\[{{]))|([\]}}]))")
 _SPACE = re.compile(_WS)
 _OPEN = re.compile(_WS + r"[\[{\"]")
 _CLOSING = {"}": False, "]": True}

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tickforge.operators.timestamps import NONE, date_orders, local_to_utc, normalise, parse_texts, transitions, zone_version
+from tickforge.operators.timestamps import NONE, date_orders, local_to_utc, normalise, parse_texts, to_instant, transitions, zone_version
 
 
 def one(text, zone="UTC", order=""):
@@ -88,5 +88,20 @@ def test_normalise_learns_orders_and_keeps_rows(spark):
     assert {r["source"]: r["date_order"] for r in date_orders(df, "source", "t").collect()} == {"a": "DMY", "b": "MDY", "c": None}
 
 
+def test_sources_without_clock_and_odd_bytes(spark):
+    df = spark.createDataFrame([("x", "25/12/2024 10:00 +02:00", 1), ("x", "03/04/2024 10:00 +02:00", 2), ("x", "03/04/2024", 3), ("x", "2024\u00a001\u00a002", 4), ("x", "\u00a02024-01-02T00:00Z\u2003", 5), ("x", "२०२४-01-02", 6)], "source string, t string, id int")
+    clocks = spark.createDataFrame([("y", "UTC")], "source string, tz_name string")
+    got = {r["id"]: r["us"] for r in normalise(df, clocks, "t", "us").collect()}
+    assert got == {1: us(2024, 12, 25, 8), 2: us(2024, 4, 3, 8), 3: None, 4: None, 5: us(2024, 1, 2), 6: None}
+
+
+def test_other_zone_tables_are_refused(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("2024-01-02",)], "t string")
+    with pytest.raises(Exception, match="zone tables"):
+        df.select(to_instant(F.col("t"), F.lit("UTC"), F.lit(""), "1970z")).collect()
+
+
 def test_zone_tables():
     assert transitions("No/Where") is None and len(transitions("UTC")[0]) == 1 and zone_version()

@@ -1,8 +1,9 @@
 """Mixed timestamp texts to one form: the UTC instant in microseconds, or null where a text denotes no single instant.
 
-Each text becomes a mask of character classes (9 for a digit, a for a letter, other characters as they are). A mask fixes
-where every part of the text stands, so it is mapped to a parser once per worker, and all texts of a mask are converted
-together by slicing one array of characters. Readings of a clock go through transition tables of the zone.
+Each text becomes a mask of character classes (9 for a digit, a for a letter, other characters as they are), all texts of a
+batch at once by one lookup over their bytes. A mask fixes where every part of the text stands, so it is mapped to a parser once
+per worker, and all texts of a mask are converted together by slicing one matrix of characters. Readings of a clock go through transition
+tables of the zone, whose version the driver pins: a worker with other tables refuses.
 """
 
 from __future__ import annotations
@@ -13,15 +14,18 @@ from functools import lru_cache
 from zoneinfo import TZPATH, ZoneInfo
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tickforge.session import broadcast_if_small
+from tickforge.session import materialize
 
-#: Texts longer than this are no timestamps.
+#: Texts of more bytes are no timestamps.
 LONGEST = 64
+#: Sources up to which the table of their clocks is broadcast.
+MOST_SOURCES = 10_000
 SECOND, HOUR = 1_000_000, 3_600_000_000
 NONE = np.iinfo(np.int64).min
 
@@ -48,7 +52,9 @@ _COMPACT = r"(?P<sep>a| |)(?P<H>99)(?P<M>99)(?P<S>99)(?:[.,](?P<f>9{1,9}))?"
 _ZONE = r"(?: ?(?P<sign>[+-])(?P<oh>99)(?::?(?P<om>99))?| ?\[(?P<zone>a[a9/_+-]*)\]| ?(?P<name>a[a9/_+-]*))?"
 _SHAPES = [re.compile(d + (t + _ZONE if t else "") + "$") for i, d in enumerate(_DATES) for t in ("", _COMPACT if i == 4 else _TIME)]
 _EPOCH = re.compile(r"(?P<e>9{10}|9{13}|9{16}|9{19})(?:\.(?P<f>9{1,9}))?$")
-_CLASSES = str.maketrans({**dict.fromkeys("0123456789", "9"), **dict.fromkeys("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "a")})
+_CLASSES = np.arange(256, dtype=np.uint8)
+_CLASSES[[*range(48, 58)]] = ord("9")
+_CLASSES[[*range(65, 91), *range(97, 123)]] = ord("a")
 
 
 @lru_cache(maxsize=4096)
@@ -69,6 +75,7 @@ def shapes(mask: str) -> tuple[dict[str, tuple[int, int]], ...]:
     return tuple(found)
 
 
+@lru_cache(maxsize=1)
 def zone_version() -> str:
     """The version of the zone tables in use."""
     for folder in TZPATH:
@@ -128,19 +135,18 @@ def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _looked_up(words: np.ndarray, table: dict) -> np.ndarray:
-    """table's values of an array of words, NaN where it has none; looked up once per distinct word."""
+    """table's values of an array of words (bytes), NaN where it has none; looked up once per distinct word."""
     distinct, where = np.unique(words, return_inverse=True)
-    return np.array([table.get(w.lower(), np.nan) for w in distinct], float)[where]
+    return np.array([table.get(w.decode().lower(), np.nan) for w in distinct], float)[where]
 
 
 _MONTH = {n: i + 1 for names in (MONTHS, MONTH_NAMES) for i, n in enumerate(names)} | {"sept": 9}
 _DAY = {n: i for names in (DAYS, DAY_NAMES) for i, n in enumerate(names)}
 
 
-def _convert(texts: np.ndarray, length: int, spans: dict, zones: np.ndarray, orders: np.ndarray) -> np.ndarray:
-    """Instants of texts of one mask, read in one way."""
-    n = len(texts)
-    chars = texts.astype(f"U{length}").view(np.uint32).reshape(n, length)
+def _convert(chars: np.ndarray, spans: dict, zones: np.ndarray, names: list, orders: np.ndarray) -> np.ndarray:
+    """Instants of texts of one mask, given as rows of ASCII bytes, read in one way. zones: where in names each text's clock stands."""
+    n = len(chars)
 
     def number(key: str, default: int = 0) -> np.ndarray:
         if key not in spans:
@@ -153,7 +159,7 @@ def _convert(texts: np.ndarray, length: int, spans: dict, zones: np.ndarray, ord
 
     def word(key: str) -> np.ndarray:
         a, b = spans[key]
-        return np.ascontiguousarray(chars[:, a:b]).view(f"U{b - a}").reshape(n)
+        return np.ascontiguousarray(chars[:, a:b]).view(f"S{b - a}").reshape(n)
 
     fraction = number("f") * 10 ** max(0, 6 - (spans["f"][1] - spans["f"][0])) // 10 ** max(0, spans["f"][1] - spans["f"][0] - 6) if "f" in spans else np.zeros(n, np.int64)
     if "e" in spans:
@@ -181,7 +187,7 @@ def _convert(texts: np.ndarray, length: int, spans: dict, zones: np.ndarray, ord
     if "w" in spans:
         ok &= _looked_up(word("w"), _DAY) == (days + 3) % 7
     if "sep" in spans and spans["sep"][1] - spans["sep"][0] == 1:
-        ok &= np.isin(word("sep"), [" ", "T", "t"])
+        ok &= np.isin(word("sep"), [b" ", b"T", b"t"])
     hour, minute, second = number("H"), number("M"), number("S")
     if "ap" in spans:
         half = _looked_up(word("ap"), {"am": 0, "pm": 12})
@@ -191,7 +197,7 @@ def _convert(texts: np.ndarray, length: int, spans: dict, zones: np.ndarray, ord
     local = ((days * 24 + hour) * 60 + minute) * 60 * SECOND + second * SECOND + fraction
     if "sign" in spans:
         oh, om = number("oh"), number("om")
-        sign = np.where(word("sign") == "-", -1, 1)
+        sign = np.where(word("sign") == b"-", -1, 1)
         ok &= (oh <= 18) & (om < 60)
         return np.where(ok, local - sign * (oh * 60 + om) * 60 * SECOND, NONE)
     named = word("name") if "name" in spans else word("zone") if "zone" in spans else None
@@ -199,60 +205,82 @@ def _convert(texts: np.ndarray, length: int, spans: dict, zones: np.ndarray, ord
     if named is not None:
         distinct, where = np.unique(named, return_inverse=True)
         for i, w in enumerate(distinct):
-            at = where == i
+            at, w = where == i, w.decode()
             hours = ABBREVIATIONS.get(w.lower())
             out[at] = local_to_utc(local[at], w) if hours is None else local[at] - int(hours * HOUR)
     else:
         distinct, where = np.unique(zones, return_inverse=True)
         for i, zone in enumerate(distinct):
             at = where == i
-            out[at] = local_to_utc(local[at], zone)
+            out[at] = local_to_utc(local[at], names[zone])
     return np.where(ok, out, NONE)
 
 
-_BLANKS = re.compile(r"\s")
+def _cleaned(texts: pa.Array) -> pa.StringArray:
+    """texts without blanks around them, other white space as blanks; those that are too long are null."""
+    bulk = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    if ((bulk < 32) | (bulk > 126)).any():
+        texts = pc.replace_substring_regex(texts, r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]", " ")
+    texts = pc.utf8_trim(texts, " ")
+    return pc.if_else(pc.less_equal(pc.binary_length(texts), LONGEST), texts, None)
+
+
+def _masks(texts: pa.StringArray) -> pa.DictionaryArray:
+    """The mask of each text: one table lookup over the bytes of all."""
+    texts = pa.concat_arrays([texts])
+    valid, ends, bulk = texts.buffers()
+    classes = _CLASSES[np.frombuffer(bulk or b"", np.uint8)]
+    return pa.StringArray.from_buffers(len(texts), ends, pa.py_buffer(classes), valid, texts.null_count, texts.offset).dictionary_encode()
 
 
 def parse_texts(texts, zones, orders) -> np.ndarray:
     """Instants (NONE: none) of a batch of texts; zones and orders ('DMY', 'MDY' or '') are those of their vendors' clocks and dates."""
     out = np.full(len(texts), NONE)
-    groups: dict[str, list[int]] = {}
-    clean: list[str] = []
-    for i, t in enumerate(texts):
-        t = _BLANKS.sub(" ", t.strip()) if isinstance(t, str) and len(t) <= 4 * LONGEST else ""
-        clean.append(t)
-        if 0 < len(t) <= LONGEST:
-            groups.setdefault(t.translate(_CLASSES), []).append(i)
-    words = np.array(clean, object)
-    zones, orders = np.array([z or "" for z in zones], str), np.array([o or "" for o in orders], str)
-    for mask, at in groups.items():
-        at = np.array(at)
-        for spans in shapes(mask):
+    clean = pa.concat_arrays([_cleaned(pa.array(texts, pa.string()))])
+    if not len(clean) or clean.null_count == len(clean):
+        return out
+    zone, order = (pc.fill_null(pa.array(x, pa.string()), "").dictionary_encode() for x in (zones, orders))
+    zones, orders, names = np.asarray(zone.indices), np.asarray(order.dictionary.to_pylist(), str)[np.asarray(order.indices)], zone.dictionary.to_pylist()
+    masks = _masks(clean)
+    which = pc.fill_null(masks.indices, -1).to_numpy(zero_copy_only=False)
+    bulk, starts = np.frombuffer(clean.buffers()[2], np.uint8), np.frombuffer(clean.buffers()[1], np.int32)[clean.offset :]
+    by = np.argsort(which, kind="stable")
+    ends = np.searchsorted(which[by], np.arange(len(masks.dictionary) + 1))
+    for k, mask in enumerate(masks.dictionary.to_pylist()):
+        at = by[ends[k] : ends[k + 1]]
+        for spans in shapes(mask):  # only masks of ASCII characters have any
             left = at[out[at] == NONE]
             if len(left):
-                out[left] = _convert(words[left], len(mask), spans, zones[left], orders[left])
+                chars = bulk[starts[left][:, None] + np.arange(len(mask))]
+                out[left] = _convert(chars, spans, zones[left], names, orders[left])
     return out
 
 
-@F.pandas_udf(LongType())
-def _instants(texts: pd.Series, zones: pd.Series, orders: pd.Series) -> pd.Series:
-    found = parse_texts(texts, zones, orders)
-    return pd.Series(found).astype("Int64").where(pd.Series(found != NONE), pd.NA)
-
-
-def to_instant(text: Column, zone: Column, order: Column) -> Column:
+def to_instant(text: Column, zone: Column, order: Column, tables: str | None = None) -> Column:
     """Microseconds since 1970 UTC that text denotes, else null. Null, empty, overlong and other texts give null; a zone or offset in
     the text holds; else it is a reading of the clock of ``zone`` (null or unknown: no instant), and one shown twice or never gives
-    null. ``order`` is that of purely numeric dates; where it is unknown only dates that allow one reading count."""
-    return _instants(text.cast("string"), zone, order)
+    null. ``order`` is that of purely numeric dates; where it is unknown only dates that allow one reading count. ``tables`` is the version
+    of the zone tables, that of the driver by default; RuntimeError where a worker has another."""
+    wanted = tables or zone_version()
+
+    @F.arrow_udf(LongType())
+    def instants(texts: pa.Array, zones: pa.Array, orders: pa.Array) -> pa.Array:
+        if zone_version() != wanted:
+            raise RuntimeError(f"zone tables {zone_version()} here, {wanted} wanted")
+        found = parse_texts(texts, zones, orders)
+        return pa.array(found, mask=found == NONE)
+
+    short = F.when(F.length(text.cast("string")) <= 4 * LONGEST, text.cast("string"))
+    return instants(short, zone, order)
 
 
 def date_orders(df: DataFrame, source: str, text: str) -> DataFrame:
     """(source, date_order): how each source orders purely numeric dates, by the majority of those that allow only one order;
     null where none does or both do alike. Counted over all rows, combined before the shuffle."""
-    part = lambda k: F.regexp_extract(F.col(text), r"^\s*([0-9]{1,2})([-/.])([0-9]{1,2})\2[0-9]{4}(?![0-9])", k)
-    p, q = part(1).try_cast("int"), part(3).try_cast("int")
-    votes = df.filter(F.col(source).isNotNull()).select(source, p.alias("_p"), q.alias("_q")).groupBy(source).agg(
+    numeric = df.filter(F.col(source).isNotNull() & F.col(text).rlike(r"^\s*[0-9]{1,2}([-/.])[0-9]{1,2}\1[0-9]{4}(?![0-9])"))
+    parts = F.split(F.ltrim(text), "[-/.]", 3)
+    p, q = (F.trim(F.get(parts, k)).try_cast("int") for k in (0, 1))
+    votes = numeric.select(source, p.alias("_p"), q.alias("_q")).groupBy(source).agg(
         F.count_if((F.col("_p") > 12) & (F.col("_p") <= 31) & F.col("_q").between(1, 12)).alias("_d"),
         F.count_if((F.col("_q") > 12) & (F.col("_q") <= 31) & F.col("_p").between(1, 12)).alias("_m"),
     )
@@ -266,5 +294,7 @@ def normalise(df: DataFrame, clocks: DataFrame, text: str, out: str, source: str
     known = known.groupBy("_tf_source").agg(F.min("_tf_zone").alias("_tf_zone"))
     orders = date_orders(df, source, text).select(F.col(source).alias("_tf_source"), F.col("date_order").alias("_tf_order"))
     about = known.join(orders, "_tf_source", "full")
-    joined = df.join(broadcast_if_small(about, 10_000), df[source] == about["_tf_source"], "left")
+    few = about.limit(MOST_SOURCES + 1).collect()  # so that the join does not count the votes again
+    about = F.broadcast(df.sparkSession.createDataFrame(few, about.schema)) if len(few) <= MOST_SOURCES else materialize(about, "sources")
+    joined = df.join(about, df[source] == about["_tf_source"], "left")
     return joined.withColumn(out, to_instant(df[text], F.col("_tf_zone"), F.col("_tf_order"))).select(*[c for c in df.columns if c != out], out)

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -41,10 +42,32 @@ def test_pack_is_whole(spark):
         assert len(x[x.doc_id == 1001]) == 2 and len(x[x.doc_id == 1003]) == 1 and not len(x[x.doc_id == 1004])
     report = {r["container_kind"]: r for r in fill_report(packed, kinds).collect()}
     assert report["long"]["utilisation"] > 0.9
+    blocks = pack(items, kinds, windows=4, most_items=40)  # several levels
+    assert blocks.groupBy("container_kind", "container_id").agg({"n_tokens": "sum"}).filter("container_kind = 'short' and `sum(n_tokens)` > 256").count() == 0
+    assert sorted(blocks.select("container_kind", "doc_id", "piece_no", "start", "n_tokens").collect()) == sorted(packed.select("container_kind", "doc_id", "piece_no", "start", "n_tokens").collect())
     assert set(p.container_kind) == {"short", "long"}
     assert pack(items.limit(0), kinds).count() == 0 and pack(items, kinds.limit(0)).count() == 0
 
 
+def test_containers_are_full(spark):
+    """Heavy-tailed sizes like those of texts: as good as the least number of containers."""
+    rng = np.random.default_rng(3)
+    sizes = np.minimum(np.exp(rng.normal(4.75, 1.0, 10_000)).astype(int) + 1, 12_000)
+    items = spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(len(sizes)), "n_tokens": sizes}))
+    kinds = spark.createDataFrame([(str(c), c) for c in (256, 1024, 4096)], "container_kind string, capacity_tokens int")
+    for r in fill_report(pack(items, kinds), kinds).collect():
+        assert r["utilisation"] > 0.995 and r["tokens"] == sizes.sum() and r["fullest"] <= r["capacity_tokens"]
+
+
+def test_copies_and_multiples_do_not_gather(spark):
+    """A third of all rows is one item, and another is a multiple of the capacity: blocks stay bounded."""
+    rows = [(7, 100)] * 600 + [(8, 256 * 500)] + [(i, 50) for i in range(600)]
+    items = spark.createDataFrame(rows, "doc_id long, n_tokens int")
+    kinds = spark.createDataFrame([("short", 256)], "container_kind string, capacity_tokens int")
+    p = pack(items, kinds, windows=32).toPandas()
+    assert p.groupby("container_id").n_tokens.sum().max() == 256 and len(p[p.doc_id == 7]) == 600 and p[p.doc_id == 8].container_id.nunique() == 500
+
+
 def test_bad_sizes_are_no_items(spark):
     items = spark.createDataFrame([(1, -5), (2, None)], "doc_id long, n_tokens int")
     kinds = spark.createDataFrame([("short", 256)], "container_kind string, capacity_tokens int")

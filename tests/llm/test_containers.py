@@ -61,7 +61,7 @@ def test_containers_are_full(spark):
 
 def test_copies_and_multiples_do_not_gather(spark):
     """A third of all rows is one item, and another is a multiple of the capacity: blocks stay bounded."""
-    rows = [(7, 100)] * 600 + [(8, 256 * 500)] + [(i, 50) for i in range(600)]
+    rows = [(7, 100)] * 600 + [(8, 256 * 500)] + [(i, 50) for i in range(1000, 1600)]
     items = spark.createDataFrame(rows, "doc_id long, n_tokens int")
     kinds = spark.createDataFrame([("short", 256)], "container_kind string, capacity_tokens int")
     p = pack(items, kinds, windows=32).toPandas()

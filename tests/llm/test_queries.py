@@ -9,7 +9,7 @@ def test_mix_at_corpus_size_is_not_bound_by_one_source(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, source string, text string, lang string").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([("large", 0.5, 2.0), ("small", 0.5, 2.0)], "source string, target_share double, max_repeats double").write.parquet(f"{d}/mix_targets.parquet")
     tokens = lambda df: df.selectExpr("sum(n_tokens * copies)").first()[0]
-    whole, bound = queries.p9_mix_at_corpus_size(spark, d), queries.p9_mix(spark, d)
+    whole, bound = queries.p9_mix(spark, d), queries.p9_mix_all_met(spark, d)
     assert tokens(whole) > 2 * tokens(bound)
-    report = queries.p9_shares_at_corpus_size(spark, d)
+    report = queries.p9_shares(spark, d)
     assert tokens(whole) == report.selectExpr("sum(tokens)").first()[0]

@@ -17,6 +17,8 @@ FAN_IN = 4096
 #: Below this a probability is 0, above 1 minus this it is 1.
 EPS = 1e-9
 SOURCES = 100_000
+#: Copies of a row that are numbered from one array.
+CHUNK = 65_536
 
 
 def pivot(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -75,62 +77,66 @@ def reachable(targets: dict[str, tuple[float, int]], sizes: dict[str, int]) -> f
     return min([sizes[s] * r * weight / w for s, (w, r) in targets.items() if w > 0 and sizes.get(s, 0) * r > 0], default=0.0)
 
 
-def settle(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """The fractional probabilities left at the root, made whole from the largest item down; sum(p * size) is kept to within the smallest.
+def thin(p: float, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """pivot for items of one common probability, so that at most one, and that a small one, is left fractional.
 
-    An item is drawn with its probability if the smaller ones can make up for either outcome, else the outcome they can make up
-    for (or come nearest to) stands; what is left of the sum is then spread evenly over the smaller ones.
+    The largest item forms the pair with the pool of all smaller ones: mass moves one way or the other until the item is integral, the way drawn
+    so that neither its expectation nor that of any item of the pool changes (their probabilities move by the same amount). Then the next one.
     """
-    p = p.copy()
-    order = np.lexsort((np.arange(len(p)), -size))
-    left, room = float((p * size).sum()), float(size.sum())
-    for i in order:
-        s = float(size[i])
-        room = max(0.0, room - s)
-        short = [max(0.0, (left - x * s) - room) + max(0.0, x * s - left) for x in (0, 1)]
-        if s <= 0 or short[0] == short[1] == 0:
-            q = p[i] if s <= 0 else left / (room + s)
-            p[i] = float(rng.random() < q)
+    out = np.zeros(len(size))
+    if EPS < p < 1 - EPS:
+        none = size <= 0  # moves no mass
+        out[none] = rng.random(int(none.sum())) < p
+    else:
+        out[:] = round(p)
+        return out
+    order = np.lexsort((np.arange(len(size)), -size))[: int((size > 0).sum())]
+    rest = np.append(np.cumsum(size[order][::-1])[::-1][1:], 0.0)
+    draw = rng.random(len(order))
+    for k, i in enumerate(order):
+        if p <= EPS or p >= 1 - EPS:
+            out[order[k:]] = round(p)
+            break
+        s, pool = size[i], rest[k]
+        if pool <= 0:
+            out[i] = p
+            break
+        give, get = min(p * s, (1 - p) * pool), min((1 - p) * s, p * pool)
+        moved = -give if draw[k] * (give + get) < get else get
+        mine, p = p + moved / s, p - moved / pool
+        if EPS < mine < 1 - EPS:
+            out[i] = mine
         else:
-            p[i] = float(short[1] < short[0])
-        left -= p[i] * s
-    return p
-
-
-#: Part of the smallest items of a source's first group, and the most of them, that are kept back for the root.
-KEPT, KEPT_MOST = 0.25, 1024
+            out[i] = round(mine)
+    return out
 
 
 def _rounded(seed: int, level: int, ident: str, root: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ident, kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values([ident, "_size", "_copy"], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng(zlib.crc32(f"{seed}/{level}/{pdf['_source'].iloc[0]}/{pdf['_block'].iloc[0]}".encode()))
-        p, size, kept = pdf["_p"].to_numpy(float).copy(), pdf["_size"].to_numpy(float), pdf["_kept"].to_numpy(bool).copy()
-        if level == 0 and pdf["_block"].iloc[0] == 0:
-            some = np.flatnonzero((p > EPS) & (p < 1 - EPS) & (size > 0))
-            some = some[np.argsort(size[some], kind="stable")][: min(KEPT_MOST, math.ceil(KEPT * len(some)))]
-            kept[some] = True
-        p[~kept] = pivot(p[~kept], size[~kept], rng)
+        p, size = pdf["_p"].to_numpy(float), pdf["_size"].to_numpy(float)
+        p = thin(p[0], size, rng) if level == 0 else pivot(p, size, rng)
         if root:
-            some = (p > EPS) & (p < 1 - EPS)
-            p[some] = settle(p[some], size[some], rng)
-        return pdf.assign(_p=p, _kept=kept)
+            p = (rng.random(len(p)) < p).astype(float)
+        return pdf.assign(_p=p)
 
     return run
 
 
-def mix(items: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7, fan_in: int = FAN_IN, ident: str = "doc_id", source: str = "source",
+def mix(items: DataFrame, targets: DataFrame, total: float | None = None, all_met: bool = False, seed: int = 7, fan_in: int = FAN_IN, ident: str = "doc_id", source: str = "source",
         size: str = "n_tokens", share: str = "target_share", repeats: str = "max_repeats") -> tuple[DataFrame, DataFrame]:
     """(selection, report). selection: (ident, source, size, copies >= 1); report: one row per source of targets with the target
     and the reached share, tokens, documents, most copies and whether max_repeats held the source back.
 
     Each item of a source gets the same ratio of copies, budget / tokens: its whole part in any case, its fraction as a
-    probability. Probabilities are made whole per source in groups of at most about fan_in items; the at most one residual of each
-    group goes up a reduction tree with the same fan-in. The smallest items of a source's first group are kept back for the root, where
-    they make up for the last residual, so a source of any size meets its budget to within a small item. Draws depend on seed, source
-    and group alone, so a retried task repeats them. total: tokens wanted; None: the largest total at which every source with
-    tokens meets its share. Items with null source, an unlisted source or null size are not used; of targets given twice the first by share
-    counts; null or negative shares count as 0, null repeats as 0. Items of size 0 count no tokens. Empty tables give no rows.
+    probability. Probabilities are made whole per source in groups of about fan_in items; the at most one residual of each
+    group, one of its smallest items, goes up a reduction tree with the same fan-in, and what is left at the root is drawn with its probability. So
+    every item keeps its expectation, and a source of any size meets its budget to within one small item. Draws depend on seed, source
+    and group alone, so a retried task repeats them. total: tokens wanted, by default as many as the listed sources have; with all_met the
+    largest total at which every source with tokens meets its share. Items with null source, an unlisted source or null size are not used; of targets
+    given twice the largest share and repeats count; null or negative shares count as 0, null repeats as 0. Items of size 0 count no tokens.
+    Repeated items are each an item; they are dealt to groups by a hash of the row, so that copies do not gather. Empty tables give no rows.
     """
     spark = items.sparkSession
     plan = targets.filter(F.col(source).isNotNull()).groupBy(source).agg(F.max(F.coalesce(share, F.lit(0.0))).alias("_w"), F.max(F.coalesce(repeats, F.lit(0))).alias("_r"))
@@ -141,11 +147,16 @@ def mix(items: DataFrame, targets: DataFrame, total: float | None = None, seed:
     used = items.filter(F.col(size) >= 0).select(F.col(ident), F.col(source).alias("_source"), F.col(size).cast("double").alias("_size"))
     used = used.join(broadcast_if_small(plan.select(F.col(source).alias("_source")), SOURCES), "_source", "left_semi")
     sizes = {r["_source"]: (int(r["_t"] or 0), r["_n"]) for r in used.groupBy("_source").agg(F.sum("_size").alias("_t"), F.count(F.lit(1)).alias("_n")).collect()}
-    want = budgets(wanted, {s: t for s, (t, _) in sizes.items()}, float(total if total is not None else reachable(wanted, {s: t for s, (t, _) in sizes.items()})))
+    tokens = {s: t for s, (t, _) in sizes.items()}
+    want = budgets(wanted, tokens, float(reachable(wanted, tokens) if all_met else sum(tokens.values()) if total is None else total))
     ratio = [(s, min(want[s] / t, wanted[s][1]) if t else 0.0, max(1, math.ceil(n / fan_in))) for s, (t, n) in sizes.items()]
     ratios = spark.createDataFrame(ratio, "_source string, _ratio double, _blocks long")
-    rows = used.join(F.broadcast(ratios), "_source").withColumn("_block", F.pmod(F.xxhash64(ident), F.col("_blocks")))
-    rows = rows.withColumn("_base", F.floor(F.col("_ratio") + EPS)).select(ident, "_source", "_size", "_block", "_base", F.greatest(F.col("_ratio") - F.col("_base"), F.lit(0.0)).alias("_p"), F.lit(False).alias("_kept"))
+    # copies of a row are counted before the shuffle and then numbered, so that they are dealt to different groups, the same ones each time
+    once = used.groupBy(ident, "_source", "_size").agg(F.count(F.lit(1)).alias("_m"))
+    each = once.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1, F.lit(CHUNK).cast("long"))))
+    each = each.withColumn("_copy", F.explode(F.sequence("_from", F.least(F.col("_from") + CHUNK, F.col("_m")) - 1))).drop("_m", "_from")
+    rows = each.join(F.broadcast(ratios), "_source").withColumn("_block", F.pmod(F.xxhash64(ident, "_size", "_copy"), F.col("_blocks")))
+    rows = rows.withColumn("_base", F.floor(F.col("_ratio") + EPS)).select(ident, "_source", "_size", "_copy", "_block", "_base", F.greatest(F.col("_ratio") - F.col("_base"), F.lit(0.0)).alias("_p"))
     schema = rows.schema
     level, blocks = 0, max([b for _, _, b in ratio], default=1)
     parts = []

@@ -33,28 +33,27 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p8_containers(spark, d), read(spark, d, "containers"))
 
 
-def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mix(_sizes(spark, d, ["doc_id", "source"]), read(spark, d, "mix_targets"))[0]
+def _mixed(spark: SparkSession, d: str, all_met: bool = False) -> tuple[DataFrame, DataFrame]:
+    return mix(_sizes(spark, d, ["doc_id", "source"]), read(spark, d, "mix_targets"), all_met=all_met)
 
 
-def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mix(_sizes(spark, d, ["doc_id", "source"]), read(spark, d, "mix_targets"))[1]
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The selection when as many tokens are wanted as the listed sources have."""
+    return _mixed(spark, d)[0]
 
 
-def _mix_at_corpus_size(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    sizes, targets = _sizes(spark, d, ["doc_id", "source"]), read(spark, d, "mix_targets")
-    total = sizes.join(F.broadcast(targets.select("source")), "source", "left_semi").agg(F.sum("n_tokens")).first()[0]
-    return mix(sizes, targets, total=float(total or 0))
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Its shares: some sources are held back by max_repeats, and the others fill up for them."""
+    return _mixed(spark, d)[1]
 
 
-def p9_mix_at_corpus_size(spark: SparkSession, d: str) -> DataFrame:
-    """The selection when as many tokens are wanted as the listed sources have."""
-    return _mix_at_corpus_size(spark, d)[0]
+def p9_mix_all_met(spark: SparkSession, d: str) -> DataFrame:
+    """The largest selection in which every source meets its share."""
+    return _mixed(spark, d, True)[0]
 
 
-def p9_shares_at_corpus_size(spark: SparkSession, d: str) -> DataFrame:
-    """The shares when as many tokens are wanted as the listed sources have: some sources are then held back by max_repeats."""
-    return _mix_at_corpus_size(spark, d)[1]
+def p9_shares_all_met(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d, True)[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +65,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_mix_at_corpus_size": p9_mix_at_corpus_size, "p9_shares": p9_shares, "p9_shares_at_corpus_size": p9_shares_at_corpus_size,
+    "p1_found": p1_found, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_mix_all_met": p9_mix_all_met, "p9_shares_all_met": p9_shares_all_met,
     "p10_found": p10_found, "p10_composition": p10_composition,
 }
 

@@ -25,7 +25,8 @@ def test_thin_keeps_mass_and_expectation():
             q = thin(p, size, np.random.default_rng(k))
             odd = (q > 1e-9) & (q < 1 - 1e-9)
             assert odd.sum() <= 1 and abs((q * size).sum() - p * size.sum()) < 1e-6
-            assert not odd.any() or p == 0.03 or size[odd][0] <= np.sort(size)[30]  # what is left is small, unless a budget is less than an item
+            at_root = thin(p, size, np.random.default_rng(k), True)
+            assert set(at_root) <= {0.0, 1.0} and abs((at_root * size).sum() - p * size.sum()) < 6
             mean += q / n
         assert np.abs(mean - p).max() < 4.5 * np.sqrt(p * (1 - p) / n)
     assert set(thin(1.0, size, rng)) == {1.0} and set(thin(0.0, size, rng)) == {0.0} and len(thin(0.5, size[:0], rng)) == 0
@@ -76,7 +77,7 @@ def test_expectations_and_copies(spark):
     total, n, copies = 0.3 * sum(r[2] for r in rows), 12, 0
     for seed in range(n):
         s = mix(items, targets, total=total, seed=seed, fan_in=50)[0].toPandas()
-        assert abs((s.n_tokens * s.copies).sum() - total) < 4
+        assert abs((s.n_tokens * s.copies).sum() - total) <= 90  # an item
         copies += s[s.doc_id == 7].copies.sum()
     assert abs(copies / n / 200 - 0.3) < 4 * np.sqrt(0.21 / 200 / n)
 

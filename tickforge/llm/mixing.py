@@ -77,11 +77,13 @@ def reachable(targets: dict[str, tuple[float, int]], sizes: dict[str, int]) -> f
     return min([sizes[s] * r * weight / w for s, (w, r) in targets.items() if w > 0 and sizes.get(s, 0) * r > 0], default=0.0)
 
 
-def thin(p: float, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """pivot for items of one common probability, so that at most one, and that a small one, is left fractional.
+def thin(p: float, size: np.ndarray, rng: np.random.Generator, root: bool = False) -> np.ndarray:
+    """pivot for items of one common probability, so that at most one is left fractional, and nearly always a small one.
 
     The largest item forms the pair with the pool of all smaller ones: mass moves one way or the other until the item is integral, the way drawn
     so that neither its expectation nor that of any item of the pool changes (their probabilities move by the same amount). Then the next one.
+    Where the pool cannot take or give so much, it becomes integral in the item's place. At the root, where no other group can make up for
+    that, the item instead takes the outcome that the pool can balance: the only step that changes expectations, for the sake of the budget.
     """
     out = np.zeros(len(size))
     if EPS < p < 1 - EPS:
@@ -98,6 +100,13 @@ def thin(p: float, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
             out[order[k:]] = round(p)
             break
         s, pool = size[i], rest[k]
+        if root:
+            left = p * (s + pool)
+            short = [max(0.0, left - pool), max(0.0, s - left)]  # what the pool lacks or has too much of without and with the item
+            if max(short) > EPS * left:
+                out[i] = float(short[1] < short[0])
+                p = min(1.0, max(0.0, (left - out[i] * s) / pool)) if pool > 0 else p
+                continue
         if pool <= 0:
             out[i] = p
             break
@@ -116,9 +125,9 @@ def _rounded(seed: int, level: int, ident: str, root: bool):
         pdf = pdf.sort_values([ident, "_size", "_copy"], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng(zlib.crc32(f"{seed}/{level}/{pdf['_source'].iloc[0]}/{pdf['_block'].iloc[0]}".encode()))
         p, size = pdf["_p"].to_numpy(float), pdf["_size"].to_numpy(float)
-        p = thin(p[0], size, rng) if level == 0 else pivot(p, size, rng)
+        p = thin(p[0], size, rng, root) if level == 0 else pivot(p, size, rng)
         if root:
-            p = (rng.random(len(p)) < p).astype(float)
+            p = (rng.random(len(p)) < p).astype(float)  # at most one that is not integral yet
         return pdf.assign(_p=p)
 
     return run
@@ -131,8 +140,9 @@ def mix(items: DataFrame, targets: DataFrame, total: float | None = None, all_me
 
     Each item of a source gets the same ratio of copies, budget / tokens: its whole part in any case, its fraction as a
     probability. Probabilities are made whole per source in groups of about fan_in items; the at most one residual of each
-    group, one of its smallest items, goes up a reduction tree with the same fan-in, and what is left at the root is drawn with its probability. So
-    every item keeps its expectation, and a source of any size meets its budget to within one small item. Draws depend on seed, source
+    group, mostly one of its smallest items, goes up a reduction tree with the same fan-in, and what is left at the root is drawn with its
+    probability. Items keep their expectations but for those of a source's only group that the smaller ones cannot balance (say one larger than
+    the whole budget): they give way to the share. So a source meets its budget to within one item. Draws depend on seed, source
     and group alone, so a retried task repeats them. total: tokens wanted, by default as many as the listed sources have; with all_met the
     largest total at which every source with tokens meets its share. Items with null source, an unlisted source or null size are not used; of targets
     given twice the largest share and repeats count; null or negative shares count as 0, null repeats as 0. Items of size 0 count no tokens.

@@ -16,7 +16,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -120,54 +120,75 @@ class Model:
         return np.stack([np.bincount(rows, self.weights[cols, k], minlength=len(lists)) for k in range(len(self.subjects))], 1) + self.bias
 
 
-def fit(sample: pd.DataFrame, terms: pd.DataFrame, labels: pd.DataFrame, min_count: int = 3) -> Model:
-    """Classifiers from sampled documents (doc_id, lang, text), listed terms and hand labels."""
-    subjects = sorted(set(terms["subject"].dropna()))
-    at = {s: k for k, s in enumerate(subjects)}
-    listed: dict[tuple, set[int]] = {}
-    for s, lang, term in zip(terms["subject"], terms["lang"], terms["term"], strict=True):
-        if s is not None and term:
-            listed.setdefault((lang, *[w for x in sentences(term) for w in x]), set()).add(at[s])
-    longest = max((len(k) - 1 for k in listed), default=0)
-    known: dict[int, set[int]] = {}
-    for doc, s in zip(labels["doc_id"], labels["subject"], strict=True):
-        known.setdefault(doc, set()).update({at[s]} if s in at else set())
-    lists, doc, hit, hand = [], [], [], []
-    for n, (ident, lang, text) in enumerate(zip(sample["doc_id"], sample["lang"], sample["text"], strict=True)):
-        for words in sentences(text):
-            lists.append(words)
-            doc.append(n)
-            found = [x for k in range(1, longest + 1) for i in range(len(words) - k + 1) for x in listed.get((lang, *words[i : i + k]), ())]
-            hit.append(found)
-            hand.append(known.get(ident, ()))
-    size, doc = len(lists), np.array(doc, np.int64)
-    y = np.zeros((size, len(subjects)))
-    stated = np.zeros_like(y)
-    for i, (found, by_hand) in enumerate(zip(hit, hand, strict=True)):
-        y[i, found] = 1
-        stated[i, list(by_hand)] = 1
-    rows, cols = Ngrams().pairs(lists)
-    counts = np.bincount(cols, minlength=BUCKETS)
-    use = (counts >= min_count) & (counts < max(20, 0.15 * size))  # what stands nearly everywhere tells nothing
-    new = np.cumsum(use) - 1
-    keep = use[cols]
-    rows, cols, width = rows[keep], new[cols[keep]], int(use.sum())
-    docs = int(doc[-1]) + 1 if size else 0
-    in_doc = np.stack([np.bincount(doc, y[:, k], minlength=docs) for k in range(len(subjects))], 1)[doc] if size else y
-    other = (y.sum(1, keepdims=True) > 0) & (y == 0)
-    mask = (y > 0) | other | ((in_doc == 0) & (stated == 0))
-    weights, bias = np.zeros((width, len(subjects))), np.full(len(subjects), -3.0)
-    for k in range(len(subjects)):
-        weights[:, k], bias[k] = _logistic(rows, cols, width, y[:, k], mask[:, k])
-    per = np.bincount(doc, minlength=docs) if size else np.zeros(0)
-    for k in range(len(subjects)):
-        above = np.bincount(rows, weights[cols, k], minlength=size) + bias[k] > -2
-        share = (np.bincount(doc, above, minlength=docs) / np.maximum(per, 1))[doc] if size else np.zeros(0)
-        target = (above & (share >= 0.2)) | (y[:, k] > 0)
-        weights[:, k], bias[k] = _logistic(rows, cols, width, target.astype(float), target | ~above)
-    strong = np.abs(weights).max(1, initial=0) > 0.02
-    buckets = np.flatnonzero(use)[strong]
-    return Model(subjects, {int(b): i for i, b in enumerate(buckets)}, weights[strong], bias)
+class Sample:
+    """The n-grams of the sampled sentences, and what terms and hand labels say of them: what each subject's classifier is fitted on."""
+
+    def __init__(self, docs: pd.DataFrame, terms: pd.DataFrame, labels: pd.DataFrame, min_count: int = 3):
+        self.subjects = sorted(set(terms["subject"].dropna()))
+        at = {s: k for k, s in enumerate(self.subjects)}
+        listed: dict[tuple, set[int]] = {}
+        for s, lang, term in zip(terms["subject"], terms["lang"], terms["term"], strict=True):
+            if s is not None and term:
+                listed.setdefault((lang, *[w for x in sentences(term) for w in x]), set()).add(at[s])
+        longest = max((len(k) - 1 for k in listed), default=0)
+        known: dict[int, set[int]] = {}
+        for doc, s in zip(labels["doc_id"], labels["subject"], strict=True):
+            known.setdefault(doc, set()).update({at[s]} if s in at else set())
+        lists, doc, hit, hand = [], [], [], []
+        for n, (ident, lang, text) in enumerate(zip(docs["doc_id"], docs["lang"], docs["text"], strict=True)):
+            for words in sentences(text):
+                lists.append(words)
+                doc.append(n)
+                hit.append([x for k in range(1, longest + 1) for i in range(len(words) - k + 1) for x in listed.get((lang, *words[i : i + k]), ())])
+                hand.append(known.get(ident, ()))
+        self.size, self.doc = len(lists), np.array(doc, np.int64)
+        self.y, self.stated = np.zeros((self.size, len(self.subjects)), bool), np.zeros((self.size, len(self.subjects)), bool)
+        for i, (found, by_hand) in enumerate(zip(hit, hand, strict=True)):
+            self.y[i, found] = True
+            self.stated[i, list(by_hand)] = True
+        rows, cols = Ngrams().pairs(lists)
+        counts = np.bincount(cols, minlength=BUCKETS)
+        use = (counts >= min_count) & (counts < max(20, 0.15 * self.size))  # what stands nearly everywhere tells nothing
+        keep = use[cols]
+        self.rows, self.cols, self.width = rows[keep], (np.cumsum(use) - 1)[cols[keep]], int(use.sum())
+        self.buckets = np.flatnonzero(use)
+
+    def classifier(self, k: int) -> tuple[np.ndarray, float]:
+        """(weights, bias) of subject k against the rest: a first round on sentences with listed terms, a second on its result."""
+        docs = int(self.doc[-1]) + 1 if self.size else 0
+        per = lambda x: np.bincount(self.doc, x, minlength=docs) if self.size else np.zeros(0)
+        y = self.y[:, k]
+        mask = y | self.y.any(1) | ((per(y)[self.doc] == 0) & ~self.stated[:, k])
+        w, b = _logistic(self.rows, self.cols, self.width, y.astype(float), mask)
+        above = np.bincount(self.rows, w[self.cols], minlength=self.size) + b > -2
+        share = (per(above) / np.maximum(per(np.ones(self.size)), 1))[self.doc]
+        target = (above & (share >= 0.2)) | y
+        return _logistic(self.rows, self.cols, self.width, target.astype(float), target | ~above)
+
+    def model(self, fitted: list[tuple[np.ndarray, float]]) -> Model:
+        weights = np.stack([w for w, _ in fitted], 1) if fitted else np.zeros((self.width, 0))
+        strong = np.abs(weights).max(1, initial=0) > 0.02
+        return Model(self.subjects, {int(b): i for i, b in enumerate(self.buckets[strong])}, weights[strong], np.array([b for _, b in fitted]))
+
+
+def fit(docs: pd.DataFrame, terms: pd.DataFrame, labels: pd.DataFrame, spark: SparkSession | None = None) -> Model:
+    """Classifiers from sampled documents (doc_id, lang, text), listed terms and hand labels; with a session each subject's in a task of its own."""
+    sample = Sample(docs, terms, labels)
+    ks = range(len(sample.subjects))
+    if spark is None or not len(sample.subjects):
+        return sample.model([sample.classifier(k) for k in ks])
+    sent = spark.sparkContext.broadcast(sample)  # bounded by the sample
+
+    def one(batches):
+        for batch in batches:
+            for k in batch["k"]:
+                w, b = sent.value.classifier(int(k))
+                yield pd.DataFrame({"k": [k], "w": [w.tobytes()], "b": [b]})
+
+    rows = spark.createDataFrame([(k,) for k in ks], "k int").repartition(len(sample.subjects), "k").mapInPandas(one, "k int, w binary, b double").collect()
+    found = {r["k"]: (np.frombuffer(r["w"]), r["b"]) for r in rows}
+    sent.unpersist()
+    return sample.model([found[k] for k in ks])
 
 
 def _shares(model: Model, thresholds: list):
@@ -194,12 +215,13 @@ def _shares(model: Model, thresholds: list):
 def train(docs: DataFrame, terms: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Classifiers fitted on a bounded sample of documents, with thresholds calibrated on all hand-labelled ones."""
     texts = docs.filter("doc_id is not null and text is not null").select("doc_id", "lang", "text")
-    total = texts.select("doc_id").count()
-    share = min(1.0, sample_docs / max(total, 1))
-    sample = texts.filter((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) & (F.length("text") <= SAMPLE_CHARS)).limit(2 * sample_docs)
-    picked = sample.toPandas()
+    # the documents with the smallest hashes: as many at any size of the corpus, and copies count once
+    keys = texts.filter(F.length("text") <= SAMPLE_CHARS).select(F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    sample = texts.filter((F.xxhash64("doc_id") <= F.lit(keys)) & (F.length("text") <= SAMPLE_CHARS)).groupBy("doc_id").agg(F.first("lang").alias("lang"), F.first("text").alias("text"))
+    picked = sample.toPandas().sort_values("doc_id", kind="stable")
     hand = labels.filter("doc_id is not null and subject is not null").distinct()
-    model = fit(picked, terms.toPandas(), hand.join(sample.select("doc_id"), "doc_id", "left_semi").toPandas())
+    of_sample = hand.join(F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in picked["doc_id"]], "doc_id long")), "doc_id", "left_semi").toPandas()
+    model = fit(picked, terms.toPandas(), of_sample, docs.sparkSession)
     # calibration: hits, misses and false alarms of each subject at each threshold of the grid
     labelled = texts.select("doc_id", "text").join(hand.select("doc_id").distinct(), "doc_id", "left_semi")
     grid = [(t, np.full(len(model.subjects), t)) for t in GRID]
@@ -227,7 +249,10 @@ def subject_areas(docs: DataFrame, terms: DataFrame, labels: DataFrame, sample_d
     Null and empty texts, and texts without words, have no subject; repeated rows give their subjects once; without terms
     or documents there are no rows. Other columns are ignored. Without hand labels a default threshold stands.
     """
-    model = train(docs, terms, labels, sample_docs)
+    return _areas(train(docs, terms, labels, sample_docs), docs)
+
+
+def _areas(model: Model, docs: DataFrame) -> DataFrame:
     if not model.subjects:
         return docs.sparkSession.createDataFrame([], "doc_id long, subject string")
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -239,3 +264,18 @@ def composition(docs: DataFrame, areas: DataFrame) -> DataFrame:
     """(subject, documents, share): how many documents treat each subject; their shares of all documents may sum to more than 1."""
     total = max(1, docs.filter("doc_id is not null").count())
     return areas.groupBy("subject").agg(F.count(F.lit(1)).alias("documents")).withColumn("share", F.col("documents") / total)
+
+
+def held_out(docs: DataFrame, terms: DataFrame, labels: DataFrame, parts: int = 2) -> float:
+    """F1 over hand labels that neither the fit nor the thresholds saw: each part of the labelled documents is judged by a model of the others."""
+    hits = found = true = 0
+    part = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(parts))
+    for k in range(parts):
+        rest, own = labels.filter(part != k), labels.filter((part == k) & F.col("subject").isNotNull())
+        asked = docs.join(own.select("doc_id").distinct(), "doc_id", "left_semi")
+        said = _areas(train(docs, terms, rest), asked)
+        real = own.filter("subject <> 'none'").distinct().join(asked.select("doc_id"), "doc_id", "left_semi").distinct()
+        hits += said.join(real, ["doc_id", "subject"]).count()
+        found += said.count()
+        true += real.count()
+    return 2 * hits / max(1, found + true)

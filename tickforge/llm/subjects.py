@@ -126,21 +126,21 @@ class Sample:
     def __init__(self, docs: pd.DataFrame, terms: pd.DataFrame, labels: pd.DataFrame, min_count: int = 3):
         self.subjects = sorted(set(terms["subject"].dropna()))
         at = {s: k for k, s in enumerate(self.subjects)}
-        listed: dict[tuple, set[int]] = {}
+        listed: dict[str, dict[str, list]] = {}  # language: first word: (its other words, subject)
         for s, lang, term in zip(terms["subject"], terms["lang"], terms["term"], strict=True):
-            if s is not None and term:
-                listed.setdefault((lang, *[w for x in sentences(term) for w in x]), set()).add(at[s])
-        longest = max((len(k) - 1 for k in listed), default=0)
+            if s is not None and term and (words := [w for x in sentences(term) for w in x]):
+                listed.setdefault(lang, {}).setdefault(words[0], []).append((words[1:], at[s]))
         known: dict[int, set[int]] = {}
         for doc, s in zip(labels["doc_id"], labels["subject"], strict=True):
             known.setdefault(doc, set()).update({at[s]} if s in at else set())
         lists, doc, hit, hand = [], [], [], []
         for n, (ident, lang, text) in enumerate(zip(docs["doc_id"], docs["lang"], docs["text"], strict=True)):
+            firsts, by_hand = listed.get(lang, {}), known.get(ident, ())
             for words in sentences(text):
                 lists.append(words)
                 doc.append(n)
-                hit.append([x for k in range(1, longest + 1) for i in range(len(words) - k + 1) for x in listed.get((lang, *words[i : i + k]), ())])
-                hand.append(known.get(ident, ()))
+                hit.append([k for i, w in enumerate(words) if w in firsts for more, k in firsts[w] if words[i + 1 : i + 1 + len(more)] == more])
+                hand.append(by_hand)
         self.size, self.doc = len(lists), np.array(doc, np.int64)
         self.y, self.stated = np.zeros((self.size, len(self.subjects)), bool), np.zeros((self.size, len(self.subjects)), bool)
         for i, (found, by_hand) in enumerate(zip(hit, hand, strict=True)):

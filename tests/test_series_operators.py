@@ -242,3 +242,15 @@ def test_spikes_beside_missing_values(spark):
     cut, whole = (sorted(map(tuple, flag_implausible(df, target_rows=n).filter("reason <> 'fence'").collect())) for n in (100, 100_000))
     assert cut == whole
     assert (1100, "open_px", "jump") in whole and (2300, "high_px", "jump") in whole and sum(r[2] == "stuck" and r[0] >= 2500 for r in whole) == 308
+
+
+def test_best_over_is_brute_force():
+    from tickforge.operators.asof import _best_over
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 64, 100):
+        a = rng.integers(0, n, 40)
+        b = np.minimum(n, a + rng.integers(0, n + 1, 40))
+        rank = rng.permutation(40) + 1
+        want = [max((r for x, y, r in zip(a, b, rank) if x <= i < y), default=0) for i in range(n)]
+        assert _best_over(a, b, rank, n).tolist() == want

@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickforge.functions.compiler import evaluate
-from tickforge.functions.expr import REGISTERED, Binary, Constant, Primitive, Series, check, example, from_dict, kind_of, pretty, registry, shifted, strategy_id, to_dict
+from tickforge.functions.expr import REGISTERED, Binary, Constant, Kind, Primitive, Series, check, example, from_dict, kind_of, position, pretty, registry, shifted, signal, strategy_id, to_dict
 from tickforge.operators import backtest as bt
 from tickforge.operators import pareto, portfolio
-from tickforge.sources.bars import chronological_split, manifest, numbered, read_bars, synthetic_bars
+from tickforge.sources.bars import chronological_split, load_bars, manifest, numbered, read_bars, synthetic_bars
 
 CLOSE = [101, 103, 102, 105, 106, 104, 108, 109, 107, 111]
 
@@ -59,9 +59,29 @@ def test_every_primitive_and_no_look_ahead(spark):
     assert all(0 <= whole[k][f"x{REGISTERED.index('RSI')}"] <= 100 for k in range(10, 90))
 
 
+def test_every_primitive_equals_its_kernel(spark):
+    from tickforge.functions.expr import OWN, RULES
+    from tickforge.functions.kernels import Bars, values
+
+    rng = np.random.default_rng(4)
+    n = 70
+    close = 100 + np.cumsum(rng.normal(0, 1, n)).round(2)
+    close[30:36] = close[30]  # flat for a while
+    high, low = close + rng.random(n).round(2), close - rng.random(n).round(2)
+    high[40], low[40] = close[40], close[40]
+    cols = {"open": close + rng.normal(0, 0.3, n), "high": high, "low": low, "close": close, "volume": rng.integers(1, 500, n).astype(float), "funding_rate": rng.normal(0, 0.01, n), "imbalance": rng.random(n)}
+    bars = spark.createDataFrame([("X", i, *(float(cols[c][i]) for c in cols)) for i in range(n)], "symbol string, bar_idx long, " + ", ".join(f"{c} double" for c in cols))
+    named = {f"x{i}_{p}": Primitive(m, p) for i, m in enumerate([*OWN, *RULES]) for p in (2, 7)}
+    got = evaluate(bars, named).orderBy("bar_idx").toPandas()
+    b = Bars(cols)
+    for name, node in named.items():
+        want = values(node, b)
+        np.testing.assert_allclose(got[name].to_numpy(float), want, rtol=1e-7, atol=1e-7, err_msg=str(node))
+
+
 def test_shards_change_nothing(spark):
-    bars = synthetic_bars(spark, 3000)
-    named = {"a": Primitive("EMA", 4), "b": Primitive("ATR", 14), "c": Primitive("HMA", 9), "d": Primitive("TRIX", 3)}
+    bars = synthetic_bars(spark, 3000).withColumn("volume", F.round("volume"))
+    named = {"a": Primitive("EMA", 4), "b": Primitive("ATR", 14), "c": Primitive("HMA", 9), "d": Primitive("TRIX", 3), "e": Primitive("OBV", 2) / Primitive("EMA", 3), "f": Primitive("AD_LINE", 2), "g": Primitive("CUM_RETURN", 2)}
     one = {r["bar_idx"]: r for r in evaluate(bars, named).collect()}
     cut = {r["bar_idx"]: r for r in evaluate(bars, named, target_rows=700).collect()}
     for k, r in one.items():
@@ -82,6 +102,12 @@ def test_expressions():
     assert from_dict(json.loads(json.dumps(to_dict(g)))) == g and strategy_id(g) == strategy_id(from_dict(to_dict(g))) and g.complexity() == 5 and g.warmup() == 63
     assert pretty(g) == "((RSI(close, 17) - EMA(close, 63)) / ATR(close, 21))"
     assert kind_of(Constant(1) + Constant(2)) == "scalar" and kind_of(g) == "series" and len(registry()) == 139
+    assert not check(Primitive("NOPE"))["registered"] and check(g)["registered"] and position(signal(kind_of(g))) == "position"
+    for kind in (Kind.SCALAR, Kind.POSITION):
+        with pytest.raises(TypeError):
+            signal(kind)
+    with pytest.raises(TypeError):
+        position(Kind.SERIES)
     assert not check(Primitive("NOPE"))["valid"] and not check(Binary("%", Constant(1), Constant(2)))["valid"]
     assert shifted(g, -30).left.left.period == 2
     with pytest.raises(ValueError):
@@ -104,11 +130,68 @@ def test_weights():
     for f in portfolio.METHODS.values():
         w = f(cov)
         assert abs(w.sum() - 1) < 1e-9 and (w >= 0).all()
-    w = portfolio.risk_parity(cov)
-    assert np.ptp(w * (cov @ w)) < 1e-3
+    w = np.array([0.5, 0.5])
+    two = np.array([[0.04, 0.01], [0.01, 0.09]])
+    w = 1 / np.sqrt(np.diag(two))
+    for _ in range(100):
+        w = w / (two @ (w / w.sum()))
+        w = w / w.sum()
+    assert np.allclose(portfolio.risk_parity(two), w)
+    x = np.linalg.inv(two + 1e-4 * np.eye(2)).sum(1)
+    assert np.allclose(portfolio.min_variance(two), x / x.sum())
     assert portfolio.prune(["a", "b", "c"], np.array([[1, 0.99, 0.1], [0.99, 1, 0.1], [0.1, 0.1, 1]]), {"a": 1, "b": 2, "c": 0}) == ["b", "c"]
 
 
+def test_ensemble_combines(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(0.001, 0.01, (3, 60))
+    base[1] = base[0] * 1.01
+    rows = [(f"s{k}", i, float(base[k, i]) if i else 0.0) for k in range(3) for i in range(60)]
+    got = portfolio.ensemble(spark.createDataFrame(rows, "strategy string, bar_idx long, ret double"), {"s0": 1.0, "s1": 2.0, "s2": 0.5}, "equal")
+    assert got["kept"] == ["s1", "s2"] and got["weights"] == {"s1": 0.5, "s2": 0.5}
+    r = base[1:, 1:].mean(0)
+    equity = np.cumprod(1 + r)
+    want = {"sharpe": np.sqrt(252) * r.mean() / r.std(ddof=1), "total_return": equity[-1] - 1, "max_drawdown": -min(0, (equity / np.maximum.accumulate(np.maximum(equity, 1)) - 1).min())}
+    assert all(abs(got["metrics"][k] - v) < 1e-9 for k, v in want.items()) and got["metrics"]["selected"] == 2
+
+
+def test_fronts_in_parts(spark):
+    rng = np.random.default_rng(6)
+    rows = [("g", i, *map(float, rng.integers(0, 60, 3))) for i in range(900)] + [("h", 1000, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, id long, a double, b double, c double")
+    goals = (["k"], "id", ["a"], ["b", "c"])
+    whole = {r["id"]: r["front"] for r in pareto.fronts(df, *goals).collect()}
+    assert {r["id"]: r["front"] for r in pareto.fronts(df, *goals, most=2, part=40).collect()} == {i: k for i, k in whole.items() if k <= 2}
+    assert {r["id"] for r in pareto.skyline(df, *goals, part=40).collect()} == {i for i, k in whole.items() if k == 1}
+    enough = {r["id"]: r["front"] for r in pareto.fronts(df, *goals, enough=15, part=40).collect()}
+    assert enough == {r["id"]: r["front"] for r in pareto.fronts(df, *goals, enough=15).collect()} and len(enough) >= 15
+
+
+def test_ancestors_of_any_depth(spark):
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, 300)] + [(0, 0), (500, 501), (501, 500)], "child long, parent long")
+    assert sorted(r["id"] for r in pareto.ancestors(edges, "child", 250).collect()) == list(range(251))
+    assert sorted(r["id"] for r in pareto.ancestors(edges, "child", 500).collect()) == [500, 501]
+    assert pareto.ancestors(edges, "child", 9999).count() == 0
+
+
+def test_stress_by_hand(spark):
+    from tickforge.operators import books
+
+    closes = [100.0, 101.0, 99.0, 102.0, 103.0, 101.0]
+    bars = spark.createDataFrame([("X", i, c, c + 1, c - 1, v) for i, (c, v) in enumerate(zip(closes, [1.0, 2.0, 1.0, 1.0, 9.0, 1.0]))], "symbol string, bar_idx long, close double, high double, low double, volume double")
+    curves = bt.curve(bars.withColumn("signal", F.when(F.col("bar_idx") % 2 == 0, 1.0).otherwise(-1.0)), ["symbol"])
+    pos = [r["position"] for r in curves.orderBy("bar_idx").collect()]
+    got = books.stress(curves, bars).first()
+    rets, volumes = [], [1.0, 2.0, 1.0, 1.0, 9.0, 1.0]
+    for i in range(1, 6):
+        q = abs(pos[i] - pos[i - 1])
+        near = min(q, max(1.0, volumes[i] / 4))
+        slip = (near * 5e-5 + (q - near) * 15e-5) / q if q else 0.0
+        rets.append(pos[i - 1] * (closes[i] / closes[i - 1] - 1) - (slip + 2e-4 if q else 0.0))
+    r = np.array(rets)
+    assert math.isclose(got["microstructure_sharpe"], np.sqrt(252) * r.mean() / r.std(ddof=1), rel_tol=1e-9) and got["trades_simulated"] == sum(a != b for a, b in zip(pos, pos[1:])) and got["fill_rate"] == 1.0
+
+
 def test_fronts(spark):
     rng = np.random.default_rng(0)
     x = rng.integers(0, 12, (200, 3))
@@ -132,6 +215,13 @@ def test_bar_files(spark, tmp_path):
     for bad in ("b.csv", "c.txt"):
         with pytest.raises(ValueError):
             read_bars(spark, str(tmp_path / bad))
+    for bad, text in (("10,8,9,10,5", "OHLC"), ("10,nan,9,10,5", "not finite"), ("10,11,9,10,-5", "negative"), ("x,11,9,10,5", "numbers")):
+        (tmp_path / "d.csv").write_text(f"timestamp,symbol,open,high,low,close,volume\n2024-01-01,X,{bad}\n")
+        with pytest.raises(ValueError, match=text):
+            load_bars(spark, str(tmp_path / "d.csv"))
+    (tmp_path / "e.csv").write_text("timestamp,symbol,open,high,low,close,volume\n" + "2024-01-01,X,1,2,0.5,1.5,10\n" * 2)
+    with pytest.raises(ValueError, match="duplicate"):
+        load_bars(spark, str(tmp_path / "e.csv"))
     df = spark.range(100).select("id", F.expr("timestamp_micros(id * 7919 % 50)").alias("ts"))
     parts = {r["id"]: r["part"] for r in chronological_split(df, "ts", "id").collect()}
     order = sorted(range(100), key=lambda i: (i * 7919 % 50, i))

@@ -64,12 +64,34 @@ def test_search_store_and_cli(spark, tmp_path, capsys):
     start = Primitive("SMA", 4) - Primitive("SMA", 12)
     first = search(bars, str(tmp_path / "run"), 4, 1, start=start)
     again = search(bars, str(tmp_path / "run"), 4, 2, start=start)
-    lines = (tmp_path / "run" / "candidates.jsonl").read_text().splitlines()
+    run = str(tmp_path / "run")
+    lines = (tmp_path / "run" / "strategies.jsonl").read_text().splitlines()
     assert len(lines) == 8 and first["candidates"] == again["candidates"] == 4
+    record = json.loads(lines[-1])
+    assert record["parents"] and set(record["train_metrics"]) >= {"sharpe", "trades", "complexity"} and record["status"] == "evaluated"
+    for kind in ("walk_forward", "purged_cross_validation"):
+        details = record["validation"][kind]["fold_details"]
+        assert len(details) == 3 and details[0]["test_end"] > details[0]["test_start"] and "sharpe" in details[0]["metrics"]
+    suite = record["robustness"]
+    assert [x["cost_multiplier"] for x in suite["cost_sensitivity"]["scenarios"]] == [0.5, 1.0, 1.5, 2.0, 3.0] and [x["delta"] for x in suite["parameter_sensitivity"]["scenarios"]] == [-3, -2, -1, 0, 1, 2, 3]
+    assert set(suite["monte_carlo"]["quantiles"]) == {"sharpe", "total_return", "max_drawdown"}
+    from tickforge.operators import backtest as bt
+    from tickforge.functions.expr import from_dict
+
+    part = bars.filter("bar_idx < 96")
+    alone = bt.metrics(bt.backtest(part, from_dict(record["genome"])), ["symbol"]).first()
+    assert all(abs(record["train_metrics"][k] - alone[k]) < 1e-9 for k in ("sharpe", "total_return", "costs_paid"))
+    (tmp_path / "run" / "strategies" / "broken.json").write_text("{")
+    found, damaged = store.load_run(run, 5)
+    assert len(found) == 5 and damaged == 1 and [r["test_metrics"]["sharpe"] for r in found] == sorted((r["test_metrics"]["sharpe"] for r in found), reverse=True)
+    assert [r["run"] for r in store.runs(str(tmp_path))] == ["run"] and len(store.top_report(run, str(tmp_path / "top"), 3)) == 3
+    with pytest.raises(SystemExit):
+        cli.main(["gauntlet", "x.csv", "--run", str(tmp_path)])
+    capsys.readouterr()
     csv = tmp_path / "bars.csv"
     rows = ["timestamp,symbol,open,high,low,close,volume"] + [f"2024-01-{1 + r['bar_idx'] // 24:02d}T{r['bar_idx'] % 24:02d}:00:00,S,{r['open']},{r['high']},{r['low']},{r['close']},{r['volume']}" for r in bars.orderBy("bar_idx").collect()]
     csv.write_text("\n".join(rows))
-    for args in (["validate", str(csv)], ["backtest", str(csv)], ["factor", str(csv), "--candidates", str(tmp_path / "run" / "candidates.jsonl")], ["ensemble", str(csv), "--candidates", str(tmp_path / "run" / "candidates.jsonl"), "--top", "3"]):
+    for args in (["validate", str(csv)], ["backtest", str(csv)], ["factor", str(csv), "--run", run], ["ensemble", str(csv), "--run", run, "--top", "3"], ["gauntlet", str(csv), "--run", run, "--top", "2"], ["runs", str(tmp_path)]):
         assert cli.main(args) == 0
         out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
         assert out

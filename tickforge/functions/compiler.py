@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.functions.expr import RULES, Binary, Constant, Node, Primitive, Series
-from tickforge.operators.shards import TARGET_ROWS, assign_shards, with_halo
+from tickforge.functions.expr import PLUGINS, RULES, Binary, Constant, Node, Primitive, Series, walk
+from tickforge.operators.shards import TARGET_ROWS, assign_shards, carry, with_halo
+from tickforge.session import broadcast_if_small
 
 TINY = 1e-12
 YEAR = math.sqrt(252)
@@ -106,6 +107,8 @@ class Plan:
 
     def primitive(self, name: str, period: int) -> Column:
         name, p = name.upper(), max(2, int(period))
+        if f"_cum_{name}" in self.have:
+            return F.col(f"_cum_{name}")
         if (name, p) in self.done:
             return F.col(self.done[name, p][0])
         column, depth = _PRIMITIVES[name](self, p) if name in _PRIMITIVES else self.shared_rule(name, p)
@@ -157,16 +160,15 @@ def _kama(x: np.ndarray, p: int, idx: np.ndarray) -> np.ndarray:
     first = np.searchsorted(idx, p - 1)
     if first >= len(x):
         return out
-    steps = np.abs(np.diff(x, prepend=x[:1]))
-    total = np.cumsum(steps)
     fast, slow = 2 / 3, 2 / 31
-    level = x[first]
-    out[first] = level
-    for i in range(first + 1, len(x)):
-        far = max(i - p, 0)
-        vol = steps[far + 1 : i + 1].sum() if p < 64 else total[i] - total[far]
-        er = abs(x[i] - x[far]) / vol if vol > 0 else 0.0
-        level += (er * (fast - slow) + slow) ** 2 * (x[i] - level)
+    steps = np.abs(np.diff(x, prepend=x[:1]))
+    vol = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(p - 1), steps]), p).sum(1)
+    far = np.concatenate([np.full(min(p, len(x)), x[0]), x[:-p]]) if len(x) > p else np.full(len(x), x[0])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        constant = (np.where(vol > 0, np.abs(x - far) / vol, 0.0) * (fast - slow) + slow) ** 2
+    level = out[first] = x[first]
+    for i in range(first + 1, len(x)):  # each step scales by another constant, so there is no closed form
+        level += constant[i] * (x[i] - level)
         out[i] = level
     return out
 
@@ -425,19 +427,37 @@ _PRIMITIVES = {
 def register_primitive(name: str, build) -> None:
     """Adds a primitive: build(plan, period) -> (Column, depth). Its name can then be used in any expression."""
     _PRIMITIVES[name.upper()] = build
+    PLUGINS.add(name.upper())
 
 
-def lookback(node: Node) -> int | None:
-    """Bars before a bar that its value can depend on (by more than one part in 1e16); None if all of them."""
+def lookback(node: Node) -> int:
+    """Bars before a bar that its value can depend on (by more than one part in 1e16), but for what cumulative primitives carry."""
     if isinstance(node, Primitive):
         name, p = node.name.upper(), max(2, node.period)
         if name in CUMULATIVE:
-            return None
+            return 0
         if name == "KAMA":
             return p + 9000  # 36.8 over the smallest squared constant
         return math.ceil(3 * EMA_MEMORY * (p + 1)) + 2 * p if name in RECURSIVE else 2 * p + 6
-    parts = [lookback(c) for c in node.children()]
-    return None if None in parts else max(parts, default=0)
+    return max((lookback(c) for c in node.children()), default=0)
+
+
+def _with_cumulative(bars: DataFrame, names: set[str], series: list[str], order: str, price_only: bool) -> DataFrame:
+    """bars, cut into shards, with _cum_<name> of each cumulative primitive: its sum within the shard and, carried in, that of the shards ahead."""
+    pl = Plan(bars.columns, [*series, "_shard"], order, price_only)
+    steps = {"OBV": F.signum(pl.change(pl.close)) * pl.volume, "AD_LINE": F.when(pl.idx > 0, _flow(pl)).otherwise(0.0)}
+    steps = {n: x for n, x in steps.items() if n in names}
+    if steps:
+        near = with_halo(bars, series, [order], 1, 0)
+        near = near.withColumns({f"_step_{n}": x for n, x in steps.items()}).filter("not _halo").drop("_halo")
+        run = near.withColumns({f"_cum_{n}": F.sum(f"_step_{n}").over(pl.w.rowsBetween(Window.unboundedPreceding, 0)) for n in steps})
+        ahead = carry(near, series, {f"_ahead_{n}": F.sum(f"_step_{n}") for n in steps}, F.sum)
+        run = run.join(broadcast_if_small(ahead, 10_000), [*series, "_shard"], "left")
+        bars = run.withColumns({f"_cum_{n}": F.col(f"_cum_{n}") + F.coalesce(f"_ahead_{n}", F.lit(0.0)) for n in steps}).drop(*[f"{k}_{n}" for n in steps for k in ("_step", "_ahead")])
+    if "CUM_RETURN" in names:
+        first = bars.groupBy(*series).agg(F.min_by("close", order).alias("_first"))
+        bars = bars.join(broadcast_if_small(first), series).withColumn("_cum_CUM_RETURN", ratio(F.col("close"), F.col("_first")) - 1).drop("_first")
+    return bars
 
 
 def evaluate(bars: DataFrame, expressions: dict[str, Node], keys: tuple[str, ...] = ("symbol",), order: str = "bar_idx", price_only: bool = False, target_rows: int = TARGET_ROWS) -> DataFrame:
@@ -445,19 +465,18 @@ def evaluate(bars: DataFrame, expressions: dict[str, Node], keys: tuple[str, ...
 
     bars has the keys, the 0-based number of the bar in its series (order), close and, if present, open, high, low, volume
     (else close and 1) and the alternative data columns. price_only gives expressions only close, high, low and volume.
-    Series longer than target_rows are cut into time shards with halo bars as far as the expressions look back, unless
-    one is cumulative.
+    Series longer than target_rows are cut into time shards with halo bars as far as the expressions look back; cumulative primitives are carried over shards.
     """
-    series = list(keys)
-    depth = [lookback(n) for n in expressions.values()]
-    split = False
-    if None not in depth:
-        bars, split = assign_shards(bars, series, order, target_rows)
-        bars = with_halo(bars, series, [order], max(depth, default=0), 0, split) if split else bars.drop("_shard")
+    series, given = list(keys), bars.columns
+    bars, split = assign_shards(bars, series, order, target_rows)
+    if split:
+        used = {n.name.upper() for e in expressions.values() for n in walk(e) if isinstance(n, Primitive)} & CUMULATIVE
+        bars = with_halo(_with_cumulative(bars, used, series, order, price_only), series, [order], max(map(lookback, expressions.values()), default=0), 0)
+    else:
+        bars = bars.drop("_shard")
     plan = Plan(bars.columns, series + ["_shard"] * split, order, price_only)
     columns = {name: plan.column(node) for name, node in expressions.items()}
-    keep = [c for c in bars.columns if c not in ("_shard", "_halo")]
     out = plan.apply(bars)
     if split:
         out = out.filter("not _halo")
-    return out.select(*keep, *[c.cast("double").alias(n) for n, c in columns.items()])
+    return out.select(*given, *[c.cast("double").alias(n) for n, c in columns.items()])

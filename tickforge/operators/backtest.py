@@ -114,7 +114,7 @@ def backtest(bars: DataFrame, genome: Node, execution: Execution | None = None,
     return curve(signals, list(keys), execution, threshold, target_rows=target_rows)
 
 
-def cross_sectional(bars: DataFrame, genome: Node, execution: Execution | None = None, max_gross: float = 1.0, max_position: float = 0.2) -> DataFrame:
+def cross_sectional(bars: DataFrame, genome: Node, execution: Execution | None = None, max_gross: float = 1.0, max_position: float = 0.2, target_rows: int = TARGET_ROWS) -> DataFrame:
     """(bar_idx, gross, cost, trades, ret, equity): demeaned scores of all symbols as capped long and short weights.
 
     Symbols are aligned by bar number up to the shortest series. Weights follow scores by the delay, earn from the bar after;
@@ -136,9 +136,9 @@ def cross_sectional(bars: DataFrame, genome: Node, execution: Execution | None =
     out = df.groupBy("bar_idx").agg(F.sum(F.col("_was") * F.col("_move")).alias("gross"), F.sum(cost).alias("cost"), F.count_if(turn > 1e-6).alias("trades"))
     live = F.col("bar_idx") > 0
     out = out.select("bar_idx", F.when(live, F.col("gross")).otherwise(0.0).alias("gross"), F.when(live, F.col("cost")).otherwise(0.0).alias("cost"), F.when(live, F.col("trades")).otherwise(0).alias("trades"))
-    out = out.withColumn("ret", F.col("gross") - F.col("cost"))
-    # one row per bar of the shortest series is left
-    return out.withColumn("equity", F.product(1 + F.col("ret")).over(Window.orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.withColumns({"ret": F.col("gross") - F.col("cost"), "_all": F.lit(0)})
+    out, split = assign_shards(out, ["_all"], "bar_idx", target_rows)  # one row per bar of the shortest series, which may be long
+    return with_equity(out if split else out.drop("_shard"), ["_all"]).select("bar_idx", "gross", "cost", "trades", "ret", "equity")
 
 
 def cleared(bars: DataFrame, strategies: list[Node], execution: Execution | None = None, threshold: float = 0.0) -> DataFrame:
@@ -162,15 +162,22 @@ def cleared(bars: DataFrame, strategies: list[Node], execution: Execution | None
     return long.select("symbol", "strategy", "bar_idx", "position", "order", "cost", "ret", "equity")
 
 
-def cost_sensitivity(bars: DataFrame, genome: Node, execution: Execution | None = None, multipliers: tuple[float, ...] = (0.5, 1.0, 1.5, 2.0, 3.0)) -> DataFrame:
-    """Metrics per symbol and cost multiplier; the signal is calculated once and meets the scenarios afterwards."""
+MULTIPLIERS = (0.5, 1.0, 1.5, 2.0, 3.0)
+
+
+def with_costs(curves: DataFrame, keys: list[str], execution: Execution | None = None, multipliers: tuple[float, ...] = MULTIPLIERS) -> DataFrame:
+    """Metrics per key and cost multiplier of curves that were run with execution: what its costs on turnover change by is taken off their returns."""
     ex = execution or Execution()
-    base = evaluate(bars, {"signal": genome}, price_only=True).select("symbol", "bar_idx", "close", "signal")
-    grid = base.withColumn("multiplier", F.explode(F.array(*[F.lit(float(m)) for m in multipliers])))
-    per = curve(grid, ["symbol", "multiplier"], replace(ex, commission_bps=0, spread_bps=0, slippage_bps=0, impact_bps=0))
-    per = per.withColumn("_extra", F.col("multiplier") * (ex.fixed() + ex.impact_bps / 1e4) * F.col("turn"))
-    per = per.withColumns({"cost": F.col("cost") + F.col("_extra"), "ret": F.col("ret") - F.col("_extra")})
-    return metrics(with_equity(per, ["symbol", "multiplier"]), ["symbol", "multiplier"])
+    per = curves.withColumn("multiplier", F.explode(F.array(*[F.lit(float(m)) for m in multipliers])))
+    extra = (F.col("multiplier") - 1) * (ex.fixed() + ex.impact_bps / 1e4) * F.col("turn")
+    per = per.withColumns({"cost": F.col("cost") + extra, "ret": F.col("ret") - extra})
+    keys = [*keys, "multiplier"]
+    return metrics(with_equity(per, keys), keys)
+
+
+def cost_sensitivity(bars: DataFrame, genome: Node, execution: Execution | None = None, multipliers: tuple[float, ...] = MULTIPLIERS) -> DataFrame:
+    """Metrics per symbol and cost multiplier; the curve is calculated once and meets the scenarios afterwards."""
+    return with_costs(backtest(bars, genome, execution), ["symbol"], execution, multipliers)
 
 
 def parameter_sensitivity(bars: DataFrame, genome: Node, execution: Execution | None = None, deltas: tuple[int, ...] = (-3, -2, -1, 0, 1, 2, 3)) -> DataFrame:
@@ -181,33 +188,51 @@ def parameter_sensitivity(bars: DataFrame, genome: Node, execution: Execution |
     return metrics(curve(grid.select("symbol", "bar_idx", "close", "_s.*"), ["symbol", "delta"], execution), ["symbol", "delta"])
 
 
-def _folds(bars: DataFrame, kind: str, folds: int, test: float, initial: float) -> DataFrame:
-    """bars once per fold whose test window they are in, with fold and recorded bounds; bar_idx restarts in each."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    df = bars.withColumn("_n", n)
+def fold_bars(bars: DataFrame, kind: str, folds: int = 3, test: float = 0.2, initial: float = 0.5, purge: int = 1, embargo: int = 1) -> DataFrame:
+    """bars once per fold whose test window they are in, with fold and its bounds; bar_idx restarts in each."""
+    n = F.col("_n")
+    counts = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))  # joined back, so that no series is gathered in one task
+    df = bars.join(broadcast_if_small(counts), "symbol")
     if kind == "walk_forward":
-        size, start = F.greatest(F.lit(1), F.floor(F.col("_n") * test)), F.greatest(F.lit(1), F.floor(F.col("_n") * initial))
+        size, start = F.greatest(F.lit(1), F.floor(n * test)), F.greatest(F.lit(1), F.floor(n * initial))
         fold = F.floor((F.col("bar_idx") - start) / size)
-        df = df.withColumns({"fold": fold, "test_start": start + fold * size}).filter((F.col("bar_idx") >= start) & (F.col("fold") < folds))
+        df = df.withColumns({"fold": fold, "test_start": start + fold * size, "test_end": F.least(n, start + (fold + 1) * size)}).filter((F.col("bar_idx") >= start) & (F.col("fold") < folds))
+        df = df.withColumns({"train_start": F.lit(0).cast("long"), "train_end": F.col("test_start")})
     else:
-        size = F.greatest(F.lit(1), F.floor(F.col("_n") / folds))
+        size = F.greatest(F.lit(1), F.floor(n / folds))
         fold = F.least(F.floor(F.col("bar_idx") / size), F.lit(folds - 1))
-        df = df.withColumns({"fold": fold, "test_start": fold * size})
-    return df.withColumn("bar_idx", F.col("bar_idx") - F.col("test_start")).withColumn("fold", F.col("fold").cast("int")).drop("_n", "test_start")
+        df = df.withColumns({"fold": fold, "test_start": fold * size, "test_end": F.when(fold == folds - 1, n).otherwise(F.least(n, (fold + 1) * size))})
+        df = df.withColumn("train_end", F.greatest(F.lit(0), F.col("test_start") - purge))
+        df = df.withColumn("train_start", F.when(F.col("test_end") + embargo < n, F.col("test_end") + embargo).otherwise(F.col("train_end")))
+    return df.withColumn("bar_idx", F.col("bar_idx") - F.col("test_start")).withColumn("fold", F.col("fold").cast("int")).drop("_n")
+
 
+BOUNDS = ("train_start", "train_end", "test_start", "test_end")
 
-def fold_metrics(bars: DataFrame, genome: Node, kind: str = "walk_forward", folds: int = 3, execution: Execution | None = None, test: float = 0.2, initial: float = 0.5) -> DataFrame:
-    """Metrics per symbol and fold of walk-forward windows ('walk_forward') or contiguous folds ('purged'); indicators restart in each."""
-    return metrics(backtest(_folds(bars, kind, folds, test, initial), genome, execution, keys=("symbol", "fold")), ["symbol", "fold"])
+
+def fold_metrics(bars: DataFrame, genome: Node, kind: str = "walk_forward", folds: int = 3, execution: Execution | None = None, test: float = 0.2, initial: float = 0.5,
+                 purge: int = 1, embargo: int = 1, bounds: bool = False) -> DataFrame:
+    """Metrics per symbol and fold of walk-forward windows ('walk_forward') or contiguous folds ('purged'); indicators restart in each.
+
+    bounds: also where train and test begin and end. Walk-forward trains on all bars ahead of the test; a purged fold's train_end is ``purge``
+    bars ahead of its test and its train_start ``embargo`` bars behind it, or, where that is beyond the series, the same as train_end.
+    """
+    cut = fold_bars(bars, kind, folds, test, initial, purge, embargo)
+    out = metrics(backtest(cut.drop(*BOUNDS), genome, execution, keys=("symbol", "fold")), ["symbol", "fold"])
+    if not bounds:
+        return out
+    at = cut.groupBy("symbol", "fold").agg(*[F.min(c).cast("long").alias(c) for c in BOUNDS])
+    return at.join(out, ["symbol", "fold"])
 
 
 def combinatorial_metrics(bars: DataFrame, genome: Node, groups: int = 4, held: int = 2, execution: Execution | None = None) -> DataFrame:
     """Metrics per symbol and split of combinatorial cross-validation: the test groups of a split are concatenated and backtested as one series."""
     splits = list(itertools.combinations(range(groups), held))
-    size = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(Window.partitionBy("symbol")) / groups))
-    df = bars.withColumn("_g", F.least(F.floor(F.col("bar_idx") / size), F.lit(groups - 1)).cast("int"))
+    counts = broadcast_if_small(bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")))
+    size = F.greatest(F.lit(1), F.floor(F.col("_n") / groups))
+    df = bars.join(counts, "symbol").withColumn("_g", F.least(F.floor(F.col("bar_idx") / size), F.lit(groups - 1)).cast("int"))
     member = F.element_at(F.array(*[F.array(*[F.lit(i) for i, s in enumerate(splits) if g in s]) for g in range(groups)]), F.col("_g") + 1)
-    df = df.withColumn("split", F.explode(member)).drop("_g")
+    df = df.withColumn("split", F.explode(member)).drop("_g", "_n")
     df = df.withColumn("bar_idx", F.row_number().over(Window.partitionBy("symbol", "split").orderBy("bar_idx")).cast("long") - 1)
     return metrics(backtest(df, genome, execution, keys=("symbol", "split")), ["symbol", "split"])
 
@@ -233,11 +258,24 @@ def cpcv_roles(bars: DataFrame, groups: int = 6, held: int = 2, purge: int = 5,
     return counted.select("symbol", "bar_idx", per).select("symbol", "bar_idx", "_s.*").filter("role is not null")
 
 
-def _parts(bars: DataFrame, train: float) -> DataFrame:
+def robustness_suite(bars: DataFrame, genome: Node, execution: Execution | None = None, sims: int = 100, seed: int = 7) -> DataFrame:
+    """(symbol, method, scenario, metric, value): cost_sensitivity by multiplier, parameter_sensitivity by delta, and monte_carlo by quantile."""
+    def long(df: DataFrame, method: str, scenario: Column, values: tuple[str, ...]) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values])).alias("_m")
+        return df.select("symbol", F.lit(method).alias("method"), scenario.cast("string").alias("scenario"), each).select("symbol", "method", "scenario", "_m.*")
+
+    drawn = monte_carlo(backtest(bars, genome, execution).filter("bar_idx > 0"), ["symbol"], sims, seed)
+    quantiles = F.explode(F.array(*[F.struct(F.lit(q).alias("scenario"), F.col(q).alias("value")) for q in ("p05", "p50", "p95")])).alias("_q")
+    drawn = drawn.select("symbol", F.lit("monte_carlo").alias("method"), F.col("metric"), quantiles).select("symbol", "method", "_q.scenario", "metric", "_q.value")
+    costs = long(cost_sensitivity(bars, genome, execution), "cost_sensitivity", F.col("multiplier"), METRICS)
+    return costs.unionByName(long(parameter_sensitivity(bars, genome, execution), "parameter_sensitivity", F.col("delta"), METRICS)).unionByName(drawn)
+
+
+def split_parts(bars: DataFrame, train: float) -> DataFrame:
     """bars with later, false for the first share train of each symbol and true after; bar_idx restarts in each."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    df = bars.withColumn("_cut", F.greatest(F.lit(1), F.floor(n * train))).withColumn("later", F.col("bar_idx") >= F.col("_cut"))
-    return df.withColumn("bar_idx", F.when(F.col("later"), F.col("bar_idx") - F.col("_cut")).otherwise(F.col("bar_idx"))).drop("_cut")
+    counts = broadcast_if_small(bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")))
+    df = bars.join(counts, "symbol").withColumn("_cut", F.greatest(F.lit(1), F.floor(F.col("_n") * train))).withColumn("later", F.col("bar_idx") >= F.col("_cut"))
+    return df.withColumn("bar_idx", F.when(F.col("later"), F.col("bar_idx") - F.col("_cut")).otherwise(F.col("bar_idx"))).drop("_cut", "_n")
 
 
 def _sides(m: DataFrame) -> DataFrame:
@@ -246,7 +284,7 @@ def _sides(m: DataFrame) -> DataFrame:
 
 def gauntlet(bars: DataFrame, genome: Node, execution: Execution | None = None, train: float = 0.7, in_sample: float = 1.0, out_of_sample: float = 0.5) -> DataFrame:
     """(symbol, in_sharpe, out_sharpe, out_drawdown, passed): the two Sharpe gates on both parts of a chronological split, indicators restarting in each."""
-    per = _sides(metrics(backtest(_parts(bars, train), genome, execution, keys=("symbol", "later")), ["symbol", "later"]))
+    per = _sides(metrics(backtest(split_parts(bars, train), genome, execution, keys=("symbol", "later")), ["symbol", "later"]))
     return per.withColumn("passed", F.coalesce((F.col("in_sharpe") >= in_sample) & (F.col("out_sharpe") >= out_of_sample), F.lit(False)))
 
 
@@ -259,7 +297,7 @@ def full_gauntlet(
     mc_drawdown is the 5th percentile of the drawdown over reshuffled in-sample returns, placebo_sharpe the mean over backtests of reshuffled
     in-sample bars, and the last two are of the halves of the out-of-sample returns. A gate without a value fails. Draws are hashes.
     """
-    parts = _parts(bars, train)
+    parts = split_parts(bars, train)
     curves = materialize(backtest(parts, genome, execution, keys=("symbol", "later")), "gauntlet")
     per = _sides(metrics(curves, ["symbol", "later"]))
     worst = monte_carlo(curves.filter("not later and bar_idx > 0"), ["symbol"], sims, seed).filter("metric = 'max_drawdown'").select("symbol", F.col("p05").alias("mc_drawdown"))

@@ -159,18 +159,28 @@ def liquidated(equity: Column, margin: Column, threshold: float = 0.5) -> Column
     return (equity <= 0) | F.coalesce(F.try_divide(equity, margin) < threshold, F.lit(False))
 
 
-def stress(curves: DataFrame, bars: DataFrame, half_spread_bps: float = 5.0, participation: float = 0.25, key: str = "symbol", order: str = "bar_idx") -> DataFrame:
-    """(key, orders, fill_rate, ideal, stressed): a backtest's position changes filled against a two-level book around each close.
+def stress(curves: DataFrame, bars: DataFrame, execution=None, keys: tuple[str, ...] = ("symbol",), order: str = "bar_idx") -> DataFrame:
+    """(keys, baseline_sharpe, microstructure_sharpe, baseline_drawdown, microstructure_drawdown, trades_simulated, fill_rate, passed): a backtest
+    whose position changes are filled against a synthetic book around each close.
 
-    The levels hold max(1, participation * volume) at half a spread and three halves from the mid; the stressed return charges
-    what the fills cost beyond the mid.
+    A side of the book has max(1, volume / 4) at half the execution's spread from the close and twice that at three halves. A bar's return is what
+    the position held earned, less, where it changed, the distance of the fill's average price from the close and the commission. Changes are
+    at most 2 units, which the two levels always hold, so every order fills. passed: a Sharpe ratio above 0 and a drawdown of at most one and a half times the baseline's, or 0.01.
     """
-    j = curves.join(bars.select(key, order, "volume"), [key, order]).withColumn("_lvl", F.greatest(F.lit(1.0), participation * F.col("volume")))
-    h = half_spread_bps / 1e4
-    a = F.least(F.col("turn").cast("double"), F.col("_lvl"))
-    b = F.least(F.col("turn") - a, F.col("_lvl"))
-    j = j.withColumns({"_done": a + b, "_slip": a * h + b * 3 * h})
-    return j.groupBy(key).agg(
-        F.count_if(F.col("turn") > 0).alias("orders"), F.coalesce(F.try_divide(F.sum("_done"), F.sum("turn").cast("double")), F.lit(1.0)).alias("fill_rate"),
-        (F.product(1 + F.col("ret")) - 1).alias("ideal"), (F.product(1 + F.col("ret") - F.col("_slip")) - 1).alias("stressed"),
+    from tickforge.operators.backtest import Execution, metrics, with_equity
+
+    ex, keys = execution or Execution(), list(keys)
+    j = curves.drop("volume").join(bars.select("symbol", order, "volume"), ["symbol", order])
+    h, q = ex.spread_bps / 2e4, F.col("turn").cast("double")
+    near = F.least(q, F.greatest(F.lit(1.0), 0.25 * F.col("volume")))
+    slip = F.try_divide(near * h + (q - near) * 3 * h, q)
+    traded = q > 0
+    j = j.withColumn("_micro", F.when(F.col(order) > 0, F.col("ret") + F.col("cost") - F.when(traded, slip + ex.commission_bps / 1e4).otherwise(0.0)).otherwise(0.0))
+    micro = with_equity(j.withColumns({"ret": F.col("_micro"), "cost": F.lit(0.0)}).drop("equity"), keys, order)
+    name = lambda df, kind: metrics(df, keys, order).select(*keys, F.col("sharpe").alias(f"{kind}_sharpe"), F.col("max_drawdown").alias(f"{kind}_drawdown"), F.col("trades").alias(f"_{kind}"))
+    out = name(curves, "baseline").join(name(micro, "microstructure"), keys)
+    fine = (F.col("microstructure_sharpe") > 0) & (F.col("microstructure_drawdown") <= F.greatest(F.lit(0.01), 1.5 * F.col("baseline_drawdown")))
+    return out.select(
+        *keys, "baseline_sharpe", "microstructure_sharpe", "baseline_drawdown", "microstructure_drawdown", F.col("_baseline").alias("trades_simulated"),
+        F.when(F.col("_baseline") > 0, 1.0).otherwise(0.0).alias("fill_rate"), fine.alias("passed"),
     )

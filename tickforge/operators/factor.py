@@ -73,6 +73,21 @@ def rank_autocorrelation(df: DataFrame, signal: str, lags: int = 5, key: str = "
     return spearman(lagged, [key, "lag"], "_before", signal).select(key, "lag", F.col("ic").alias("autocorrelation"))
 
 
+def analyze(df: DataFrame, signal: str, horizons: tuple[int, ...] = (1, 5, 10), quantiles: int = 5, lags: int = 5, key: str = "symbol") -> DataFrame:
+    """(key, part, at, metric, value): of bars with a signal, part 'rank_ic' and 'quantile_spread' at each horizon, and 'autocorrelation' at each lag (1 at lag 0)."""
+    def long(found: DataFrame, part: str, at, values: tuple[str, ...]) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values])).alias("_m")
+        return found.select(key, F.lit(part).alias("part"), at.cast("int").alias("at"), each).select(key, "part", "at", "_m.*")
+
+    out = long(rank_autocorrelation(df, signal, lags, key), "autocorrelation", F.col("lag"), ("autocorrelation",))
+    out = out.unionByName(long(clean_pairs(df, signal, signal).select(key).distinct().withColumn("autocorrelation", F.lit(1.0)), "autocorrelation", F.lit(0), ("autocorrelation",)))
+    for h in horizons:
+        pairs = forward_returns(df, h, key=key)
+        out = out.unionByName(long(rank_ic(pairs, signal, "fwd", key), "rank_ic", F.lit(h), ("chunks", "mean_ic", "std_ic", "t_stat", "ir", "positive_rate")))
+        out = out.unionByName(long(quantile_spread(pairs, signal, "fwd", quantiles, key), "quantile_spread", F.lit(h), ("spread", "monotonicity")))
+    return out
+
+
 def neutralized(df: DataFrame, signal: str, market: str, key: str = "symbol") -> DataFrame:
     """df with ``neutral``: the signal's least-squares residual on the market over the clean pairs of its key, as a z-score.
 

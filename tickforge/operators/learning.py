@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.compiler import evaluate
 from tickforge.functions.expr import Node
+from tickforge.session import materialize
 
 
 def mixture_regimes(bars: DataFrame, regimes: int = 3, window: int = 20, seed: int = 42) -> DataFrame:
@@ -17,7 +19,8 @@ def mixture_regimes(bars: DataFrame, regimes: int = 3, window: int = 20, seed: i
     w = Window.partitionBy("symbol").orderBy("bar_idx")
     df = bars.withColumn("_r", F.coalesce(F.try_divide(F.col("close"), F.lag("close").over(w)) - 1, F.lit(0.0)))
     df = df.withColumn("_v", F.coalesce(F.stddev_pop("_r").over(w.rowsBetween(-(window - 1), 0)), F.lit(0.0))).select("symbol", "bar_idx", "_r", "_v")
-    data = VectorAssembler(inputCols=["_r", "_v"], outputCol="_x").transform(df).cache()
+    data = VectorAssembler(inputCols=["_r", "_v"], outputCol="_x").transform(df)
+    data = materialize(data.withColumn("_x", vector_to_array("_x")), "regimes").withColumn("_x", array_to_vector("_x"))  # the fit reads it again and again
     model = GaussianMixture(featuresCol="_x", k=regimes, seed=seed, maxIter=30).fit(data)
     order = sorted(range(regimes), key=lambda i: float(model.gaussians[i].mean[1]))
     named = F.element_at(F.create_map(*[F.lit(x) for i, g in enumerate(order) for x in (g, i)]), F.col("prediction"))

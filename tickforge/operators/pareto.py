@@ -2,85 +2,83 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, bisect_right
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickforge.session import broadcast_if_small, materialize
 
-def skyline(df: DataFrame, keys: list[str], ident: str, maximise: list[str], minimise: list[str]) -> DataFrame:
-    """(keys, ident): the members no other dominates (at least as good everywhere, better somewhere), without comparing all pairs.
+#: Distinct points of a group that one task compares, and parts that are merged at a time.
+PART, MERGED = 50_000, 8
 
-    Equal members are folded first; then every group is thinned in salted parts, and only what no part dominates is compared.
-    Members with a missing objective take no part.
-    """
+
+def _goals(df: DataFrame, keys: list[str], ident: str, maximise: list[str], minimise: list[str]) -> tuple[DataFrame, list[str]]:
     goals = [*[F.col(c) for c in maximise], *[-F.col(c) for c in minimise]]
     names = [f"_g{i}" for i in range(len(goals))]
-    df = df.select(*keys, ident, *[g.cast("double").alias(n) for g, n in zip(goals, names, strict=True)]).dropna(subset=names)
-    points = df.select(*keys, *names).distinct()
-    # a salted first round thins a group of any size in parallel: what is dominated within a salt is dominated in the group
-    salt = F.pmod(F.xxhash64(*names), F.lit(16))
-    local = points.withColumn("_s", salt)
-    kept = _undominated(local, [*keys, "_s"], names).drop("_s")
-    front = _undominated(kept, keys, names)
-    return df.join(front, [*keys, *names]).select(*keys, ident)
+    return df.select(*keys, ident, *[g.cast("double").alias(n) for g, n in zip(goals, names, strict=True)]).dropna(subset=names), names
 
 
-def _undominated(points: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    import numpy as np
-    import pandas as pd
+def _thinned(points: DataFrame, keys: list[str], names: list[str], most: int, part: int) -> DataFrame:
+    """points without those that cannot be in the first ``most`` fronts of their group: large groups are cut into parts by a hash, as many as their
+    size asks for, each part keeps its own first fronts, and the parts are merged in a tree. What is left follows the fronts, not the group."""
+    counts = points.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("_parts"))
+    parts = counts.agg(F.max("_parts")).first()[0] or 1
+    if parts <= 1:
+        return points
+    salted = points.join(broadcast_if_small(counts), keys) if keys else points.withColumn("_parts", F.lit(parts))
+    salted = salted.withColumn("_s", F.pmod(F.xxhash64(*names), F.col("_parts")).cast("int")).drop("_parts")
+    while parts > 1:
+        salted = _layered(salted, [*keys, "_s"], names, most, None).drop("front").withColumn("_s", F.expr(f"_s div {MERGED}").cast("int"))
+        parts = math.ceil(parts / MERGED)
+    return salted.drop("_s")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[names].to_numpy(float)
-        order = np.lexsort(tuple(-x[:, i] for i in range(x.shape[1] - 1, -1, -1)))
-        front: list[int] = []
-        held = np.empty((0, x.shape[1]))
-        for i in order:  # later points never dominate earlier ones in this order
-            if not len(front) or not (held >= x[i]).all(1).any():
-                front.append(i)
-                held = np.vstack([held, x[i]])
-        return pdf.iloc[front]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
-    return points.groupBy(*keys).applyInPandas(run, schema) if keys else points.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, schema + ", _all int").drop("_all")
+def skyline(df: DataFrame, keys: list[str], ident: str, maximise: list[str], minimise: list[str], part: int = PART) -> DataFrame:
+    """(keys, ident): the members no other dominates (at least as good everywhere, better somewhere), without comparing all pairs.
+
+    Equal members are folded first, and large groups thinned in parts. Members with a missing objective take no part.
+    """
+    return fronts(df, keys, ident, maximise, minimise, most=1, part=part).drop("front")
 
 
-def fronts(df: DataFrame, keys: list[str], ident: str, maximise: list[str], minimise: list[str], most: int | None = None, enough: int | None = None) -> DataFrame:
+def fronts(df: DataFrame, keys: list[str], ident: str, maximise: list[str], minimise: list[str], most: int | None = None, enough: int | None = None, part: int = PART) -> DataFrame:
     """(keys, ident, front): front 1 is the skyline, front k that of what is left, until nothing remains.
 
-    Equal members are folded first; then each group is sorted in one pass of one task, in memory that follows its distinct members.
-    most: only the first so many fronts; enough: only the fronts that begin before a group has so many members.
-    Members with a missing objective take no part.
+    Equal members are folded first. most: only the first so many fronts; enough: only the fronts that begin before a group has so many members (so
+    no more than ``enough`` of them). With either, groups of more than ``part`` distinct members are thinned in parts, since a member of front k of its group is in front k of its
+    part at the latest. What is left of a group, with neither all of it, is sorted in one pass of one task. Members with a missing objective take no part.
     """
-    goals = [*[F.col(c) for c in maximise], *[-F.col(c) for c in minimise]]
-    names = [f"_g{i}" for i in range(len(goals))]
-    df = df.select(*keys, ident, *[g.cast("double").alias(n) for g, n in zip(goals, names, strict=True)]).dropna(subset=names)
+    df, names = _goals(df, keys, ident, maximise, minimise)
     points = df.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
+    bounds = [x for x in (most, enough) if x is not None]
+    if bounds:
+        points = _thinned(points, keys, names, min(bounds), part)
     layered = _layered(points, keys, names, most, enough)
-    return df.join(layered, [*keys, *names]).select(*keys, ident, "front")
+    return df.join(layered.drop("_n"), [*keys, *names]).select(*keys, ident, "front")
 
 
 def _layered(points: DataFrame, keys: list[str], names: list[str], most: int | None, enough: int | None) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[names].to_numpy(float)
         order = np.lexsort(tuple(-x[:, i] for i in range(x.shape[1] - 1, -1, -1)))
         front = np.zeros(len(x), dtype=np.int32)
-        front[order] = front_numbers(x[order])
+        front[order] = front_numbers(x[order], most)
         pdf = pdf.assign(front=front)
         if enough is not None:
             members = np.bincount(front, weights=pdf["_n"].to_numpy())
             pdf = pdf[(np.cumsum(members) - members)[front] < enough]
-        return (pdf if most is None else pdf[pdf["front"] <= most]).drop(columns="_n")
+        return pdf if most is None else pdf[pdf["front"] <= most]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.drop("_n").schema.fields) + ", front int"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields) + ", front int"
     return points.groupBy(*keys).applyInPandas(run, schema) if keys else points.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: run(pdf.drop(columns="_all")), schema)
 
 
-def front_numbers(x) -> list[int]:
-    """The front of each row of x (more is better), whose rows differ and fall lexicographically.
+def front_numbers(x: np.ndarray, most: int | None = None) -> list[int]:
+    """The front of each row of x (more is better), whose rows differ and fall lexicographically; beyond ``most`` it is most + 1.
 
     Only earlier rows dominate a row, and a row that front k dominates is dominated by all fronts ahead of k, so its front is found by bisection.
     """
@@ -91,11 +89,14 @@ def front_numbers(x) -> list[int]:
 
         def covered(k: int, row=row, second=second, third=third) -> bool:
             if wide:
-                return any(all(a >= b for a, b in zip(held, row, strict=True)) for held in steps[k][0])
+                return any((np.array(held) >= row).all(1).any() for held in _blocks(steps[k][0]))
             i = bisect_right(steps[k][0], -second)
             return i > 0 and steps[k][1][i - 1] >= third
 
         low, high = 0, len(steps)
+        if most is not None and high >= most and covered(most - 1):
+            out.append(most + 1)
+            continue
         while low < high:
             mid = (low + high) // 2
             low, high = (mid + 1, high) if covered(mid) else (low, mid)
@@ -113,6 +114,10 @@ def front_numbers(x) -> list[int]:
     return out
 
 
+def _blocks(rows: list, size: int = 4096):
+    return (rows[i : i + size] for i in range(0, len(rows), size))
+
+
 def crowding(df: DataFrame, keys: list[str], ident: str, objectives: list[str]) -> DataFrame:
     """df with ``crowding``: the sum over objectives of the distance between a member's neighbours, over the span; infinite at the ends."""
     total = F.lit(0.0)
@@ -135,10 +140,20 @@ def survivors(df: DataFrame, keys: list[str], ident: str, maximise: list[str], m
 def ancestors(edges: DataFrame, child: str, start) -> DataFrame:
     """(id): the members of a lineage (child, parent) from which start descends, start included, as far as they have an edge row.
 
-    Edges from a member to itself are left out; longer cycles are no lineage and end in Spark's recursion limit.
+    The lineage is walked in doubling steps: with the ancestors of fewer than n generations, and the jumps over n generations, a round has those of
+    fewer than 2n, so any depth takes as many rounds as it has binary digits, and cycles end when a round adds nothing. Edges from a member to
+    itself are left out.
     """
-    spark = edges.sparkSession
     parent = next(c for c in edges.columns if c != child)
-    edges.filter(F.col(child) != F.col(parent)).createOrReplaceTempView("_lineage")
-    found = spark.sql(f"WITH RECURSIVE up(id) AS (SELECT {child} FROM _lineage WHERE {child} = :start UNION ALL SELECT e.{parent} FROM up JOIN _lineage e ON e.{child} = up.id) SELECT DISTINCT id FROM up", args={"start": start})
-    return found.join(edges.select(F.col(child).alias("id")).distinct(), "id", "left_semi")
+    own = edges.select(F.col(child).alias("id")).distinct()
+    hops = materialize(edges.filter(F.col(child) != F.col(parent)).select(F.col(child).alias("_c"), F.col(parent).alias("_p")).distinct(), "hops")
+    found = materialize(own.filter(F.col("id") == F.lit(start)), "ancestors")
+    size = found.count()
+    while size:
+        more = found.join(hops, F.col("id") == F.col("_c")).select(F.col("_p").alias("id"))
+        found = materialize(found.unionByName(more).distinct(), "ancestors")
+        was, size = size, found.count()
+        if size == was:
+            break
+        hops = materialize(hops.alias("a").join(hops.alias("b"), F.expr("a._p = b._c")).select("a._c", "b._p").distinct(), "hops")
+    return found.join(own, "id", "left_semi")

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.operators.asof import as_of, versions
-from tickforge.operators.shards import TARGET_ROWS
+from tickforge.operators.shards import TARGET_ROWS, assign_shards, carry
 from tickforge.session import broadcast_if_small, micros
 
 
 def visible(rows: DataFrame, ts: str, available: str, as_of_time: str | None) -> DataFrame:
-    """The rows known at as_of_time: available, or where that is null ts, is not after it. None: all rows."""
-    return rows if as_of_time is None else rows.filter(F.coalesce(available, ts) <= F.lit(as_of_time).cast(rows.schema[ts].dataType))
+    """The rows known at as_of_time: available, or where that is null ts, is not after it. None: all rows. NaN, like null, is missing and comes out as null."""
+    fine = rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, t in rows.dtypes if t in ("double", "float")})
+    return fine if as_of_time is None else fine.filter(F.coalesce(available, ts) <= F.lit(as_of_time).cast(rows.schema[ts].dataType))
 
 
 def universe(members: DataFrame, dates: DataFrame, date: str = "as_of", key: str = "symbol", start: str = "included_at", end: str = "excluded_at") -> DataFrame:
@@ -65,9 +66,15 @@ def marked(positions: DataFrame, prices: DataFrame, cash: float, key: str = "sym
     return positions.join(prices, key).agg((F.lit(cash) + F.coalesce(F.sum(F.col(quantity) * F.col(price)), F.lit(0.0))).alias("equity"))
 
 
-def ledger(trades: DataFrame, ident: str = "fill_id", key: str = "symbol", ts: str = "ts", side: str = "side", price: str = "price", quantity: str = "quantity", fee: str = "fee") -> DataFrame:
-    """(ident, key, position, cash_flow): each trade's running position of its key, and what it pays or earns after its fee."""
+def ledger(trades: DataFrame, ident: str = "fill_id", key: str = "symbol", ts: str = "ts", side: str = "side", price: str = "price", quantity: str = "quantity", fee: str = "fee", target_rows: int = TARGET_ROWS) -> DataFrame:
+    """(ident, key, position, cash_flow): each trade's running position of its key, and what it pays or earns after its fee. Keys with more
+    than target_rows trades are summed in shards, with the sum of those ahead carried in."""
     signed = F.when(F.col(side) == "sell", -F.col(quantity)).otherwise(F.col(quantity))
     rows = trades.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(ident, key, micros(ts).alias("_us"), F.coalesce(signed, F.lit(0.0)).alias("_q"), F.coalesce(F.col(price), F.lit(0.0)).alias("_p"), F.coalesce(F.col(fee), F.lit(0.0)).alias("_f"))
-    w = Window.partitionBy(key).orderBy("_us", ident).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(ident, key, F.sum("_q").over(w).alias("position"), (-(F.col("_q") * F.col("_p")) - F.col("_f")).alias("cash_flow"))
+    rows, split = assign_shards(rows.withColumn("_tie", F.col(ident).cast("long")), [key], "_us", target_rows, "_tie")
+    w = Window.partitionBy(key, "_shard").orderBy("_us", ident).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("position", F.sum("_q").over(w))
+    if split:
+        ahead = carry(rows, [key], {"_ahead": F.sum("_q")}, F.sum)
+        rows = rows.join(broadcast_if_small(ahead, 10_000), [key, "_shard"], "left").withColumn("position", F.col("position") + F.coalesce("_ahead", F.lit(0.0)))
+    return rows.select(ident, key, "position", (-(F.col("_q") * F.col("_p")) - F.col("_f")).alias("cash_flow"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from tickforge.operators.backtest import with_equity
 from tickforge.operators.factor import correlations
+from tickforge.operators.shards import assign_shards, carry
+from tickforge.session import materialize
 
 
 def matrix(pairs: DataFrame, value: str = "cov") -> tuple[list[str], np.ndarray]:
@@ -32,17 +38,16 @@ def inverse_variance(cov: np.ndarray) -> np.ndarray:
     return _normal(1 / np.maximum(np.diag(cov), 1e-12))
 
 
-def min_variance(cov: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
+def min_variance(cov: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
     """Row sums of the ridged inverse, without short positions."""
     return _normal(np.maximum(np.linalg.inv(cov + ridge * np.eye(len(cov))).sum(1), 0))
 
 
 def risk_parity(cov: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Weights whose risk contributions approach each other, from the inverse volatilities on."""
+    """Inverse volatilities, then ``rounds`` times each weight over its marginal risk, normalised."""
     w = _normal(1 / np.sqrt(np.maximum(np.diag(cov), 1e-12)))
     for _ in range(rounds):
-        marginal = cov @ w
-        w = _normal(w / np.maximum(np.abs(marginal), 1e-12) if not (marginal > 0).all() else np.sqrt(w / marginal))
+        w = _normal(w / np.maximum(cov @ w, 1e-12))
     return w
 
 
@@ -89,7 +94,7 @@ def hierarchical(cov: np.ndarray) -> np.ndarray:
 METHODS = {"equal": equal_weight, "inverse_variance": inverse_variance, "min_variance": min_variance, "risk_parity": risk_parity, "hrp": hierarchical}
 
 
-def prune(names: list[str], corr: np.ndarray, sharpe: dict[str, float], limit: float = 0.7) -> list[str]:
+def prune(names: list[str], corr: np.ndarray, sharpe: dict[str, float], limit: float = 0.65) -> list[str]:
     """Names by falling Sharpe ratio, each kept unless it correlates beyond limit with one kept before."""
     at, kept = {n: i for i, n in enumerate(names)}, []
     for n in sorted(names, key=lambda n: (-sharpe.get(n, 0.0), n)):
@@ -98,15 +103,37 @@ def prune(names: list[str], corr: np.ndarray, sharpe: dict[str, float], limit: f
     return kept
 
 
-def ensemble(returns: DataFrame, scores: dict[str, float], method: str = "hrp", limit: float = 0.7) -> dict:
-    """{weights, kept, diversification} of strategies given as (strategy, bar_idx, ret)."""
-    pairs = correlations(returns).cache()
+def ensemble(returns: DataFrame, scores: dict[str, float], method: str = "risk_parity", limit: float = 0.65) -> dict:
+    """{kept, weights, metrics} of strategies given as (strategy, bar_idx, ret): pruned by correlation from the best score down, weighted by the
+    covariance of the rest, and combined. metrics: sharpe, max_drawdown and total_return of the combined returns (bar 0 left out), how many
+    strategies there were and are, and the diversification ratio."""
+    pairs = materialize(correlations(returns), "pairs")
     names, corr = matrix(pairs, "corr")
     kept = prune(names, corr, scores, limit)
     _, cov = matrix(pairs, "cov")
-    pairs.unpersist()
     part = [names.index(k) for k in kept]
     c = cov[np.ix_(part, part)]
-    w = METHODS[method](c)
-    risk = float(np.sqrt(max(w @ c @ w, 1e-18)))
-    return {"kept": kept, "weights": dict(zip(kept, w.tolist(), strict=True)), "diversification": float(w @ np.sqrt(np.maximum(np.diag(c), 0)) / risk)}
+    weights = dict(zip(kept, METHODS[method](c).tolist(), strict=True))
+    spark = returns.sparkSession
+    w = spark.createDataFrame(list(weights.items()) or [("", 0.0)], "strategy string, _w double")
+    total = returns.join(F.broadcast(w), "strategy").groupBy("bar_idx").agg(F.sum(F.col("ret") * F.col("_w")).alias("ret"))
+    total = materialize(combined(total), "ensemble")
+    m = total.agg(F.avg(F.when(F.col("bar_idx") > 0, F.col("ret"))).alias("m"), F.stddev_samp(F.when(F.col("bar_idx") > 0, F.col("ret"))).alias("s"), F.max_by("equity", "bar_idx").alias("e"), F.min("_low").alias("low")).first()
+    sd, vol = m["s"] or 0.0, float(np.array(list(weights.values())) @ np.sqrt(np.maximum(np.diag(c), 1e-12))) if kept else 0.0
+    metrics = {
+        "sharpe": math.sqrt(252) * m["m"] / sd if sd > 0 else 0.0, "max_drawdown": abs(m["low"] or 0.0), "total_return": (m["e"] or 1.0) - 1,
+        "selected": len(kept), "given": len(names), "diversification_ratio": vol / sd if sd > 0 else 1.0,
+    }
+    return {"kept": kept, "weights": weights, "metrics": metrics}
+
+
+def combined(returns: DataFrame) -> DataFrame:
+    """(bar_idx, ret, equity, _low) of one series of returns: its equity, in shards if it is long, and how far it is below its peak."""
+    rows, split = assign_shards(returns.select(F.lit(0).alias("_all"), "bar_idx", "ret"), ["_all"], "bar_idx")
+    rows = with_equity(rows if split else rows.drop("_shard"), ["_all"])
+    shards = ["_shard"] if split else []
+    peak = F.max("equity").over(Window.partitionBy("_all", *shards).orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_peak", peak)
+    if split:
+        rows = rows.join(F.broadcast(carry(rows, ["_all"], {"_top": F.max("equity")}, F.max)), ["_all", "_shard"], "left").withColumn("_peak", F.greatest("_peak", "_top"))
+    return rows.select("bar_idx", "ret", "equity", (F.col("equity") / F.greatest("_peak", F.lit(1.0)) - 1).alias("_low"))

@@ -19,7 +19,7 @@ def nearest_rank(values: Column, n: Column, p: float) -> Column:
 
 
 def monte_carlo(returns: DataFrame, keys: list[str], sims: int = 100, seed: int = 42, order: str = "bar_idx", ret: str = "ret") -> DataFrame:
-    """(keys, metric, p05, p50, p95) of total_return and max_drawdown over reshuffles of each key's returns.
+    """(keys, metric, p05, p50, p95) of total_return, sharpe and max_drawdown over reshuffles of each key's returns.
 
     Each simulation orders the returns by a hash of (seed, simulation, bar); sims is a parameter, so the per-key list of results is bounded.
     """
@@ -27,8 +27,9 @@ def monte_carlo(returns: DataFrame, keys: list[str], sims: int = 100, seed: int
     grid = grid.withColumn("_o", F.md5(F.concat_ws("|", F.lit(seed), F.col("sim"), F.col(order).cast("string"))))
     w = Window.partitionBy(*keys, "sim").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
     grid = grid.withColumn("_e", F.product(1 + F.col(ret)).over(w)).withColumn("_dd", F.col("_e") / F.greatest(F.lit(1.0), F.max("_e").over(w)) - 1)
-    per = grid.groupBy(*keys, "sim").agg((F.product(1 + F.col(ret)) - 1).alias("total_return"), F.abs(F.least(F.min("_dd"), F.lit(0.0))).alias("max_drawdown"))
-    long = per.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("total_return", "max_drawdown")])).alias("_m")).select(*keys, "_m.*")
+    sharpe = math.sqrt(252) * F.try_divide(F.avg(ret), F.stddev_samp(ret))
+    per = grid.groupBy(*keys, "sim").agg((F.product(1 + F.col(ret)) - 1).alias("total_return"), F.coalesce(sharpe, F.lit(0.0)).alias("sharpe"), F.abs(F.least(F.min("_dd"), F.lit(0.0))).alias("max_drawdown"))
+    long = per.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("total_return", "sharpe", "max_drawdown")])).alias("_m")).select(*keys, "_m.*")
     out = long.groupBy(*keys, "metric").agg(F.collect_list("v").alias("_v"), F.count(F.lit(1)).alias("_n"))
     return out.select(*keys, "metric", *[nearest_rank(F.col("_v"), F.col("_n"), p).alias(f"p{int(p * 100):02d}") for p in (0.05, 0.5, 0.95)])
 
@@ -108,13 +109,13 @@ def population(rows: DataFrame) -> DataFrame:
 
 
 def robustness_score(flat: DataFrame, ident: str = "record_id") -> DataFrame:
-    """(ident, robustness) of parsed records: 50 times the share of cost scenarios with a positive return, 30 times that of
-    parameter scenarios, and 20 if the simulated total return's lower quantile is above -1."""
+    """(ident, robustness) of parsed records: 50 times the share of cost scenarios with a positive Sharpe ratio, 30 times that of
+    parameter scenarios, and 20 unless the lower quantile of the simulated total return is -1 or less. A missing ratio is not
+    positive, a missing quantile counts as 0; records without any row have no score."""
     value = lambda k: F.try_element_at("fields", F.lit(k)).try_cast("double")
-    total = value("metrics/total_return")
-    per = flat.groupBy(ident).agg(
-        F.avg(F.when(F.col("kind") == "cost_scenario", (F.coalesce(total, F.lit(-1.0)) > 0).cast("double"))).alias("_c"),
-        F.avg(F.when(F.col("kind") == "parameter_scenario", (F.coalesce(total, F.lit(-1.0)) > 0).cast("double"))).alias("_p"),
-        F.max(F.when((F.col("kind") == "quantile") & F.col("node_path").endswith("/total_return"), value("p05"))).alias("_q"),
-    )
-    return per.select(ident, (50 * F.coalesce("_c", F.lit(0.0)) + 30 * F.coalesce("_p", F.lit(0.0)) + F.when(F.col("_q") > -1, 20.0).otherwise(0.0)).alias("robustness"))
+    good = lambda x: F.coalesce((x > 0) & ~F.isnan(x), F.lit(False)).cast("double")
+    share = lambda kind: F.coalesce(F.avg(F.when(F.col("kind") == kind, good(value("metrics/sharpe")))), F.lit(0.0))
+    low = F.max(F.when((F.col("kind") == "quantile") & F.col("node_path").endswith("/total_return"), value("p05")))
+    per = flat.groupBy(ident).agg(share("cost_scenario").alias("_c"), share("parameter_scenario").alias("_p"), F.coalesce(low, F.lit(0.0)).alias("_q"))
+    alive = (F.col("_q") > -1) & ~F.isnan("_q")
+    return per.select(ident, (50 * F.col("_c") + 30 * F.col("_p") + F.when(alive, 20.0).otherwise(0.0)).alias("robustness"))

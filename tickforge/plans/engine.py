@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.functions.compiler import evaluate
-from tickforge.functions.expr import Primitive, registry
+from tickforge.functions.expr import Node, Primitive, example, registry
 from tickforge.operators import backtest as bt
 from tickforge.operators import pit
 from tickforge.plans.engine_sql import ORACLE  # noqa: F401
@@ -14,7 +14,9 @@ from tickforge.session import read
 from tickforge.sources import bars as src
 
 P = Primitive
-FLAGSHIP = (P("SMA", 5) - P("SMA", 20)) / P("ATR", 14)
+FLAGSHIP = example()
+#: Changes position far more often than the flagship.
+CROSSOVER = (P("SMA", 5) - P("SMA", 20)) / P("ATR", 14)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -45,7 +47,8 @@ def _primitives(group: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         names = GROUPS[group]
         out = evaluate(src.event_bars(spark, d), {f"x_{n}": P(n, p) for n, p in names.items()})
-        return rounded(out.select("symbol", "bar_idx", *[F.col(f"x_{n}").alias(n.lower()) for n in names]))
+        # means of prices of few places would often end on a 5 at six places
+        return rounded(out.select("symbol", "bar_idx", *[F.col(f"x_{n}").alias(n.lower()) for n in names]), 9 if group == "averages" else 6)
 
     return query
 
@@ -70,7 +73,7 @@ def corporate_actions_adjusted(spark: SparkSession, d: str) -> DataFrame:
     prices = ["open_px", "high_px", "low_px", "close_px"]
     rows = read(spark, d, "feed").select("row_id", "symbol", "ts", *prices)
     out = pit.back_adjusted(rows, read(spark, d, "corporate_actions"), prices, "row_id").drop("ts")
-    return rounded(out.withColumns({p: F.col(p) + 1e-10 for p in prices}), 8)  # prices of four places, halved often, would end on a 5
+    return out.withColumns({p: F.col(p).cast("float") for p in prices})  # two engines agree on as many places, in whatever order they multiply
 
 
 def universe_asof(spark: SparkSession, d: str) -> DataFrame:
@@ -92,44 +95,51 @@ def ledger_positions(spark: SparkSession, d: str) -> DataFrame:
     return rounded(pit.ledger(read(spark, d, "fills")), 4)
 
 
-def backtest_curve(spark: SparkSession, d: str) -> DataFrame:
-    out = bt.backtest(src.event_bars(spark, d), FLAGSHIP)
-    return rounded(out.select("symbol", "bar_idx", F.col("raw").cast("int").alias("raw"), F.col("position").cast("int").alias("position"), "ret", "equity"))
+def _of(operator, genome: Node):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return rounded(operator(src.event_bars(spark, d), genome))
 
+    return query
 
-def backtest_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(bt.metrics(bt.backtest(src.event_bars(spark, d), FLAGSHIP), ["symbol"]))
 
+def _curve(bars: DataFrame, genome: Node) -> DataFrame:
+    return bt.backtest(bars, genome).select("symbol", "bar_idx", F.col("raw").cast("int").alias("raw"), F.col("position").cast("int").alias("position"), "ret", "equity")
 
-def cross_sectional_backtest(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(bt.cross_sectional(src.event_bars(spark, d), P("ROC", 10)).drop("trades"))
 
+def _metrics(bars: DataFrame, genome: Node) -> DataFrame:
+    return bt.metrics(bt.backtest(bars, genome), ["symbol"])
 
-def central_clearing(spark: SparkSession, d: str) -> DataFrame:
-    out = bt.cleared(src.event_bars(spark, d), [P("MOMENTUM", 5), P("MOMENTUM", 20), P("SMA", 10) - P("SMA", 30)])
-    return rounded(out.select("symbol", "strategy", "bar_idx", F.col("position").cast("int").alias("position"), "cost", "ret", "equity"))
 
+def _folds(kind: str, mean: bool = False):
+    def folds(bars: DataFrame, genome: Node) -> DataFrame:
+        per = bt.fold_metrics(bars, genome, kind, bounds=not mean)
+        return per.groupBy("symbol").agg(*[F.avg(m).alias(m) for m in bt.METRICS]) if mean else per
 
-def cost_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(bt.cost_sensitivity(src.event_bars(spark, d), FLAGSHIP))
+    return folds
 
 
-def parameter_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(bt.parameter_sensitivity(src.event_bars(spark, d), FLAGSHIP))
+backtest_metrics = _of(_metrics, FLAGSHIP)
 
 
-def walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(bt.fold_metrics(src.event_bars(spark, d), FLAGSHIP, "walk_forward"))
+def cross_sectional_backtest(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(bt.cross_sectional(src.event_bars(spark, d), P("ROC", 10)))
+
+
+def central_clearing(spark: SparkSession, d: str) -> DataFrame:
+    out = bt.cleared(src.event_bars(spark, d), [P("MOMENTUM", 5), P("MOMENTUM", 20), P("SMA", 10) - P("SMA", 30)])
+    return rounded(out.select("symbol", "strategy", "bar_idx", F.col("position").cast("int").alias("position"), F.col("order").cast("int").alias("order"), "cost", "ret", "equity"))
 
 
-def purged_cross_validation(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(bt.fold_metrics(src.event_bars(spark, d), FLAGSHIP, "purged"))
+def robustness_suite(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(bt.robustness_suite(src.event_bars(spark, d), CROSSOVER, sims=20))
 
 
 QUERIES = {
-    "backtest_metrics": backtest_metrics, "backtest_curve": backtest_curve, "bars": bars, **{f"prim_{g}": _primitives(g) for g in GROUPS}, "primitive_registry": primitive_registry,
+    "backtest_metrics": backtest_metrics, "backtest_curve": _of(_curve, FLAGSHIP), "crossover_metrics": _of(_metrics, CROSSOVER), "crossover_curve": _of(_curve, CROSSOVER), "bars": bars, **{f"prim_{g}": _primitives(g) for g in GROUPS}, "primitive_registry": primitive_registry,
     "quality_report": quality_report, "chronological_split": chronological_split, "pit_visible": pit_visible, "corporate_actions_adjusted": corporate_actions_adjusted,
     "universe_asof": universe_asof, "universe_faults": universe_faults, "reconcile_positions": reconcile_positions, "ledger_positions": ledger_positions,
-    "cross_sectional_backtest": cross_sectional_backtest, "central_clearing": central_clearing, "cost_sensitivity": cost_sensitivity, "parameter_sensitivity": parameter_sensitivity,
-    "walk_forward": walk_forward, "purged_cross_validation": purged_cross_validation,
+    "cross_sectional_backtest": cross_sectional_backtest, "central_clearing": central_clearing, "cost_sensitivity": _of(bt.cost_sensitivity, FLAGSHIP), "parameter_sensitivity": _of(bt.parameter_sensitivity, FLAGSHIP),
+    "crossover_costs": _of(bt.cost_sensitivity, CROSSOVER), "crossover_parameters": _of(bt.parameter_sensitivity, CROSSOVER), "robustness_suite": robustness_suite,
+    "walk_forward": _of(_folds("walk_forward"), FLAGSHIP), "purged_cross_validation": _of(_folds("purged"), FLAGSHIP), "crossover_walk_forward": _of(_folds("walk_forward"), CROSSOVER), "crossover_purged": _of(_folds("purged"), CROSSOVER),
+    "walk_forward_mean": _of(_folds("walk_forward", True), CROSSOVER), "purged_mean": _of(_folds("purged", True), CROSSOVER),
 }

@@ -70,7 +70,7 @@ PRIMITIVES = {
     "averages": select(
         BARS + f", h1 AS (SELECT *, CASE WHEN i >= 15 THEN 2 * ({wma('close', 8)}) - ({wma('close', 16)}) END AS raw, coalesce({mean('close', 5)}, 0e0) AS half FROM b)",
         {"sma": mean("close", 20), "rolling_mean": mean("close", 7), "wma": wma("close", 10), "hma": wma("raw", 4), "trima": mean("half", 5),
-         "vwap": full(f"sum({_TYP} * volume) OVER {w(14)} / greatest(1e0, sum(volume) OVER {w(14)})", 14)}, "h1"),
+         "vwap": full(f"sum({_TYP} * volume) OVER {w(14)} / greatest(1e0, sum(volume) OVER {w(14)})", 14)}, "h1", 9),
     "extremes": select(BARS, {
         "high": full(f"max(high) OVER {w(9)}", 9), "highest_high": _hi14, "low": full(f"min(low) OVER {w(9)}", 9), "lowest_low": _lo14,
         "rolling_min": full(f"min(close) OVER {w(5)}", 5), "rolling_max": full(f"max(close) OVER {w(5)}", 5), "donchian_upper": full(f"max(high) OVER {w(20)}", 20),
@@ -120,14 +120,24 @@ PRIMITIVES = {
 }
 
 
-def signal_cte(expr: str = "(s5 - s20) / nullif(atr, 0)", part: str = "symbol", source: str = "b", periods: tuple[int, int, int] = (5, 20, 14), name: str = "sig") -> str:
-    """CTEs that end in ``name`` with the flagship's signal over a source with symbol (and other parts), i and prices."""
+def signal_cte(kind: str = "flagship", part: str = "symbol", source: str = "b", shift: int = 0, name: str = "sig") -> str:
+    """CTEs that end in ``name`` with a signal over a source with symbol (and other parts), i and prices: the flagship's (RSI 17 - EMA 63) / ATR 21 or
+    the crossover's (SMA 5 - SMA 20) / ATR 14, with all periods shifted."""
     o = f"(PARTITION BY {part} ORDER BY i"
-    a, c, t = periods
-    roll = lambda x, p: f"CASE WHEN i >= {p - 1} THEN avg({x}) OVER {o} ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW) END"
+    rows = lambda p: f"{o} ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW)"
+    roll = lambda x, p: f"CASE WHEN i >= {p - 1} THEN avg({x}) OVER {rows(p)} END"
     prev = f"lag(close) OVER {o})"
-    return f"""{name}0 AS (SELECT *, CASE WHEN {prev} IS NULL THEN 0e0 ELSE greatest(high - low, abs(high - {prev}), abs(low - {prev})) END AS tr FROM {source}),
-{name}1 AS (SELECT *, {roll('close', a)} AS s5, {roll('close', c)} AS s20, {roll('tr', t)} AS atr FROM {name}0), {name} AS (SELECT *, {expr} AS signal FROM {name}1)"""
+    first = f"""{name}0 AS (SELECT *, close - {prev} AS d, CASE WHEN {prev} IS NULL THEN 0e0 ELSE greatest(high - low, abs(high - {prev}), abs(low - {prev})) END AS tr FROM {source}),"""
+    if kind == "crossover":
+        a, c, t = (max(2, p + shift) for p in (5, 20, 14))
+        return f"""{first}
+{name}1 AS (SELECT *, {roll('close', a)} AS s5, {roll('close', c)} AS s20, {roll('tr', t)} AS atr FROM {name}0), {name} AS (SELECT *, (s5 - s20) / nullif(atr, 0) AS signal FROM {name}1)"""
+    r, e, t = (max(2, p + shift) for p in (17, 63, 21))
+    up, down = f"sum(greatest(d, 0)) OVER {rows(r)}", f"sum(greatest(-d, 0)) OVER {rows(r)}"
+    w = 2 / (e + 1)
+    return f"""{first}
+{name}1 AS (SELECT *, CASE WHEN i >= {r} THEN CASE WHEN {down} = 0 THEN 100e0 ELSE 100 - 100 / (1 + {up} / {down}) END END AS rsi,
+ list_reduce(list(CAST(close AS DOUBLE)) OVER {o}), lambda a, b: {w:.17e} * b + {1 - w:.17e} * a) AS ema, {roll('tr', t)} AS atr FROM {name}0), {name} AS (SELECT *, (rsi - ema) / nullif(atr, 0) AS signal FROM {name}1)"""
 
 
 def curve_cte(source: str, part: str, cost: str = FIXED, name: str = "cur") -> str:
@@ -139,12 +149,14 @@ def curve_cte(source: str, part: str, cost: str = FIXED, name: str = "cur") -> s
 {name} AS (SELECT *, product(1 + ret) OVER {o} AS equity FROM {name}3)"""
 
 
-def metrics_sql(source: str, part: str, keys: str) -> str:
+def metrics_sql(source: str, part: str, keys: str, digits: int | None = 6) -> str:
+    """The metrics of curves; digits None: as they are, for what is calculated from them."""
+    r = (lambda x: f"round({x}, {digits}) + 0e0") if digits is not None else (lambda x: f"CAST({x} AS DOUBLE)")
     return f"""pk AS (SELECT *, max(equity) OVER (PARTITION BY {part} ORDER BY i) AS peak, lag(equity) OVER (PARTITION BY {part} ORDER BY i) IS NOT NULL AS later FROM {source}),
 mt AS (SELECT {part}, count(*) AS n, avg(ret) FILTER (later) AS m, stddev_samp(ret) FILTER (later) AS s, sum(ret * ret) FILTER (later AND ret < 0) AS dd, count(*) FILTER (later AND ret < 0) AS nd,
  arg_max(equity, i) AS e1, arg_min(equity, i) AS e0, min(equity / peak - 1) AS low, count(*) FILTER (turn > 0) AS trades, sum(cost) AS costs FROM pk GROUP BY {part})
-SELECT {keys}, round(CASE WHEN n < 3 OR s IS NULL OR s = 0 THEN 0e0 ELSE {ROOT} * m / s END, 6) + 0e0 AS sharpe, CASE WHEN nd = 0 THEN CAST('inf' AS DOUBLE) ELSE round({ROOT} * m / sqrt(dd / nd), 6) + 0e0 END AS sortino,
- round(e1 / e0 - 1, 6) + 0e0 AS total_return, round(abs(low), 6) + 0e0 AS max_drawdown, round(trades / greatest(1, n - 1), 6) + 0e0 AS turnover, trades, round(costs, 6) + 0e0 AS costs_paid FROM mt"""
+SELECT {keys}, {r(f"CASE WHEN n < 3 OR s IS NULL OR s = 0 THEN 0e0 ELSE {ROOT} * m / s END")} AS sharpe, CASE WHEN nd = 0 THEN CAST('inf' AS DOUBLE) ELSE {r(f"{ROOT} * m / sqrt(dd / nd)")} END AS sortino,
+ {r("e1 / e0 - 1")} AS total_return, {r("abs(low)")} AS max_drawdown, {r("trades / greatest(1, n - 1)")} AS turnover, trades, {r("costs")} AS costs_paid FROM mt"""
 
 
 _AFTER = """
@@ -155,19 +167,62 @@ f AS (SELECT f.row_id, list({'s': a.s, 'd': a.d, 'x': 0e0} ORDER BY a.effective_
 
 def _adjusted(c: str) -> str:
     fold = f"list_reduce(list_prepend({{'s': 1e0, 'd': 0e0, 'x': {c}}}, l), lambda p, q: {{'s': q.s, 'd': q.d, 'x': p.x / q.s - q.d}}).x"
-    return f"round(CASE WHEN l IS NULL THEN {c} ELSE {fold} END + 1e-10, 8) + 0e0 AS {c}"
+    return f"CAST(CASE WHEN l IS NULL THEN {c} ELSE {fold} END AS FLOAT) AS {c}"
 
 
 _CLEAR = ["close - lag(close, 5) OVER w", "close - lag(close, 20) OVER w", "CASE WHEN i >= 29 THEN avg(close) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) - avg(close) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) END"]
-_WALK = """n AS (SELECT symbol, count(*) AS n FROM b GROUP BY 1), z AS (SELECT symbol, greatest(1, CAST(floor(n * 2e-1) AS BIGINT)) AS t, greatest(1, CAST(floor(n * 5e-1) AS BIGINT)) AS s FROM n),
-fo AS (SELECT b.* EXCLUDE (i), (b.i - z.s) // z.t AS fold, (b.i - z.s) % z.t AS i FROM b JOIN z USING (symbol) WHERE b.i >= z.s AND (b.i - z.s) // z.t < 3)"""
-_PURGED = """n AS (SELECT symbol, greatest(1, count(*) // 3) AS t FROM b GROUP BY 1),
-fo AS (SELECT b.* EXCLUDE (i), least(b.i // n.t, 2) AS fold, b.i - least(b.i // n.t, 2) * n.t AS i FROM b JOIN n USING (symbol))"""
+_WALK = """n AS (SELECT symbol, count(*) AS n FROM b GROUP BY 1), z AS (SELECT symbol, n, greatest(1, CAST(floor(n * 2e-1) AS BIGINT)) AS t, greatest(1, CAST(floor(n * 5e-1) AS BIGINT)) AS s FROM n),
+fo AS (SELECT b.* EXCLUDE (i), (b.i - z.s) // z.t AS fold, (b.i - z.s) % z.t AS i FROM b JOIN z USING (symbol) WHERE b.i >= z.s AND (b.i - z.s) // z.t < 3),
+bnd AS (SELECT DISTINCT symbol, fold, CAST(0 AS BIGINT) AS train_start, s + fold * t AS train_end, s + fold * t AS test_start, least(n, s + (fold + 1) * t) AS test_end FROM fo JOIN z USING (symbol))"""
+_PURGED = """n AS (SELECT symbol, count(*) AS n, greatest(1, count(*) // 3) AS t FROM b GROUP BY 1),
+fo AS (SELECT b.* EXCLUDE (i), least(b.i // n.t, 2) AS fold, b.i - least(b.i // n.t, 2) * n.t AS i FROM b JOIN n USING (symbol)),
+ab AS (SELECT DISTINCT symbol, fold, n, greatest(0, fold * t - 1) AS train_end, fold * t AS test_start, CASE WHEN fold = 2 THEN n ELSE least(n, (fold + 1) * t) END AS test_end FROM fo JOIN n USING (symbol)),
+bnd AS (SELECT symbol, fold, CASE WHEN test_end + 1 < n THEN test_end + 1 ELSE train_end END AS train_start, train_end, test_start, test_end FROM ab)"""
 
 
-def _fold_sql(cte: str) -> str:
+def fold_sql(cte: str, kind: str = "flagship", bounds: bool = True, digits: int | None = 6) -> str:
     part = "symbol, fold"
-    return f"WITH {BARS}, {cte}, {signal_cte(part=part, source='fo')}, {curve_cte('sig', part)}, {metrics_sql('cur', part, 'symbol, CAST(fold AS INTEGER) AS fold')}"
+    per = f"WITH {BARS}, {cte}, {signal_cte(kind, part, 'fo')}, {curve_cte('sig', part)}, {metrics_sql('cur', part, 'symbol, CAST(fold AS INTEGER) AS fold', digits)}"
+    if not bounds:
+        return per
+    cut = f"WITH {BARS}, {cte} SELECT symbol, CAST(fold AS INTEGER) AS fold, train_start, train_end, test_start, test_end FROM bnd"
+    return f"SELECT * FROM ({cut}) JOIN ({per}) USING (symbol, fold)"
+
+
+def _sensitivity(kind: str) -> str:
+    variants = ", ".join(signal_cte(kind, shift=k, name=f"v{k + 3}_") for k in range(-3, 4))
+    return f"WITH {BARS}, {variants}, sig AS (" + " UNION ALL ".join(f"SELECT symbol, i, close, signal, {k} AS delta FROM v{k + 3}_" for k in range(-3, 4)) + f"), {curve_cte('sig', 'symbol, delta')}, {metrics_sql('cur', 'symbol, delta', 'symbol, delta')}"
+
+
+def _costs(kind: str) -> str:
+    return f"WITH {BARS}, {signal_cte(kind, name='sg')}, sig AS (SELECT sg.*, m.multiplier FROM sg, (VALUES (5e-1), (1e0), (15e-1), (2e0), (3e0)) m(multiplier)), {curve_cte('sig', 'symbol, multiplier', FIXED + ' * multiplier')}, {metrics_sql('cur', 'symbol, multiplier', 'symbol, multiplier')}"
+
+
+def _curve(kind: str) -> str:
+    return f"WITH {BARS}, {signal_cte(kind)}, {curve_cte('sig', 'symbol')} SELECT symbol, i AS bar_idx, raw, position, round(ret, 6) + 0e0 AS ret, round(equity, 6) + 0e0 AS equity FROM cur"
+
+
+def _metrics(kind: str) -> str:
+    return f"WITH {BARS}, {signal_cte(kind)}, {curve_cte('sig', 'symbol')}, {metrics_sql('cur', 'symbol', 'symbol')}"
+
+
+_MEASURES = ("sharpe", "sortino", "total_return", "max_drawdown", "turnover", "trades", "costs_paid")
+
+
+def _suite(kind: str) -> str:
+    long = lambda source, method, scenario: " UNION ALL ".join(f"SELECT symbol, '{method}' AS method, CAST({scenario} AS VARCHAR) AS scenario, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM {source}" for m in _MEASURES)
+    drawn = monte_carlo_sql(f"{BARS}, {signal_cte(kind)}, {curve_cte('sig', 'symbol')}, r AS (SELECT symbol, i, ret FROM cur)", "symbol", 7, 20)
+    quantiles = " UNION ALL ".join(f"SELECT symbol, 'monte_carlo', '{q}', metric, {q} FROM mc" for q in ("p05", "p50", "p95"))
+    return f"WITH co AS ({_costs(kind)}), pa AS ({_sensitivity(kind)}), mc AS ({drawn}) {long('co', 'cost_sensitivity', 'multiplier')} UNION ALL {long('pa', 'parameter_sensitivity', 'delta')} UNION ALL {quantiles}"
+
+
+def monte_carlo_sql(ctes: str, key: str, seed: int, sims: int) -> str:
+    """Quantiles over reshuffles of the returns r (key, i, ret) behind bar 0."""
+    return f"""WITH {ctes}, m AS (SELECT unnest(range({sims})) AS sim), g AS (SELECT r.*, m.sim, md5(concat_ws('|', {seed}, m.sim, r.i)) AS o FROM r, m WHERE r.i > 0),
+e AS (SELECT *, product(1 + ret) OVER w AS e FROM g WINDOW w AS (PARTITION BY {key}, sim ORDER BY o)), k AS (SELECT *, e / greatest(1e0, max(e) OVER (PARTITION BY {key}, sim ORDER BY o)) - 1 AS dd FROM e),
+p AS (SELECT {key}, sim, arg_max(e, o) - 1 AS total_return, coalesce({ROOT} * avg(ret) / nullif(stddev_samp(ret), 0), 0) AS sharpe, abs(least(min(dd), 0)) AS max_drawdown FROM k GROUP BY ALL),
+l AS ({" UNION ALL ".join(f"SELECT {key}, '{x}' AS metric, {x} AS v FROM p" for x in ("total_return", "sharpe", "max_drawdown"))})
+SELECT {key}, metric, """ + ", ".join(f"round(list_sort(list(v))[CAST(floor({sims - 1} * {p}) AS INTEGER) + 1], 6) + 0e0 AS {n}" for p, n in (("5e-2", "p05"), ("5e-1", "p50"), ("95e-2", "p95"))) + " FROM l GROUP BY ALL"
 
 
 ORACLE = {
@@ -182,7 +237,7 @@ SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, count(*) - (SELECT c
     "chronological_split": """
 WITH x AS (SELECT row_id, row_number() OVER (ORDER BY ts NULLS FIRST, row_id) AS r, count(*) OVER () AS n FROM feed)
 SELECT row_id, CASE WHEN r <= greatest(1, CAST(floor(n * (1 - 2e-1)) AS BIGINT)) THEN 'train' ELSE 'test' END AS part FROM x""",
-    "pit_visible": "SELECT row_id, symbol, close_px FROM feed WHERE coalesce(available_at, ts) <= TIMESTAMP '2024-06-01'",
+    "pit_visible": "SELECT row_id, symbol, CASE WHEN NOT isnan(close_px) THEN close_px END AS close_px FROM feed WHERE coalesce(available_at, ts) <= TIMESTAMP '2024-06-01'",
     "corporate_actions_adjusted": f"WITH {_AFTER} SELECT row_id, symbol, " + ", ".join(_adjusted(c) for c in ("open_px", "high_px", "low_px", "close_px")) + " FROM feed LEFT JOIN f USING (row_id) WHERE symbol IS NOT NULL AND ts IS NOT NULL",
     "universe_asof": """
 WITH d AS (SELECT unnest(generate_series(TIMESTAMP '2018-01-01', TIMESTAMP '2025-01-01', INTERVAL 3 MONTH)) AS as_of)
@@ -195,8 +250,7 @@ SELECT symbol, round(coalesce(x, 0), 6) + 0e0 AS internal, round(coalesce(y, 0),
     "ledger_positions": """
 WITH f AS (SELECT fill_id, symbol, ts, coalesce(CASE WHEN side = 'sell' THEN -quantity ELSE quantity END, 0) AS q, coalesce(price, 0) AS p, coalesce(fee, 0) AS fee FROM fills WHERE symbol IS NOT NULL AND ts IS NOT NULL)
 SELECT fill_id, symbol, round(sum(q) OVER (PARTITION BY symbol ORDER BY ts, fill_id), 4) + 0e0 AS position, round(-(q * p) - fee, 4) + 0e0 AS cash_flow FROM f""",
-    "backtest_curve": f"WITH {BARS}, {signal_cte()}, {curve_cte('sig', 'symbol')} SELECT symbol, i AS bar_idx, raw, position, round(ret, 6) + 0e0 AS ret, round(equity, 6) + 0e0 AS equity FROM cur",
-    "backtest_metrics": f"WITH {BARS}, {signal_cte()}, {curve_cte('sig', 'symbol')}, {metrics_sql('cur', 'symbol', 'symbol')}",
+    "backtest_curve": _curve("flagship"), "crossover_curve": _curve("crossover"), "backtest_metrics": _metrics("flagship"), "crossover_metrics": _metrics("crossover"),
     "cross_sectional_backtest": f"""
 WITH {BARS}, lim AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM b GROUP BY symbol)),
 s AS (SELECT symbol, i, close, close / lag(close, 10) OVER {L} - 1 AS sg FROM b),
@@ -204,16 +258,15 @@ t AS (SELECT symbol, i, coalesce(lag(sg) OVER {L}, 0e0) AS sc, coalesce(close /
 u AS (SELECT *, sc - avg(sc) OVER (PARTITION BY i) AS v FROM t), x AS (SELECT *, sum(greatest(v, 0)) OVER (PARTITION BY i) AS lo, sum(abs(least(v, 0))) OVER (PARTITION BY i) AS sh FROM u),
 y AS (SELECT *, CASE WHEN i < 1 THEN 0e0 WHEN v > 0 THEN least(2e-1, v / lo * 5e-1) WHEN v < 0 THEN greatest(-2e-1, v / sh * 5e-1) ELSE 0e0 END AS wt FROM x),
 z AS (SELECT *, coalesce(lag(wt) OVER {L}, 0e0) AS was FROM y),
-g AS (SELECT i, CASE WHEN i = 0 THEN 0e0 ELSE sum(was * mv) END AS gross, CASE WHEN i = 0 THEN 0e0 ELSE sum(abs(wt - was)) * {FIXED} END AS cost FROM z GROUP BY i)
-SELECT i AS bar_idx, round(gross, 6) + 0e0 AS gross, round(cost, 6) + 0e0 AS cost, round(gross - cost, 6) + 0e0 AS ret, round(product(1 + gross - cost) OVER (ORDER BY i), 6) + 0e0 AS equity FROM g""",
+g AS (SELECT i, CASE WHEN i = 0 THEN 0e0 ELSE sum(was * mv) END AS gross, CASE WHEN i = 0 THEN 0e0 ELSE sum(abs(wt - was)) * {FIXED} END AS cost, CASE WHEN i = 0 THEN 0 ELSE count(*) FILTER (abs(wt - was) > 1e-6) END AS trades FROM z GROUP BY i)
+SELECT i AS bar_idx, trades, round(gross, 6) + 0e0 AS gross, round(cost, 6) + 0e0 AS cost, round(gross - cost, 6) + 0e0 AS ret, round(product(1 + gross - cost) OVER (ORDER BY i), 6) + 0e0 AS equity FROM g""",
     "central_clearing": f"WITH {BARS}, s AS (" + " UNION ALL ".join(f"SELECT symbol, i, close, 'strat_{j}' AS strategy, {x} AS signal FROM b WINDOW w AS (PARTITION BY symbol ORDER BY i)".replace("(w ROWS", "(PARTITION BY symbol ORDER BY i ROWS") for j, x in enumerate(_CLEAR)) + f"""),
 r AS (SELECT *, CASE WHEN signal IS NULL THEN 0 WHEN signal > 0 THEN 1 WHEN abs(signal) < 1e-12 THEN 0 ELSE -1 END AS raw FROM s),
 p AS (SELECT *, coalesce(lag(raw) OVER w, 0) AS position, coalesce(close / lag(close) OVER w - 1, 0e0) AS mv FROM r WINDOW w AS (PARTITION BY symbol, strategy ORDER BY i)),
 h AS (SELECT *, coalesce(lag(position) OVER (PARTITION BY symbol, strategy ORDER BY i), 0) AS held FROM p), n AS (SELECT *, position - held AS od, sum(position - held) OVER (PARTITION BY symbol, i) AS net FROM h),
 c AS (SELECT *, CASE WHEN net = 0 THEN 0e0 ELSE od * (abs(net) * {FIXED} / net) END AS cost FROM n), q AS (SELECT *, held * mv - cost AS ret FROM c)
-SELECT symbol, strategy, i AS bar_idx, position, round(cost, 6) + 0e0 AS cost, round(ret, 6) + 0e0 AS ret, round(product(1 + ret) OVER (PARTITION BY symbol, strategy ORDER BY i), 6) + 0e0 AS equity FROM q""",
-    "cost_sensitivity": f"WITH {BARS}, {signal_cte(name='sg')}, sig AS (SELECT sg.*, m.multiplier FROM sg, (VALUES (5e-1), (1e0), (15e-1), (2e0), (3e0)) m(multiplier)), {curve_cte('sig', 'symbol, multiplier', FIXED + ' * multiplier')}, {metrics_sql('cur', 'symbol, multiplier', 'symbol, multiplier')}",
-    "parameter_sensitivity": f"WITH {BARS}, " + ", ".join(signal_cte(periods=(max(2, 5 + k), max(2, 20 + k), max(2, 14 + k)), name=f"v{k + 3}_") for k in range(-3, 4)) + ", sig AS (" + " UNION ALL ".join(f"SELECT symbol, i, close, signal, {k} AS delta FROM v{k + 3}_" for k in range(-3, 4)) + f"), {curve_cte('sig', 'symbol, delta')}, {metrics_sql('cur', 'symbol, delta', 'symbol, delta')}",
-    "walk_forward": _fold_sql(_WALK),
-    "purged_cross_validation": _fold_sql(_PURGED),
+SELECT symbol, strategy, i AS bar_idx, position, CASE WHEN i = 0 THEN 0 ELSE od END AS "order", round(cost, 6) + 0e0 AS cost, round(ret, 6) + 0e0 AS ret, round(product(1 + ret) OVER (PARTITION BY symbol, strategy ORDER BY i), 6) + 0e0 AS equity FROM q""",
+    "cost_sensitivity": _costs("flagship"), "parameter_sensitivity": _sensitivity("flagship"), "crossover_costs": _costs("crossover"), "crossover_parameters": _sensitivity("crossover"), "robustness_suite": _suite("crossover"),
+    "walk_forward": fold_sql(_WALK), "purged_cross_validation": fold_sql(_PURGED), "crossover_walk_forward": fold_sql(_WALK, "crossover"), "crossover_purged": fold_sql(_PURGED, "crossover"),
+    **{n: f"WITH f AS ({fold_sql(c, k, False, None)}) SELECT symbol, " + ", ".join(f"round(avg({m}), 6) + 0e0 AS {m}" for m in _MEASURES) + " FROM f GROUP BY symbol" for n, c, k in (("walk_forward_mean", _WALK, "crossover"), ("purged_mean", _PURGED, "crossover"))},
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,13 @@ from tickforge.operators.timestamps import normalise
 from tickforge.session import broadcast_if_small, micros, read
 
 
-#: The metrics of a fold or scenario in a strategy record.
+#: The fields of each table of a strategy record, by path, with their types.
 _METRICS = {f"metrics__{m}": "int" if m == "trades" else "double" for m in METRICS}
+_NODE = {"type": "string", "op": "string", "name": "string", "period": "int", "value": "double", "meta__origin__type": "string", "meta__origin__round": "int"}
+_FOLD = {**dict.fromkeys(("fold", "train_start", "train_end", "test_start", "test_end"), "int"), **_METRICS}
+_SCENARIO = {"cost_multiplier": "double", "delta": "double", **_METRICS}
+_QUANTILE = dict.fromkeys(("p05", "p50", "p95"), "double")
+_EXECUTION = {k: "int" if k == "delay_bars" else "double" for k in ("commission_bps", "spread_bps", "slippage_bps", "impact_bps_per_turnover", "delay_bars", "funding_bps_per_bar", "borrow_bps_per_bar")}
 
 
 def _vendor_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -31,11 +38,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_grid(spark: SparkSession, d: str) -> DataFrame:
-    return regular_grid(read(spark, d, "feed"), read(spark, d, "instruments"))
+    return regular_grid(read(spark, d, "feed"), read(spark, d, "instruments")).withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return p3_grid(spark, d).filter(F.col("status").isin("filled", "marked")).select("symbol", "slot_s")
+    return regular_grid(read(spark, d, "feed"), read(spark, d, "instruments")).filter(F.col("status").isin("filled", "marked")).select("symbol", "slot_s")
 
 
 def p4_flags(spark: SparkSession, d: str) -> DataFrame:
@@ -69,25 +76,24 @@ def p6_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return table(p6_records(spark, d), "node", type="string", op="string", name="string", period="int", value="double", meta__origin__type="string", meta__origin__round="int")
+    return table(p6_records(spark, d), "node", **_NODE)
 
 
 def p6_folds(spark: SparkSession, d: str) -> DataFrame:
-    return table(p6_records(spark, d), "fold", fold="int", train_start="int", train_end="int", test_start="int", test_end="int", **_METRICS)
+    return table(p6_records(spark, d), "fold", **_FOLD)
 
 
 def p6_scenarios(spark: SparkSession, d: str) -> DataFrame:
     flat = p6_records(spark, d).filter(F.col("kind").endswith("_scenario"))
-    fields = {"cost_multiplier": "double", "delta": "double", **_METRICS}
-    return flat.select("record_id", "node_path", "parent_path", "ordinal", *[F.try_element_at("fields", F.lit(k.replace("__", "/"))).try_cast(to).alias(k) for k, to in fields.items()])
+    return flat.select("record_id", "node_path", "parent_path", "ordinal", *[F.try_element_at("fields", F.lit(k.replace("__", "/"))).try_cast(to).alias(k) for k, to in _SCENARIO.items()])
 
 
 def p6_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    return table(p6_records(spark, d), "quantile", p05="double", p50="double", p95="double")
+    return table(p6_records(spark, d), "quantile", **_QUANTILE)
 
 
 def p6_execution(spark: SparkSession, d: str) -> DataFrame:
-    return table(p6_records(spark, d), "execution", commission_bps="double", spread_bps="double", slippage_bps="double", impact_bps_per_turnover="double", delay_bars="int", funding_bps_per_bar="double", borrow_bps_per_bar="double")
+    return table(p6_records(spark, d), "execution", **_EXECUTION)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -163,8 +169,78 @@ mv AS (SELECT symbol, median(volume) AS m FROM bars WHERE isfinite(volume) AND v
     "SELECT row_id, 'volume' FROM f JOIN mv USING (symbol) WHERE isfinite(volume) AND volume > 40 * m",
 ])
 
+
+
+_NAMES = itertools.count()
+
+
+def _un(x: str) -> str:
+    """A JSON value, or what it encodes if it is a text that encodes an object, array or text (up to three times)."""
+    for _ in range(3):
+        v = f"u{next(_NAMES)}"
+        x = f"(SELECT CASE WHEN json_type({v}) = 'VARCHAR' AND regexp_matches({v}->>'$', '^\\s*[\\[{{\"]') AND json_valid({v}->>'$') THEN CAST({v}->>'$' AS JSON) ELSE {v} END FROM (SELECT {x} AS {v}))"
+    return x
+
+
+def _elements(name: str, source: str) -> str:
+    """CTE name (record_id, node_path, parent_path, ordinal, j): the objects in the arrays (record_id, base, parent, a) of source; a lone object is element 0."""
+    return f"""{name} AS (SELECT * FROM (SELECT record_id, base || '/' || i AS node_path, parent AS parent_path, CAST(i AS INTEGER) AS ordinal, {_un("json_extract(a, '$[' || i || ']')")} AS j
+ FROM (SELECT *, unnest(range(CAST(json_array_length(a) AS BIGINT))) AS i FROM {source} WHERE json_type(a) = 'ARRAY') UNION ALL SELECT record_id, base || '/0', parent, 0, a FROM {source} WHERE json_type(a) = 'OBJECT') WHERE json_type(j) = 'OBJECT')"""
+
+
+def _at(x: str, *keys: str) -> str:
+    for k in keys:
+        x = _un(f"json_extract({x}, '$.\"{k}\"')")
+    return x
+
+
+_RECORDS = f"""rec AS (SELECT record_id, {_un("CAST(payload AS JSON)")} AS j FROM strategy_records WHERE json_valid(payload)),
+node AS (SELECT record_id, '/genome' AS node_path, '' AS parent_path, CAST(NULL AS INTEGER) AS ordinal, {_at("j", "genome")} AS j FROM rec WHERE json_type({_at("j", "genome")}) = 'OBJECT'
+ UNION ALL SELECT * FROM (SELECT record_id, node_path || '/' || k AS node_path, node_path AS parent_path, CAST(NULL AS INTEGER) AS ordinal, {_un("json_extract(j, '$.' || k)")} AS j FROM node, (VALUES ('left'), ('right')) s(k)) WHERE json_type(j) = 'OBJECT'),
+val AS (SELECT record_id, v, unnest(json_keys(v)) AS k FROM (SELECT record_id, {_at("j", "validation")} AS v FROM rec) WHERE json_type(v) = 'OBJECT'),
+fd AS (SELECT record_id, '/validation/' || k || '/fold_details' AS base, '/validation/' || k AS parent, {_at(_un("json_extract(v, '$.' || chr(34) || k || chr(34))"), "fold_details")} AS a FROM val),
+{_elements("fold", "fd")},
+sc AS (SELECT record_id, '/robustness/' || k || '/scenarios' AS base, '/robustness/' || k AS parent, {_at(_un("json_extract(v, '$.' || k)"), "scenarios")} AS a FROM (SELECT record_id, {_at("j", "robustness")} AS v FROM rec), (VALUES ('cost_sensitivity'), ('parameter_sensitivity')) s(k)),
+{_elements("scenario", "sc")},
+qs AS (SELECT record_id, q, unnest(json_keys(q)) AS k FROM (SELECT record_id, {_at("j", "robustness", "monte_carlo", "quantiles")} AS q FROM rec) WHERE json_type(q) = 'OBJECT'),
+quantile AS (SELECT * FROM (SELECT record_id, '/robustness/monte_carlo/quantiles/' || k AS node_path, '/robustness/monte_carlo' AS parent_path, CAST(NULL AS INTEGER) AS ordinal, {_un("json_extract(q, '$.' || chr(34) || k || chr(34))")} AS j FROM qs) WHERE json_type(j) = 'OBJECT'),
+execution AS (SELECT * FROM (SELECT record_id, '/execution' AS node_path, '' AS parent_path, CAST(NULL AS INTEGER) AS ordinal, {_at("j", "execution")} AS j FROM rec UNION ALL SELECT record_id, node_path || '/execution', node_path, NULL, {_at("j", "execution")} FROM scenario) WHERE json_type(j) = 'OBJECT')"""
+
+
+def _table_sql(source: str, **fields: str) -> str:
+    sql = {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE"}
+
+    def field(path: str, to: str) -> str:
+        at = _at("j", *path.split("__"))
+        return f"TRY_CAST(CASE WHEN json_type({at}) NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN {at}->>'$' END AS {sql[to]}) AS {path}"
+
+    return f"WITH RECURSIVE {_RECORDS} SELECT record_id, node_path, parent_path, ordinal, " + ", ".join(field(k, t) for k, t in fields.items()) + f" FROM {source}"
+
+
+_TABLES = {"p6_nodes": ("node", _NODE), "p6_folds": ("fold", _FOLD), "p6_scenarios": ("scenario", _SCENARIO), "p6_quantiles": ("quantile", _QUANTILE), "p6_execution": ("execution", _EXECUTION)}
+
+_GRID = """
+WITH x AS (SELECT f.symbol, i.bar_seconds AS b, i.session_kind AS sk, epoch_us(f.ts) AS us, f.row_id, f.close_px AS y FROM feed f JOIN instruments i ON i.symbol = f.symbol WHERE f.ts IS NOT NULL AND isfinite(f.close_px) AND i.bar_seconds > 0),
+o AS (SELECT symbol, b, sk, us // (CAST(b AS BIGINT) * 1000000) AS p, min(us) AS f, max(us) AS l, arg_max(y, (us, row_id)) AS y FROM x GROUP BY ALL),
+n AS (SELECT *, lag(p) OVER w AS p0, lag(y) OVER w AS y0, lag(l) OVER w AS l0, lead(p) OVER w AS p2, lead(y) OVER w AS y2, lead(f) OVER w AS f2, lead(l) OVER w AS l2, lead(p, 2) OVER w AS p3, lead(y, 2) OVER w AS y3, lead(f, 2) OVER w AS f3 FROM o WINDOW w AS (PARTITION BY symbol ORDER BY p)),
+d AS (SELECT *, CAST(p - p0 AS DOUBLE) AS h0, CAST(p2 - p AS DOUBLE) AS h1, CAST(p3 - p2 AS DOUBLE) AS h2, (y - y0) / (p - p0) AS d0, (y2 - y) / (p2 - p) AS d1, (y3 - y2) / (p3 - p2) AS d2,
+ coalesce(f - l0 <= 2592000000000, false) AS left_, coalesce(f3 - l2 <= 2592000000000, false) AS right_, coalesce(f2 - l > 2592000000000, false) AS far, coalesce(p2 - p - 1, 0) AS gap FROM n),
+e AS (SELECT *, ((2 * h1 + h2) * d1 - h1 * d2) / (h1 + h2) AS e1, ((2 * h1 + h0) * d1 - h1 * d0) / (h1 + h0) AS e2 FROM d),
+s AS (SELECT *, CASE WHEN left_ THEN CASE WHEN d0 * d1 <= 0 THEN 0 ELSE (3 * h1 + 3 * h0) / ((2 * h1 + h0) / d0 + (h1 + 2 * h0) / d1) END
+  WHEN right_ THEN CASE WHEN sign(e1) <> sign(d1) THEN 0 WHEN sign(d1) <> sign(d2) AND abs(e1) > 3 * abs(d1) THEN 3 * d1 ELSE e1 END ELSE d1 END AS s1,
+ CASE WHEN right_ THEN CASE WHEN d1 * d2 <= 0 THEN 0 ELSE (3 * h2 + 3 * h1) / ((2 * h2 + h1) / d1 + (h2 + 2 * h1) / d2) END
+  WHEN left_ THEN CASE WHEN sign(e2) <> sign(d1) THEN 0 WHEN sign(d1) <> sign(d0) AND abs(e2) > 3 * abs(d1) THEN 3 * d1 ELSE e2 END ELSE d1 END AS s2 FROM e),
+g AS (SELECT *, unnest(CASE WHEN far THEN CASE WHEN gap > 0 THEN [0, 1] ELSE [0] END ELSE range(0, CAST(gap + 1 AS BIGINT)) END) AS k FROM s),
+v AS (SELECT *, (p + k) * CAST(b AS BIGINT) AS slot_s, CAST(k AS DOUBLE) / h1 AS t FROM g),
+z AS (SELECT *, CASE WHEN k = 0 THEN 'observed' WHEN far THEN 'long_gap' WHEN sk = 'weekday' AND (slot_s // 86400 + 4) % 7 IN (0, 6) THEN 'closed' WHEN gap <= 1440 THEN 'filled' ELSE 'marked' END AS status FROM v)
+SELECT symbol, slot_s, status, round(CASE WHEN status = 'observed' THEN y WHEN status = 'filled' THEN y * (1 + 2 * t) * (1 - t) * (1 - t) + h1 * s1 * t * (1 - t) * (1 - t) + y2 * t * t * (3 - 2 * t) + h1 * s2 * t * t * (t - 1) END, 6) + 0e0 AS value,
+ CASE WHEN status = 'long_gap' THEN gap ELSE 1 END AS run_periods FROM z"""
+
 ORACLE = {
     "p4_found": _SPIKES,
+    "p3_grid": _GRID,
+    "p6_found": f"WITH RECURSIVE {_RECORDS} " + " UNION ALL ".join(f"SELECT record_id, node_path, parent_path FROM {t}" for t in ("node", "fold", "scenario", "quantile", "execution")),
+    **{k: _table_sql(source, **fields) for k, (source, fields) in _TABLES.items()},
     "p3_found": """
 WITH r AS (SELECT f.symbol, i.bar_seconds AS b, i.session_kind AS sk, epoch_us(f.ts) AS us, epoch_us(f.ts) // (CAST(i.bar_seconds AS BIGINT) * 1000000) AS k
            FROM feed f JOIN instruments i ON i.symbol = f.symbol WHERE f.ts IS NOT NULL AND isfinite(f.close_px)),

@@ -12,8 +12,8 @@ from tickforge.functions.expr import Primitive as P
 from tickforge.operators import backtest as bt
 from tickforge.operators import books, factor, pareto, pit, portfolio, research
 from tickforge.operators.nested import flatten_records
-from tickforge.plans.engine import FLAGSHIP, rounded
-from tickforge.plans.engine_sql import BARS, FIXED, ORACLE as ENGINE, ROOT, curve_cte, metrics_sql, signal_cte
+from tickforge.plans.engine import CROSSOVER, FLAGSHIP, rounded
+from tickforge.plans.engine_sql import BARS, FIXED, ROOT, curve_cte, metrics_sql, monte_carlo_sql, signal_cte
 from tickforge.session import read
 from tickforge.sources.bars import event_bars
 
@@ -55,7 +55,7 @@ def orthogonalized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _strategy_returns(spark: SparkSession, d: str) -> DataFrame:
-    return bt.backtest(event_bars(spark, d), FLAGSHIP).select(F.col("symbol").alias("strategy"), "bar_idx", "ret")
+    return bt.backtest(event_bars(spark, d), CROSSOVER).select(F.col("symbol").alias("strategy"), "bar_idx", "ret")
 
 
 def correlation_matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -68,26 +68,14 @@ def novelty(spark: SparkSession, d: str) -> DataFrame:
 
 
 def monte_carlo(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(research.monte_carlo(_strategy_returns(spark, d), ["strategy"], 50))
+    return rounded(research.monte_carlo(_strategy_returns(spark, d).filter("bar_idx > 0"), ["strategy"]))
 
 
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(research.bootstrap_interval(_strategy_returns(spark, d), ["strategy"], 100), 9)
-
-
-def reality_check(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(research.reality_check(_strategy_returns(spark, d), sims=100), 9)
-
-
-def full_monte_carlo(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(research.monte_carlo(_strategy_returns(spark, d), ["strategy"]))
-
-
-def full_bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     return rounded(research.bootstrap_interval(_strategy_returns(spark, d), ["strategy"]), 9)
 
 
-def full_reality_check(spark: SparkSession, d: str) -> DataFrame:
+def reality_check(spark: SparkSession, d: str) -> DataFrame:
     return rounded(research.reality_check(_strategy_returns(spark, d)), 9)
 
 
@@ -160,8 +148,7 @@ def ancestors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ensemble_weights(spark: SparkSession, d: str) -> DataFrame:
-    pairs = factor.correlations(_strategy_returns(spark, d)).cache()
-    names, cov = portfolio.matrix(pairs)
+    names, cov = portfolio.matrix(factor.correlations(_strategy_returns(spark, d)))
     rows = [(m, n, float(x)) for m, f in portfolio.METHODS.items() for n, x in zip(names, f(cov), strict=True)]
     return rounded(spark.createDataFrame(rows, "method string, strategy string, weight double"))
 
@@ -217,16 +204,23 @@ def venue_replay(spark: SparkSession, d: str) -> DataFrame:
 
 def stress_test(spark: SparkSession, d: str) -> DataFrame:
     b = event_bars(spark, d)
-    return rounded(books.stress(bt.backtest(b, FLAGSHIP), b))
+    return rounded(books.stress(bt.backtest(b, CROSSOVER), b))
 
 
-def combinatorial_validation(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(bt.combinatorial_metrics(event_bars(spark, d), FLAGSHIP))
+def microstructure_gauntlet(spark: SparkSession, d: str) -> DataFrame:
+    """The stress test of several genomes at once."""
+    b, named = event_bars(spark, d), {"flagship": FLAGSHIP, "crossover": CROSSOVER}
+    wide = evaluate(b, named, price_only=True)
+    long = wide.select("symbol", "bar_idx", "close", F.explode(F.array(*[F.struct(F.lit(n).alias("genome"), F.col(n).alias("signal")) for n in named])).alias("_s")).select("symbol", "bar_idx", "close", "_s.*")
+    return rounded(books.stress(bt.curve(long, ["symbol", "genome"]), b, keys=("symbol", "genome")))
 
 
-def walk_forward_mean(spark: SparkSession, d: str) -> DataFrame:
-    folds = bt.fold_metrics(event_bars(spark, d), FLAGSHIP, "walk_forward")
-    return rounded(folds.groupBy("symbol").agg(*[F.avg(c).alias(c) for c in ("sharpe", "total_return", "max_drawdown", "turnover", "costs_paid")]), 5)
+def factor_analysis(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(factor.analyze(evaluate(event_bars(spark, d), {"signal": P("ROC", 5)}), "signal"))
+
+
+def combinatorial_validation(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(bt.combinatorial_metrics(event_bars(spark, d), FLAGSHIP))
 
 
 def gauntlet(spark: SparkSession, d: str) -> DataFrame:
@@ -273,8 +267,8 @@ def risk_limits(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    combinatorial_validation, walk_forward_mean, gauntlet, full_gauntlet, factor_horizons, optimized_weights, order_execution, mark_to_market, risk_limits,
-    forward_returns, rank_ic, quantile_spread, rank_autocorrelation, neutralized, orthogonalized, correlation_matrix, novelty, monte_carlo, bootstrap_interval, reality_check, full_monte_carlo, full_bootstrap_interval, full_reality_check, deflated_sharpe,
+    combinatorial_validation, factor_analysis, microstructure_gauntlet, gauntlet, full_gauntlet, factor_horizons, optimized_weights, order_execution, mark_to_market, risk_limits,
+    forward_returns, rank_ic, quantile_spread, rank_autocorrelation, neutralized, orthogonalized, correlation_matrix, novelty, monte_carlo, bootstrap_interval, reality_check, deflated_sharpe,
     overfit_proxy, adjusted_p, regime_labels, best_per_strategy, top_strategies, population, robustness_scores, pareto_front, pareto_layers, pareto_fronts, crowding_distance, survivors, ancestors,
     ensemble_weights, inverse_variance_weights, cpcv, cpcv_bars, synthetic_book, market_fills, limit_fills, venue_replay, stress_test,
 )}
@@ -293,7 +287,7 @@ def _ic(source: str, part: str, a: str, b: str) -> str:
 FROM (SELECT {part}, {_rank(a, part)} - {_rank(b, part)} AS dd FROM {source}) GROUP BY {part})"""
 
 
-_STRAT = f"{BARS}, {signal_cte()}, {curve_cte('sig', 'symbol')}, r AS (SELECT symbol AS strategy, i, ret FROM cur)"
+_STRAT = f"{BARS}, {signal_cte('crossover')}, {curve_cte('sig', 'symbol')}, r AS (SELECT symbol AS strategy, i, ret FROM cur)"
 _MKT = f"""{BARS}, q AS (SELECT symbol, i, close / lag(close, 2) OVER {_O} - 1 AS ret, close / lag(close, 10) OVER {_O} - 1 AS mom,
  CASE WHEN i >= 19 THEN (close - avg(close) OVER w20) / CASE WHEN stddev_pop(close) OVER w20 = 0 THEN 1 ELSE stddev_pop(close) OVER w20 END END AS dev FROM b WINDOW w20 AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
 x AS (SELECT *, avg(ret) OVER (PARTITION BY i) AS market FROM q)"""
@@ -321,13 +315,30 @@ def _gap(x: str) -> str:
     return f"coalesce((lead({x}) OVER {w} - lag({x}) OVER {w}) / CASE WHEN {span} = 0 THEN 1e0 ELSE {span} END, CAST('inf' AS DOUBLE))"
 
 
+def _survivors(size: int) -> str:
+    """As many fronts as so many members can need, each from what is left; then the crowding within each front."""
+    ctes, left = [_CAND], "k"
+    for f in range(1, size + 1):
+        ctes += [_front(left, f"f{f}"), f"k{f}_ AS MATERIALIZED (SELECT * FROM {left} ANTI JOIN f{f} USING (run_id, ingest_id))"]
+        left = f"k{f}_"
+    ctes.append("a AS (" + " UNION ALL ".join(f"SELECT *, {f} AS front FROM f{f}" for f in range(1, size + 1)) + ")")
+    gap = " + ".join(_gap(x).replace("PARTITION BY run_id", "PARTITION BY run_id, front") for x in "sdc")
+    return f"""WITH {", ".join(ctes).replace(" AS (SELECT a.*", " AS MATERIALIZED (SELECT a.*")}, c AS (SELECT *, {gap} AS crowding FROM a),
+w AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY front, crowding DESC, ingest_id) AS place FROM c) SELECT run_id, ingest_id, front, round(crowding, 6) + 0e0 AS crowding FROM w WHERE place <= {size}"""
+
+
+_CPCV_BARS = f"""WITH {BARS}, n AS (SELECT symbol, count(*) AS n, count(*) // 4 AS t FROM b GROUP BY 1), g AS (SELECT unnest(range(4)) AS g), sp AS (SELECT a.g AS x, b.g AS y, row_number() OVER (ORDER BY a.g, b.g) - 1 AS split FROM g a, g b WHERE a.g < b.g),
+q AS (SELECT symbol, i, split, x, y, t, CASE WHEN x < 3 THEN (x + 1) * t ELSE n END AS xe, CASE WHEN y < 3 THEN (y + 1) * t ELSE n END AS ye FROM b JOIN n USING (symbol), sp),
+z AS (SELECT *, (i >= x * t AND i < xe) OR (i >= y * t AND i < ye) AS test, (i >= x * t - 2 AND i < x * t) OR (i >= xe AND i < xe + 1) OR (i >= y * t - 2 AND i < y * t) OR (i >= ye AND i < ye + 1) AS near FROM q)
+SELECT symbol, i AS bar_idx, CAST(split AS INTEGER) AS split, CASE WHEN test THEN 'test' ELSE 'train' END AS role FROM z WHERE test OR NOT near"""
+
 _BOOK = """lv AS (SELECT unnest(range(5)) AS level), wt AS (SELECT sum(exp(-5e-1 * level)) AS t FROM lv),
 bk AS (SELECT symbol, i, level, volume, close - (level + 1) * CASE WHEN close - low > 0 THEN (close - low) / 5 ELSE 1e-2 END AS bid, close + (level + 1) * CASE WHEN high - close > 0 THEN (high - close) / 5 ELSE 1e-2 END AS ask,
  volume * exp(-5e-1 * level) / (SELECT t FROM wt) AS q, i % 2 = 0 AS buy, volume * (1e-1 + 3e-1 * (i % 4)) AS want, CASE WHEN i % 2 = 0 THEN close + 7e-1 * (high - close) ELSE close - 7e-1 * (close - low) END AS lim FROM b, lv),
 o AS (SELECT *, CASE WHEN buy THEN ask ELSE bid END AS px, coalesce(sum(q) OVER (PARTITION BY symbol, i ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS before FROM bk)"""
 
 def _part_sql(cte: str, part: str, keys: str) -> str:
-    return f"WITH {BARS}, {cte}, {signal_cte(part=part, source='fo')}, {curve_cte('sig', part)}, {metrics_sql('cur', part, keys)}"
+    return f"WITH {BARS}, {cte}, {signal_cte('flagship', part, 'fo')}, {curve_cte('sig', part)}, {metrics_sql('cur', part, keys)}"
 
 
 _SPLITS = """g AS (SELECT unnest(range(4)) AS g), sp AS (SELECT a.g AS x, b.g AS y, row_number() OVER (ORDER BY a.g, b.g) - 1 AS split FROM g a, g b WHERE a.g < b.g), n AS (SELECT symbol, greatest(1, count(*) // 4) AS t FROM b GROUP BY 1),
@@ -338,9 +349,39 @@ _HORIZON = """(WITH {bars}, {sig}, p AS (SELECT symbol, i, signal, lead(close, {
 u AS (SELECT *, unnest(CASE WHEN n < 20 THEN [0] ELSE list_filter(range(0, CAST((n - 20) // 10 + 1 AS BIGINT)), lambda q: q * 10 <= j AND j < q * 10 + 20) END) AS ch FROM c)
 SELECT symbol, {h} AS horizon, round(avg(ic), 6) + 0e0 AS mean_ic, round(avg(CASE WHEN ic > 0 THEN 1e0 ELSE 0e0 END), 6) + 0e0 AS positive_rate FROM {ic} GROUP BY symbol)"""
 
+def _stress(kind: str) -> str:
+    cur = f"{BARS}, {signal_cte(kind)}, {curve_cte('sig', 'symbol')}"
+    base = f"WITH {cur}, {metrics_sql('cur', 'symbol', 'symbol', None)}"
+    near = "least(turn, greatest(1e0, 25e-2 * volume))"
+    book = f"""l AS (SELECT symbol, i, turn, 0e0 AS cost, CASE WHEN i = 0 THEN 0e0 ELSE held * mv - CASE WHEN turn > 0 THEN ({near} * 5e-5 + (turn - {near}) * 15e-5) / turn + 2e-4 ELSE 0 END END AS ret FROM cur),
+mi AS (SELECT *, product(1 + ret) OVER (PARTITION BY symbol ORDER BY i) AS equity FROM l)"""
+    micro = f"WITH {cur}, {book}, {metrics_sql('mi', 'symbol', 'symbol', None)}"
+    return f"""SELECT symbol, round(a.sharpe, 6) + 0e0 AS baseline_sharpe, round(m.sharpe, 6) + 0e0 AS microstructure_sharpe, round(a.max_drawdown, 6) + 0e0 AS baseline_drawdown, round(m.max_drawdown, 6) + 0e0 AS microstructure_drawdown,
+ a.trades AS trades_simulated, CASE WHEN a.trades > 0 THEN 1e0 ELSE 0e0 END AS fill_rate, m.sharpe > 0 AND m.max_drawdown <= greatest(1e-2, 15e-1 * a.max_drawdown) AS passed FROM ({base}) a JOIN ({micro}) m USING (symbol)"""
+
+
+def _analysis() -> str:
+    """The factor analysis of ROC 5, in rows."""
+    parts = []
+    long = lambda part, at, names: " UNION ALL ".join(f"SELECT symbol, '{part}' AS part, {at} AS at, '{n}' AS metric, round(CAST({n} AS DOUBLE), 6) + 0e0 AS value FROM f" for n in names)
+    for h in (1, 5, 10):
+        pairs = _PAIRS.replace("lead(close, 1)", f"lead(close, {h})")
+        ic = f"""SELECT symbol, chunks, m AS mean_ic, sd AS std_ic, coalesce(m / nullif(sd, 0), 0) * sqrt(chunks) AS t_stat, coalesce(m / nullif(sd, 0), 0) * {ROOT} AS ir, pos AS positive_rate FROM g"""
+        parts.append(f"WITH {pairs}, {_CHUNKS}, f AS ({ic}) {long('rank_ic', h, ('chunks', 'mean_ic', 'std_ic', 't_stat', 'ir', 'positive_rate'))}")
+        parts.append(f"WITH {pairs}, {_BINS}, f AS ({_SPREAD}) {long('quantile_spread', h, ('spread', 'monotonicity'))}")
+    parts.append(f"WITH {BARS}, {_SIG}, {_LAGGED} SELECT symbol, 'autocorrelation' AS part, CAST(lag AS INTEGER) AS at, 'autocorrelation' AS metric, round(ic, 6) + 0e0 AS value FROM {_ic('m', 'symbol, lag', 'was', 'signal')}")
+    parts.append(f"WITH {BARS}, {_SIG} SELECT DISTINCT symbol, 'autocorrelation', 0, 'autocorrelation', 1e0 FROM s WHERE signal IS NOT NULL")
+    return " UNION ALL ".join(f"({p})" for p in parts)
+
+
+_CHUNKS = f"""u AS (SELECT *, unnest(CASE WHEN n < 20 THEN [0] ELSE list_filter(range(0, CAST((n - 20) // 10 + 1 AS BIGINT)), lambda q: q * 10 <= j AND j < q * 10 + 20) END) AS ch FROM c),
+g AS (SELECT symbol, count(*) AS chunks, avg(ic) AS m, coalesce(stddev_samp(ic), 0e0) AS sd, avg(CASE WHEN ic > 0 THEN 1e0 ELSE 0e0 END) AS pos FROM {_ic('u', 'symbol, ch', 'signal', 'fwd')} GROUP BY symbol)"""
+_BINS = "z AS (SELECT *, least((row_number() OVER (PARTITION BY symbol ORDER BY signal, i) - 1) // (n // 5), 4) AS q FROM c WHERE n >= 10), a AS (SELECT symbol, q, avg(fwd) AS m FROM z GROUP BY ALL)"
+_SPREAD = f"SELECT symbol, spread, ic AS monotonicity FROM (SELECT symbol, arg_max(m, q) - arg_min(m, q) AS spread FROM a GROUP BY 1) JOIN {_ic('a', 'symbol', 'q', 'm')} USING (symbol)"
+_LAGGED = "c AS (SELECT symbol, i, signal FROM s WHERE signal IS NOT NULL), l AS (" + " UNION ALL ".join(f"SELECT symbol, {k} AS lag, signal, lag(signal, {k}) OVER {_O} AS was FROM c" for k in range(1, 6)) + "), m AS (SELECT * FROM l WHERE was IS NOT NULL)"
+
 ORACLE = {
     "combinatorial_validation": _part_sql(_SPLITS, "symbol, split", "symbol, CAST(split AS INTEGER) AS split"),
-    "walk_forward_mean": "WITH f AS (" + ENGINE["walk_forward"] + ") SELECT symbol, " + ", ".join(f"round(avg({c}), 5) + 0e0 AS {c}" for c in ("sharpe", "total_return", "max_drawdown", "turnover", "costs_paid")) + " FROM f GROUP BY symbol",
     "gauntlet": "WITH f AS (" + _part_sql(_LATER, "symbol, half", "symbol, half") + "), p AS (SELECT symbol, max(sharpe) FILTER (NOT half) AS in_sharpe, max(sharpe) FILTER (half) AS out_sharpe, max(max_drawdown) FILTER (half) AS out_drawdown FROM f GROUP BY 1) SELECT *, in_sharpe >= 1 AND out_sharpe >= 5e-1 AS passed FROM p",
     "factor_horizons": " UNION ALL ".join(_HORIZON.format(bars=BARS.strip(), sig=_SIG, h=h, o=_O, ic=_ic("u", "symbol, ch", "signal", "fwd")) for h in (1, 5, 10)),
     "optimized_weights": f"""WITH {_FIN}, v AS (SELECT run_id, generation, ingest_id, test_sharpe / greatest(coalesce(max_drawdown, 1), 1e-12) AS v FROM f)
@@ -370,12 +411,9 @@ c AS (SELECT *, d1 - sum(d1 * m1) OVER p / sum(m1 * m1) OVER p * m1 AS d2 FROM a
 SELECT symbol, i AS bar_idx, """ + ", ".join(f"round(({x} - avg({x}) OVER p) / stddev_samp({x}) OVER p, 6) + 0e0 AS orth_{n}" for x, n in (("ret", "ret"), ("m1", "mom"), ("d2", "dev"))) + " FROM c WINDOW p AS (PARTITION BY symbol)",
     "correlation_matrix": f"WITH {_STRAT}, {_CORR} SELECT a, b, n, round(cov * 1e4, 6) + 0e0 AS cov, round(greatest(-1e0, least(1e0, cr)), 6) + 0e0 AS corr FROM cc",
     "novelty": f"WITH {_STRAT}, {_CORR} SELECT series, round(1 - max(abs(cr)), 6) + 0e0 AS novelty FROM (SELECT a AS series, cr FROM cc WHERE a <> b UNION ALL SELECT b, cr FROM cc WHERE a <> b) GROUP BY 1",
-    "monte_carlo": f"""WITH {_STRAT}, m AS (SELECT unnest(range(50)) AS sim), g AS (SELECT r.*, m.sim, md5(concat_ws('|', 42, m.sim, r.i)) AS o FROM r, m),
-e AS (SELECT *, product(1 + ret) OVER w AS e FROM g WINDOW w AS (PARTITION BY strategy, sim ORDER BY o)), k AS (SELECT *, e / greatest(1e0, max(e) OVER (PARTITION BY strategy, sim ORDER BY o)) - 1 AS dd FROM e),
-p AS (SELECT strategy, sim, arg_max(e, o) - 1 AS total_return, abs(least(min(dd), 0)) AS max_drawdown FROM k GROUP BY ALL), l AS (SELECT strategy, 'total_return' AS metric, total_return AS v FROM p UNION ALL SELECT strategy, 'max_drawdown', max_drawdown FROM p)
-SELECT strategy, metric, """ + ", ".join(f"round(list_sort(list(v))[CAST(floor(49 * {p}) AS INTEGER) + 1], 6) + 0e0 AS {n}" for p, n in (("5e-2", "p05"), ("5e-1", "p50"), ("95e-2", "p95"))) + " FROM l GROUP BY ALL",
-    "bootstrap_interval": f"WITH {_boot(7, 100)}, l AS (SELECT strategy, list_sort(list(mean)) AS l FROM bm GROUP BY 1) SELECT strategy, round(mean, 9) + 0e0 AS mean, round(l[3], 9) + 0e0 AS lower, round(l[97], 9) + 0e0 AS upper FROM l JOIN (SELECT strategy, avg(ret) AS mean FROM r GROUP BY 1) USING (strategy)",
-    "reality_check": f"WITH {_boot(11, 100)}, t AS (SELECT sim, max(mean) AS top FROM bm GROUP BY 1), b2 AS (SELECT max(m) AS best FROM (SELECT avg(ret) AS m FROM r GROUP BY strategy)) SELECT round(any_value(best), 9) + 0e0 AS best_mean, round(avg(CASE WHEN top >= best THEN 1e0 ELSE 0e0 END), 9) + 0e0 AS p_value FROM t, b2",
+    "monte_carlo": monte_carlo_sql(_STRAT, "strategy", 42, 100),
+    "bootstrap_interval": f"WITH {_boot(7, 1000)}, l AS (SELECT strategy, list_sort(list(mean)) AS l FROM bm GROUP BY 1) SELECT strategy, round(mean, 9) + 0e0 AS mean, round(l[26], 9) + 0e0 AS lower, round(l[975], 9) + 0e0 AS upper FROM l JOIN (SELECT strategy, avg(ret) AS mean FROM r GROUP BY 1) USING (strategy)",
+    "reality_check": f"WITH {_boot(11, 500)}, t AS (SELECT sim, max(mean) AS top FROM bm GROUP BY 1), b2 AS (SELECT max(m) AS best FROM (SELECT avg(ret) AS m FROM r GROUP BY strategy)) SELECT round(any_value(best), 9) + 0e0 AS best_mean, round(avg(CASE WHEN top >= best THEN 1e0 ELSE 0e0 END), 9) + 0e0 AS p_value FROM t, b2",
     "deflated_sharpe": f"WITH {_FIN} SELECT run_id, generation, ingest_id, round(test_sharpe, 6) + 0e0 AS test_sharpe, round(test_sharpe - (avg(test_sharpe) OVER p + sqrt(coalesce(var_samp(test_sharpe) OVER p, 0) * 2 * ln(count(*) OVER p))), 6) + 0e0 AS deflated FROM f WINDOW p AS (PARTITION BY run_id, generation)",
     "overfit_proxy": f"WITH {_FIN} SELECT run_id, generation, count(*) AS n, round(avg(CASE WHEN test_sharpe <= 0 THEN 1e0 ELSE 0e0 END), 8) + 0e0 AS share_not_positive, round(max(test_sharpe), 8) + 0e0 AS best, round(median(test_sharpe), 8) + 0e0 AS median FROM f GROUP BY ALL",
     "adjusted_p": f"WITH {_FIN}, q AS (SELECT run_id, ingest_id, 1 / (1 + exp(test_sharpe)) AS p FROM f) SELECT run_id, ingest_id, round(p, 8) + 0e0 AS p, round(least(1e0, p * count(*) OVER (PARTITION BY run_id) / row_number() OVER (PARTITION BY run_id ORDER BY p, ingest_id)), 8) + 0e0 AS bh, round(least(1e0, p * count(*) OVER (PARTITION BY run_id)), 8) + 0e0 AS bonferroni FROM q",
@@ -386,6 +424,8 @@ SELECT strategy_id, ingest_id, test_sharpe, robustness_score, complexity FROM r
     "population": "WITH s AS (SELECT *, CASE WHEN isfinite(test_sharpe) THEN test_sharpe END AS t FROM strategies) SELECT run_id, count(*) AS candidates, count(DISTINCT strategy_id) AS strategies, count(DISTINCT generation) AS generations, round(avg(t), 6) + 0e0 AS mean_sharpe, count(*) FILTER (t > 0) AS positive, round(count(DISTINCT strategy_id) / count(*), 6) + 0e0 AS diversity FROM s GROUP BY run_id",
     "pareto_front": f"WITH {_CAND}, {_front('k', 'p')} SELECT run_id, ingest_id FROM p",
     "pareto_layers": f"WITH {_CAND}, {_front('k', 'p')}, k2 AS (SELECT * FROM k ANTI JOIN p USING (run_id, ingest_id)), {_front('k2', 'p2')}, k3 AS (SELECT * FROM k2 ANTI JOIN p2 USING (run_id, ingest_id)), {_front('k3', 'p3')} SELECT run_id, ingest_id, 1 AS front FROM p UNION ALL SELECT run_id, ingest_id, 2 FROM p2 UNION ALL SELECT run_id, ingest_id, 3 FROM p3",
+    "survivors": _survivors(10),
+    "cpcv_bars": _CPCV_BARS,
     "crowding_distance": f"WITH {_CAND}, {_front('k', 'p')} SELECT run_id, ingest_id, round({_gap('s')} + {_gap('d')} + {_gap('c')}, 6) + 0e0 AS crowding FROM p",
     "ancestors": "WITH RECURSIVE up(id) AS (SELECT CAST(127 AS BIGINT) UNION SELECT c.c_custkey // 3 FROM up JOIN customer c ON c.c_custkey = up.id) SELECT id FROM up WHERE id IN (SELECT c_custkey FROM customer)",
     "inverse_variance_weights": f"WITH {_STRAT}, v AS (SELECT strategy, var_samp(ret) AS v FROM r GROUP BY 1) SELECT 'inverse_variance' AS method, strategy, round(1 / v / (SELECT sum(1 / v) FROM v), 6) + 0e0 AS weight FROM v UNION ALL SELECT 'equal', strategy, round(1e0 / (SELECT count(*) FROM v), 6) FROM v",
@@ -404,6 +444,7 @@ SELECT concat(symbol, '-', i) AS order_id, round(fl, 6) + 0e0 AS filled, round(c
 p AS (SELECT floor(l_extendedprice / 1000) / 4 AS price, sum(l_quantity) AS v FROM lineitem GROUP BY 1), j AS (SELECT o.*, least(want, coalesce(v, 0)) AS f FROM o LEFT JOIN p USING (price)),
 s AS (SELECT *, CASE WHEN want * price <= 0 THEN 'zero_notional' WHEN want * price > 1500 THEN 'max_order_notional' WHEN f <= 0 THEN 'insufficient_liquidity' WHEN f = want THEN 'filled' ELSE 'partial' END AS status FROM j)
 SELECT order_id, CASE WHEN status IN ('filled', 'partial') THEN f ELSE 0 END AS quantity, price, round(CASE WHEN status IN ('filled', 'partial') THEN f * price * CASE WHEN maker THEN 1 ELSE 2 END / 1e4 ELSE 0 END, 6) + 0e0 AS fee, status FROM s""",
-    "stress_test": f"""WITH {BARS}, {signal_cte()}, {curve_cte('sig', 'symbol', FIXED)}, l AS (SELECT *, least(turn, greatest(1e0, 25e-2 * volume)) AS x, least(turn - least(turn, greatest(1e0, 25e-2 * volume)), greatest(1e0, 25e-2 * volume)) AS y FROM cur)
-SELECT symbol, count(*) FILTER (turn > 0) AS orders, round(coalesce(sum(x + y) / nullif(sum(turn), 0), 1), 6) + 0e0 AS fill_rate, round(product(1 + ret) - 1, 6) + 0e0 AS ideal, round(product(1 + ret - (x + 3 * y) * 5e-4) - 1, 6) + 0e0 AS stressed FROM l GROUP BY symbol""",
+    "stress_test": _stress("crossover"),
+    "microstructure_gauntlet": " UNION ALL ".join(f"SELECT *, '{k}' AS genome FROM ({_stress(k)})" for k in ("flagship", "crossover")),
+    "factor_analysis": _analysis(),
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -35,19 +37,37 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tickforge-")
+        own = tempfile.mkdtemp(prefix="tickforge-")
+        atexit.register(shutil.rmtree, own, True)
+        found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Folders that materialize wrote and release has not removed yet.
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: cuts the lineage, survives lost executors."""
+    """Writes df as Parquet in the shared folder and reads it again: cuts the lineage, survives lost executors. The folder stays, since the result
+    is read later, until ``release`` or the end of the session."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Removes the intermediate folders of the queries run so far, whose results must have been written or collected; how many there were."""
+    n = len(_WRITTEN)
+    for path in _WRITTEN:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.clear()
+    return n
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count (which stops at the limit) proves it small, else df for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

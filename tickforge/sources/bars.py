@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickforge.operators.shards import TARGET_ROWS, assign_shards, carry
+from tickforge.operators.shards import TARGET_ROWS, assign_shards, carry, with_halo
 from tickforge.session import broadcast_if_small, materialize, micros, read
 
 REQUIRED = ("timestamp", "symbol", "open", "high", "low", "close", "volume")
@@ -64,6 +64,20 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("valid", ok)
 
 
+def load_bars(spark: SparkSession, path: str) -> DataFrame:
+    """read_bars, refused with ValueError where a price or volume is no number, or where the quality report finds inconsistent prices, values that
+    are not finite, negative volumes or a symbol's timestamp twice."""
+    rows = read_bars(spark, path)
+    numbered_rows = rows.withColumns({"_ts": F.col("timestamp").try_cast("timestamp_ntz"), "_n": F.monotonically_increasing_id()})
+    bad = rows.filter("not valid").count()
+    found = quality_report(numbered_rows.filter("valid"), "symbol", "_ts", "_n", "open", "high", "low", "close", "volume").first().asDict()
+    found |= {"no numbers": bad}
+    names = {"no numbers": "no numbers", "inconsistent": "OHLC inconsistent", "not_finite": "not finite", "negative_volume": "negative volume", "duplicates": "duplicate timestamps"}
+    if errors := [f"{found[k]} rows: {text}" for k, text in names.items() if found[k]]:
+        raise ValueError("; ".join(errors))
+    return rows.drop("valid")
+
+
 def from_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """Bars from rows in memory; nothing is checked."""
     return spark.createDataFrame(rows)
@@ -81,20 +95,24 @@ def synthetic_bars(spark: SparkSession, n: int, price: float = 100.0, symbol: st
     })
 
 
-def quality_report(rows: DataFrame, symbol: str = "symbol", ts: str = "ts", arrival: str = "row_id", o: str = "open_px", h: str = "high_px", lo: str = "low_px", c: str = "close_px", v: str = "volume") -> DataFrame:
+def quality_report(rows: DataFrame, symbol: str = "symbol", ts: str = "ts", arrival: str = "row_id", o: str = "open_px", h: str = "high_px", lo: str = "low_px", c: str = "close_px", v: str = "volume", target_rows: int = TARGET_ROWS) -> DataFrame:
     """One row of counts: rows, symbols, duplicates (rows less distinct symbol and ts), inconsistent prices, values that are not finite,
     negative volumes, and rows whose time is before that of the row of their symbol which arrived just before."""
     px = [F.col(x) for x in (o, h, lo, c)]
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     any_odd = odd(px[0]) | odd(px[1]) | odd(px[2]) | odd(px[3]) | odd(F.col(v))
     wrong = (F.col(h) < F.greatest(o, c)) | (F.col(lo) > F.least(o, c)) | (F.col(h) < F.col(lo))
-    back = F.lag(micros(ts)).over(Window.partitionBy(symbol).orderBy(arrival)) > micros(ts)
-    flags = rows.select(symbol, micros(ts).alias("_us"), any_odd.alias("_odd"), (wrong & ~any_odd).alias("_wrong"), (F.col(v) < 0).alias("_neg"), F.coalesce(back & F.col(symbol).isNotNull(), F.lit(False)).alias("_back"))
-    per = flags.groupBy(symbol, "_us").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(x).alias(x) for x in ("_odd", "_wrong", "_neg", "_back")])
-    return per.agg(
+    flags = rows.select(symbol, micros(ts).alias("_us"), any_odd.alias("_odd"), (wrong & ~any_odd).alias("_wrong"), (F.col(v) < 0).alias("_neg"))
+    per = flags.groupBy(symbol, "_us").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(x).alias(x) for x in ("_odd", "_wrong", "_neg")])
+    counts = per.agg(
         F.sum("n").alias("rows"), F.countDistinct(symbol).alias("symbols"), (F.sum("n") - F.count(F.lit(1))).alias("duplicates"), F.sum("_wrong").alias("inconsistent"),
-        F.sum("_odd").alias("not_finite"), F.sum("_neg").alias("negative_volume"), F.sum("_back").alias("out_of_order"),
+        F.sum("_odd").alias("not_finite"), F.sum("_neg").alias("negative_volume"),
     )
+    line, split = assign_shards(rows.filter(F.col(symbol).isNotNull()).select(symbol, F.col(arrival).cast("long").alias("_n"), micros(ts).alias("_us")).filter("_n is not null"), [symbol], "_n", target_rows)
+    line = with_halo(line, [symbol], ["_n"], 1, 0, split)
+    back = F.lag("_us").over(Window.partitionBy(symbol, "_shard").orderBy("_n")) > F.col("_us")
+    late = line.withColumn("_back", F.coalesce(back, F.lit(False))).filter("not _halo").agg(F.count_if(F.col("_back")).alias("out_of_order"))
+    return counts.withColumn("_one", F.lit(1)).join(late.withColumn("_one", F.lit(1)), "_one").drop("_one")  # one row each
 
 
 def chronological_split(rows: DataFrame, ts: str, arrival: str, fraction: float = 0.2) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,55 @@ from pyspark.sql import functions as F
 from tickforge.functions.expr import from_dict, pretty
 
 
+def write(path: Path, content: dict) -> None:
+    """content as JSON, written beside path first and then moved, so that no reader sees half of it."""
+    path.parent.mkdir(parents=True, exist_ok=True)
+    part = path.with_name(path.name + ".part")
+    part.write_text(json.dumps(content, indent=1))
+    os.replace(part, path)
+
+
+def save_candidate(folder: Path, record: dict) -> None:
+    """A record as strategies/{id}_g{generation}_i{index}.json, and as one more line of strategies.jsonl."""
+    write(folder / "strategies" / f"{record['strategy_id']}_g{record['generation']}_i{record['index']}.json", record)
+    with (folder / "strategies.jsonl").open("a") as log:
+        log.write(json.dumps(record) + "\n")
+
+
+def load_run(folder: str, top: int | None = None) -> tuple[list[dict], int]:
+    """(records of a run's strategies folder by falling test Sharpe ratio, how many files were damaged); FileNotFoundError if there is none to read."""
+    files, records, damaged = sorted((Path(folder) / "strategies").glob("*.json")), [], 0
+    for path in files:
+        try:
+            records.append(json.loads(path.read_text()))
+        except (ValueError, OSError):
+            damaged += 1
+    if not records:
+        raise FileNotFoundError(f"no strategies in {folder}" + f", {damaged} damaged" * bool(damaged))
+    records.sort(key=lambda r: -(r.get("test_metrics") or {}).get("sharpe", 0.0))
+    return records[:top], damaged
+
+
+def runs(folder: str) -> list[dict]:
+    """The runs below a folder that have a summary: name, candidates, the best's train Sharpe ratio and the sizes of the fronts; damaged ones are left out."""
+    out = []
+    for path in sorted(Path(folder).glob("*/summary.json")):
+        try:
+            told = json.loads(path.read_text())
+        except (ValueError, OSError):
+            continue
+        best = told.get("best") or {}
+        out.append({"run": path.parent.name, "candidates": told.get("candidates"), "best": best.get("strategy_id"), "sharpe": (best.get("train_metrics") or {}).get("sharpe"), "front_sizes": told.get("front_sizes", [])})
+    return out
+
+
+def top_report(folder: str, path: str, n: int = 10) -> list[dict]:
+    """report of a run's n best strategies by test Sharpe ratio."""
+    rows = [{"strategy_id": r["strategy_id"], "expression": r["expression"], "complexity": r["complexity"], **{f"test_{k}": r["test_metrics"].get(k) for k in ("sharpe", "max_drawdown", "total_return")}} for r in load_run(folder, n)[0]]
+    report(rows, path, "Best strategies")
+    return rows
+
+
 def save(records: DataFrame, path: str) -> None:
     """Appends records as JSON lines, one folder per generation."""
     records.write.mode("append").partitionBy("generation").json(path)

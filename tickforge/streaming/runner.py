@@ -7,52 +7,20 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tickforge.functions.expr import Binary, Constant, Node, Primitive, Series, from_dict, to_dict
+from tickforge.functions.expr import Node, from_dict, to_dict
+from tickforge.functions.kernels import Bars, values
 
 OUTPUT = "symbol string, bar_ts long, status string, signal double, position double, cash double, equity double"
 STATE = "state string"
 
 
-def latest_value(node: Node, b: dict[str, list[float]]) -> float:
-    """The value of an expression at the last bar of a buffer, NaN where it is missing. For the primitives a runner may use."""
-    if isinstance(node, Constant):
-        return node.value
-    if isinstance(node, Series):
-        return b[node.name][-1]
-    if isinstance(node, Binary):
-        x, y = latest_value(node.left, b), latest_value(node.right, b)
-        if math.isnan(x) or math.isnan(y):
-            return math.nan
-        return x + y if node.op == "+" else x - y if node.op == "-" else x * y if node.op == "*" else x / y if y else math.nan
-    assert isinstance(node, Primitive)
-    name, p = node.name.upper(), max(2, node.period)
-    c, h, lo = (np.array(b[k]) for k in ("close", "high", "low"))
-    if name == "EMA":
-        return float(pd.Series(c).ewm(alpha=2 / (p + 1), adjust=False).mean().iloc[-1])
-    need = {"RSI": p + 1, "MOMENTUM": p + 1, "ROC": p + 1}.get(name, p)
-    if len(c) < need:
-        return math.nan
-    if name in ("SMA", "ROLLING_MEAN"):
-        return float(c[-p:].mean())
-    if name == "ROLLING_STD":
-        return float(c[-p:].std())
-    if name == "MOMENTUM":
-        return float(c[-1] - c[-1 - p])
-    if name == "ROC":
-        return float(c[-1] / c[-1 - p] - 1)
-    if name == "ATR":
-        tr = np.maximum(h[1:] - lo[1:], np.maximum(abs(h[1:] - c[:-1]), abs(lo[1:] - c[:-1])))
-        return float(np.append(0.0, tr)[-p:].mean())
-    if name == "RSI":
-        d = np.diff(c[-p - 1 :])
-        down = -d[d < 0].sum()
-        return 100.0 if down == 0 else float(100 - 100 / (1 + d[d > 0].sum() / down))
-    raise ValueError(f"the runner has no {name}")
+def latest_value(node: Node, buffer: dict[str, list[float]]) -> float:
+    """The value of an expression at the last bar of a buffer, NaN where it is missing."""
+    return float(values(node, Bars(buffer))[-1])
 
 
 @dataclass

@@ -33,6 +33,27 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p8_containers(spark, d), read(spark, d, "containers"))
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """(container_kind, documents, lost, doubled, overfull): what p8_containers promises, counted over all rows: every text is placed once, as pieces
+    without gaps, and no container holds more than its capacity."""
+    sizes, kinds = _sizes(spark, d, ["doc_id"]), read(spark, d, "containers")
+    packed = pack(sizes, kinds)
+    given = sizes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"), F.sum("n_tokens").alias("tokens"))
+    placed = packed.groupBy("container_kind", "doc_id").agg(F.sum("n_tokens").alias("got"), F.count_if(F.col("start") == 0).alias("begun"))
+    named = F.array(*[F.lit(r[0]) for r in kinds.select("container_kind").distinct().collect()])  # a few rows
+    each = given.withColumn("container_kind", F.explode(named)).join(placed, ["container_kind", "doc_id"], "left")
+    per = each.groupBy("container_kind").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.coalesce("got", F.lit(-1)) < F.col("tokens")).alias("lost"), F.count_if((F.col("got") > F.col("tokens")) | (F.col("begun") > F.col("copies"))).alias("doubled"))
+    load = packed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("load")).join(F.broadcast(kinds), "container_kind")
+    return per.join(load.groupBy("container_kind").agg(F.count_if(F.col("load") > F.col("capacity_tokens")).alias("overfull")), "container_kind")
+
+
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """(source, above, foreign): per listed source how many selected documents are used more than max_repeats times, or are not of that source."""
+    mixed, docs = _mixed(spark, d)[0], read(spark, d, "documents").select("doc_id", F.col("source").alias("own"))
+    used = mixed.join(docs, "doc_id", "left").groupBy("source").agg(F.max("copies").alias("most"), F.count_if(~F.col("own").eqNullSafe(F.col("source"))).alias("foreign"))
+    return read(spark, d, "mix_targets").join(used, "source", "left").select("source", (F.coalesce("most", F.lit(0)) > F.col("max_repeats")).alias("above"), F.coalesce("foreign", F.lit(0)).alias("foreign"))
+
+
 def _mixed(spark: SparkSession, d: str, all_met: bool = False) -> tuple[DataFrame, DataFrame]:
     return mix(_sizes(spark, d, ["doc_id", "source"]), read(spark, d, "mix_targets"), all_met=all_met)
 
@@ -65,11 +86,13 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_mix_all_met": p9_mix_all_met, "p9_shares_all_met": p9_shares_all_met,
+    "p1_found": p1_found, "p8_containers": p8_containers, "p8_report": p8_report, "p8_checks": p8_checks, "p9_checks": p9_checks, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_mix_all_met": p9_mix_all_met, "p9_shares_all_met": p9_shares_all_met,
     "p10_found": p10_found, "p10_composition": p10_composition,
 }
 
 ORACLE = {
+    "p8_checks": "SELECT container_kind, (SELECT count(DISTINCT doc_id) FROM documents WHERE text IS NOT NULL) AS documents, 0 AS lost, 0 AS doubled, 0 AS overfull FROM containers WHERE capacity_tokens > 0",
+    "p9_checks": "SELECT source, false AS above, 0 AS foreign FROM mix_targets",
     "p1_found": """
 WITH l AS (SELECT *, row_number() OVER (PARTITION BY run_id, generation, strategy_id ORDER BY ingest_id DESC) AS v FROM strategies),
 p AS (SELECT *, row_number() OVER (PARTITION BY run_id, generation ORDER BY test_sharpe DESC, robustness_score DESC NULLS LAST, strategy_id) AS place

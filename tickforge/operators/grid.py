@@ -41,8 +41,8 @@ def regular_grid(readings: DataFrame, specs: DataFrame, key: str = "symbol", ts:
     base = readings.select(F.col(key).alias("_k"), micros(ts).alias("_us"), F.col(tie).alias("_tie"), F.col(value).cast("double").alias("_y"))
     base = base.filter("_k is not null and _us is not null and _y is not null and not isnan(_y) and abs(_y) < double('Infinity')").join(broadcast_if_small(steps), "_k")
     base = base.withColumn("_p", F.expr("(_us - pmod(_us, _step * 1000000)) div (_step * 1000000)"))
-    once = base.groupBy("_k", "_step", "_session", "_p").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.max(F.struct("_us", "_tie", "_y"))["_y"].alias("_y"))
-    rows, split = assign_shards(once, ["_k"], "_p", target_rows)
+    base, split = assign_shards(base, ["_k"], "_p", target_rows)  # by readings, before they are combined
+    rows = base.groupBy("_k", "_step", "_session", "_p", "_shard").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.max(F.struct("_us", "_tie", "_y"))["_y"].alias("_y"))
     rows = with_halo(rows, ["_k"], ["_p"], before=1, after=2, split=split)
     w = Window.partitionBy("_k", "_shard").orderBy("_p")
     far = max_gap_s * 1_000_000

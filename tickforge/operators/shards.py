@@ -94,7 +94,7 @@ def with_halo(df: DataFrame, keys: list[str], order: list[str], before: int, aft
     own = df.withColumn("_halo", F.lit(False))
     if not split or before + after == 0:
         return own
-    hot, part = df.filter("_shard > 0"), Window.partitionBy(*keys, "_shard")
+    hot, part = materialize(df.filter("_shard > 0"), "hot"), Window.partitionBy(*keys, "_shard")  # read three times
     row = F.struct(*order, *[c for c in df.columns if c not in {*keys, "_shard", *order}])
     # how many shards a halo may reach into: small ones are rare, but then it is several
     least = hot.groupBy(*keys, "_shard").agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n")).first()[0] or 1

@@ -223,11 +223,10 @@ def flag_implausible(df: DataFrame, key: str = "symbol", ts: str = "ts", row_id:
     bars = cut.groupBy("_k", "_us", "_shard").agg(*first, F.max(F.when(finite, F.col(volume))).alias("_top")).withColumn("_halo", F.lit(False))
     if split:
         bars = _with_halo(bars, fields, volume, NEAR + REACH + most, stuck - 1)
-    bars = bars.repartition("_k", "_shard")  # one exchange that the sketches and the check share
+    bars = materialize(bars, "bars").repartition("_k", "_shard")  # made once; one exchange that the sketches and the check share
     stats = _stats(bars, list(prices), volume)
     seen = bars.withColumns({f"_null_{f}": F.isnull(f) for f in fields})
     if split:
-        stats = materialize(stats, "usual")
         stats = seen.select("_k", "_shard").distinct().join(stats, "_k")
     else:
         stats = stats.withColumn("_shard", F.lit(0))

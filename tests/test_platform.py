@@ -158,3 +158,64 @@ def test_contracts(monkeypatch):
     assert a.send(2, "x") == 1 and a.failed == 1 and len(seen) == 1
     r = gov.Readiness({"a": True}, {"p"})
     assert r.ready() and gov.soak([1, 0], lambda x: 1 / x)["errors"] and gov.matches({"a": 1}, {"a": 1, "b": 2}) == ["b"]
+
+
+def test_shadow_brokers_secrets_approvals(monkeypatch):
+    shadow = gov.Shadow(most=3)
+    for k in range(5):
+        shadow.record(float(k), {"close": k})
+    assert [d["signal"] for d in shadow.decisions] == [2.0, 3.0, 4.0]
+    sent = []
+    broker = gov.HttpBroker(gov.BrokerConfig("b", "http://x/", "acc", key_name="api"), transport=lambda *a: sent.append(a) or '{"status": "filled"}')
+    monkeypatch.setenv("TICKFORGE_API", "k")
+    assert broker.submit("X", 1, 2)["status"] == "filled" and sent[0][0] == "http://x/orders" and sent[0][2] == {"Authorization": "Bearer k"}
+    with pytest.raises(PermissionError):
+        gov.HttpBroker(gov.BrokerConfig("b", "http://x", "acc", "live")).submit("X", 1, 2)
+    with pytest.raises(RuntimeError):
+        gov.HttpBroker(gov.BrokerConfig("b", "http://x", "acc"), transport=lambda *a: "no json").submit("X", 1, 2)
+    assert gov.reconciled({"a": 1.0, "b": 2.0}, {"b": 2.0, "c": 1.0}) == {"a": (1.0, 0.0), "c": (0.0, 1.0)}
+    with pytest.raises(KeyError, match="nope"):
+        gov.Secrets().require("api", "nope")
+    r = gov.Readiness({"a": True}, needed=2)
+    r.approve("p", "fine", 1.0), r.approve("p")
+    assert not r.ready() and len(r.records) == 2
+    r.approve("q")
+    assert r.ready() and gov.within_budget({"a": 1.0}, {"a": 2.0, "b": 1.0}) == ["b"]
+
+
+def test_studio(tmp_path):
+    import threading
+    import urllib.request
+
+    from tickforge import studio
+
+    for k, (sharpe, drawdown) in enumerate([(2.0, 0.2), (1.0, 0.1), (1.0, 0.3)]):
+        store.save_candidate(tmp_path / "run", {"strategy_id": f"s{k}", "generation": 0, "index": k, "expression": "x", "complexity": 1, "test_metrics": {"sharpe": sharpe, "max_drawdown": drawdown}})
+    store.write(tmp_path / "run" / "summary.json", {"best": {"strategy_id": "s0", "train_metrics": {"sharpe": 2.0}}, "candidates": 3, "front_sizes": [2]})
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "summary.json").write_text("{")
+    ask = lambda path: studio.answer(str(tmp_path), path)
+    assert ask("/health") == (200, {"status": "ok"}) and [r["run"] for r in ask("/api/runs")[1]] == ["run"] and ask("/api/runs/run")[1]["candidates"] == 3
+    assert [r["strategy_id"] for r in ask("/api/runs/run/pareto")[1]] == ["s0", "s1"] and "run" in ask("/")[1]
+    assert ask("/api/runs/%2e%2e%2fetc")[0] == 400 and ask("/api/runs/bad")[0] == 404 and ask("/api/runs/none")[0] == 404 and ask("/x")[0] == 404
+    server = studio.serve(str(tmp_path), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/api/runs", timeout=5) as reply:
+            assert json.loads(reply.read())[0]["run"] == "run"
+    finally:
+        server.shutdown()
+    studio.plot({"a": [1.0, 2.0, 1.5], "b": [1.0, float("nan"), 3.0]}, str(tmp_path / "p.svg"))
+    assert (tmp_path / "p.svg").read_text().count("polyline") == 4
+
+
+def test_connector_objects(spark):
+    class Mine:
+        name = "mine"
+
+        def load(self, s, options):
+            return s.range(options["n"])
+
+    c = Connectors()
+    c.add(Mine())
+    assert c.get("mine")(spark, {"n": 2}).count() == 2

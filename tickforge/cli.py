@@ -1,4 +1,4 @@
-"""python -m tickforge.cli validate|run|runs|backtest|factor|ensemble|gauntlet ...: bar files in, JSON out."""
+"""python -m tickforge.cli validate|run|runs|studio|backtest|factor|ensemble|gauntlet ...: bar files in, JSON out."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from tickforge.plans.evolve import search
 from tickforge.session import get_session
 from tickforge.sources.bars import load_bars, numbered, quality_report, read_bars
 from tickforge.sources.store import load_run, runs
+from tickforge.studio import serve
 
 
 def _bars(spark, path: str):
@@ -52,7 +53,12 @@ def main(argv: list[str] | None = None) -> int:
             s.add_argument("--method", default="risk_parity", choices=list(portfolio.METHODS))
     s = sub.add_parser("runs")
     s.add_argument("folder")
+    s = sub.add_parser("studio")
+    s.add_argument("folder")
+    s.add_argument("--port", type=int, default=8765)
     a = p.parse_args(argv)
+    if a.command == "studio":
+        serve(a.folder, port=a.port).serve_forever()
     if a.command == "runs":
         print(json.dumps(runs(a.folder)))
         return 0

@@ -108,6 +108,16 @@ def population(rows: DataFrame) -> DataFrame:
     )
 
 
+def root_usage(rows: DataFrame, expression: str = "expression") -> DataFrame:
+    """(run_id, root, candidates): how often each operator or primitive is the root of a run's expressions: the operator between the two sides of an
+    infix text in brackets, else the name ahead of the bracket, else the text. Null expressions are left out."""
+    text = F.trim(expression)
+    depth = F.aggregate(F.split(text, ""), F.struct(F.lit(0).alias("d"), F.lit("").alias("op"), F.lit(" ").alias("last")), lambda a, c: F.struct(
+        (a["d"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)).alias("d"), F.when((a["d"] == 1) & (a["last"] == " ") & c.isin("+", "-", "*", "/") & (a["op"] == ""), c).otherwise(a["op"]).alias("op"), c.alias("last")))["op"]
+    root = F.when(text.startswith("("), depth).otherwise(F.substring_index(text, "(", 1))
+    return rows.filter(F.col(expression).isNotNull()).groupBy("run_id", root.alias("root")).agg(F.count(F.lit(1)).alias("candidates"))
+
+
 def robustness_score(flat: DataFrame, ident: str = "record_id") -> DataFrame:
     """(ident, robustness) of parsed records: 50 times the share of cost scenarios with a positive Sharpe ratio, 30 times that of
     parameter scenarios, and 20 unless the lower quantile of the simulated total return is -1 or less. A missing ratio is not

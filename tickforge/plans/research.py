@@ -112,6 +112,10 @@ def population(spark: SparkSession, d: str) -> DataFrame:
     return rounded(research.population(read(spark, d, "strategies")))
 
 
+def root_usage(spark: SparkSession, d: str) -> DataFrame:
+    return research.root_usage(read(spark, d, "strategies"))
+
+
 def robustness_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(research.robustness_score(flatten_records(read(spark, d, "strategy_records"))))
 
@@ -269,7 +273,7 @@ def risk_limits(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     combinatorial_validation, factor_analysis, microstructure_gauntlet, gauntlet, full_gauntlet, factor_horizons, optimized_weights, order_execution, mark_to_market, risk_limits,
     forward_returns, rank_ic, quantile_spread, rank_autocorrelation, neutralized, orthogonalized, correlation_matrix, novelty, monte_carlo, bootstrap_interval, reality_check, deflated_sharpe,
-    overfit_proxy, adjusted_p, regime_labels, best_per_strategy, top_strategies, population, robustness_scores, pareto_front, pareto_layers, pareto_fronts, crowding_distance, survivors, ancestors,
+    overfit_proxy, adjusted_p, regime_labels, best_per_strategy, top_strategies, population, root_usage, robustness_scores, pareto_front, pareto_layers, pareto_fronts, crowding_distance, survivors, ancestors,
     ensemble_weights, inverse_variance_weights, cpcv, cpcv_bars, synthetic_book, market_fills, limit_fills, venue_replay, stress_test,
 )}
 
@@ -422,6 +426,8 @@ SELECT symbol, i AS bar_idx, """ + ", ".join(f"round(({x} - avg({x}) OVER p) / s
 SELECT strategy_id, ingest_id, test_sharpe, robustness_score, complexity FROM r WHERE k = 1""",
     "top_strategies": "SELECT ingest_id, strategy_id, test_sharpe FROM strategies WHERE isfinite(test_sharpe) ORDER BY test_sharpe DESC, ingest_id LIMIT 20",
     "population": "WITH s AS (SELECT *, CASE WHEN isfinite(test_sharpe) THEN test_sharpe END AS t FROM strategies) SELECT run_id, count(*) AS candidates, count(DISTINCT strategy_id) AS strategies, count(DISTINCT generation) AS generations, round(avg(t), 6) + 0e0 AS mean_sharpe, count(*) FILTER (t > 0) AS positive, round(count(DISTINCT strategy_id) / count(*), 6) + 0e0 AS diversity FROM s GROUP BY run_id",
+    "root_usage": r"""WITH t AS (SELECT run_id, trim(expression) AS e FROM strategies WHERE expression IS NOT NULL)
+SELECT run_id, CASE WHEN e[1] = '(' THEN coalesce(nullif(regexp_extract(e, '^\((?:[A-Za-z0-9_]+(?:\([^()]*\))?|\(.*\)) ([-+*/]) ', 1), ''), '') ELSE split_part(e, '(', 1) END AS root, count(*) AS candidates FROM t GROUP BY ALL""",
     "pareto_front": f"WITH {_CAND}, {_front('k', 'p')} SELECT run_id, ingest_id FROM p",
     "pareto_layers": f"WITH {_CAND}, {_front('k', 'p')}, k2 AS (SELECT * FROM k ANTI JOIN p USING (run_id, ingest_id)), {_front('k2', 'p2')}, k3 AS (SELECT * FROM k2 ANTI JOIN p2 USING (run_id, ingest_id)), {_front('k3', 'p3')} SELECT run_id, ingest_id, 1 AS front FROM p UNION ALL SELECT run_id, ingest_id, 2 FROM p2 UNION ALL SELECT run_id, ingest_id, 3 FROM p3",
     "survivors": _survivors(10),

@@ -70,7 +70,14 @@ class Connectors:
     def names(self) -> list[str]:
         return sorted(self._loaders)
 
-    def load(self, name: str, spark: SparkSession, **options) -> DataFrame:
+    def add(self, connector) -> None:
+        """Registers an object by its name and its load(spark, options)."""
+        self.register(connector.name, connector.load)
+
+    def get(self, name: str) -> Callable[[SparkSession, dict], DataFrame]:
         if name not in self._loaders:
             raise KeyError(f"no connector {name}")
-        return self._loaders[name](spark, options)
+        return self._loaders[name]
+
+    def load(self, name: str, spark: SparkSession, **options) -> DataFrame:
+        return self.get(name)(spark, options)

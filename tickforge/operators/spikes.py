@@ -173,16 +173,17 @@ def _with_halo(bars: DataFrame, fields: list[str], volume: str, reach: int, near
 def _stats(bars: DataFrame, prices: list[str], volume: str) -> DataFrame:
     """(_k, _hours, quartiles and usual sizes) from sketches per key, shard and hour, merged over partitions, shards and hours.
 
-    For prices of the change from the last usable value, for the volume of its values."""
+    For prices of the change from the last usable value, for the volume of its values (never above a bar's largest; asking for both columns keeps
+    the exchange the same as the check's)."""
     fields = [*prices, volume]
     w = Window.partitionBy("_k", "_shard").orderBy("_us").rowsBetween(Window.unboundedPreceding, -1)
     fine = lambda f, low: F.when(low & (F.col(f) < float("inf")) & ~F.isnan(f), F.col(f))
     before = {f"_b_{f}": F.last(fine(f, F.col(f) > 0), ignorenulls=True).over(w) for f in prices}
-    change = {f"_x_{f}": F.try_divide(fine(f, F.col(f) > 0), F.col(f"_b_{f}")) - 1 for f in prices} | {f"_x_{volume}": fine(volume, F.col(volume) >= 0)}
+    change = {f"_x_{f}": F.try_divide(fine(f, F.col(f) > 0), F.col(f"_b_{f}")) - 1 for f in prices} | {f"_x_{volume}": fine(volume, (F.col(volume) >= 0) & (F.col("_top") >= F.col(volume)))}
     steps = bars.withColumns(before).withColumns(change).filter("not _halo").withColumn("_hour", F.expr("cast(pmod(_us - pmod(_us, 3600000000), 86400000000) div 3600000000 as int)"))
     k = F.lit(SKETCH_K)
     sketch = steps.groupBy("_k", "_shard", "_hour").agg(
-        *[F.kll_sketch_agg_double(F.col(f"_x_{f}"), k).alias(f"_c_{f}") for f in fields], *[F.kll_sketch_agg_double(F.abs(f"_x_{f}"), k).alias(f"_m_{f}") for f in prices], F.max("_top").alias("_top")
+        *[F.kll_sketch_agg_double(F.col(f"_x_{f}"), k).alias(f"_c_{f}") for f in fields], *[F.kll_sketch_agg_double(F.abs(f"_x_{f}"), k).alias(f"_m_{f}") for f in prices]
     )
     both = [*[f"_c_{f}" for f in fields], *[f"_m_{f}" for f in prices]]
     sketch = sketch.groupBy("_k", "_hour").agg(*[F.kll_merge_agg_double(c).alias(c) for c in both])
@@ -223,7 +224,8 @@ def flag_implausible(df: DataFrame, key: str = "symbol", ts: str = "ts", row_id:
     bars = cut.groupBy("_k", "_us", "_shard").agg(*first, F.max(F.when(finite, F.col(volume))).alias("_top")).withColumn("_halo", F.lit(False))
     if split:
         bars = _with_halo(bars, fields, volume, NEAR + REACH + most, stuck - 1)
-    bars = materialize(bars, "bars").repartition("_k", "_shard")  # made once; one exchange that the sketches and the check share
+    # made once; then one exchange that the sketches and the check share, for which both need the same filter
+    bars = materialize(bars, "bars").filter("_k is not null and _shard is not null").repartition("_k", "_shard")
     stats = _stats(bars, list(prices), volume)
     seen = bars.withColumns({f"_null_{f}": F.isnull(f) for f in fields})
     if split:

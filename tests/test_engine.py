@@ -79,6 +79,25 @@ def test_every_primitive_equals_its_kernel(spark):
         np.testing.assert_allclose(got[name].to_numpy(float), want, rtol=1e-7, atol=1e-7, err_msg=str(node))
 
 
+def test_rolling_closures(spark):
+    from tickforge.functions import compiler, expr, kernels
+
+    span = 2.0
+    compiler.register_rolling("SPAN_OF", lambda w: float(w.max() - w.min()) * span)
+    try:
+        node = Primitive("SPAN_OF", 4) + Constant(0.0)
+        assert kind_of(node) == "series" and check(node)["registered"]
+        bars = synthetic_bars(spark, 40)
+        got = evaluate(bars, {"x": node}).orderBy("bar_idx").toPandas()
+        want = (got["close"].rolling(4).max() - got["close"].rolling(4).min()) * span
+        np.testing.assert_allclose(got["x"], want)
+        np.testing.assert_allclose(kernels.values(node, kernels.Bars({"close": got["close"].to_numpy()})), want)
+    finally:
+        for table in (compiler._PRIMITIVES, compiler.CLOSURES, kernels.KERNELS):
+            table.pop("SPAN_OF")
+        expr.PLUGINS.discard("SPAN_OF")
+
+
 def test_shards_change_nothing(spark):
     bars = synthetic_bars(spark, 3000).withColumn("volume", F.round("volume"))
     named = {"a": Primitive("EMA", 4), "b": Primitive("ATR", 14), "c": Primitive("HMA", 9), "d": Primitive("TRIX", 3), "e": Primitive("OBV", 2) / Primitive("EMA", 3), "f": Primitive("AD_LINE", 2), "g": Primitive("CUM_RETURN", 2)}

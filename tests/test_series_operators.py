@@ -254,3 +254,33 @@ def test_best_over_is_brute_force():
         rank = rng.permutation(40) + 1
         want = [max((r for x, y, r in zip(a, b, rank) if x <= i < y), default=0) for i in range(n)]
         assert _best_over(a, b, rank, n).tolist() == want
+
+
+def test_grid_fills_up_to_its_limit(spark):
+    """1440 empty periods are filled, one more is marked."""
+    rows = [(1, "a", at(0), 1.0), (2, "a", at(60 * 1441), 2.0), (3, "b", at(0), 1.0), (4, "b", at(60 * 1442), 2.0)]
+    feed = spark.createDataFrame(rows, "row_id long, symbol string, ts timestamp_ntz, close_px double")
+    specs = spark.createDataFrame([("a", 60, "always"), ("b", 60, "always")], "symbol string, bar_seconds int, session_kind string")
+    got = {(r["symbol"], r["status"]): r["n"] for r in regular_grid(feed, specs).groupBy("symbol", "status").agg(F.count("*").alias("n")).collect()}
+    assert got == {("a", "observed"): 2, ("a", "filled"): 1440, ("b", "observed"): 2, ("b", "marked"): 1441}
+
+
+def test_as_of_many_events_at_one_instant(spark):
+    """More events of one instant than a shard may hold, some versions of that instant too."""
+    v = spark.createDataFrame([(i, "hot", at(t), None, None) for i, t in enumerate([1, 5, 5, 9])], "vid long, k string, t timestamp_ntz, known timestamp_ntz, until timestamp_ntz")
+    e = spark.createDataFrame([(i, "hot", at(5)) for i in range(200)] + [(900, "hot", at(4)), (901, "hot", at(9)), (902, "hot", at(0))], "eid long, k string, ts timestamp_ntz")
+    got = {r[0]: r[2] for r in as_of(e, "eid", F.col("k"), "ts", {"a": versions(v, "k", "vid", "t", "known")}, 20).collect()}
+    assert got == {i: 2 for i in range(200)} | {900: 0, 901: 3}
+
+
+def test_spikes_with_copies_of_one_bar(spark):
+    """A third of all rows is one bar, restated in part: each row is judged by its own value."""
+    rng = random.Random(7)
+    rows = [(i, "s", at(60 * i), px := 100 + rng.gauss(0, 0.05), px * 1.001, px * 0.999, px, 100 * math.exp(rng.gauss(0, 0.3))) for i in range(400)]
+    spiked = (rows[200][0], "s", rows[200][2], 150.0, *rows[200][4:])
+    rows[200] = spiked
+    rows += [(1000 + k, *(spiked[1:] if k % 2 else (*spiked[1:3], 100.0, *spiked[4:]))) for k in range(300)] + [(5000, "s", at(60 * 10), None, None, None, None, 1e9)]
+    df = spark.createDataFrame(rows, "row_id long, symbol string, ts timestamp_ntz, open_px double, high_px double, low_px double, close_px double, volume double").selectExpr("*", "1 as _k", "2 as _id", "3 as field_name")
+    for target in (50, 10_000):
+        got = {(r["row_id"], r["field_name"]) for r in flag_implausible(df, target_rows=target).filter("reason <> 'fence'").collect()}
+        assert got == {(200, "open_px"), (5000, "volume")} | {(1000 + k, "open_px") for k in range(300) if k % 2}

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.expr import PLUGINS, RULES, Binary, Constant, Node, Primitive, Series, walk
+from tickforge.functions.kernels import KERNELS
 from tickforge.operators.shards import TARGET_ROWS, assign_shards, carry, with_halo
 from tickforge.session import broadcast_if_small
 
@@ -175,12 +176,15 @@ def _kama(x: np.ndarray, p: int, idx: np.ndarray) -> np.ndarray:
 
 def _folded(df: DataFrame, keys: list[str], order: str, folds: list[tuple[str, str, str, int]]) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + "".join(f", `{n}` double" for n, *_ in folds)
+    closures = {kind: CLOSURES[kind] for _, _, kind, _ in folds if kind in CLOSURES}  # sent along
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
         for name, source, kind, p in folds:
             if kind == "ema":
                 pdf[name] = pdf[source].astype(float).ewm(alpha=2 / (p + 1), adjust=False).mean()
+            elif kind in closures:
+                pdf[name] = pdf[source].astype(float).rolling(p, min_periods=p).apply(closures[kind], raw=True)
             else:
                 pdf[name] = _kama(pdf[source].to_numpy(float), p, pdf[order].to_numpy())
         return pdf
@@ -430,6 +434,19 @@ def register_primitive(name: str, build) -> None:
     PLUGINS.add(name.upper())
 
 
+#: What register_rolling added.
+CLOSURES: dict = {}
+
+
+def register_rolling(name: str, closure, source: str = "close") -> None:
+    """Adds a primitive that is any function of the last ``period`` values of a column, an array of them: the same for plans, where it runs in Arrow
+    batches, and for runners."""
+    name = name.upper()
+    CLOSURES[name] = closure
+    register_primitive(name, lambda pl, p: (pl.fold(name, getattr(pl, source), p, 1), 2))
+    KERNELS[name] = lambda b, p: pd.Series(b.columns.get(source, b.c)).rolling(p, min_periods=p).apply(closure, raw=True).to_numpy()
+
+
 def lookback(node: Node) -> int:
     """Bars before a bar that its value can depend on (by more than one part in 1e16), but for what cumulative primitives carry."""
     if isinstance(node, Primitive):

@@ -141,24 +141,28 @@ def cross_sectional(bars: DataFrame, genome: Node, execution: Execution | None =
     return with_equity(out if split else out.drop("_shard"), ["_all"]).select("bar_idx", "gross", "cost", "trades", "ret", "equity")
 
 
-def cleared(bars: DataFrame, strategies: list[Node], execution: Execution | None = None, threshold: float = 0.0) -> DataFrame:
+def cleared(bars: DataFrame, strategies: list[Node], execution: Execution | None = None, threshold: float = 0.0, target_rows: int = TARGET_ROWS) -> DataFrame:
     """(symbol, strategy, bar_idx, position, order, cost, ret, equity): strategies whose orders are netted bar by bar.
 
-    The net order's cost is shared per unit of signed order, so that an opposite order earns a rebate; carry is each one's own.
+    The net order's cost is shared per unit of signed order, so that an opposite order earns a rebate; carry is each one's own. Series longer
+    than target_rows are cut into time shards.
     """
     ex = execution or Execution()
-    sig = evaluate(bars, {f"strat_{i}": s for i, s in enumerate(strategies)}, price_only=True)
-    names = [f"strat_{i}" for i in range(len(strategies))]
-    long = sig.select("symbol", "bar_idx", "close", F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(n).alias("signal")) for n in names])).alias("_s")).select("symbol", "bar_idx", "close", "_s.*")
-    w = Window.partitionBy("symbol", "strategy").orderBy("bar_idx")
-    long = long.withColumn("position", F.coalesce(F.lag(discretized(F.col("signal"), threshold), max(1, ex.delay_bars)).over(w), F.lit(0)))
+    delay, names = max(1, ex.delay_bars), [f"strat_{i}" for i in range(len(strategies))]
+    sig = evaluate(bars, dict(zip(names, strategies, strict=True)), price_only=True, target_rows=target_rows).select("symbol", "bar_idx", "close", *names)
+    sig, split = assign_shards(sig, ["symbol"], "bar_idx", target_rows)
+    sig = with_halo(sig, ["symbol"], ["bar_idx"], delay + 1, 0, split)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(n).alias("signal")) for n in names])).alias("_s")
+    long = sig.select("symbol", "_shard", "_halo", "bar_idx", "close", each).select("symbol", "_shard", "_halo", "bar_idx", "close", "_s.*")
+    w = Window.partitionBy("symbol", "strategy", "_shard").orderBy("bar_idx")
+    long = long.withColumn("position", F.coalesce(F.lag(discretized(F.col("signal"), threshold), delay).over(w), F.lit(0)))
     long = long.withColumns({"_held": F.coalesce(F.lag("position").over(w), F.lit(0)), "_move": F.coalesce(F.try_divide(F.col("close"), F.lag("close").over(w)) - 1, F.lit(0.0))})
-    long = long.withColumn("order", F.when(F.col("bar_idx") > 0, F.col("position") - F.col("_held")).otherwise(0))
+    long = long.filter("not _halo").withColumn("order", F.when(F.col("bar_idx") > 0, F.col("position") - F.col("_held")).otherwise(0))
     long = long.withColumn("_net", F.sum("order").over(Window.partitionBy("symbol", "bar_idx")))
     unit = F.coalesce(F.try_divide(ex.cost(F.col("_net")), F.col("_net")), F.lit(0.0))
     long = long.withColumn("cost", F.when(F.col("bar_idx") > 0, F.col("order") * unit + ex.carry(F.col("position"))).otherwise(0.0))
     long = long.withColumn("ret", F.when(F.col("bar_idx") > 0, F.col("_held") * F.col("_move") - F.col("cost")).otherwise(0.0))
-    long = long.withColumn("equity", F.product(1 + F.col("ret")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    long = with_equity(long if split else long.drop("_shard"), ["symbol", "strategy"])
     return long.select("symbol", "strategy", "bar_idx", "position", "order", "cost", "ret", "equity")
 
 

@@ -7,11 +7,30 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickforge.operators.shards import TARGET_ROWS, assign_shards, with_halo
+from tickforge.session import broadcast_if_small
 
-def forward_returns(df: DataFrame, horizon: int, price: str = "close", key: str = "symbol", order: str = "bar_idx") -> DataFrame:
-    """df with ``fwd``, the return to the close ``horizon`` bars on; null at the end and where the price is not positive."""
-    ahead = F.lead(price, horizon).over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("fwd", F.when(F.col(price) > 0, F.try_divide(ahead, F.col(price)) - 1))
+
+def forward_returns(df: DataFrame, horizon: int, price: str = "close", key: str = "symbol", order: str = "bar_idx", target_rows: int = TARGET_ROWS) -> DataFrame:
+    """df with ``fwd``, the return to the close ``horizon`` bars on; null at the end and where the price is not positive. Long series are cut into
+    time shards that see so many bars ahead."""
+    rows, split = assign_shards(df, [key], order, target_rows)
+    rows = with_halo(rows, [key], [order], 0, horizon, split)
+    ahead = F.lead(price, horizon).over(Window.partitionBy(key, "_shard").orderBy(order))
+    rows = rows.withColumn("fwd", F.when(F.col(price) > 0, F.try_divide(ahead, F.col(price)) - 1))
+    return rows.filter("not _halo").select(*df.columns, "fwd")
+
+
+def _with(df: DataFrame, key: str, **totals: Column) -> DataFrame:
+    """df with aggregates of its key, combined before they are shuffled and joined back, so that no key is gathered in one task."""
+    found = df.groupBy(F.col(key).alias("_key")).agg(*[c.alias(n) for n, c in totals.items()])
+    return df.join(broadcast_if_small(found), df[key].eqNullSafe(found["_key"])).drop("_key")
+
+
+def _scored(df: DataFrame, key: str, column: str, out: str) -> DataFrame:
+    """df with out, the column as a z-score within its key; where it does not vary, less its mean."""
+    df = _with(df, key, _mean=F.avg(column), _sd=F.stddev_samp(column))
+    return df.withColumn(out, (F.col(column) - F.col("_mean")) / F.when(F.coalesce("_sd", F.lit(0.0)) == 0, 1.0).otherwise(F.col("_sd"))).drop("_mean", "_sd")
 
 
 def clean_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -93,30 +112,25 @@ def neutralized(df: DataFrame, signal: str, market: str, key: str = "symbol") ->
 
     Below three pairs or with a constant market the signal itself is scored. Rows that are no clean pair have null.
     """
-    part = Window.partitionBy(key)
     fine = F.col(signal).isNotNull() & F.col(market).isNotNull() & ~F.isnan(signal) & ~F.isnan(market)
     x, y = F.when(fine, F.col(market)), F.when(fine, F.col(signal))
-    df = df.withColumns({"_n": F.count(x).over(part), "_mx": F.avg(x).over(part), "_my": F.avg(y).over(part), "_v": F.var_samp(x).over(part), "_c": F.covar_samp(x, y).over(part)})
+    df = _with(df, key, _n=F.count(x), _mx=F.avg(x), _my=F.avg(y), _v=F.var_samp(x), _c=F.covar_samp(x, y))
     beta = F.when((F.col("_n") >= 3) & (F.col("_v") > 1e-12), F.col("_c") / F.when(F.col("_v") > 1e-12, F.col("_v")))
     df = df.withColumn("_res", F.when(fine, F.when(beta.isNull(), F.col(signal)).otherwise(F.col(signal) - F.col("_my") - beta * (F.col(market) - F.col("_mx")))))
-    sd = F.stddev_samp("_res").over(part)
-    return df.withColumn("neutral", (F.col("_res") - F.avg("_res").over(part)) / F.when(F.coalesce(sd, F.lit(0.0)) == 0, 1.0).otherwise(sd)).drop("_n", "_mx", "_my", "_v", "_c", "_res")
+    return _scored(df, key, "_res", "neutral").drop("_n", "_mx", "_my", "_v", "_c", "_res")
 
 
 def orthogonalized(df: DataFrame, signals: list[str], key: str = "symbol") -> DataFrame:
     """df with each signal less its uncentred projections on the ones before it (Gram-Schmidt), as z-scores under the names orth_*."""
-    part = Window.partitionBy(key)
     done: list[str] = []
     for s in signals:
         df = df.withColumn(f"_g_{s}", F.col(s))
         for b in done:
-            dot = F.sum(F.col(f"_g_{s}") * F.col(f"_g_{b}")).over(part)
-            size = F.sum(F.col(f"_g_{b}") * F.col(f"_g_{b}")).over(part)
-            df = df.withColumn(f"_g_{s}", F.col(f"_g_{s}") - F.coalesce(F.try_divide(dot, size), F.lit(0.0)) * F.col(f"_g_{b}"))
+            df = _with(df, key, _dot=F.sum(F.col(f"_g_{s}") * F.col(f"_g_{b}")), _size=F.sum(F.col(f"_g_{b}") * F.col(f"_g_{b}")))
+            df = df.withColumn(f"_g_{s}", F.col(f"_g_{s}") - F.coalesce(F.try_divide("_dot", "_size"), F.lit(0.0)) * F.col(f"_g_{b}")).drop("_dot", "_size")
         done.append(s)
     for s in signals:
-        sd = F.stddev_samp(f"_g_{s}").over(part)
-        df = df.withColumn(f"orth_{s}", (F.col(f"_g_{s}") - F.avg(f"_g_{s}").over(part)) / F.when(F.coalesce(sd, F.lit(0.0)) == 0, 1.0).otherwise(sd))
+        df = _scored(df, key, f"_g_{s}", f"orth_{s}")
     return df.drop(*[f"_g_{s}" for s in signals])
 
 

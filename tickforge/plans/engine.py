@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.functions.compiler import evaluate
-from tickforge.functions.expr import Node, Primitive, example, registry
+from tickforge.functions.expr import REGISTERED, Node, Primitive, example, registry
 from tickforge.operators import backtest as bt
 from tickforge.operators import pit
-from tickforge.plans.engine_sql import ORACLE  # noqa: F401
+from tickforge.plans.engine_sql import ORACLE
 from tickforge.session import read
 from tickforge.sources import bars as src
 
@@ -143,3 +143,5 @@ QUERIES = {
     "walk_forward": _of(_folds("walk_forward"), FLAGSHIP), "purged_cross_validation": _of(_folds("purged"), FLAGSHIP), "crossover_walk_forward": _of(_folds("walk_forward"), CROSSOVER), "crossover_purged": _of(_folds("purged"), CROSSOVER),
     "walk_forward_mean": _of(_folds("walk_forward", True), CROSSOVER), "purged_mean": _of(_folds("purged", True), CROSSOVER),
 }
+
+ORACLE["primitive_registry"] = "SELECT name, 'series' AS output, CAST(14 AS BIGINT) AS warmup, true AS online_safe, true AS lookahead_safe FROM (VALUES " + ", ".join(f"('{n}')" for n in REGISTERED) + ") t(name)"

@@ -194,7 +194,8 @@ def _at(x: str, *keys: str) -> str:
     return x
 
 
-_RECORDS = f"""rec AS (SELECT record_id, {_un("CAST(payload AS JSON)")} AS j FROM strategy_records WHERE json_valid(payload)),
+#: CTEs with the rows of the records: node, fold, scenario, quantile and execution (record_id, node_path, parent_path, ordinal, j).
+RECORDS = f"""rec AS (SELECT record_id, {_un("CAST(payload AS JSON)")} AS j FROM strategy_records WHERE json_valid(payload)),
 node AS (SELECT record_id, '/genome' AS node_path, '' AS parent_path, CAST(NULL AS INTEGER) AS ordinal, {_at("j", "genome")} AS j FROM rec WHERE json_type({_at("j", "genome")}) = 'OBJECT'
  UNION ALL SELECT * FROM (SELECT record_id, node_path || '/' || k AS node_path, node_path AS parent_path, CAST(NULL AS INTEGER) AS ordinal, {_un("json_extract(j, '$.' || k)")} AS j FROM node, (VALUES ('left'), ('right')) s(k)) WHERE json_type(j) = 'OBJECT'),
 val AS (SELECT record_id, v, unnest(json_keys(v)) AS k FROM (SELECT record_id, {_at("j", "validation")} AS v FROM rec) WHERE json_type(v) = 'OBJECT'),
@@ -214,7 +215,7 @@ def _table_sql(source: str, **fields: str) -> str:
         at = _at("j", *path.split("__"))
         return f"TRY_CAST(CASE WHEN json_type({at}) NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN {at}->>'$' END AS {sql[to]}) AS {path}"
 
-    return f"WITH RECURSIVE {_RECORDS} SELECT record_id, node_path, parent_path, ordinal, " + ", ".join(field(k, t) for k, t in fields.items()) + f" FROM {source}"
+    return f"WITH RECURSIVE {RECORDS} SELECT record_id, node_path, parent_path, ordinal, " + ", ".join(field(k, t) for k, t in fields.items()) + f" FROM {source}"
 
 
 _TABLES = {"p6_nodes": ("node", _NODE), "p6_folds": ("fold", _FOLD), "p6_scenarios": ("scenario", _SCENARIO), "p6_quantiles": ("quantile", _QUANTILE), "p6_execution": ("execution", _EXECUTION)}
@@ -239,7 +240,7 @@ SELECT symbol, slot_s, status, round(CASE WHEN status = 'observed' THEN y WHEN s
 ORACLE = {
     "p4_found": _SPIKES,
     "p3_grid": _GRID,
-    "p6_found": f"WITH RECURSIVE {_RECORDS} " + " UNION ALL ".join(f"SELECT record_id, node_path, parent_path FROM {t}" for t in ("node", "fold", "scenario", "quantile", "execution")),
+    "p6_found": f"WITH RECURSIVE {RECORDS} " + " UNION ALL ".join(f"SELECT record_id, node_path, parent_path FROM {t}" for t in ("node", "fold", "scenario", "quantile", "execution")),
     **{k: _table_sql(source, **fields) for k, (source, fields) in _TABLES.items()},
     "p3_found": """
 WITH r AS (SELECT f.symbol, i.bar_seconds AS b, i.session_kind AS sk, epoch_us(f.ts) AS us, epoch_us(f.ts) // (CAST(i.bar_seconds AS BIGINT) * 1000000) AS k

@@ -14,6 +14,7 @@ from tickforge.operators import books, factor, pareto, pit, portfolio, research
 from tickforge.operators.nested import flatten_records
 from tickforge.plans.engine import CROSSOVER, FLAGSHIP, rounded
 from tickforge.plans.engine_sql import BARS, FIXED, ROOT, curve_cte, metrics_sql, monte_carlo_sql, signal_cte
+from tickforge.plans.problems import RECORDS
 from tickforge.session import read
 from tickforge.sources.bars import event_bars
 
@@ -319,6 +320,13 @@ def _gap(x: str) -> str:
     return f"coalesce((lead({x}) OVER {w} - lag({x}) OVER {w}) / CASE WHEN {span} = 0 THEN 1e0 ELSE {span} END, CAST('inf' AS DOUBLE))"
 
 
+_SHARPE = "TRY_CAST(json_extract(json_extract(j, '$.metrics'), '$.sharpe')->>'$' AS DOUBLE)"
+_ROBUSTNESS = f"""WITH RECURSIVE {RECORDS}, a AS (SELECT record_id FROM node UNION SELECT record_id FROM fold UNION SELECT record_id FROM scenario UNION SELECT record_id FROM quantile UNION SELECT record_id FROM execution),
+g AS (SELECT record_id, parent_path LIKE '%/cost_sensitivity' AS cost, CASE WHEN {_SHARPE} > 0 AND NOT isnan({_SHARPE}) THEN 1e0 ELSE 0e0 END AS ok FROM scenario),
+p AS (SELECT record_id, avg(ok) FILTER (cost) AS c, avg(ok) FILTER (NOT cost) AS p FROM g GROUP BY 1), q AS (SELECT record_id, max(TRY_CAST(json_extract(j, '$.p05')->>'$' AS DOUBLE)) AS q FROM quantile WHERE node_path LIKE '%/total_return' GROUP BY 1)
+SELECT record_id, round(50 * coalesce(c, 0) + 30 * coalesce(p, 0) + CASE WHEN coalesce(q, 0) > -1 AND NOT isnan(coalesce(q, 0)) THEN 20 ELSE 0 END, 6) + 0e0 AS robustness FROM a LEFT JOIN p USING (record_id) LEFT JOIN q USING (record_id)"""
+
+
 def _survivors(size: int) -> str:
     """As many fronts as so many members can need, each from what is left; then the crowding within each front."""
     ctes, left = [_CAND], "k"
@@ -364,6 +372,21 @@ mi AS (SELECT *, product(1 + ret) OVER (PARTITION BY symbol ORDER BY i) AS equit
  a.trades AS trades_simulated, CASE WHEN a.trades > 0 THEN 1e0 ELSE 0e0 END AS fill_rate, m.sharpe > 0 AND m.max_drawdown <= greatest(1e-2, 15e-1 * a.max_drawdown) AS passed FROM ({base}) a JOIN ({micro}) m USING (symbol)"""
 
 
+def _all_gates() -> str:
+    """The gauntlet's five gates: both Sharpe ratios, drawdown over reshuffles, Sharpe ratio over reshuffled bars, and the later half against the earlier."""
+    curves = f"{BARS}, {_LATER}, {signal_cte('flagship', 'symbol, half', 'fo')}, {curve_cte('sig', 'symbol, half')}"
+    sides = f"WITH {curves}, {metrics_sql('cur', 'symbol, half', 'symbol, half', None)}"
+    drawn = monte_carlo_sql(f"{curves}, r AS (SELECT symbol, i, ret FROM cur WHERE NOT half)", "symbol", 42, 100)
+    shams = f"dr AS (SELECT fo.* EXCLUDE (i), t.draw, row_number() OVER (PARTITION BY symbol, t.draw ORDER BY md5(concat_ws('|', 'placebo', 42, t.draw, i)), i) - 1 AS i FROM fo, (SELECT unnest(range(50)) AS draw) t WHERE NOT half)"
+    placebo = f"WITH {BARS}, {_LATER}, {shams}, {signal_cte('flagship', 'symbol, draw', 'dr')}, {curve_cte('sig', 'symbol, draw')}, {metrics_sql('cur', 'symbol, draw', 'symbol, draw', None)}"
+    half = lambda side: f"coalesce({ROOT} * avg(ret) FILTER ({side}) / nullif(sqrt(CASE WHEN count(*) FILTER ({side}) > 1 THEN var_pop(ret) FILTER ({side}) ELSE 1e-12 END), 0), 0)"
+    return f"""WITH s AS (SELECT symbol, max(sharpe) FILTER (NOT half) AS a, max(sharpe) FILTER (half) AS b, max(max_drawdown) FILTER (half) AS od FROM ({sides}) GROUP BY 1),
+m AS (SELECT symbol, p05 AS mc FROM ({drawn}) WHERE metric = 'max_drawdown'), p AS (SELECT symbol, avg(sharpe) AS ps FROM ({placebo}) GROUP BY 1),
+h AS (SELECT symbol, {half("i < n // 2")} AS f, {half("i >= n // 2")} AS g FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM (WITH {curves} SELECT * FROM cur WHERE half)) GROUP BY 1)
+SELECT symbol, round(a, 6) + 0e0 AS in_sharpe, round(b, 6) + 0e0 AS out_sharpe, round(od, 6) + 0e0 AS out_drawdown, round(mc, 6) + 0e0 AS mc_drawdown, round(ps, 6) + 0e0 AS placebo_sharpe, round(f, 6) + 0e0 AS first_sharpe, round(g, 6) + 0e0 AS second_sharpe,
+ coalesce(a >= 1 AND b >= 5e-1 AND mc <= 3e-1 AND ps <= 5e-1 AND g >= f * 3e-1, false) AS passed FROM s LEFT JOIN m USING (symbol) LEFT JOIN p USING (symbol) LEFT JOIN h USING (symbol)"""
+
+
 def _analysis() -> str:
     """The factor analysis of ROC 5, in rows."""
     parts = []
@@ -387,6 +410,7 @@ _LAGGED = "c AS (SELECT symbol, i, signal FROM s WHERE signal IS NOT NULL), l AS
 ORACLE = {
     "combinatorial_validation": _part_sql(_SPLITS, "symbol, split", "symbol, CAST(split AS INTEGER) AS split"),
     "gauntlet": "WITH f AS (" + _part_sql(_LATER, "symbol, half", "symbol, half") + "), p AS (SELECT symbol, max(sharpe) FILTER (NOT half) AS in_sharpe, max(sharpe) FILTER (half) AS out_sharpe, max(max_drawdown) FILTER (half) AS out_drawdown FROM f GROUP BY 1) SELECT *, in_sharpe >= 1 AND out_sharpe >= 5e-1 AS passed FROM p",
+    "full_gauntlet": _all_gates(),
     "factor_horizons": " UNION ALL ".join(_HORIZON.format(bars=BARS.strip(), sig=_SIG, h=h, o=_O, ic=_ic("u", "symbol, ch", "signal", "fwd")) for h in (1, 5, 10)),
     "optimized_weights": f"""WITH {_FIN}, v AS (SELECT run_id, generation, ingest_id, test_sharpe / greatest(coalesce(max_drawdown, 1), 1e-12) AS v FROM f)
 SELECT run_id, generation, ingest_id, round(CASE WHEN v > 0 THEN least(1e-1, v / (sum(v) FILTER (v > 0) OVER p) * 5e-1) WHEN v < 0 THEN greatest(-1e-1, v / (sum(-v) FILTER (v < 0) OVER p) * 5e-1) ELSE 0 END, 8) + 0e0 AS weight FROM v WINDOW p AS (PARTITION BY run_id, generation)""",
@@ -431,6 +455,11 @@ SELECT run_id, CASE WHEN e[1] = '(' THEN coalesce(nullif(regexp_extract(e, '^\((
     "pareto_front": f"WITH {_CAND}, {_front('k', 'p')} SELECT run_id, ingest_id FROM p",
     "pareto_layers": f"WITH {_CAND}, {_front('k', 'p')}, k2 AS (SELECT * FROM k ANTI JOIN p USING (run_id, ingest_id)), {_front('k2', 'p2')}, k3 AS (SELECT * FROM k2 ANTI JOIN p2 USING (run_id, ingest_id)), {_front('k3', 'p3')} SELECT run_id, ingest_id, 1 AS front FROM p UNION ALL SELECT run_id, ingest_id, 2 FROM p2 UNION ALL SELECT run_id, ingest_id, 3 FROM p3",
     "survivors": _survivors(10),
+    "robustness_scores": _ROBUSTNESS,
+    # a member's front is one more than the longest chain of members that dominate one another ahead of it
+    "pareto_fronts": f"""WITH RECURSIVE {_CAND}, u AS (SELECT DISTINCT run_id, s, d, c FROM k), r AS (SELECT run_id, s, d, c, 1 AS f FROM u
+ UNION SELECT b.run_id, b.s, b.d, b.c, r.f + 1 FROM r JOIN u b ON b.run_id = r.run_id AND r.s >= b.s AND r.d <= b.d AND r.c <= b.c AND (r.s > b.s OR r.d < b.d OR r.c < b.c))
+SELECT k.run_id, k.ingest_id, CAST(m.f AS INTEGER) AS front FROM k JOIN (SELECT run_id, s, d, c, max(f) AS f FROM r GROUP BY ALL) m ON m.run_id = k.run_id AND m.s = k.s AND m.d = k.d AND m.c = k.c""",
     "cpcv_bars": _CPCV_BARS,
     "crowding_distance": f"WITH {_CAND}, {_front('k', 'p')} SELECT run_id, ingest_id, round({_gap('s')} + {_gap('d')} + {_gap('c')}, 6) + 0e0 AS crowding FROM p",
     "ancestors": "WITH RECURSIVE up(id) AS (SELECT CAST(127 AS BIGINT) UNION SELECT c.c_custkey // 3 FROM up JOIN customer c ON c.c_custkey = up.id) SELECT id FROM up WHERE id IN (SELECT c_custkey FROM customer)",

@@ -222,10 +222,10 @@ def flag_implausible(df: DataFrame, key: str = "symbol", ts: str = "ts", row_id:
     finite = (F.col(volume) < float("inf")) & ~F.isnan(volume)
     first = [F.min_by(f, F.when(F.col(f).isNotNull(), F.col("_id"))).alias(f) for f in fields]
     bars = cut.groupBy("_k", "_us", "_shard").agg(*first, F.max(F.when(finite, F.col(volume))).alias("_top")).withColumn("_halo", F.lit(False))
-    if split:
-        bars = _with_halo(bars, fields, volume, NEAR + REACH + most, stuck - 1)
-    # made once; then one exchange that the sketches and the check share, for which both need the same filter
-    bars = materialize(bars, "bars").filter("_k is not null and _shard is not null").repartition("_k", "_shard")
+    if split:  # with their halos they are made once
+        bars = materialize(_with_halo(bars, fields, volume, NEAR + REACH + most, stuck - 1), "bars")
+    # one exchange that the sketches and the check share, for which both need the same filter
+    bars = bars.filter("_k is not null and _shard is not null").repartition("_k", "_shard")
     stats = _stats(bars, list(prices), volume)
     seen = bars.withColumns({f"_null_{f}": F.isnull(f) for f in fields})
     if split:

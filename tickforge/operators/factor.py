@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.operators.shards import TARGET_ROWS, assign_shards, with_halo
-from tickforge.session import broadcast_if_small
 
 
 def forward_returns(df: DataFrame, horizon: int, price: str = "close", key: str = "symbol", order: str = "bar_idx", target_rows: int = TARGET_ROWS) -> DataFrame:
@@ -22,9 +21,10 @@ def forward_returns(df: DataFrame, horizon: int, price: str = "close", key: str
 
 
 def _with(df: DataFrame, key: str, **totals: Column) -> DataFrame:
-    """df with aggregates of its key, combined before they are shuffled and joined back, so that no key is gathered in one task."""
+    """df with aggregates of its key, combined before they are shuffled and joined back, so that no key is gathered in one task. Whether the aggregates
+    are broadcast is left to adaptive execution, which knows their size without another pass over a long chain of them."""
     found = df.groupBy(F.col(key).alias("_key")).agg(*[c.alias(n) for n, c in totals.items()])
-    return df.join(broadcast_if_small(found), df[key].eqNullSafe(found["_key"])).drop("_key")
+    return df.join(found, df[key].eqNullSafe(found["_key"])).drop("_key")
 
 
 def _scored(df: DataFrame, key: str, column: str, out: str) -> DataFrame:
@@ -121,17 +121,29 @@ def neutralized(df: DataFrame, signal: str, market: str, key: str = "symbol") ->
 
 
 def orthogonalized(df: DataFrame, signals: list[str], key: str = "symbol") -> DataFrame:
-    """df with each signal less its uncentred projections on the ones before it (Gram-Schmidt), as z-scores under the names orth_*."""
-    done: list[str] = []
-    for s in signals:
-        df = df.withColumn(f"_g_{s}", F.col(s))
-        for b in done:
-            df = _with(df, key, _dot=F.sum(F.col(f"_g_{s}") * F.col(f"_g_{b}")), _size=F.sum(F.col(f"_g_{b}") * F.col(f"_g_{b}")))
-            df = df.withColumn(f"_g_{s}", F.col(f"_g_{s}") - F.coalesce(F.try_divide("_dot", "_size"), F.lit(0.0)) * F.col(f"_g_{b}")).drop("_dot", "_size")
-        done.append(s)
+    """df with each signal less its uncentred projections on the ones before it (Gram-Schmidt), as z-scores under the names orth_*.
+
+    The projections need only the products of every two signals, summed per key over the rows that have all signals, so one aggregate gives
+    each signal's weights on the ones before it, whatever the number of signals; a second one gives the scores. Other rows come out null.
+    """
+    k, whole = len(signals), F.lit(True)
     for s in signals:
-        df = _scored(df, key, f"_g_{s}", f"orth_{s}")
-    return df.drop(*[f"_g_{s}" for s in signals])
+        whole = whole & F.col(s).isNotNull()
+    found = df.groupBy(F.col(key).alias("_key")).agg(*[F.sum(F.when(whole, F.col(signals[i]) * F.col(signals[j]))).alias(f"_d{i}_{j}") for i in range(k) for j in range(i, k)])
+    product = lambda p, q: F.col(f"_d{min(p, q)}_{max(p, q)}")
+    for i in range(k):
+        found = found.withColumns({f"_a{i}_{j}": F.lit(float(i == j)) for j in range(i + 1)})
+        for b in range(i):
+            dot = sum((F.col(f"_a{i}_{p}") * F.col(f"_a{b}_{q}") * product(p, q) for p in range(i + 1) for q in range(b + 1)), F.lit(0.0))
+            size = sum((F.col(f"_a{b}_{p}") * F.col(f"_a{b}_{q}") * product(p, q) for p in range(b + 1) for q in range(b + 1)), F.lit(0.0))
+            found = found.withColumn("_c", F.coalesce(F.try_divide(dot, size), F.lit(0.0)))
+            found = found.withColumns({f"_a{i}_{j}": F.col(f"_a{i}_{j}") - F.col("_c") * F.col(f"_a{b}_{j}") for j in range(b + 1)})
+    weights = [f"_a{i}_{j}" for i in range(k) for j in range(i + 1)]
+    df = df.join(found.select("_key", *weights), df[key].eqNullSafe(found["_key"])).drop("_key")
+    df = df.withColumns({f"_g{i}": F.when(whole, sum((F.col(f"_a{i}_{j}") * F.col(signals[j]) for j in range(i + 1)), F.lit(0.0))) for i in range(k)}).drop(*weights)
+    df = _with(df, key, **{f"_m{i}": F.avg(f"_g{i}") for i in range(k)}, **{f"_s{i}": F.stddev_samp(f"_g{i}") for i in range(k)})
+    scores = {f"orth_{s}": (F.col(f"_g{i}") - F.col(f"_m{i}")) / F.when(F.coalesce(f"_s{i}", F.lit(0.0)) == 0, 1.0).otherwise(F.col(f"_s{i}")) for i, s in enumerate(signals)}
+    return df.withColumns(scores).drop(*[f"_{x}{i}" for x in "gms" for i in range(k)])
 
 
 def correlations(df: DataFrame, series: str = "strategy", at: list[str] | None = None, value: str = "ret") -> DataFrame:

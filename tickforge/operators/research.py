@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickforge.session import broadcast_if_small
+
 
 def _draw(*parts: Column) -> Column:
     """A number in [0, 2**60) that depends on the parts alone, the same in every engine: the first 15 hex digits of an md5."""
@@ -39,9 +41,8 @@ def _resampled(returns: DataFrame, keys: list[str], sims: int, seed: int, order:
     n = returns.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     draws = returns.select(*keys, F.col(order).alias("_j")).join(n, keys).withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
     draws = draws.withColumn("_i", F.pmod(_draw(F.lit(seed), F.col("sim"), F.col("_j")), F.col("_n")))
-    per = draws.groupBy(*keys, "sim", "_i").agg(F.count(F.lit(1)).alias("_t"))
     base = returns.select(*keys, F.col(order).alias("_i"), F.col(ret).alias("_r"))
-    return per.join(base, [*keys, "_i"]).groupBy(*keys, "sim").agg((F.sum(F.col("_r") * F.col("_t")) / F.sum("_t")).alias("mean"))
+    return draws.join(broadcast_if_small(base), [*keys, "_i"]).groupBy(*keys, "sim").agg(F.avg("_r").alias("mean"))  # means are combined before they are shuffled
 
 
 def bootstrap_interval(returns: DataFrame, keys: list[str], sims: int = 1000, seed: int = 7, order: str = "bar_idx", ret: str = "ret") -> DataFrame:

@@ -244,6 +244,22 @@ def test_spikes_beside_missing_values(spark):
     assert (1100, "open_px", "jump") in whole and (2300, "high_px", "jump") in whole and sum(r[2] == "stuck" and r[0] >= 2500 for r in whole) == 308
 
 
+def test_spikes_and_hot_keys_in_salted_parts_are_not_broadcast(spark, monkeypatch):
+    """Rows repeated for the parts of a shuffled join look as small as the file they were repeated from."""
+    from tickforge.operators import shards, spikes
+
+    rows, faults = spiky()
+    df = spark.createDataFrame(rows, "row_id long, symbol string, ts timestamp_ntz, open_px double, high_px double, low_px double, close_px double, volume double")
+    want = sorted(map(tuple, flag_implausible(df, target_rows=100).collect()))
+    monkeypatch.setattr(spikes, "BROADCAST_ROWS", 0)
+    got = flag_implausible(df, target_rows=100)
+    assert "Broadcast" not in got._jdf.queryExecution().toString() and sorted(map(tuple, got.collect())) == want
+    small = shards.materialize(spark.createDataFrame([("a", 1), ("b", 2)], "k string, n long"), "small")
+    joined = shards.joined_hot(spark.createDataFrame([("a", i) for i in range(200)] + [("c", 0)], "k string, i long"), small, ["k"], False, ["i"])
+    assert "Broadcast" not in joined._jdf.queryExecution().toString()
+    assert sorted((r["k"], r["i"], r["n"]) for r in joined.collect() if r["k"] == "a") == [("a", i, 1) for i in range(200)] and joined.count() == 201
+
+
 def test_best_over_is_brute_force():
     from tickforge.operators.asof import _best_over
 

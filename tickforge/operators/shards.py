@@ -27,11 +27,17 @@ HOT_KEYS, SALTS = 1000, 64
 LEAST = -(1 << 63)
 
 
+def salted(small: DataFrame, parts: int = SALTS) -> DataFrame:
+    """small once for each of the parts, in ``_salt``, for a shuffled join. The hint is needed: the planner takes the rows repeated here for as few
+    bytes as the file they come from, and would broadcast them all."""
+    return small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).hint("merge")
+
+
 def joined_hot(df: DataFrame, small: DataFrame, keys: list[str], few: bool, salt: list[str], how: str = "left") -> DataFrame:
     """df joined with one row per hot key: broadcast if few, else shuffled with each key of df in SALTS parts and small repeated for each."""
     if few:
         return df.join(F.broadcast(small), keys, how)
-    parts = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    parts = salted(small)
     return df.withColumn("_salt", F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int")).join(parts, [*keys, "_salt"], how).drop("_salt")
 
 

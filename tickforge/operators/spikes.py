@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.operators.shards import SALTS, TARGET_ROWS, assign_shards
+from tickforge.operators.shards import SALTS, TARGET_ROWS, assign_shards, salted
 from tickforge.session import BROADCAST_ROWS, materialize, micros
 
 #: Usable values on either side that give the level around a value, and how far the nearest unsuspected value may be.
@@ -242,8 +242,8 @@ def flag_implausible(df: DataFrame, key: str = "symbol", ts: str = "ts", row_id:
     if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         hit = rows.join(F.broadcast(found), ["_k", "_us"])
     else:
-        parts = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))) if split else found.withColumn("_salt", F.lit(0))
-        hit = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS if split else 1)).cast("int")).join(parts, ["_k", "_us", "_salt"])
+        n = SALTS if split else 1
+        hit = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int")).join(salted(found, n), ["_k", "_us", "_salt"])
     over = (F.col("reason") == "volume") & finite & (value > F.col("_value"))
     same = (F.col("reason") != "volume") & (value == F.col("_value"))
     hit = hit.filter(value.isNotNull() & ((F.col("reason") == "volume") & finite | same))

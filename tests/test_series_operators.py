@@ -260,6 +260,23 @@ def test_spikes_and_hot_keys_in_salted_parts_are_not_broadcast(spark, monkeypatc
     assert sorted((r["k"], r["i"], r["n"]) for r in joined.collect() if r["k"] == "a") == [("a", i, 1) for i in range(200)] and joined.count() == 201
 
 
+def test_spikes_of_bars_of_one_row_need_no_join(spark, monkeypatch):
+    """Only bars of several rows are joined back to their rows; identifiers that a bar cannot carry are joined as before."""
+    from tickforge.operators import spikes
+
+    rows, faults = spiky()
+    rows = [r for r in rows if r[0] != len(spiky()[0]) - 4]  # but for the bar delivered again
+    df = spark.createDataFrame(rows, "row_id long, symbol string, ts timestamp_ntz, open_px double, high_px double, low_px double, close_px double, volume double")
+    monkeypatch.setattr(spikes, "BROADCAST_ROWS", 0)
+    got = flag_implausible(df, target_rows=100)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, got.collect()))
+    assert {r[:2] for r in got if r[2] != "fence"} == {f for f in faults if f[0] in {r[0] for r in rows}}
+    for kind in ("string", "decimal(20,1)"):
+        other = flag_implausible(df.withColumn("row_id", F.col("row_id").cast(kind)), target_rows=100)
+        assert sorted((int(float(i)), f, r) for i, f, r in other.collect()) == got and other.schema["row_id"].dataType.simpleString() == kind
+
+
 def test_best_over_is_brute_force():
     from tickforge.operators.asof import _best_over
 

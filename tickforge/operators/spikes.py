@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from tickforge.operators.shards import SALTS, TARGET_ROWS, assign_shards, salted
 from tickforge.session import BROADCAST_ROWS, materialize, micros
@@ -84,6 +85,7 @@ def _checker(prices: list[str], volume: str, factor: float, stuck: int, most: in
     def check(bars: pd.DataFrame, stats: pd.DataFrame) -> pd.DataFrame:
         bars = bars.sort_values("_us", kind="stable")
         us, own = bars["_us"].to_numpy(), ~bars["_halo"].to_numpy(bool)
+        ids, lone = bars["_rid"].to_numpy(), bars["_lone"].to_numpy(bool)
         hour = (us // 3_600_000_000) % 24
         out = []
         for f in fields:
@@ -98,7 +100,10 @@ def _checker(prices: list[str], volume: str, factor: float, stuck: int, most: in
                 top = bars["_top"].to_numpy(float)
                 with np.errstate(invalid="ignore"):
                     beyond = (top > upper) | (v < low)
-                found = {"stuck": (still, v), "volume": (beyond, np.full(len(v), limit))}
+                    over = v > limit
+                # a row of its own is judged here, those of a bar of several rows each by their own value
+                beyond &= ~lone | (v < np.inf)
+                found = {"stuck": (still, v), "volume": (beyond & (over | ~lone), np.full(len(v), limit)), "fence": (beyond & lone & ~over, v)}
             else:
                 ok = np.flatnonzero(~null & np.isfinite(v) & (v > 0))
                 lower = np.fmin(np.fmax(-low, limit / 2), limit)
@@ -112,9 +117,10 @@ def _checker(prices: list[str], volume: str, factor: float, stuck: int, most: in
             for reason, (at, value) in found.items():
                 at = at & own
                 if at.any():
-                    out.append(pd.DataFrame({"_us": us[at], "field_name": f, "reason": reason, "_value": value[at]}))
+                    out.append(pd.DataFrame({"_us": us[at], "field_name": f, "reason": reason, "_value": value[at], "_rid": ids[at], "_lone": lone[at]}))
         if not out:
-            return pd.DataFrame({"_k": [], "_us": [], "field_name": [], "reason": [], "_value": []}, dtype=object).astype({"_us": "int64", "_value": float})
+            none = pd.DataFrame({"_k": [], "_us": [], "field_name": [], "reason": [], "_value": [], "_rid": [], "_lone": []}, dtype=object)
+            return none.astype({"_us": "int64", "_value": float, "_rid": bars["_rid"].dtype, "_lone": bool})
         return pd.concat(out).assign(_k=bars["_k"].iloc[0]).astype({"_k": object, "field_name": object, "reason": object})
 
     return check
@@ -163,38 +169,50 @@ def _spread(fields: list[str], volume: str, reach: int, bars: int):
 
 
 def _with_halo(bars: DataFrame, fields: list[str], volume: str, reach: int, near: int) -> DataFrame:
-    """bars of split keys once more as the halo of other shards: whatever lies between (missing values, bars delivered again), a shard sees
+    """With the bars of split keys once more as the halo of other shards: whatever lies between (missing values, bars delivered again), a shard sees
     ``reach`` usable values of every field and ``near`` bars beyond either end."""
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields)
     edges = bars.filter("_shard > 0").drop("_halo").groupBy("_k", "_shard").applyInPandas(_edges(fields, volume, reach, near), ddl.replace(", `_halo` boolean", ""))
-    return bars.unionByName(edges.groupBy("_k").applyInPandas(_spread(fields, volume, reach, near), ddl))
+    return bars.unionByName(materialize(edges.groupBy("_k").applyInPandas(_spread(fields, volume, reach, near), ddl), "halo"))
 
 
 def _stats(bars: DataFrame, prices: list[str], volume: str) -> DataFrame:
-    """(_k, _hours, quartiles and usual sizes) from sketches per key, shard and hour, merged over partitions, shards and hours.
+    """(_k, _hours, quartiles and usual sizes) from sketches per key, shard and hour, merged over shards and hours.
 
-    For prices of the change from the last usable value, for the volume of its values (never above a bar's largest; asking for both columns keeps
-    the exchange the same as the check's)."""
+    For prices of the change from the last usable value, for the volume of its values (never above a bar's largest; asking for both columns, and for
+    ``_last``, keeps the exchange the same as the check's). A key that is not cut lies in one task, which takes its quartiles at once: only the
+    sketches of cut keys are sent on."""
     fields = [*prices, volume]
     w = Window.partitionBy("_k", "_shard").orderBy("_us").rowsBetween(Window.unboundedPreceding, -1)
     fine = lambda f, low: F.when(low & (F.col(f) < float("inf")) & ~F.isnan(f), F.col(f))
     before = {f"_b_{f}": F.last(fine(f, F.col(f) > 0), ignorenulls=True).over(w) for f in prices}
     change = {f"_x_{f}": F.try_divide(fine(f, F.col(f) > 0), F.col(f"_b_{f}")) - 1 for f in prices} | {f"_x_{volume}": fine(volume, (F.col(volume) >= 0) & (F.col("_top") >= F.col(volume)))}
     steps = bars.withColumns(before).withColumns(change).filter("not _halo").withColumn("_hour", F.expr("cast(pmod(_us - pmod(_us, 3600000000), 86400000000) div 3600000000 as int)"))
-    k = F.lit(SKETCH_K)
+    k, last = F.lit(SKETCH_K), F.max("_last").alias("_last")
     sketch = steps.groupBy("_k", "_shard", "_hour").agg(
-        *[F.kll_sketch_agg_double(F.col(f"_x_{f}"), k).alias(f"_c_{f}") for f in fields], *[F.kll_sketch_agg_double(F.abs(f"_x_{f}"), k).alias(f"_m_{f}") for f in prices]
+        *[F.kll_sketch_agg_double(F.col(f"_x_{f}"), k).alias(f"_c_{f}") for f in fields], *[F.kll_sketch_agg_double(F.abs(f"_x_{f}"), k).alias(f"_m_{f}") for f in prices], F.max(F.when(F.col("_lone"), F.col("_rid"))).alias("_last")
     )
-    both = [*[f"_c_{f}" for f in fields], *[f"_m_{f}" for f in prices]]
-    sketch = sketch.groupBy("_k", "_hour").agg(*[F.kll_merge_agg_double(c).alias(c) for c in both])
+    changes, sizes = [f"_c_{f}" for f in fields], [f"_m_{f}" for f in prices]
 
     def at(name: str, q: float):
         return F.when(F.kll_sketch_get_n_double(name) > 0, F.kll_sketch_get_quantile_double(name, F.lit(q)))
 
-    quartiles = lambda: [at(f"_c_{f}", q).alias(f"_q{i}_{f}") for f in fields for i, q in ((1, 0.25), (3, 0.75))]
-    hours = F.struct("_hour", *[F.kll_sketch_get_n_double(f"_c_{f}").alias(f"_n_{f}") for f in fields], *quartiles())
-    whole = sketch.groupBy("_k").agg(F.collect_list(hours).alias("_hours"), *[F.kll_merge_agg_double(c).alias(c) for c in both])
-    return whole.select("_k", "_hours", *quartiles(), *[at(f"_m_{f}" if f in prices else f"_c_{f}", 0.5).alias(f"_mid_{f}") for f in fields])
+    told = {f"_n_{f}": F.kll_sketch_get_n_double(f"_c_{f}") for f in fields} | {f"_q{i}_{f}": at(f"_c_{f}", q) for f in fields for i, q in ((1, 0.25), (3, 0.75))}
+    usual = {f"_mid_{f}": at(f"_m_{f}" if f in prices else f"_c_{f}", 0.5) for f in fields}
+    cut = F.col("_shard") > 0
+
+    def part(hour: Column, whole: bool) -> Column:
+        """An hour (-1: all of them) of a key and shard: of a cut key its sketches, else what they tell."""
+        sent = [F.when(cut & F.lit(whole or c in changes), F.col(c)).alias(c) for c in (*changes, *sizes)]
+        return F.struct(hour.cast("int").alias("_hour"), *sent, *[F.when(~cut, x).alias(n) for n, x in told.items()], *[F.when(~cut & F.lit(whole), x).alias(n) for n, x in usual.items()])
+
+    merged = [F.kll_merge_agg_double(c).alias(c) for c in (*changes, *sizes)]
+    local = sketch.groupBy("_k", "_shard").agg(F.collect_list(part(F.col("_hour"), False)).alias("_parts"), *merged, last)
+    each = local.select("_k", "_last", F.inline(F.concat("_parts", F.array(part(F.lit(-1), True)))))
+    hours = each.groupBy("_k", "_hour").agg(*merged, *[F.max(n).alias(n) for n in (*told, *usual)], last)
+    hours = hours.select("_k", "_hour", "_last", *[F.coalesce(n, x).alias(n) for n, x in (told | usual).items()])
+    whole = lambda n: F.max(F.when(F.col("_hour") < 0, F.col(n))).alias(n)
+    return hours.groupBy("_k").agg(F.collect_list(F.when(F.col("_hour") >= 0, F.struct("_hour", *told))).alias("_hours"), *[whole(n) for n in (*told, *usual) if not n.startswith("_n_")], last)
 
 
 def flag_implausible(df: DataFrame, key: str = "symbol", ts: str = "ts", row_id: str = "row_id", prices: tuple[str, ...] = ("open_px", "high_px", "low_px"),
@@ -221,23 +239,33 @@ def flag_implausible(df: DataFrame, key: str = "symbol", ts: str = "ts", row_id:
     cut, split = assign_shards(rows, ["_k"], "_us", target_rows)
     finite = (F.col(volume) < float("inf")) & ~F.isnan(volume)
     first = [F.min_by(f, F.when(F.col(f).isNotNull(), F.col("_id"))).alias(f) for f in fields]
-    bars = cut.groupBy("_k", "_us", "_shard").agg(*first, F.max(F.when(finite, F.col(volume))).alias("_top")).withColumn("_halo", F.lit(False))
-    if split:  # with their halos they are made once
-        bars = materialize(_with_halo(bars, fields, volume, NEAR + REACH + most, stuck - 1), "bars")
+    # a bar of one row carries its row_id, so that what is found needs no join to be told of the row
+    kind = rows.schema["_id"].dataType
+    carried = isinstance(kind, (IntegralType, StringType))
+    rid = F.coalesce(F.min("_id"), F.lit("0").cast(kind)) if carried else F.lit("")
+    lone = (F.count(F.lit(1)) == 1) & (F.count("_id") == 1) & F.lit(carried)
+    bars = cut.groupBy("_k", "_us", "_shard").agg(*first, F.max(F.when(finite, F.col(volume))).alias("_top"), rid.alias("_rid"), lone.alias("_lone")).withColumn("_halo", F.lit(False))
+    if split:  # made once, for their halos and the check
+        own = materialize(bars, "bars")
+        bars = _with_halo(own, fields, volume, NEAR + REACH + most, stuck - 1)
     # one exchange that the sketches and the check share, for which both need the same filter
     bars = bars.filter("_k is not null and _shard is not null").repartition("_k", "_shard")
     stats = _stats(bars, list(prices), volume)
     seen = bars.withColumns({f"_null_{f}": F.isnull(f) for f in fields})
     if split:
-        stats = seen.select("_k", "_shard").distinct().join(stats, "_k")
+        stats = own.select("_k", "_shard").distinct().join(stats, "_k")
     else:
         stats = stats.withColumn("_shard", F.lit(0))
     stats = stats.select(*[F.col(c).alias(c) for c in stats.columns])  # columns of their own, as both sides of the cogroup come from rows
     check = _checker(list(prices), volume, factor, stuck, most, fence)
     key_type = rows.schema["_k"].dataType.simpleString()
-    found = seen.groupBy("_k", "_shard").cogroup(stats.groupBy("_k", "_shard")).applyInPandas(check, f"_k {key_type}, _us bigint, field_name string, reason string, _value double")
+    found = seen.groupBy("_k", "_shard").cogroup(stats.groupBy("_k", "_shard")).applyInPandas(
+        check, f"_k {key_type}, _us bigint, field_name string, reason string, _value double, _rid {bars.schema['_rid'].dataType.simpleString()}, _lone boolean"
+    )
     found = materialize(found, "flagged")
-    # back to the rows of the flagged bars
+    told = found.filter("_lone").select(F.col("_rid").cast(kind).alias("_id"), "field_name", "reason")
+    # back to the rows of the flagged bars that have several
+    found = found.filter("not _lone").drop("_rid", "_lone")
     value = F.coalesce(*[F.when(F.col("field_name") == f, F.col(f)) for f in fields])
     if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         hit = rows.join(F.broadcast(found), ["_k", "_us"])
@@ -250,7 +278,7 @@ def flag_implausible(df: DataFrame, key: str = "symbol", ts: str = "ts", row_id:
     hit = hit.select("_id", "field_name", F.when(over | same, F.col("reason")).otherwise("fence").alias("reason"))
     wrong = lambda f: F.isnan(f) | (F.col(f) == float("inf")) | ((F.col(f) < 0) if f == volume else (F.col(f) <= 0))
     crossed = (F.col(high) < F.col(low)) & ~F.isnan(high) & ~F.isnan(low)
-    told = [*[F.when(F.col(f).isNotNull() & wrong(f), F.struct(F.lit(f).alias("field_name"), F.lit("impossible").alias("reason"))) for f in fields],
+    plain = [*[F.when(F.col(f).isNotNull() & wrong(f), F.struct(F.lit(f).alias("field_name"), F.lit("impossible").alias("reason"))) for f in fields],
             *[F.when(crossed, F.struct(F.lit(f).alias("field_name"), F.lit("crossed").alias("reason"))) for f in (low, high)]]
-    alone = rows.select("_id", F.explode(F.filter(F.array(*told), lambda x: x.isNotNull())).alias("_t")).select("_id", "_t.*")
-    return hit.unionByName(alone).select(F.col("_id").alias(row_id), "field_name", "reason")
+    alone = rows.select("_id", F.explode(F.filter(F.array(*plain), lambda x: x.isNotNull())).alias("_t")).select("_id", "_t.*")
+    return told.unionByName(hit).unionByName(alone).select(F.col("_id").alias(row_id), "field_name", "reason")

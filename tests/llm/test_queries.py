@@ -13,3 +13,32 @@ def test_mix_at_corpus_size_is_not_bound_by_one_source(spark, tmp_path):
     assert tokens(whole) > 2 * tokens(bound)
     report = queries.p9_shares(spark, d)
     assert tokens(whole) == report.selectExpr("sum(tokens)").first()[0]
+
+
+def _mix_tables(spark, d):
+    docs = [(i, "a" if i < 20 else "b", f"price {i} rises again today", "en") for i in range(40)]
+    docs += [docs[1], (1, "b", "price again", "en"), (None, "a", "price none", "en"), (2, "b", None, "en")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string, lang string").write.parquet(f"{d}/documents.parquet")
+    targets = [("a", 0.5, 2), ("b", 0.5, 2), ("c", 0.0, None), ("d", 0.0, -1)]
+    spark.createDataFrame(targets, "source string, target_share double, max_repeats int").write.parquet(f"{d}/mix_targets.parquet")
+
+
+def test_mix_checks_of_odd_tables_equal_their_sql(spark, tmp_path):
+    d = str(tmp_path)
+    _mix_tables(spark, d)
+    assert sorted(map(tuple, queries.p9_checks(spark, d).collect())) == [(s, False, 0) for s in "abcd"]
+
+
+def test_mix_checks_find_faults(spark, tmp_path, monkeypatch):
+    """A document used too often over several rows of the selection, one of another source, one without text, one that is no document."""
+    d = str(tmp_path)
+    _mix_tables(spark, d)
+    rows = [(3, "a", 5, 2), (3, "a", 5, 1), (1, "a", 5, 2), (1, "a", 5, 2), (30, "a", 5, 1), (2, "b", 5, 1), (99, "b", 5, 1), (31, "b", 5, 2)]
+    faulty = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long, copies int")
+
+    def found(selection):
+        monkeypatch.setattr(queries, "_mixed", lambda *_: (selection, None))
+        return {r["source"]: (r["above"], r["foreign"]) for r in queries.p9_checks(spark, d).collect()}
+
+    assert found(faulty) == {"a": (True, 1), "b": (False, 2), "c": (False, 0), "d": (False, 0)}
+    assert found(faulty.filter("doc_id <> 3"))["a"] == (False, 1)  # document 1 has two rows of its own

@@ -48,10 +48,14 @@ def p8_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_checks(spark: SparkSession, d: str) -> DataFrame:
-    """(source, above, foreign): per listed source how many selected documents are used more than max_repeats times, or are not of that source."""
-    mixed, docs = _mixed(spark, d)[0], read(spark, d, "documents").select("doc_id", F.col("source").alias("own"))
-    used = mixed.join(docs, "doc_id", "left").groupBy("source").agg(F.max("copies").alias("most"), F.count_if(~F.col("own").eqNullSafe(F.col("source"))).alias("foreign"))
-    return read(spark, d, "mix_targets").join(used, "source", "left").select("source", (F.coalesce("most", F.lit(0)) > F.col("max_repeats")).alias("above"), F.coalesce("foreign", F.lit(0)).alias("foreign"))
+    """(source, above, foreign): per listed source whether a document is used more than max_repeats times in all (repeated rows each count as one), and
+    how many selected documents are not of that source."""
+    mixed, docs = _mixed(spark, d)[0], read(spark, d, "documents").filter("text is not null")
+    each = mixed.select("doc_id", "source", "copies", F.lit(0).alias("rows")).unionByName(docs.select("doc_id", "source", F.lit(0).alias("copies"), F.lit(1).alias("rows")))
+    uses = each.groupBy("doc_id", "source").agg(F.sum("copies").alias("uses"), F.sum("rows").alias("rows")).filter("uses > 0")
+    used = uses.groupBy("source").agg(F.max(F.col("uses") / F.greatest("rows", F.lit(1))).alias("most"), F.count_if(F.col("rows") == 0).alias("foreign"))
+    above = F.coalesce("most", F.lit(0)) > F.greatest("max_repeats", F.lit(0))  # null repeats are 0, as in mix
+    return read(spark, d, "mix_targets").join(used, "source", "left").select("source", above.alias("above"), F.coalesce("foreign", F.lit(0)).alias("foreign"))
 
 
 def _mixed(spark: SparkSession, d: str, all_met: bool = False) -> tuple[DataFrame, DataFrame]:

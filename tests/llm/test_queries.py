@@ -42,3 +42,23 @@ def test_mix_checks_find_faults(spark, tmp_path, monkeypatch):
 
     assert found(faulty) == {"a": (True, 1), "b": (False, 2), "c": (False, 0), "d": (False, 0)}
     assert found(faulty.filter("doc_id <> 3"))["a"] == (False, 1)  # document 1 has two rows of its own
+
+
+def test_mix_checks_take_each_row_and_the_largest_repeats_of_a_source(spark, tmp_path, monkeypatch):
+    """One of two equal documents is used too often while the other makes up for it; a source is listed twice; a selected source is not listed."""
+    d = str(tmp_path)
+    _mix_tables(spark, d)
+    listed = [("a", 0.5, 2), ("a", 0.1, 1), ("b", 0.5, 2), (None, 0.1, 2)]
+    spark.createDataFrame(listed, "source string, target_share double, max_repeats int").write.mode("overwrite").parquet(f"{d}/mix_targets.parquet")
+    sql = [("a", False, 0), ("a", False, 0), ("b", False, 0), (None, False, 0)]
+    assert sorted(map(tuple, queries.p9_checks(spark, d).collect()), key=str) == sorted(sql, key=str)
+
+    def found(rows):
+        selection = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long, copies int")
+        monkeypatch.setattr(queries, "_mixed", lambda *_: (selection, None))
+        return {tuple(r) for r in queries.p9_checks(spark, d).collect()}
+
+    good = [(1, "a", 5, 2), (1, "a", 5, 2), (30, "b", 5, 2)]
+    assert found(good) == set(sql)
+    assert found([(1, "a", 5, 3), (1, "a", 5, 1)]) == {("a", True, 0), *sql[2:]}
+    assert found([*good, (31, "z", 5, 1)]) == {*sql, ("z", True, 1)}

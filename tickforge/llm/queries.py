@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickforge.llm.containers import fill_report, pack
@@ -48,14 +48,16 @@ def p8_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_checks(spark: SparkSession, d: str) -> DataFrame:
-    """(source, above, foreign): per listed source whether a document is used more than max_repeats times in all (repeated rows each count as one), and
-    how many selected documents are not of that source."""
+    """(source, above, foreign): per listed source whether a document is used more than max_repeats times, in one row of the selection or in all (repeated
+    rows each count as one), and how many selected documents are not of that source. A selected source that is not listed has a row too."""
     mixed, docs = _mixed(spark, d)[0], read(spark, d, "documents").filter("text is not null")
     each = mixed.select("doc_id", "source", "copies", F.lit(0).alias("rows")).unionByName(docs.select("doc_id", "source", F.lit(0).alias("copies"), F.lit(1).alias("rows")))
-    uses = each.groupBy("doc_id", "source").agg(F.sum("copies").alias("uses"), F.sum("rows").alias("rows")).filter("uses > 0")
-    used = uses.groupBy("source").agg(F.max(F.col("uses") / F.greatest("rows", F.lit(1))).alias("most"), F.count_if(F.col("rows") == 0).alias("foreign"))
-    above = F.coalesce("most", F.lit(0)) > F.greatest("max_repeats", F.lit(0))  # null repeats are 0, as in mix
-    return read(spark, d, "mix_targets").join(used, "source", "left").select("source", above.alias("above"), F.coalesce("foreign", F.lit(0)).alias("foreign"))
+    uses = each.groupBy("doc_id", "source").agg(F.sum("copies").alias("uses"), F.max("copies").alias("once"), F.sum("rows").alias("rows")).filter("uses > 0")
+    most = F.max(F.greatest("once", F.col("uses") / F.greatest("rows", F.lit(1))))
+    used = uses.groupBy("source").agg(most.alias("most"), F.count_if(F.col("rows") == 0).alias("foreign"))
+    listed = read(spark, d, "mix_targets").select("source", F.max("max_repeats").over(Window.partitionBy("source")).alias("allowed"))  # of a source listed twice the largest, as in mix
+    above = F.coalesce("most", F.lit(0)) > F.greatest("allowed", F.lit(0))  # null repeats are 0, as in mix
+    return listed.join(used, "source", "full").select("source", above.alias("above"), F.coalesce("foreign", F.lit(0)).alias("foreign"))
 
 
 def _mixed(spark: SparkSession, d: str, all_met: bool = False) -> tuple[DataFrame, DataFrame]:
